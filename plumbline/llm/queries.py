@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, embeddings, packing, quality, repeats, secrets, simhash, token_files
+from plumbline.llm import bpe, chat, embeddings, lm, packing, quality, repeats, secrets, simhash, token_files
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digest(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_files, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_secret_scan, op8_suffix_dedup, op9_bpe_round_trip, op10_chat_format)
+    for f in (op1_quality_rules, op2_token_files, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_secret_scan, op7_lm_scores, op8_suffix_dedup, op9_bpe_round_trip, op10_chat_format)
 }
 
 ORACLES: dict[str, str] = {
