@@ -32,12 +32,12 @@ from plumbline.operators.stash import stash
 class Plan:
     """Runs of places for documents of each length; `sequences` is how many sequences they fill."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, groups: int = 128, small: int | None = None):
+    def __init__(self, counts: dict[int, int], capacity: int, groups: int = 256, small: int | None = None):
         self.capacity, self.sequences = capacity, 0
         self.runs: list[tuple[int, int, int, int, int]] = []
         self.rank: dict[int, int] = dict.fromkeys(counts, 0)
         self.room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-        small = small or max(1, capacity // 8)
+        small = small or max(1, capacity // 3)
         self._large(sorted(((x, n) for x, n in counts.items() if n and x > small), reverse=True), groups)
         for x, n in sorted(((x, n) for x, n in counts.items() if n and x <= small), reverse=True):
             self._small(x, n)
@@ -154,6 +154,19 @@ class Plan:
         return a[np.lexsort((a[:, 1], a[:, 0]))]
 
 
+def best_plan(counts: dict[int, int], capacity: int, groups: int = 256) -> Plan:
+    """The plan of fewest sequences among a few bounds between small and large; stops at the least there can be."""
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best = None
+    for part in (3, 2, 6, 12):
+        plan = Plan(counts, capacity, groups, max(1, capacity // part))
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences <= least:
+            break
+    return best
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None, with_ids: bool) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids, cut only at multiples of capacity."""
 
@@ -180,7 +193,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | N
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | None = 1, groups: int = 128, with_ids: bool = False, bucket_rows: int = 100_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | None = 1, groups: int = 256, with_ids: bool = False, bucket_rows: int = 100_000_000) -> DataFrame:
     """One row per piece of a document (`doc_id`, `text`) with its sequence and its place there.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the piece's ids if asked.
@@ -191,7 +204,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     pieces = stash(token_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
     # at most `capacity` rows, whatever the corpus
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = Plan(counts, capacity, groups)
+    plan = best_plan(counts, capacity, groups)
     spark = pieces.sparkSession
     runs = spark.sparkContext.broadcast(plan.table())  # its size follows the number of lengths
     buckets = 256 * max(1, -(-sum(counts.values()) // bucket_rows))

@@ -55,7 +55,7 @@ def window_entropies(run: bytes, window: int = WINDOW) -> list[float]:
     window = min(window, len(run))
     if not window:
         return []
-    term = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     counts = [0] * 256
     total = 0.0  # sum of c log2 c
     out = []
