@@ -2,11 +2,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.sources.tables import table
-
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -23,13 +22,24 @@ def register(sql: str | None = None):
     return keep
 
 
+MODULES = ("relational", "series")
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"plumbline.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").count()
+    """Per user, how many risk events an alarm anticipated."""
+    return queries()["e_anticipated_events"](spark, sf_dir)
