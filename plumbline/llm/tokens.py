@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import os
+import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -9,23 +11,24 @@ import pyarrow.compute as pc
 
 from plumbline.llm.arrays import ragged_index
 
-#: One of these at the end of a word of ASCII letters is a token of its own for a splitting tokenizer.
-TAIL = frozenset(".,;:!?")
+#: One of these at the end of a word of letters is a token of its own.
+TAIL = tuple(".,;:!?")
 
 
 class SubwordEncoder:
     """Encodes arrays of texts with a tokenizer file whose pre-tokenizer drops white space.
 
     Such a tokenizer never looks across white space, so a text's ids are those of its chunks between
-    ASCII white space, in order. Arrow finds a batch's distinct chunks, the library encodes the new
-    ones, and the ids are gathered back by position. Chunks stay known for later batches of the same
-    Python worker, up to `most` chunks. With `whole=True` (tokenizers that keep white space) the
-    library gets whole texts.
+    ASCII white space, in order. Arrow finds a batch's distinct chunks. A chunk that is one word of
+    letters, or one with a mark after it, goes to the library's BPE model as the normalised word; any
+    other chunk goes through the library's whole chain. Words stay known for later batches of the same
+    Python worker, up to `most` of them. With `whole=True` (tokenizers that keep white space, or that
+    normalise otherwise) the library gets whole texts.
     """
 
     _known: dict[tuple, SubwordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 400_000, whole: bool = False):
+    def __init__(self, path: str, most: int = 500_000, whole: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -33,7 +36,10 @@ class SubwordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.most, self.whole = most, whole
-        self._clear()
+        self.known: dict[str, bytes] = {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     @classmethod
     def of(cls, path: str, **options) -> SubwordEncoder:
@@ -47,32 +53,35 @@ class SubwordEncoder:
     def size(self) -> int:
         return self.library.get_vocab_size()
 
-    def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _library_ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Adds new chunks: a word of ASCII letters with one mark after it counts as the word and the mark."""
-        cut = [(c[:-1], c[-1]) if len(c) > 1 and c[-1] in TAIL and c.isascii() and c[:-1].isalpha() else (c, "") for c in chunks]
-        parts = list({p.lower() if p.isascii() and "<" not in p else p for pair in cut for p in pair if p})
-        ids = dict(zip(parts, self._library_ids(parts), strict=True)) | {"": []}
-        get = lambda p: ids[p.lower() if p.isascii() and "<" not in p else p]
-        found = [get(a) + get(b) for a, b in cut]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        total, n = int(lens.sum()), len(self.slot)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(chunks) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.start[n + 1 : n + len(chunks) + 1] = self.used + np.cumsum(lens)
-        self.used += total
-        self.slot.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+    def _library_ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """The ids of one normalised word of letters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.library.model.tokenize(word)]).tobytes()
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, as unsigned 32-bit integers."""
+        known, out, odd = self.known, [], []
+        if len(known) > self.most:
+            known.clear()
+        marks = dict(zip(TAIL, self._library_ids(TAIL), strict=True))
+        for c in chunks:
+            word, tail = (c[:-1], marks[c[-1]]) if len(c) > 1 and c[-1] in marks else (c, b"")
+            word = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("\u03a3", "\u03c3").lower()
+            ids = known.get(word)
+            if ids is None:
+                if not word.isalpha():
+                    odd.append(len(out))
+                    out.append(b"")
+                    continue
+                ids = known[word] = self._word(word)
+            out.append(ids + tail)
+        for at, ids in zip(odd, self._library_ids([chunks[i] for i in odd]), strict=True):
+            out[at] = ids
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, len+1 offsets). Null counts as the empty text."""
@@ -81,21 +90,16 @@ class SubwordEncoder:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         if self.whole:
             each = self._library_ids(texts.to_pylist())
-            lens = np.fromiter(map(len, each), np.int64, len(each))
-            return np.fromiter((i for x in each for i in x), np.uint32, int(lens.sum())), np.concatenate([[0], np.cumsum(lens)])
+            return np.frombuffer(b"".join(each), np.uint32), np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])])
         chunks = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(chunks.offsets, dtype=np.int64)
         coded = chunks.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.slot) + len(words) > max(self.most, len(words)):
-            self._clear()
-        if new := [w for w in words if w not in self.slot]:
-            self._learn(new)
-        slot = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
-        start = self.start[slot]
-        lens = self.start[slot + 1] - start
-        before = np.concatenate([[0], np.cumsum(lens)])
-        return self.flat[ragged_index(start, lens)], before[bounds - bounds[0]]
+        found = self._chunks(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = np.asarray(coded.indices)
+        lens = size[which]
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        return flat[ragged_index((np.cumsum(size) - size)[which], lens)], np.concatenate([[0], np.cumsum(lens)])[bounds - bounds[0]]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
