@@ -22,7 +22,7 @@ def register(sql: str | None = None):
     return keep
 
 
-MODULES = ("relational", "series")
+MODULES = ("relational", "series", "corpora", "evaluation")
 
 
 def _load() -> None:
