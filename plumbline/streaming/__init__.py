@@ -1 +1,76 @@
+"""Structured Streaming forms of the series operators."""
+from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from plumbline.operators.episodes import STATES, Policy
+
+
+def read_stream(spark: SparkSession, path: str, schema, files_a_trigger: int = 1) -> DataFrame:
+    """Parquet files of a folder (or pattern) as a stream, `ts` as a UTC instant."""
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def tumbling_blocks(events: DataFrame, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Per key and block: rows and greatest value. Rows later than the watermark are dropped, and counted by Spark."""
+    w = F.window("ts", width)
+    out = events.withWatermark("ts", late).groupBy(key, w.alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    return out.select(key, F.col("w.start").alias("start"), "n", "top")
+
+
+def sliding_history(events: DataFrame, key: str, width: str = "5 minutes", slide: str = "30 seconds", late: str = "5 minutes") -> DataFrame:
+    """Per key and sliding window: rows, mean and greatest value; the watermark waits for the forecast horizon."""
+    w = F.window("ts", width, slide)
+    out = events.withWatermark("ts", late).groupBy(key, w.alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"))
+    return out.select(key, F.col("w.end").alias("history_end"), "n", "mean", "top")
+
+
+def event_sessions(events: DataFrame, key: str, threshold: float, gap: str, late: str = "0 seconds") -> DataFrame:
+    """Events as sessions of flagged rows: rows at most a gap apart are one event; its end is its last row."""
+    hits = events.where(F.col("value") >= threshold).withWatermark("ts", late)
+    out = hits.groupBy(key, F.session_window("ts", gap).alias("s")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("positions"))
+    return out.select(key, "start", "end", "positions")
+
+
+def distinct_events(events: DataFrame, key: list[str], late: str) -> DataFrame:
+    """The first row of each key within the watermark."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
+
+
+def alarm_states(steps: DataFrame, key: str, policy: Policy) -> DataFrame:
+    """The alarm state machine over a stream of (key, step, p, abstain): memory and counters are the key's state.
+
+    Steps of a key must arrive in order across batches; within a batch they are sorted.
+    """
+    alarm = float("inf") if policy.alarm is None else policy.alarm
+
+    def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory, high, armed, level = state.get if state.exists else (0.0, 0, 0, 0)
+        rows = pd.concat(list(frames)).sort_values("step")  # one key's rows of one micro-batch
+        out = []
+        for row in rows.itertuples():
+            if row.abstain:
+                out.append((name[0], row.step, memory, "abstain"))
+                continue
+            memory = policy.beta * memory + (1 - policy.beta) * row.p
+            high = high + 1 if memory >= policy.high else 0
+            armed = armed + 1 if memory >= alarm else 0
+            held = level if level >= 2 and memory >= policy.low else 0
+            level = max(held, 3 if armed >= policy.k else 2 if high >= policy.k else 1 if memory >= policy.low else 0)
+            out.append((name[0], row.step, memory, STATES[level]))
+        state.update((memory, high, armed, level))
+        yield pd.DataFrame(out, columns=[key, "step", "memory", "state"])
+
+    kind = dict(steps.dtypes)[key]
+    return steps.select(key, "step", "p", "abstain").groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, step long, memory double, state string", "memory double, high int, armed int, level int", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Everything available now into a Parquet table, each batch once, resumable from the checkpoint."""
+    stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
