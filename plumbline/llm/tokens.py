@@ -28,7 +28,7 @@ class SubwordEncoder:
 
     _known: dict[tuple, SubwordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 500_000, whole: bool = False):
+    def __init__(self, path: str, most: int = 400_000, whole: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,6 +49,11 @@ class SubwordEncoder:
             cls._known[key] = cls(path, **options)
         return cls._known[key]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Frees the worker's encoders; a later `of` makes them anew."""
+        cls._known.clear()
+
     @property
     def size(self) -> int:
         return self.library.get_vocab_size()
