@@ -22,7 +22,7 @@ def register(sql: str | None = None):
     return keep
 
 
-MODULES = ("relational", "series", "corpora", "evaluation", "streams")
+MODULES = ("relational", "series", "corpora", "evaluation", "records", "streams")
 
 
 def _load() -> None:

@@ -326,3 +326,38 @@ def test_scalar_functions(spark):
     ).first()
     assert (one.safe, one.up, one.name, one.grid, one.off, one.g, one.m) == (True, False, "wind_speed_m_s", True, False, [0, round(255 * (128 / 255) ** 1.7), 255], (2**64 - 1) % 97)
     assert json.dumps(fn.hex_boundaries([0.5, 0.5])) == json.dumps(["8" + "0" * 63])
+
+
+def test_records(spark):
+    import hashlib
+    import hmac
+
+    from plumbline.operators import records
+
+    one = spark.createDataFrame([("a", "b")], "x string, y string").select(records.opaque_id(b"k", "x", "y").alias("o")).first()
+    assert one.o == hmac.new(b"k", b"a|b", hashlib.sha256).hexdigest()
+    with pytest.raises(contracts.ContractError):
+        records.result_table([spark.createDataFrame([(1, 2.0)], "k int, v double")] * 2, ["k"])
+    claims = spark.createDataFrame([("a", "x", "g", "full"), ("b", "x", "g", "limited"), ("c", "y", "g", "full"), ("d", "x", "h", "full"), ("e", "z", "g", "full")], "claim string, contrast string, gate string, scope string")
+    contrasts = spark.createDataFrame([("x", "support"), ("y", "negative"), ("z", "inconclusive")], "contrast string, decision string")
+    gates = spark.createDataFrame([("g", True), ("h", False)], "gate string, open boolean")
+    assert rows(records.claim_status(claims, contrasts, gates), "claim", "status") == [("a", "supported"), ("b", "limited"), ("c", "negative"), ("d", "removed"), ("e", "limited")]
+    parts = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")], "g string, component string")
+    near = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("a", "c", 3), ("c", "d", 4)], "left_id string, right_id string, distance int")
+    assert records.spanning_edges(near, parts, "g") == [("b", "c", 2), ("c", "d", 4)]
+
+
+def test_images(spark):
+    from plumbline.functions import images
+
+    d = images.dct_matrix(32)
+    assert np.allclose(d @ d.T, np.eye(32))
+    rng = np.random.default_rng(1)
+    picture = np.cumsum(rng.normal(size=(32, 32)), axis=1)
+    h = images.perceptual_hash(picture)
+    assert h == images.perceptual_hash(picture * 3 + 7) or (h ^ images.perceptual_hash(picture * 3 + 7)).bit_count() <= 1
+    got = spark.createDataFrame([(picture.reshape(-1).tolist(),), ([1.0],), (None,)], "p array<double>").select(images.perceptual_hashes("p").alias("h")).collect()
+    assert [None if r.h is None else r.h & (1 << 64) - 1 for r in got] == [h, None, None]
+    clear = np.full((24, 24), 0.2)
+    misty = images.fog(clear, 0.5, seed=3)
+    assert np.array_equal(misty, images.fog(clear, 0.5, seed=3)) and abs(misty.mean() - (0.1 + 0.45)) < 0.02 and misty.std() > 0
