@@ -33,3 +33,13 @@ def s_filtered_stream(spark, sf_dir):
 @register("SELECT min(event_id) AS event_id, event_id AS k FROM events GROUP BY event_id")
 def s_distinct_stream(spark, sf_dir):
     return finished(streaming.distinct_events(events_stream(spark, sf_dir), ["event_id"], FAR).select("event_id", F.col("event_id").alias("k")))
+
+
+@register("""
+    WITH b AS (SELECT user_id, date_trunc('day', ts) AS d, count(*) AS n, max(value) AS top FROM events GROUP BY ALL)
+    SELECT user_id, strftime(d, '%Y-%m-%d') AS day, n, top FROM b WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+""")
+def s_tumbling_blocks(spark, sf_dir):
+    """Closed days only: a day is told once the watermark has passed its end."""
+    blocks = streaming.tumbling_blocks(events_stream(spark, sf_dir), "user_id", "1 day", "1 hour")
+    return finished(blocks.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "top"))
