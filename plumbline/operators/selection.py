@@ -14,13 +14,25 @@ def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
+def ranked_by_hash(df: DataFrame, group: Sequence[str], key: Sequence[str], digest: Column) -> DataFrame:
+    """`df` with _rank (from 1) of each row in its group by digest, then key, and the group's size _n.
+
+    Digests are uniform: a rank is the offset of one of 4,096 prefixes of the group, from a table of counts,
+    plus a place among the rows of that prefix. No group is sorted in one task, however large.
+    """
+    hashed = df.withColumn("_h", digest).withColumn("_p", F.substring("_h", 1, 3))
+    w = Window.partitionBy(*group)
+    before = w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy(*group, "_p").agg(F.count("*").alias("_c"))
+    counts = counts.select(*group, "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    placed = hashed.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_h", *key)))
+    return placed.join(counts, [*group, "_p"]).withColumn("_rank", F.col("_before") + F.col("_rn")).drop("_h", "_p", "_rn", "_before")
+
+
 def hash_sample(df: DataFrame, group: Sequence[str], key: Sequence[str], seed: int, share: float | None = None, n: int | None = None) -> DataFrame:
     """A budget of each group in the order of sha256(seed|key): n rows, or a share rounded up (one at least)."""
-    w = Window.partitionBy(*group)
-    ranked = df.withColumn("_h", joined_sha256(seed, *key))
-    ranked = ranked.withColumn("_rn", F.row_number().over(w.orderBy("_h", *key))).withColumn("_n", F.count("*").over(w))
     budget = F.lit(n) if n is not None else F.greatest(F.lit(1), F.ceil(F.col("_n") * share))
-    return ranked.where(F.col("_rn") <= budget).drop("_h", "_rn", "_n")
+    return ranked_by_hash(df, group, key, joined_sha256(seed, *key)).where(F.col("_rank") <= budget).select(*df.columns)
 
 
 def median_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -60,8 +72,7 @@ def derangement(df: DataFrame, stratum: str, key: Sequence[str], seed: int) -> D
 
     Rows stand in the order of sha256(seed|key); a stratum of one row keeps it.
     """
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumn("_rn", (F.row_number().over(w.orderBy(joined_sha256(seed, *key), *key)) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
+    ranked = ranked_by_hash(df, [stratum], key, joined_sha256(seed, *key)).withColumn("_rn", F.col("_rank") - 1).drop("_rank")
     draw = F.conv(F.substring(joined_sha256(seed, stratum), 1, 8), 16, 10).cast("long")
     shift = F.when(F.col("_n") > 1, 1 + draw % (F.col("_n") - 1)).otherwise(0)
     moved = ranked.withColumn("_src", (F.col("_rn") + shift) % F.col("_n")).drop("_rn", "_n")

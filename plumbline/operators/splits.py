@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import hash_pool, hex_boundaries, joined_sha256
-from plumbline.operators.selection import hash_sample
+from plumbline.operators.selection import hash_sample, ranked_by_hash
 
 # The pools and their weights.
 BRANCH = {"tr": 0.6, "sel": 0.15, "prob": 0.1, "te": 0.15}
@@ -42,16 +42,8 @@ def quotas(n: int, weights: dict[str, float], seed: int) -> dict[str, int]:
 
 
 def hash_rank(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
-    """`df` with its rows' ranks (from 1) in the order of sha256(seed|key), ties by key.
-
-    Hashes are uniform, so a rank is an offset of one of 4,096 prefixes plus a place among the rows of
-    that prefix: nothing is sorted in one task.
-    """
-    hashed = df.withColumn("_h", joined_sha256(seed, *key)).withColumn("_p", F.substring("_h", 1, 3))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hashed.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy("_h", *key))
-    return hashed.withColumn("_rn", within).join(F.broadcast(offsets), "_p").withColumn("rank", F.col("_before") + F.col("_rn")).drop("_h", "_p", "_rn", "_before")
+    """`df` with its rows' ranks (from 1) in the order of sha256(seed|key), ties by key; nothing is sorted in one task."""
+    return ranked_by_hash(df, [], key, joined_sha256(seed, *key)).withColumnRenamed("_rank", "rank").drop("_n")
 
 
 def assign_by_quota(components: DataFrame, key: str, weights: dict[str, float], seed: int) -> DataFrame:
