@@ -111,3 +111,20 @@ def model_features(df: DataFrame, names: Sequence[str], identity: Sequence[str],
     if bad:
         raise ContractError(f"not model features: {', '.join(bad)}")
     return df.select(*names)
+
+
+def asymmetric_edges(edges: DataFrame, key: Sequence[str], source: str, target: str) -> DataFrame:
+    """Self edges, and edges whose reverse is absent: what breaks a symmetric edge table. Repeated edges count once."""
+    e = edges.select(*key, source, target).distinct()
+    reverse = e.select(*key, F.col(target).alias(source), F.col(source).alias(target))
+    lone = e.join(reverse, [*key, source, target], "left_anti").withColumn("fault", F.lit("no_reverse"))
+    return lone.unionByName(e.where(F.col(source) == F.col(target)).withColumn("fault", F.lit("self")))
+
+
+def trace_faults(df: DataFrame, key: Sequence[str], phase: str, counts: dict[str, int], constant: Sequence[str]) -> DataFrame:
+    """Measurements whose phases do not have exactly the given numbers of rows, or whose constant columns vary."""
+    wrong = [F.count_if(F.col(phase) == p) != n for p, n in counts.items()] + [F.countDistinct(c) > 1 for c in constant]
+    bad = wrong[0]
+    for w in wrong[1:]:
+        bad = bad | w
+    return df.groupBy(*key).agg(F.count("*").alias("rows"), bad.alias("bad")).where("bad").drop("bad")

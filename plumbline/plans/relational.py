@@ -397,3 +397,67 @@ def c_names_and_hashes(spark, sf_dir):
 def c_time_and_probability(spark, sf_dir):
     e = with_utc(table(spark, sf_dir, "events"), "ts")
     return e.select("event_id", fn.block_start(F.unix_timestamp("ts"), 86400).alias("block"), fn.rounded(fn.logistic((F.col("value") - 50) / 20)).alias("p"), fn.rounded(fn.clipped_logit(F.col("value") / 1000)).alias("logit"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+@register("SELECT lang, n_chars FROM documents WHERE n_chars > 5000")
+def f_projected_scan(spark, sf_dir):
+    """Two columns and a predicate that reach the scan: the texts are never read."""
+    return table(spark, sf_dir, "documents").where("n_chars > 5000").select("lang", "n_chars")
+
+
+@register(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("orders", "lineitem", "events", "documents")))
+def f_row_counts(spark, sf_dir):
+    """Row counts from the files' footers."""
+    counts = [table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("orders", "lineitem", "events", "documents")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@register("""
+    SELECT event_id, ts > TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-15 00:00:00' AS history, ts > TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-17 00:00:00' AS forecast FROM events
+""")
+def f_causal_masks(spark, sf_dir):
+    t, at = F.col("ts"), lambda d: F.expr(f"timestamp_ntz '{d}'")
+    anchor = at("2024-01-15")
+    return table(spark, sf_dir, "events").select("event_id", ((t > at("2024-01-10")) & (t <= anchor)).alias("history"), ((t > anchor) & (t <= at("2024-01-17"))).alias("forecast"))
+
+
+@register("SELECT event_id, last_value(CASE WHEN value >= 50 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_high, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING), 6) AS mean3 FROM events")
+def w_last_known_and_trailing(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    high = F.last(F.when(F.col("value") >= 50, F.col("value")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return table(spark, sf_dir, "events").select("event_id", high.alias("last_high"), fn.rounded(F.avg("value").over(w.rowsBetween(-2, 0))).alias("mean3"))
+
+
+@register("SELECT lang, source, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY lang, source")
+def a_first_of_each(spark, sf_dir):
+    """Distinct combinations with one deterministic row each."""
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"), F.min_by("n_chars", "doc_id").alias("n_chars"))
+
+
+@register("""
+    WITH e AS (SELECT DISTINCT conv_id, role AS source_node, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target_node FROM conversations QUALIFY target_node IS NOT NULL)
+    SELECT e.*, 'no_reverse' AS fault FROM e ANTI JOIN (SELECT conv_id, target_node AS source_node, source_node AS target_node FROM e) USING (conv_id, source_node, target_node)
+    UNION ALL SELECT e.*, 'self' FROM e WHERE source_node = target_node
+""")
+def v_edge_symmetry(spark, sf_dir):
+    after = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    edges = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("source_node"), after.alias("target_node")).where("target_node is not null")
+    return contracts.asymmetric_edges(edges, ["conv_id"], "source_node", "target_node")
+
+
+@register("""
+    SELECT user_id, count(*) AS rows FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'signup') <> 10 OR count(*) FILTER (event_type = 'error') <> 10 OR count(DISTINCT user_id % 2) > 1
+""")
+def v_trace_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("parity", F.col("user_id") % 2)
+    return contracts.trace_faults(e, ["user_id"], "event_type", {"signup": 10, "error": 10}, ["parity"])
+
+
+@register("""
+    WITH s AS (SELECT event_type, stddev_samp(value) AS sd, count(*) AS n FROM events GROUP BY event_type)
+    SELECT event_type, n, CAST(ceil(pow(1.96 * sd / 2.5, 2)) AS BIGINT) AS needed, n >= ceil(pow(1.96 * sd / 2.5, 2)) AS feasible FROM s
+""")
+def a_precision_feasibility(spark, sf_dir):
+    """Rows that a mean needs for a half width of 2.5, and whether there are as many."""
+    needed = F.ceil(F.pow(1.96 * F.stddev_samp("value") / 2.5, F.lit(2)))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), needed.alias("needed"), (F.count("*") >= needed).alias("feasible"))
