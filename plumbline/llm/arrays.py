@@ -1,11 +1,13 @@
 """Small numpy and Arrow helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -29,6 +31,23 @@ def ragged_index(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lens), lens)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most `rows` rows for this session, where nothing else than Spark's default is set.
+
+    A batch of texts is held by the JVM and by Python at once, and its size is only bounded by rows.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks, and an executor's limit counts it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts in column `name` hold about `most` bytes (one row at least)."""
     for batch in batches:
@@ -40,6 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) ->
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def local_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

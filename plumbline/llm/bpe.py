@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import ragged_index, slices, text_column
+from plumbline.llm.arrays import ragged_index, slices, small_batches, text_column
 
 #: The character that stands after a word's last byte; bytes stand as the code points 0 to 255.
 END = "\u0100"
@@ -218,5 +218,6 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import crc32, slices, text_column
+from plumbline.llm.arrays import crc32, slices, small_batches, text_column
 from plumbline.llm.tokens import SubwordEncoder, with_end
 from plumbline.operators.stash import stash
 
@@ -190,6 +190,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | N
                 columns, names = [*columns, pa.array([x.astype("<u4").tobytes() for x in cut], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 

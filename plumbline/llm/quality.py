@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import slices, string_bytes, text_column
+from plumbline.llm.arrays import slices, small_batches, string_bytes, text_column
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -149,7 +149,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([min(spent)]), pa.array([int(rejected.sum())], pa.int64()), pa.array([len(texts)], pa.int64())], names=["k", "s", "rejected", "n"])
 
     share = min(1.0, sample_rows / max(1, docs.count()))
-    rows = docs.select("text").sample(False, share, 17).coalesce(1).mapInArrow(run, "k int, s double, rejected long, n long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
+    rows = docs.select("text").sample(False, share, 17).repartition(1).mapInArrow(run, "k int, s double, rejected long, n long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
     return [(rules[r.k].name, r.s / max(1, r.n), r.r / max(1, r.n)) for r in rows]
 
 
@@ -163,10 +163,11 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
     """The counts of every whole text of `docs` (`doc_id`, `text`) and whether it is kept.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept (or,
-    with `keep_columns`, all of the input's columns and `kept`). Null text has no words, so it fails the
+    with `keep_columns`, all of the input's columns and `kept`, which takes the place of one of that name). Null text has no words, so it fails the
     base conditions. A row per row: repeated rows are judged each. An empty table gives no rows.
     No shuffle: a document is judged where it is read.
     """
+    small_batches(docs.sparkSession)
     order = cascade_order(measured(docs, rules, sample_rows), rules)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

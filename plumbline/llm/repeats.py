@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import ragged_index, slices, string_bytes, text_column
+from plumbline.llm.arrays import give_back, ragged_index, slices, small_batches, string_bytes, text_column
 from plumbline.operators.stash import shared_folder, stash
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -131,6 +131,14 @@ def _bytes(row: dict, name: str, dtype: str) -> np.ndarray:
     return np.frombuffer(row[name] or b"", dtype)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: a row is a chunk or a blob, and no two are needed together."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+    give_back()
+
+
 class Chunk:
     """A chunk of documents: its rows, their texts' bytes, offsets and ids (null as the least id)."""
 
@@ -152,6 +160,7 @@ def write_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                 writer.write_batch(batch)
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"])
 
+    small_batches(docs.sparkSession)
     spark, name = docs.sparkSession, f"chunks_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.mapInArrow(run, "chunk long, rows binary")
@@ -185,23 +194,22 @@ def _deal_phrases(length: int, gram: int, buckets: int):
     """Chunks to dealt rows: one a distinct phrase of the chunk; later equals repeat for certain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                chunk = Chunk(blob)
-                trigger, whole, lo, many, at = phrases(chunk.data, chunk.off, length, gram)
-                doc = chunk.ids[np.searchsorted(chunk.off, lo, "right") - 1]
-                order = np.lexsort((lo, doc, whole, trigger))
-                first = _first_flags(trigger[order], whole[order])
-                again, keep = order[~first], np.sort(order[first])
-                rows = []
-                if len(again):
-                    ranges = {"lo": lo[again].astype("<u4"), "many": (many[again] + length - 1).astype("<u4")}
-                    rows.append(_dealt(number % buckets, REPEATED, number, **ranges))
-                for b, mine in _by_bucket(trigger[keep], buckets):
-                    k = keep[mine]
-                    rows.append(_dealt(b, HASHED, number, trigger=trigger[k], phrase=whole[k], doc=doc[k], lo=lo[k].astype("<u4"), many=many[k].astype("u1"), at=at[k].astype("u1")))
-                if rows:
-                    yield _batch(rows, DEALT_SCHEMA)
+        for row in _rows(batches):
+            number, chunk = row["chunk"], Chunk(row["rows"])
+            trigger, whole, lo, many, at = phrases(chunk.data, chunk.off, length, gram)
+            doc = chunk.ids[np.searchsorted(chunk.off, lo, "right") - 1]
+            order = np.lexsort((lo, doc, whole, trigger))
+            first = _first_flags(trigger[order], whole[order])
+            again, keep = order[~first], np.sort(order[first])
+            rows = []
+            if len(again):
+                ranges = {"lo": lo[again].astype("<u4"), "many": (many[again] + length - 1).astype("<u4")}
+                rows.append(_dealt(number % buckets, REPEATED, number, **ranges))
+            for b, mine in _by_bucket(trigger[keep], buckets):
+                k = keep[mine]
+                rows.append(_dealt(b, HASHED, number, trigger=trigger[k], phrase=whole[k], doc=doc[k], lo=lo[k].astype("<u4"), many=many[k].astype("u1"), at=at[k].astype("u1")))
+            if rows:
+                yield _batch(rows, DEALT_SCHEMA)
 
     return run
 
@@ -223,13 +231,12 @@ def _resolve_phrases(length: int, hot: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == REPEATED:
-                    yield _batch([{"chunk": row["chunk"], "lo": row["lo"], "many": row["many"]}], FOUND_SCHEMA)
-                else:
-                    lo = _bytes(row, "lo", "<u4")
-                    parts.append((_bytes(row, "trigger", "<u8"), _bytes(row, "phrase", "<u8"), _bytes(row, "doc", "<i8"), np.full(len(lo), row["chunk"]), lo, _bytes(row, "many", "u1"), _bytes(row, "at", "u1")))
+        for row in _rows(batches):
+            if row["kind"] == REPEATED:
+                yield _batch([{"chunk": row["chunk"], "lo": row["lo"], "many": row["many"]}], FOUND_SCHEMA)
+            else:
+                lo = _bytes(row, "lo", "<u4")
+                parts.append((_bytes(row, "trigger", "<u8"), _bytes(row, "phrase", "<u8"), _bytes(row, "doc", "<i8"), np.full(len(lo), row["chunk"]), lo, _bytes(row, "many", "u1"), _bytes(row, "at", "u1")))
         if not parts:
             return
         trigger, whole, doc, chunk, lo, many, at = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -254,33 +261,32 @@ def _spell(length: int, buckets: int):
     """Chunks joined with the phrases asked for, to dealt rows with their bytes (of hot triggers: string by string)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["rows"])
-                trigger, lo, many, at, is_hot = (np.concatenate([_bytes(x, n, t) for x in row["asked"]]) for n, t in (("trigger", "<u8"), ("ask_lo", "<u4"), ("ask_many", "u1"), ("ask_at", "u1"), ("ask_hot", "?")))
-                doc = chunk.ids[np.searchsorted(chunk.off, lo.astype(np.int64), "right") - 1]
-                rows = []
-                cold = np.flatnonzero(~is_hot)
-                for b, mine in _by_bucket(trigger[cold], buckets):
-                    k = cold[mine]
-                    spelled = chunk.data[ragged_index(lo[k], many[k].astype(np.int64) + length - 1)]
-                    rows.append(_dealt(b, SPELLED, row["chunk"], trigger=trigger[k], doc=doc[k], lo=lo[k], many=many[k], at=at[k], data=spelled))
-                heat = np.flatnonzero(is_hot)
-                if len(heat):
-                    start = ragged_index(lo[heat], many[heat])
-                    which = np.repeat(heat, many[heat])
-                    text = _windows(chunk.data, start, length)
-                    key, ids = trigger[which], doc[which]
-                    order = np.lexsort((start, ids, text, key))
-                    first = _first_flags(key[order], text[order])
-                    late, keep = order[~first], order[first]
-                    if len(late):
-                        rows.append(_dealt(row["chunk"] % buckets, REPEATED, row["chunk"], lo=start[late].astype("<u4"), many=np.full(len(late), length, "<u4")))
-                    for b, mine in _by_bucket(text[keep], buckets):
-                        k = keep[mine]
-                        rows.append(_dealt(b, STRINGS, row["chunk"], trigger=key[k], phrase=text[k], doc=ids[k], lo=start[k].astype("<u4")))
-                if rows:
-                    yield _batch(rows, DEALT_SCHEMA)
+        for row in _rows(batches):
+            chunk = Chunk(row["rows"])
+            trigger, lo, many, at, is_hot = (np.concatenate([_bytes(x, n, t) for x in row["asked"]]) for n, t in (("trigger", "<u8"), ("ask_lo", "<u4"), ("ask_many", "u1"), ("ask_at", "u1"), ("ask_hot", "?")))
+            doc = chunk.ids[np.searchsorted(chunk.off, lo.astype(np.int64), "right") - 1]
+            rows = []
+            cold = np.flatnonzero(~is_hot)
+            for b, mine in _by_bucket(trigger[cold], buckets):
+                k = cold[mine]
+                spelled = chunk.data[ragged_index(lo[k], many[k].astype(np.int64) + length - 1)]
+                rows.append(_dealt(b, SPELLED, row["chunk"], trigger=trigger[k], doc=doc[k], lo=lo[k], many=many[k], at=at[k], data=spelled))
+            heat = np.flatnonzero(is_hot)
+            if len(heat):
+                start = ragged_index(lo[heat], many[heat])
+                which = np.repeat(heat, many[heat])
+                text = _windows(chunk.data, start, length)
+                key, ids = trigger[which], doc[which]
+                order = np.lexsort((start, ids, text, key))
+                first = _first_flags(key[order], text[order])
+                late, keep = order[~first], order[first]
+                if len(late):
+                    rows.append(_dealt(row["chunk"] % buckets, REPEATED, row["chunk"], lo=start[late].astype("<u4"), many=np.full(len(late), length, "<u4")))
+                for b, mine in _by_bucket(text[keep], buckets):
+                    k = keep[mine]
+                    rows.append(_dealt(b, STRINGS, row["chunk"], trigger=key[k], phrase=text[k], doc=ids[k], lo=start[k].astype("<u4")))
+            if rows:
+                yield _batch(rows, DEALT_SCHEMA)
 
     return run
 
@@ -305,21 +311,20 @@ def _resolve_suffixes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == REPEATED:
-                    yield _batch([{"chunk": row["chunk"], "lo": row["lo"], "many": row["many"]}], FOUND_SCHEMA)
-                    continue
-                trigger, doc, lo = _bytes(row, "trigger", "<u8"), _bytes(row, "doc", "<i8"), _bytes(row, "lo", "<u4").astype(np.int64)
-                if row["kind"] == STRINGS:
-                    parts.append((trigger, _bytes(row, "phrase", "<u8"), doc, np.full(len(lo), row["chunk"]), lo))
-                    continue
-                many = _bytes(row, "many", "u1").astype(np.int64)
-                size = many + length - 1
-                which = np.repeat(np.arange(len(lo)), many)
-                step = ragged_index(np.zeros(len(lo), np.int64), many)
-                text = _windows(_bytes(row, "data", "u1"), (np.cumsum(size) - size)[which] + step, length)
-                parts.append((trigger[which], text, doc[which], np.full(len(which), row["chunk"]), lo[which] + step))
+        for row in _rows(batches):
+            if row["kind"] == REPEATED:
+                yield _batch([{"chunk": row["chunk"], "lo": row["lo"], "many": row["many"]}], FOUND_SCHEMA)
+                continue
+            trigger, doc, lo = _bytes(row, "trigger", "<u8"), _bytes(row, "doc", "<i8"), _bytes(row, "lo", "<u4").astype(np.int64)
+            if row["kind"] == STRINGS:
+                parts.append((trigger, _bytes(row, "phrase", "<u8"), doc, np.full(len(lo), row["chunk"]), lo))
+                continue
+            many = _bytes(row, "many", "u1").astype(np.int64)
+            size = many + length - 1
+            which = np.repeat(np.arange(len(lo)), many)
+            step = ragged_index(np.zeros(len(lo), np.int64), many)
+            text = _windows(_bytes(row, "data", "u1"), (np.cumsum(size) - size)[which] + step, length)
+            parts.append((trigger[which], text, doc[which], np.full(len(which), row["chunk"]), lo[which] + step))
         if not parts:
             return
         trigger, text, doc, chunk, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -370,18 +375,17 @@ def repeat_digest(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["rows"])
-                gone = removed_mask(row["marks"], len(chunk.data))
-                opens = gone.copy()
-                opens[1:] &= ~gone[:-1]
-                starts = chunk.off[:-1][np.diff(chunk.off) > 0]
-                opens[starts] = gone[starts]
-                count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[chunk.off])  # noqa: B023,E731
-                sums = [hashlib.sha256(chunk.data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(chunk.off[:-1].tolist(), chunk.off[1:].tolist(), strict=True)]
-                ids = chunk.rows.column(chunk.rows.schema.get_field_index("doc_id"))
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(chunk.off), pa.int64()), pa.array(count(gone), pa.int64()), pa.array(count(opens), pa.int64()), pa.array(sums)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for row in _rows(batches):
+            chunk = Chunk(row["rows"])
+            gone = removed_mask(row["marks"], len(chunk.data))
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            starts = chunk.off[:-1][np.diff(chunk.off) > 0]
+            opens[starts] = gone[starts]
+            count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[chunk.off])  # noqa: B023,E731
+            sums = [hashlib.sha256(chunk.data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(chunk.off[:-1].tolist(), chunk.off[1:].tolist(), strict=True)]
+            ids = chunk.rows.column(chunk.rows.schema.get_field_index("doc_id"))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(chunk.off), pa.int64()), pa.array(count(gone), pa.int64()), pa.array(count(opens), pa.int64()), pa.array(sums)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     chunks, marks = repeated_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, **options)
     return chunks.join(marks, "chunk", "left").select("rows", "marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -395,14 +399,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["rows"])
-                keep = ~removed_mask(row["marks"], len(chunk.data))
-                at = chunk.rows.schema.get_field_index("text")
-                null = chunk.rows.column(at).is_null().to_pylist()
-                new = [None if none else chunk.data[a:b][keep[a:b]].tobytes().decode("utf-8", "ignore") for none, a, b in zip(null, chunk.off[:-1].tolist(), chunk.off[1:].tolist(), strict=True)]
-                yield chunk.rows.set_column(at, chunk.rows.schema.field(at), pa.array(new, chunk.rows.schema.field(at).type))
+        for row in _rows(batches):
+            chunk = Chunk(row["rows"])
+            keep = ~removed_mask(row["marks"], len(chunk.data))
+            at = chunk.rows.schema.get_field_index("text")
+            null = chunk.rows.column(at).is_null().to_pylist()
+            new = [None if none else chunk.data[a:b][keep[a:b]].tobytes().decode("utf-8", "ignore") for none, a, b in zip(null, chunk.off[:-1].tolist(), chunk.off[1:].tolist(), strict=True)]
+            yield chunk.rows.set_column(at, chunk.rows.schema.field(at), pa.array(new, chunk.rows.schema.field(at).type))
 
     chunks, marks = repeated_ranges(docs, length, **options)
     return chunks.join(marks, "chunk", "left").select("rows", "marks").mapInArrow(run, docs.schema)

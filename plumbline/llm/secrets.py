@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import slices, text_column
+from plumbline.llm.arrays import slices, small_batches, text_column
 
 KINDS = ("assign", "access", "hex", "entropy")
 # The base patterns and their least lengths.
@@ -126,6 +126,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             columns += [pa.array([hashlib.sha256(join_spans(s).encode()).hexdigest() for s in base], pa.string()), pa.array(map(join_spans, each), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -152,4 +153,5 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", text: str = "text")
             new = [None if t is None else redact(t.encode(), mask.encode()).decode() for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

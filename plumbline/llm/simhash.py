@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import local_components, ragged_index, slices, string_bytes, text_column
+from plumbline.llm.arrays import local_components, ragged_index, slices, small_batches, string_bytes, text_column
 from plumbline.operators.components import connected_components
 from plumbline.operators.stash import stash
 
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fp = text_fingerprints(text_column(batch, "text"), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import crc32, slices, text_column
+from plumbline.llm.arrays import crc32, slices, small_batches, text_column
 from plumbline.llm.tokens import SubwordEncoder, with_end
 from plumbline.operators.stash import shared_folder
 
@@ -99,6 +99,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     doc_id stand together, ordered by their text's hash; null doc_ids come first. An empty table writes
     no block. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
