@@ -124,7 +124,7 @@ class Rule:
 RULES = (
     Rule("symbols", lambda t: 100 * t.n_symbols > 20 * t.word_chars, "100 * n_symbols > 20 * word_chars"),
     Rule("dup_lines", lambda t: 2 * t.n_dup_lines > t.n_lines, "2 * n_dup_lines > n_lines"),
-    Rule("long_words", lambda t: t.word_chars > 25 * t.n_words, "word_chars > 25 * n_words"),
+    Rule("long_words", lambda t: t.word_chars > 100 * t.n_words, "word_chars > 100 * n_words"),
     Rule("short_words", lambda t: t.word_chars < 2 * t.n_words, "word_chars < 2 * n_words"),
     Rule("few_letters", lambda t: 2 * t.n_letters < t.word_chars, "2 * n_letters < word_chars"),
 )
