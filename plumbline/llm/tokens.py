@@ -96,15 +96,26 @@ class SubwordEncoder:
         if self.whole:
             each = self._library_ids(texts.to_pylist())
             return np.frombuffer(b"".join(each), np.uint32), np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])])
-        chunks = pc.ascii_split_whitespace(texts)
-        bounds = np.asarray(chunks.offsets, dtype=np.int64)
-        coded = chunks.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        return self.encode_chunks(*split_chunks(texts))
+
+    def encode_chunks(self, coded: pa.DictionaryArray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, for texts that `split_chunks` has split."""
         found = self._chunks(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         which = np.asarray(coded.indices)
         lens = size[which]
         flat = np.frombuffer(b"".join(found), np.uint32)
-        return flat[ragged_index((np.cumsum(size) - size)[which], lens)], np.concatenate([[0], np.cumsum(lens)])[bounds - bounds[0]]
+        return flat[ragged_index((np.cumsum(size) - size)[which], lens)], np.concatenate([[0], np.cumsum(lens)])[bounds]
+
+
+def split_chunks(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of texts between ASCII white space, dictionary-coded, and each text's len+1 bounds among them.
+
+    White space at a text's ends leaves empty chunks.
+    """
+    chunks = pc.ascii_split_whitespace(texts)
+    bounds = np.asarray(chunks.offsets, dtype=np.int64)
+    return chunks.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode(), bounds - bounds[0]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
