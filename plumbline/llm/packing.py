@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import crc32, slices, small_batches, text_column
-from plumbline.llm.tokens import SubwordEncoder, with_end
+from plumbline.llm.tokens import WORDS_KEPT, SubwordEncoder, with_end
 from plumbline.operators.stash import stash
 
 
@@ -171,7 +171,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | N
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids, cut only at multiples of capacity."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SubwordEncoder.of(tokenizer)
+        encoder = SubwordEncoder.of(tokenizer, most=WORDS_KEPT)
         for batch in slices(batches, "text"):
             ids, off = encoder.encode(text_column(batch, "text"))
             if end_id is not None:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import crc32, slices, small_batches, text_column
-from plumbline.llm.tokens import SubwordEncoder, with_end
+from plumbline.llm.tokens import WORDS_KEPT, SubwordEncoder, with_end
 from plumbline.operators.stash import shared_folder
 
 
@@ -103,7 +103,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, base = SubwordEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, base = SubwordEncoder.of(tokenizer, most=WORDS_KEPT), TaskContext.get().partitionId(), 0
         width = 2 if encoder.size <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         for k, batch in enumerate(slices(batches, "text", slice_bytes)):
             ids, off = encoder.encode(text_column(batch, "text"))

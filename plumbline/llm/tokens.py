@@ -13,6 +13,8 @@ from plumbline.llm.arrays import ragged_index
 
 #: One of these at the end of a word of letters is a token of its own.
 TAIL = tuple(".,;:!?")
+#: Words that an encoder keeps where a worker's memory has to serve other stages too.
+WORDS_KEPT = 250_000
 
 
 class SubwordEncoder:
