@@ -70,7 +70,7 @@ def _one_dimension(classes: DataFrame, dim: int, cosine: float, block: int, samp
     """(rep, n_links, src, dst): a row with the links of each class, and rows with links of a forest."""
     spark = classes.sparkSession
     total = classes.count()
-    k = max(1, min(256, math.isqrt(total) // 8))
+    k = max(1, min(256, total // block))
     most = max(sample_rows, 4 * k)
     sample = classes.sample(False, min(1.0, 2 * most / total), 17).limit(most).collect() or classes.limit(1).collect()  # bounded by its parameter
     pivots = choose_pivots(np.array([np.frombuffer(x.v, np.float64) for x in sample]), k)
@@ -136,8 +136,8 @@ def _one_dimension(classes: DataFrame, dim: int, cosine: float, block: int, samp
                     left = (rep[s:e], x) if left is None else (np.concatenate([left[0], rep[s:e]]), np.concatenate([left[1], x]))
                     links = np.zeros(len(left[0]), np.int64)
                     continue
-                for at in range(0, e - s, 1024):
-                    to = min(e - s, at + 1024)
+                for at in range(0, e - s, 512):
+                    to = min(e - s, at + 512)
                     near = left[1] @ x[at:to].T >= cosine
                     i, j = np.nonzero(near)
                     j = j + s + at
@@ -153,7 +153,7 @@ def _one_dimension(classes: DataFrame, dim: int, cosine: float, block: int, samp
     return dealt.repartition(n, "cell", "block").sortWithinPartitions("cell", "block", "side").mapInArrow(join, "rep long, n_links long, src long, dst long")
 
 
-def embedding_groups(df: DataFrame, cosine: float = 0.9, block: int = 1024, sample_rows: int = 1024) -> DataFrame:
+def embedding_groups(df: DataFrame, cosine: float = 0.9, block: int = 4096, sample_rows: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of `df` (`vec_id`, `embedding`).
 
     Two rows are linked if their cosine in double precision is at least `cosine`. Vectors that are null,
