@@ -174,8 +174,11 @@ def embedding_groups(df: DataFrame, cosine: float = 0.9, block: int = 4096, samp
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     found = stash(found, "vector-links")
     groups = connected_components(found.where("src is not null").select("src", "dst"))
+    groups = groups.withColumnRenamed("node", "rep")
+    smallest = groups.join(classes.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("smallest"))
+    groups = groups.join(smallest, "component").select("rep", F.col("smallest").alias("component"))
     counted = found.where("rep is not null").select("rep", "n_links")
-    named = classes.join(counted, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    named = classes.join(counted, "rep", "left").join(groups, "rep", "left")
     named = stash(named.select("v", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("links"), F.coalesce("component", "low").alias("component")), "vector-groups")
     joined = vectors.join(named, "v", "left")
     component = F.coalesce("component", "vec_id")

@@ -166,7 +166,8 @@ def simhash_groups(docs: DataFrame, t: int = 4, shingle: int = 4, block: int = 5
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id that is reached over links
     of at most t differing bits, the row's own included. Texts without words (null, empty, white space)
     have fingerprint zero and link like any other. Rows that repeat a doc_id get the same component; a
-    null doc_id is never a component's smallest. An empty table gives no rows; extra columns are ignored.
+    null doc_id is never a component's smallest, and a fingerprint that only such rows have links with
+    nothing (component null). An empty table gives no rows; extra columns are ignored.
     """
     made = stash(fingerprints(docs, shingle), "simhash")
     classes = stash(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")

@@ -442,3 +442,40 @@ def test_chat_parts(spark):
     assert chat.read_turn(first.formatted)[1].startswith("see <<|image:1|>|im_end|> and") and second.formatted == "<|im_start|>user\n<|im_end|>\n"
     with pytest.raises(ValueError, match="no visitor"):
         chat.Flattener().flatten([{"type": "video"}])
+
+
+def test_secret_patterns_against_brute_force(spark):
+    rng = random.Random(12)
+    assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    pieces = ["password", "Token", "API_KEY", "apikey", "secret", "=", ":", ": ", '"', "'", "AKIA", "akia", "0123456789abcdef", "deadbeef", "ABCDEF0123456789", "é", " ", "\n", "token=secret:abcdefghijklmnop", "x", "Zz9+/"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 40)))) for i in range(200)] + [(900, None)]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        t = text or ""
+        spans = [("assign", *m.span()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        kinds = Counter(k for k, _, _ in spans)
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0]))))
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(base.encode()).hexdigest())
+        assert [x for x in r.spans.split(",") if x and not x.startswith("entropy")] == [x for x in base.split(",") if x]
+
+
+def test_rows_without_an_id(spark):
+    text = "some words that stand here more than once " * 30
+    frame = spark.createDataFrame([(None, text), (None, text), (3, text), (None, None), (None, "alone")], "doc_id long, text string")
+    count = lambda df: sum(r.doc_id is None for r in df.collect())
+    path = token_files.write_token_files(frame, token_files.new_token_folder(spark), tokenizer_path())
+    every = [
+        quality.quality_rules(frame), token_files.token_file_digest(spark, path), packing.pack_documents(frame, tokenizer_path()), secrets.find_secrets(frame), repeats.repeat_digest(frame),
+        bpe.encode_decode(frame, tokenizer_path()), lm.score_texts(frame, tokenizer_path()),
+    ]
+    assert [count(df) for df in every] == [4] * 7
+    groups = simhash.simhash_groups(frame).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in groups) == [(0, 0), (0, 0), (0, 3), (0, 3), (3, 3)]
+    removed = {(r.doc_id, r.n_removed) for r in repeats.repeat_digest(frame).collect()}
+    assert (3, len(text)) in removed  # rows without an id come first
+    v = [1.0, 0.0]
+    near = spark.createDataFrame([(None, v), (None, [1.0, 0.01]), (7, [1.0, 0.02]), (None, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embeddings.embedding_groups(near).collect()) == [(0, 0, 0, False), (0, 2, 7, False), (0, 2, 7, False), (7, 2, 7, True)]
