@@ -341,7 +341,12 @@ def _resolve_suffixes(length: int):
 
 
 def repeated_ranges(docs: DataFrame, length: int = 100, gram: int = 36, chunk_bytes: int = 2 << 20, hot: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """The chunks of `docs`, and (chunk, lo, many) of byte ranges there that repeat something earlier."""
+    """The chunks of `docs`, and (chunk, lo, many) of byte ranges there that repeat something earlier.
+
+    Starts and triggers within a phrase are bytes in what is dealt, so length - gram is at most 254.
+    """
+    if not 0 < gram <= length or length - gram > 254:
+        raise ValueError("0 < gram <= length <= gram + 254")
     chunks = write_chunks(docs, chunk_bytes)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * n
