@@ -49,7 +49,7 @@ class Shape:
     rows: int = 2048
     width: int = 16
     stride: int = 16
-    train_every: int = 8
+    train_every: int = 1
     batch: int = 256
     rate: float = 0.01
     prior: float = 3.0
@@ -199,38 +199,41 @@ class Model:
         first = np.repeat(off[:-1], many) + step * s
         return first, step == 0, np.minimum(s, np.repeat(off[1:], many) - first)
 
-    def _forward(self, rows: np.ndarray, first: np.ndarray, opens: np.ndarray, tables: tuple[np.ndarray, ...]):
+    def _forward(self, rows: np.ndarray, first: np.ndarray, opens: np.ndarray, asks: np.ndarray):
+        """Keys and values are products of the embeddings, so their matrices are applied once a query, not once a key."""
         s = self.shape.stride
         index = np.clip(first[:, None] + np.arange(-s, s), 0, len(rows) - 1)
-        near = rows[index]
-        q, k, v = (t[near[:, s:]] if i == 0 else t[near] for i, t in enumerate(tables))
+        near = rows.take(index)
+        en = self.embedding.take(near, 0)
         distance = np.arange(s)[:, None] + s - np.arange(2 * s)  # query - key
         bias = np.exp(np.clip(self.parameters["p"], -BOUND, BOUND))[np.clip(distance, 0, 2 * s - 1)] * (distance >= 0)
-        a = q @ k.transpose(0, 2, 1)
+        a = asks.take(near[:, s:], 0) @ en.transpose(0, 2, 1)
         np.clip(a, -BOUND, BOUND, out=a)
         np.exp(a, out=a)
         a *= bias.astype(np.float32)
         a[opens, :, :s] = 0  # a document's first window has no context
         a /= a @ np.ones((2 * s, 1), np.float32)
-        h = a @ v
-        logits = h.reshape(-1, h.shape[2]) @ self.parameters["o"]
-        logits += self.direct[near[:, s:].reshape(-1)]
+        z = (a @ en).reshape(-1, en.shape[2])
+        h = z @ self.parameters["v"]
+        logits = h @ self.parameters["o"]
+        logits += self.direct.take(near[:, s:].reshape(-1), 0)
         np.clip(logits, -2 * BOUND, 2 * BOUND, out=logits)
-        return near, q, k, v, distance, a, h, logits.reshape(len(near), s, -1)
+        return en, distance, a, z, h, logits.reshape(len(near), s, -1)
 
-    def _tables(self) -> tuple[np.ndarray, ...]:
-        p, e = self.parameters, self.embedding
-        return (e @ p["q"]) / np.float32(math.sqrt(self.shape.width)), e @ p["k"], e @ p["v"]
+    def _tables(self) -> np.ndarray:
+        """What each row asks of the embeddings before a token: its query, taken through the keys' matrix."""
+        p = self.parameters
+        return (self.embedding @ p["q"]) / np.float32(math.sqrt(self.shape.width)) @ p["k"].T
 
-    def score(self, ids: np.ndarray, off: np.ndarray, at_once: int = 2048) -> np.ndarray:
+    def score(self, ids: np.ndarray, off: np.ndarray, at_once: int = 512) -> np.ndarray:
         """Natural log-probability of each document's ids (an end id included)."""
         ids = ids.astype(np.int64)
         rows, target = self.inputs(ids, off), self.class_of[ids]
         first, opens, many = self.windows(off)
-        each, tables, s = np.zeros(len(ids)), self._tables(), self.shape.stride
+        each, asks, s = np.zeros(len(ids)), self._tables(), self.shape.stride
         for at in range(0, len(first), at_once):
             f, m = first[at : at + at_once], many[at : at + at_once]
-            logits = self._forward(rows, f, opens[at : at + at_once], tables)[-1]
+            logits = self._forward(rows, f, opens[at : at + at_once], asks)[-1]
             place = np.minimum(f[:, None] + np.arange(s), len(ids) - 1)
             chosen = np.take_along_axis(logits, target[place][:, :, None], 2)[:, :, 0]
             np.exp(logits, out=logits)
@@ -244,25 +247,26 @@ class Model:
 
     def gradients(self, rows: np.ndarray, target: np.ndarray, first: np.ndarray, opens: np.ndarray, many: np.ndarray) -> dict[str, np.ndarray]:
         """Mean gradients of the windows' negative log-likelihood of classes."""
-        s, p, e = self.shape.stride, self.parameters, self.embedding
-        near, q, k, v, distance, a, h, logits = self._forward(rows, first, opens, self._tables())
+        s, p = self.shape.stride, self.parameters
+        en, distance, a, z, h, logits = self._forward(rows, first, opens, self._tables())
         g = np.exp(logits)
-        g /= g.sum(2, keepdims=True)
+        g /= g @ np.ones((g.shape[2], 1), np.float32)
         place = np.minimum(first[:, None] + np.arange(s), len(target) - 1)
-        np.put_along_axis(g, target[place][:, :, None], np.take_along_axis(g, target[place][:, :, None], 2) - 1, 2)
+        g.reshape(-1)[np.arange(place.size) * g.shape[2] + target[place].reshape(-1)] -= 1
         g *= ((np.arange(s) < many[:, None]) / np.float32(many.sum()))[:, :, None]
-        g = g.astype(np.float32)
+        g = g.reshape(-1, g.shape[2]).astype(np.float32, copy=False)
         gh = g @ p["o"].T
-        gv = a.transpose(0, 2, 1) @ gh
-        ga = gh @ v.transpose(0, 2, 1)
-        gs = a * (ga - (ga * a).sum(2, keepdims=True))
+        gs = (gh @ p["v"].T).reshape(len(en), s, -1) @ en.transpose(0, 2, 1)
+        gs -= ((gh * h) @ np.ones((h.shape[1], 1), np.float32)).reshape(len(en), s, 1)  # h is the weighted sum of the values
+        gs *= a
+        y = (gs @ en).reshape(-1, en.shape[2])
+        eq = en[:, s:].reshape(y.shape)
         root = np.float32(math.sqrt(self.shape.width))
-        flat = lambda x: x.reshape(-1, x.shape[-1])
         return {
-            "q": flat(e[near[:, s:]]).T @ flat(gs @ k) / root,
-            "k": flat(e[near]).T @ flat(gs.transpose(0, 2, 1) @ q),
-            "v": flat(e[near]).T @ flat(gv),
-            "o": flat(h).T @ flat(g),
+            "q": eq.T @ y @ p["k"] / root,
+            "k": y.T @ eq @ p["q"] / root,
+            "v": z.T @ gh,
+            "o": h.T @ g,
             "p": np.bincount(np.clip(distance, 0, None).reshape(-1), (gs.sum(0) * (distance >= 0)).reshape(-1), 2 * s).astype(np.float32),
         }
 

@@ -418,6 +418,16 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-2 - g[at]) < 0.05 * abs(g[at]) + 1e-4, name
 
 
+def test_every_training_window_gives_a_step():
+    made, ids, off = toy_model()
+    model = lm.Model(np.bincount(ids, minlength=60).astype(float), lm.Shape(classes=16, alone=4, rows=64, batch=1))
+    model.start_from(np.concatenate([np.ones(model.n_rows * 16), np.ones(model.n_rows * 64)]))
+    for k in range(8):  # a slice of one short document trains, whatever the slice's number
+        moments = {}
+        assert model.train(ids[:30], np.array([0, 30]), moments, k) == moments["n"] == 2
+    assert lm.Shape().train_every == 1 and model.train(ids, off, {}, 3) == len(model.windows(off)[0])
+
+
 def test_chat_is_reversible(spark):
     texts = ["plain", "", None, "<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "a<", "|im_start|>", "<\\<|image:1|>", "\n<|im_end|>\n", "é🙂"]
     rows = [(c, t, role, x) for c in (1, 2) for t, (role, x) in enumerate(zip(["user", "assistant"] * 5, texts, strict=True))]
