@@ -3,15 +3,17 @@
 Patterns of assignments, access ids and hex strings are matched on the UTF-8 bytes (they are ASCII, so
 matches are those of the text). Beyond them, every run of token characters is a candidate: a window
 slides over it, the counts of its characters change by one in and one out, and the window's Shannon
-entropy follows from those counts. A candidate whose windows stay over the bound of its character class
-is a secret unless the allow list knows its form.
+entropy follows from those counts. Consecutive windows that reach the bound of their character class are
+a secret, unless the allow list knows the run's form; windows of letters must also look unlike words.
 """
 from __future__ import annotations
 
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,17 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 
 #: Window of characters, and by class of characters the least bits a character over it.
 WINDOW = 20
-BOUNDS = {"hex": 2.7, "digits": 9.0, "lower": 9.0, "upper": 9.0, "letters": 9.0, "alnum": 3.4, "base64": 3.6}
-#: Forms of token runs that are no secrets: ids with dashes in their fixed places, dates, words joined by marks, one mark repeated, paths. No alternative can split a run in two ways, so a match takes linear time.
+BOUNDS = {"hex": 2.7, "digits": 2.7, "lower": 3.4, "upper": 3.4, "letters": 3.4, "alnum": 3.4, "base64": 3.6}
+#: Forms of token runs that are no secrets: ids with dashes in their fixed places, dates, marks alone, numbers joined by marks, paths of short parts with digits. No alternative can split a run in two ways, so a match takes linear time.
 ALLOWED = re.compile(
-    rb"(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})|\d{4}-\d\d-\d\d[\dTZ:+-]*|[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*|[-_=+/]+|[-+/_=]*\d+(?:[-+/_=]+\d+)*[-+/_=]*|/?[a-z0-9_-]{1,15}(?:/[a-z0-9_-]{1,15})+/?"
+    rb"(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})|\d{4}-\d\d-\d\d[\dTZ:+-]*|[-_=+/]+|[-+/_=]*\d+(?:[-+/_=]+\d+)*[-+/_=]*|/?[a-z0-9_-]{1,15}(?:/[a-z0-9_-]{1,15})+/?"
+)
+
+#: Letter pairs that are common in words of European languages: half or more of a word's pairs, about a quarter of a random key's.
+COMMON = frozenset(
+    b"th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no "
+    b"ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa "
+    b"ay ex ke fr oo av ag if ap gr od bo sp rd do uc bu ei ov rm ep tt oc fa cu sc gi da cr cl du ga qu ue ba ls va um au eu ck ew br iz za".split()
 )
 
 
@@ -71,20 +80,56 @@ def window_entropies(run: bytes, window: int = WINDOW) -> list[float]:
     return out
 
 
+def over_bound(run: bytes, window: int = WINDOW) -> list[bool]:
+    """Whether each window of a run reaches the bound of its own class and, where it has no digit, is not made of words."""
+    window, low, each = min(window, len(run)), run.lower(), window_entropies(run, window)
+    is_pair = [low[i : i + 2].isalpha() for i in range(len(run) - 1)]
+    pairs = [0, *accumulate(is_pair)]
+    common = [0, *accumulate(p and low[i : i + 2] in COMMON for i, p in enumerate(is_pair))]
+    digits = [0, *accumulate(48 <= c < 58 for c in run)]
+    least, out = min(BOUNDS.values()), []
+    for i, h in enumerate(each):
+        if h < least:
+            out.append(False)
+        elif digits[i + window] > digits[i]:
+            out.append(h >= BOUNDS[char_class(run[i : i + window])])
+        else:
+            end = i + window - 1
+            out.append(h >= BOUNDS["letters"] and (common[end] - common[i]) * 2 < pairs[end] - pairs[i])
+    return out
+
+
 def entropy_spans(text: bytes) -> list[tuple[int, int]]:
-    """Byte spans of candidates whose windows reach the bound of their class and that nothing allows."""
+    """Byte spans of consecutive windows over their bounds, in candidates whose form nothing allows."""
     found = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if run.isalpha() or ALLOWED.fullmatch(run):
+        if any(c in b"0123456789" for c in run) and ALLOWED.fullmatch(run):
             continue
-        bound = BOUNDS[char_class(run)]
-        each = window_entropies(run)
-        if sum(h >= bound for h in each) * 2 >= len(each):
-            found.append(m.span())
+        last = None
+        for i, over in enumerate(over_bound(run)):
+            if over and last == i - 1:
+                found[-1] = (found[-1][0], m.start() + i + WINDOW)
+            elif over:
+                start = m.start() + i
+                if last is not None:  # windows that overlap the span before them add what lies beyond it
+                    start = max(start, found[-1][1])
+                found.append((start, m.start() + i + WINDOW))
+            last = i if over else last
     return found
 
 
+def uncovered(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of [a, b) that no span (in order of start) covers."""
+    out = []
+    for x, y in spans:
+        if a < x < b:
+            out.append((a, x))
+        if x < b:
+            a = max(a, y)
+    return out + [(a, b)] if a < b else out
+
+
 def scan(text: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret in UTF-8 text, in code points, by start and then kind as listed."""
     spans = []
@@ -94,9 +139,10 @@ def scan(text: bytes) -> list[tuple[str, int, int]]:
     if b"AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
+    base = sorted((a, b) for _, a, b in spans)
+    starts, ends = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     for a, b in entropy_spans(text):
-        if not any(x < b and a < y for _, x, y in spans):
-            spans.append(("entropy", a, b))
+        spans += [("entropy", *part) for part in uncovered(a, b, base[bisect_right(ends, a) : bisect_left(starts, b)])]
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     if spans and not text.isascii():
         starts = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80

@@ -329,6 +329,31 @@ def test_secrets(docs, empty):
     assert len(secrets.find_secrets(docs[1]).collect()) == len(docs[0]) and secrets.find_secrets(empty).collect() == []
 
 
+@pytest.mark.parametrize(
+    "before, key, after",
+    [
+        ("see ", "qzxvkjwpmtrgbhdlfnscyq", " here"), ("see ", "QZXVKJWPMTRGBHDLFNSCYQ", ""), ("", "qZxVkJwPmTrGbHdLfNsCyQ", ""), ("", "qzxvkjwp-mtrgbhd_lfnscyq/xkz", ""),
+        ("-" * 60, "9xK2mQ7vLp4RtZ8wYb3NcD6f", ""), ("https://host/share/documents/of/the/station/and/the/other/", "9xK2mQ7vLp4RtZ8wYb3NcD6f", "/the/station/and/the/other/documents"),
+        ("", "0123456789abcdef0123", "9xK2mQ7vLp4RtZ8wYb3NcD6f"), ("9xK2mQ7vLp4RtZ8wYb3NcD6fZ", "0123456789abcdef0123", ""),
+    ],
+)
+def test_secrets_of_every_class_and_in_longer_runs(before, key, after):
+    shown = secrets.redact(f"{before}{key}{after}".encode()).decode()
+    for part in (key, "9xK2mQ7vLp4RtZ8wYb3NcD6f"):
+        assert not any(part[i : i + 8] in shown for i in range(len(part) - 7)), shown
+    assert "station" not in before or shown.startswith("https://host/share/documents") and shown.endswith("other/documents")
+
+
+def test_uncovered_parts_and_words_stay():
+    rng = random.Random(4)
+    for _ in range(300):
+        cut = sorted((a, a + rng.randint(1, 9)) for a in (rng.randint(0, 30) for _ in range(rng.randint(0, 4))))
+        want = [i for i in range(5, 25) if not any(x <= i < y for x, y in cut)]
+        assert [i for a, b in secrets.uncovered(5, 25, cut) for i in range(a, b)] == want
+    for words in (b"the_quick_station_of_another_country", b"getElementsByClassNameOfParent", b"Geschwindigkeitsbegrenzungen", b"internationalisation/of/everything"):
+        assert secrets.scan(words) == []
+
+
 def test_window_entropy_matches_direct_counts():
     run = b"aB3dE5fG7hJ9kLmN2pQr4sTuV6wXaaaaaaaaaaaaaaaaaaaaaa"
     for k, h in enumerate(secrets.window_entropies(run)):
