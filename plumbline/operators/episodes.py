@@ -53,23 +53,20 @@ class Policy:
 STATES = ("normal", "attention", "prewarning", "alarm")
 
 
-def _step(policy: Policy | dict[str, Column]):
-    """One step of the state machine as a fold over (p, abstain): memory, two run lengths, level, trace."""
-    g = (lambda n: F.lit(getattr(policy, n)).cast("double")) if isinstance(policy, Policy) else (lambda n: policy[n])
+def _at_least(m: float | None, bound: float | None) -> bool:
+    """m >= bound as SQL has it: not for nulls, and NaN is above all numbers."""
+    return m is not None and bound is not None and (m >= bound or m != m)
 
-    def step(a: Column, x: Column) -> Column:
-        m = g("beta") * a["m"] + (1 - g("beta")) * x["p"]
-        run = F.when(m >= g("high"), a["run"] + 1).otherwise(0)
-        armed = F.when(m >= g("alarm"), a["armed"] + 1).otherwise(0)
-        held = F.when((a["level"] >= 2) & (m >= g("low")), a["level"]).otherwise(0)
-        reached = F.when(armed >= g("k"), 3).when(run >= g("k"), 2).when(m >= g("low"), 1).otherwise(0)
-        new = {"m": m, "run": run, "armed": armed, "level": F.greatest(held, reached)}
-        kept = {n: F.when(x["abstain"], a[n]).otherwise(c) for n, c in new.items()}
-        state = F.when(x["abstain"], "abstain").otherwise(F.element_at(F.array(*map(F.lit, STATES)), kept["level"] + 1))
-        told = F.struct(x["step"].alias("step"), kept["m"].alias("memory"), state.alias("state"))
-        return F.struct(*(c.alias(n) for n, c in kept.items()), F.concat(a["trace"], F.array(told)).alias("trace"))
 
-    return step
+def _step(state: tuple, p: float, beta: float | None, k: float | None, low: float | None, high: float | None, alarm: float | None) -> tuple:
+    """(memory, run, armed, level) after one step that does not abstain."""
+    m, run, armed, level = state
+    m = None if m is None or beta is None else beta * m + (1 - beta) * p
+    run = run + 1 if _at_least(m, high) else 0
+    armed = armed + 1 if _at_least(m, alarm) else 0
+    held = level if level >= 2 and _at_least(m, low) else 0
+    reached = 3 if _at_least(armed, k) else 2 if _at_least(run, k) else 1 if _at_least(m, low) else 0
+    return m, run, armed, max(held, reached)
 
 
 def policy_states(df: DataFrame, episode: Sequence[str], step: str, p: str, abstain: Column, policy: Policy | dict[str, Column], carry: Sequence[str] = ()) -> DataFrame:
@@ -78,15 +75,34 @@ def policy_states(df: DataFrame, episode: Sequence[str], step: str, p: str, abst
     memory = beta * memory + (1 - beta) * p from 0 on; abstention (or a null p) freezes everything for a
     step. The state is alarm after k steps at the alarm level, prewarning after k steps at `high`, else
     attention from `low` on, else normal; prewarning and alarm hold while the memory is at `low` or
-    above. Without an alarm level there is no alarm. Episodes are bounded (32 steps), so each is one
-    array; the fold stays in the engine.
+    above. Without an alarm level there is no alarm. A step depends on all before it, so an episode of
+    any length streams through a sorted partition, and only the state is kept.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col(p).cast("double").alias("p"), F.coalesce(abstain | F.col(p).isNull(), F.lit(True)).alias("abstain"))))
-    trace = F.array().cast("array<struct<step:bigint,memory:double,state:string>>")
-    zero = F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("run"), F.lit(0).alias("armed"), F.lit(0).alias("level"), trace.alias("trace"))
-    grouped = df.withColumn(step, F.col(step).cast("long")).groupBy(*episode, *carry).agg(rows.alias("_rows"))
-    folded = grouped.select(*episode, *carry, F.explode(F.aggregate("_rows", zero, _step(policy), lambda a: a["trace"])).alias("s"))
-    return folded.select(*episode, *carry, F.col("s.step").alias(step), F.col("s.memory").alias("memory"), F.col("s.state").alias("state"))
+    names = ("beta", "k", "low", "high", "alarm")
+    of = (lambda n: F.lit(getattr(policy, n))) if isinstance(policy, Policy) else (lambda n: policy[n])
+    keys, n_keys = [*episode, *carry], len(episode) + len(carry)
+    given = df.withColumn(step, F.col(step).cast("long"))
+    inputs = [F.col(step).alias("_step"), F.col(p).cast("double").alias("_p"), F.coalesce(abstain | F.col(p).isNull(), F.lit(True)).alias("_abstain")]
+    rows = given.select(*keys, *inputs, *(of(n).cast("double").alias(f"_{n}") for n in names))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            memory, states = [], []
+            columns = [c.to_pylist() for c in batch.columns]
+            held = zip(*columns[:n_keys], strict=True)
+            for key, x, off, *rule in zip(held, *columns[n_keys + 1 :], strict=True):
+                key = tuple("NaN" if v != v else v for v in key)
+                if key != now:
+                    now, state = key, (0.0, 0, 0, 0)
+                if not off:
+                    state = _step(state, x, *rule)
+                memory.append(state[0])
+                states.append("abstain" if off else STATES[state[3]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n_keys + 1], pa.array(memory, pa.float64()), pa.array(states, pa.string())], names=[*keys, step, "memory", "state"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes[:n_keys], (step, "long")]) + ", memory double, state string"
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_step", "_p", "_abstain").mapInArrow(walk, schema)
 
 
 def mean_fusion(df: DataFrame, key: Sequence[str], p: str, available: str) -> DataFrame:

@@ -84,6 +84,27 @@ def test_alarm_states_follow_the_rules(spark):
     assert [r.state for r in out] == ["attention", "attention", "abstain", "attention", "prewarning", "prewarning"]
 
 
+def test_alarm_states_stream_long_episodes(spark):
+    rng = random.Random(8)
+    rows = [(e, i, rng.choice([None, 0.0, rng.random(), 1.0]), rng.random() < 0.1) for e, n in (("long", 20_000), (None, 50), ("s", 3)) for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "e string, step long, p double, abstain boolean")
+    out = episodes.policy_states(df, ["e"], "step", "p", F.col("abstain"), episodes.Policy(0.5, 2, 0.3, 0.6, 0.8))
+    assert "collect_list" not in out._jdf.queryExecution().toString()  # no episode is ever one array
+    want, m, run, armed, level, now = [], 0.0, 0, 0, 0, 0
+    for e, i, p, off in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        if e != now:
+            m, run, armed, level, now = 0.0, 0, 0, 0, e
+        if off or p is None:
+            want.append((e, i, m, "abstain"))
+            continue
+        m = 0.5 * m + 0.5 * p
+        run, armed = (run + 1) * (m >= 0.6), (armed + 1) * (m >= 0.8)
+        level = max(level if level >= 2 and m >= 0.3 else 0, 3 if armed >= 2 else 2 if run >= 2 else int(m >= 0.3))
+        want.append((e, i, m, ["normal", "attention", "prewarning", "alarm"][level]))
+    assert sorted(((r.e, r.step, r.memory, r.state) for r in out.collect()), key=lambda r: (str(r[0]), r[1])) == want
+
+
 def test_threshold_choice(spark):
     schema = "family_id string, candidate_id string, threshold double, false_alarms_per_hour double, event_macro_f1 double, event_miss_rate double"
     blocked = selection.select_threshold(spark.createDataFrame([("f", "a", 0.1, 2.0, 0.9, 0.1), ("f", "b", 0.2, 1.0, 0.2, 0.5)], schema), ["family_id"], 0.5).first()
