@@ -6,10 +6,10 @@ to the shared folder; the number of rounds grows with the logarithm of the graph
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbline.operators.stash import stash
+from plumbline.operators.stash import discard, stash
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -24,13 +24,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    e = stash(e, "cc-edges")
-    seen = _state(e)
+    e, seen = _written(e, "cc-edges")
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        e = stash(_small_star(stash(_large_star(e), "cc-large")), "cc-small")
-        now = _state(e)
+        large = stash(_large_star(e), "cc-large")
+        small, now = _written(_small_star(large), "cc-small")
+        discard(large)
+        discard(e)
+        e = small
         if now == seen:
             break
         seen = now
@@ -41,8 +43,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The written table of edges, with their number and a sum of their hashes, taken while they are written."""
+    seen = Observation()
+    out = stash(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -1,21 +1,75 @@
-"""Cutting lineage with tables written to the folder that driver and executors share."""
+"""Cutting lineage with tables written to the folder that driver and executors share, and clearing them away."""
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What was written within each open `scratch`, innermost last.
+_SCOPES: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """The cluster's spark.checkpoint.dir. Only a local session without one gets a temporary folder (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-plumbline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; the open `scratch` removes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes on exit what operators wrote to the shared folder meanwhile.
+
+    Results are lazy and read those tables, so a result is written or collected inside. `keep` saves one
+    of them for the scope around this one.
+    """
+    mine: list[str] = []
+    _SCOPES.append(mine)
+    try:
+        yield mine
+    finally:
+        _SCOPES.remove(mine)
+        for path in mine:
+            remove(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hands a stashed table over to the scope around the innermost one."""
+    path = getattr(df, "stashed_at", None)
+    if _SCOPES and path in _SCOPES[-1]:
+        _SCOPES[-1].remove(path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
+    return df
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a stashed table that nothing reads any more; other DataFrames are left alone."""
+    if path := getattr(df, "stashed_at", None):
+        remove(df.sparkSession, path)
+
+
 def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
@@ -24,6 +78,23 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     are part of it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def stash_bucketed(df: DataFrame, name: str, column: str, buckets: int, codec: str = "zstd") -> DataFrame:
+    """As `stash`, bucketed by a column, so that joins by it need no shuffle.
+
+    Only the catalog can say that a table is bucketed; its entry goes as soon as the table is resolved,
+    its files stay as long as those of `stash`.
+    """
+    spark = df.sparkSession
+    path, entry = new_path(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, column).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    out.stashed_at = path
+    return out
