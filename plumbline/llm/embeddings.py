@@ -1,14 +1,17 @@
 """Operator 3: exact near-duplicate join of embeddings in metric space, by pivots.
 
 Unit vectors with cosine >= c lie within r = sqrt(2 - 2c) of each other. Pivots partition the vectors:
-each has its home in the cell of its nearest pivot and is copied to every other cell whose members may
-lie within r. By the triangle inequality a member of cell j that is within r of a vector of cell i is
-at most r farther from both pivots than that vector, which gives the tests below; nothing within r is
-ever missed. Cells join independently: a cell's natives, in blocks of bounded size, against all of its
-members, streamed. A native meets all its neighbours in its own cell, so its links are counted there
-and nowhere else; what leaves a task is a count a vector and a spanning forest of the links.
-
-Equal vectors are one class with a weight, so copies meet nothing twice.
+each has its home in the cell of its nearest pivot. A pair with homes i and j meets in one of the two
+cells, which one depends on i and j alone; there the other vector is a copy, if it may lie within r of
+any member at all. By the triangle inequality a member of cell j that is within r of a vector of cell i
+is at most r farther from both pivots than that vector, which gives the tests below; nothing within r
+is ever missed. Cells join independently: natives in blocks of bounded size, block against block, and
+copies against each block. Both sides of a job come in the order of their distance from the cell's
+pivot, so that only vectors whose distances differ by at most r are compared.
+
+Every pair is decided once, for both of its vectors, and pairs at the bound by an exactly rounded
+sum. What leaves a job is counts and a spanning forest of its links. Equal vectors are one class with a
+weight, so copies meet nothing twice.
 """
 from __future__ import annotations
 
@@ -24,7 +27,11 @@ from plumbline.llm.arrays import local_components
 from plumbline.operators.components import connected_components
 from plumbline.operators.stash import stash
 
-SLACK = 1e-9
+#: More than rounding adds to a distance, which is the root of a difference near zero.
+SLACK = 1e-7
+#: Cosines this near to the bound are summed again without rounding between.
+CLOSE = 1e-12
+ROWS = 512
 
 
 def unit_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -66,16 +73,91 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * x @ pivots.T))
 
 
+def _linked(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of x, row of y) with a cosine of at least `cosine`, alike whichever side a vector is on."""
+    dots = x @ y.T
+    i, j = np.nonzero(dots >= cosine - CLOSE)
+    for k in np.flatnonzero(dots[i, j] < cosine + CLOSE).tolist():
+        if math.fsum((x[i[k]] * y[j[k]]).tolist()) < cosine:
+            j[k] = -1
+    return i[j >= 0], j[j >= 0]
+
+
+class _Job:
+    """One block of natives against what is streamed past it: counts of both sides and a forest of the links."""
+
+    def __init__(self, cosine: float, reach: float):
+        self.cosine, self.reach = cosine, reach
+        self.parts: list[tuple] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, *left: np.ndarray) -> None:
+        self.parts.append(left)
+
+    def close(self, own: bool) -> Iterator[pa.RecordBatch]:
+        """The block is complete; with `own`, its pairs among themselves."""
+        self.d, self.key, self.n, self.x = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.links = np.zeros(len(self.d), np.int64)
+        for at in range(0, len(self.d) if own else 0, ROWS):
+            to = min(len(self.d), at + ROWS)
+            low = int(np.searchsorted(self.d, self.d[at] - self.reach))
+            i, j = _linked(self.x[low:to], self.x[at:to], self.cosine)
+            i, j = i + low, j + at
+            i, j = i[i < j], j[i < j]
+            self.links += np.bincount(i, self.n[j], len(self.d)).astype(np.int64) + np.bincount(j, self.n[i], len(self.d)).astype(np.int64)
+            yield from self._keep(self.key[i], self.key[j])
+
+    def meet(self, d: np.ndarray, key: np.ndarray, n: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(d), ROWS):
+            to = min(len(d), at + ROWS)
+            low, high = np.searchsorted(self.d, d[at] - self.reach), np.searchsorted(self.d, d[to - 1] + self.reach, "right")
+            i, j = _linked(self.x[low:high], x[at:to], self.cosine)
+            if len(i):
+                i, j = i + low, j + at
+                self.links += np.bincount(i, n[j], len(self.d)).astype(np.int64)
+                yield from _counts(key, np.bincount(j, self.n[i], len(d)).astype(np.int64))
+                yield from self._keep(self.key[i], key[j])
+
+    def _keep(self, u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(u):
+            self.pairs.append(local_components(u, v))
+            if sum(len(p[0]) for p in self.pairs) > 1 << 18:
+                yield from self._forest()
+
+    def _forest(self) -> Iterator[pa.RecordBatch]:
+        if self.pairs:
+            a, b = local_components(*(np.concatenate(x) for x in zip(*self.pairs, strict=True)))
+            self.pairs = []
+            yield _found([None] * len(a), [None] * len(a), a, b)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from _counts(self.key, self.links)
+        yield from self._forest()
+
+
+def _found(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "n_links", "src", "dst"])
+
+
+def _counts(key: np.ndarray, links: np.ndarray) -> Iterator[pa.RecordBatch]:
+    some = np.flatnonzero(links)
+    if len(some):
+        yield _found(key[some], links[some], [None] * len(some), [None] * len(some))
+
+
+#: What a row is in its job: a native of a block that also meets itself, one of a block that does not, or what meets them.
+OWN, LEFT, RIGHT = range(3)
+
+
 def _one_dimension(classes: DataFrame, dim: int, cosine: float, block: int, sample_rows: int) -> DataFrame:
-    """(rep, n_links, src, dst): a row with the links of each class, and rows with links of a forest."""
+    """(key, n_links, src, dst): rows with links of classes, to be added up, and rows with links of forests."""
     spark = classes.sparkSession
     total = classes.count()
-    k = max(1, min(256, total // block))
+    k = max(1, min(total // block, math.isqrt(total)))  # beyond the root, finding homes would cost more than it saves
     most = max(sample_rows, 4 * k)
     sample = classes.sample(False, min(1.0, 2 * most / total), 17).limit(most).collect() or classes.limit(1).collect()  # bounded by its parameter
     pivots = choose_pivots(np.array([np.frombuffer(x.v, np.float64) for x in sample]), k)
     r = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    apart = _distances(pivots, pivots)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,84 +169,83 @@ def _one_dimension(classes: DataFrame, dim: int, cosine: float, block: int, samp
     cells = {c.cell: (c.n, c.far) for c in classes.select("v").mapInArrow(homes, "cell int, d double").groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("far")).collect()}
     blocks = np.array([-(-cells.get(c, (0, 0))[0] // block) for c in range(len(pivots))])
     far = np.array([cells.get(c, (0, -10.0))[1] for c in range(len(pivots))])
+    first = np.concatenate([[0], np.cumsum(blocks * blocks)])  # jobs are numbered cell by cell, one a pair of blocks
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                d = _distances(_matrix(part.column(0), dim), pivots)
-                home = d.argmin(1)
-                own = d[np.arange(len(d)), home][:, None]
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                x = _matrix(part.column(0), dim)
+                d = _distances(x, pivots)
+                home, rows = d.argmin(1), np.arange(len(d))
+                own = d[rows, home][:, None]
                 # a neighbour y of x in cell j: d(y, pj) >= d(x, pj) - r, and pj is nearer to y than x's pivot
-                meets = (d <= far + r + SLACK) & (d <= own + 2 * r + SLACK) & (d**2 - own**2 <= 2 * r * apart[home] + SLACK)
-                meets[np.arange(len(d)), home] = True
-                row, cell = np.nonzero(meets)
+                meets = (d <= far + r + SLACK) & (d <= own + 2 * r + SLACK) & (d**2 - own**2 <= 2 * r * _distances(pivots[home], pivots) + SLACK)
+                other = np.arange(len(pivots))
+                meets &= np.where((home[:, None] + other) % 2 == 0, other < home[:, None], other > home[:, None])
+                # natives: one row for each block of their cell
+                b = blocks[home]
+                mine = (np.asarray(part.column(1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % b
+                row = np.repeat(rows, b)
+                with_ = np.arange(b.sum()) - np.repeat(np.cumsum(b) - b, b)
+                low, high = np.minimum(mine[row], with_), np.maximum(mine[row], with_)
+                job = first[home[row]] + low * b[row] + high
+                side = np.where(with_ == mine[row], OWN, np.where(low == mine[row], LEFT, RIGHT))
+                # copies: one row for each block of the other cell
+                who, cell = np.nonzero(meets)
                 many = blocks[cell]
-                row, cell, b = np.repeat(row, many), np.repeat(cell, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                rep = np.asarray(part.column(1))
-                mine = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.maximum(blocks[home], 1)
-                left = (cell == home[row]) & (b == mine[row])
-                take = pa.array(np.concatenate([row[left], row]))
-                columns = [np.concatenate([cell[left], cell]), np.concatenate([b[left], b]), np.concatenate([np.zeros(left.sum(), int), np.ones(len(row), int)])]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), part.column(1).take(take), part.column(2).take(take), part.column(0).take(take)], names=["cell", "block", "side", "rep", "n", "v"])
+                who, cell, c = np.repeat(who, many), np.repeat(cell, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                take = np.concatenate([row, who])
+                columns = [
+                    pa.array(np.concatenate([job, first[cell] + c * blocks[cell] + c]), pa.int64()), pa.array(np.concatenate([side, np.full(len(who), RIGHT)]), pa.int32()),
+                    pa.array(np.concatenate([d[row, home[row]], d[who, cell]])), *(part.column(i).take(pa.array(take)) for i in (1, 2, 0)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["job", "side", "d", "key", "n", "v"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, left, links, pairs = None, None, None, []
-
-        def out(rep, n_links, src, dst):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rep, n_links, src, dst)], names=["rep", "n_links", "src", "dst"])
-
-        def end() -> Iterator[pa.RecordBatch]:
-            if left is not None:
-                none = [None] * len(left[0])
-                yield out(left[0], links, none, none)
-                if pairs:
-                    a, b = local_components(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
-                    yield out([None] * len(a), [None] * len(a), a, b)
-
+        now, at, work = None, None, None
         for batch in batches:
-            cell, b, side, rep, n = (np.asarray(batch.column(i)) for i in range(5))
-            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(b) != 0) | (np.diff(side) != 0)) + 1
+            job, side, d, key, n = (np.asarray(batch.column(i)) for i in range(5))
+            cuts = np.flatnonzero((np.diff(job) != 0) | (np.diff(side) != 0)) + 1
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 if s == e:
                     continue
-                x = _matrix(batch.column(5).slice(s, e - s), dim)
-                if (cell[s], b[s]) != key:
-                    yield from end()
-                    key, left, links, pairs = (cell[s], b[s]), None, None, []
-                if side[s] == 0:
-                    left = (rep[s:e], x) if left is None else (np.concatenate([left[0], rep[s:e]]), np.concatenate([left[1], x]))
-                    links = np.zeros(len(left[0]), np.int64)
+                if job[s] != now:
+                    if work:
+                        yield from () if at == RIGHT else work.close(at == OWN)
+                        yield from work.end()
+                    now, at, work = job[s], None, _Job(cosine, r + SLACK)
+                rows = (d[s:e], key[s:e], n[s:e], _matrix(batch.column(5).slice(s, e - s), dim))
+                if side[s] != RIGHT:
+                    at = side[s]
+                    work.add(*rows)
                     continue
-                for at in range(0, e - s, 512):
-                    to = min(e - s, at + 512)
-                    near = left[1] @ x[at:to].T >= cosine
-                    i, j = np.nonzero(near)
-                    j = j + s + at
-                    other = left[0][i] != rep[j]
-                    i, j = i[other], j[other]
-                    if len(i):
-                        links += np.bincount(i, n[j], len(links)).astype(np.int64)
-                        pairs.append(local_components(left[0][i], rep[j]))
-        yield from end()
+                if at != RIGHT:
+                    yield from work.close(at == OWN)
+                    at = RIGHT
+                yield from work.meet(*rows)
+        if work:
+            yield from () if at == RIGHT else work.close(at == OWN)
+            yield from work.end()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = classes.select("v", "rep", "n").mapInArrow(members, "cell int, block int, side int, rep long, n long, v binary")
-    return dealt.repartition(n, "cell", "block").sortWithinPartitions("cell", "block", "side").mapInArrow(join, "rep long, n_links long, src long, dst long")
+    dealt = classes.select("v", "key", "n").mapInArrow(members, "job long, side int, d double, key long, n long, v binary")
+    placed = dealt.repartitionById(n, F.pmod("job", F.lit(n)).cast("int")).sortWithinPartitions("job", "side", "d", "key")
+    return placed.mapInArrow(join, "key long, n_links long, src long, dst long")
 
 
-def embedding_groups(df: DataFrame, cosine: float = 0.9, block: int = 4096, sample_rows: int = 1024) -> DataFrame:
+def embedding_groups(df: DataFrame, cosine: float = 0.9, block: int = 8192, sample_rows: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of `df` (`vec_id`, `embedding`).
 
     Two rows are linked if their cosine in double precision is at least `cosine`. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing; vectors of different length do
-    not link. Repeated rows are vectors of their own. A null vec_id is never a component's smallest. An
+    not link. Repeated rows are vectors of their own, with the same id and vector or with one of the two. A null vec_id is never a component's smallest. An
     empty table gives no rows; extra columns are ignored. Only pivots come from a bounded sample; they
     decide where vectors meet, not which.
     """
     vectors = stash(unit_vectors(df), "vectors")
     grouped = vectors.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
-    classes = stash(grouped.withColumn("dim", F.length("v") / 8).withColumn("rep", F.coalesce("low", F.xxhash64("v"))), "vector-classes")
+    classes = stash(grouped.withColumn("dim", F.length("v") / 8).withColumn("key", F.monotonically_increasing_id()), "vector-classes")
     dims = [int(x.dim) for x in classes.select("dim").distinct().collect()]  # a row a length of vector
     found = None
     for dim in dims:
@@ -173,12 +254,11 @@ def embedding_groups(df: DataFrame, cosine: float = 0.9, block: int = 4096, samp
     if found is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     found = stash(found, "vector-links")
-    groups = connected_components(found.where("src is not null").select("src", "dst"))
-    groups = groups.withColumnRenamed("node", "rep")
-    smallest = groups.join(classes.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("smallest"))
-    groups = groups.join(smallest, "component").select("rep", F.col("smallest").alias("component"))
-    counted = found.where("rep is not null").select("rep", "n_links")
-    named = classes.join(counted, "rep", "left").join(groups, "rep", "left")
+    groups = connected_components(found.where("src is not null").select("src", "dst")).withColumnRenamed("node", "key")
+    smallest = groups.join(classes.select("key", "low"), "key").groupBy("component").agg(F.min("low").alias("smallest"))
+    groups = groups.join(smallest, "component").select("key", F.col("smallest").alias("component"))
+    counted = found.where("key is not null").groupBy("key").agg(F.sum("n_links").alias("n_links"))
+    named = classes.join(counted, "key", "left").join(groups, "key", "left")
     named = stash(named.select("v", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("links"), F.coalesce("component", "low").alias("component")), "vector-groups")
     joined = vectors.join(named, "v", "left")
     component = F.coalesce("component", "vec_id")
