@@ -67,14 +67,19 @@ def text_fingerprints(texts: pa.Array, shingle: int = 4) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp) of every whole text of `docs`; fp holds the 64 bits as a signed long."""
+    return with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "fp", shingle).select("doc_id", "fp")
+
+
+def with_fingerprints(docs: DataFrame, name: str, shingle: int = 4) -> DataFrame:
+    """`docs` with the fingerprints of its texts in a column `name`, which it does not have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             fp = text_fingerprints(text_column(batch, "text"), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, name])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` long")
 
 
 def segments(bits: int, t: int) -> list[tuple[int, int]]:
@@ -165,20 +170,36 @@ def simhash_groups(docs: DataFrame, t: int = 4, shingle: int = 4, block: int = 5
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id that is reached over links
     of at most t differing bits, the row's own included. Texts without words (null, empty, white space)
-    have fingerprint zero and link like any other. Rows that repeat a doc_id get the same component; a
-    null doc_id is never a component's smallest, and a fingerprint that only such rows have links with
-    nothing (component null). An empty table gives no rows; extra columns are ignored.
+    have fingerprint zero and link like any other. A row belongs to its own text's group, whatever other
+    rows have its doc_id. A null doc_id is never a group's smallest; a group that only such rows have
+    has none (component_id null). An empty table gives no rows; extra columns are ignored.
     """
     made = stash(fingerprints(docs, shingle), "simhash")
-    classes = stash(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    found = connected_components(fingerprint_links(classes.where("rep is not null"), t, block))
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    named = stash(named, "simhash-groups")
+    named = _components(made, t, block)
     return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _components(made: DataFrame, t: int, block: int = 512) -> DataFrame:
+    """(fp, of, component_id) of every fingerprint of a table of doc_id and fp; `of` is its group, named by a fingerprint."""
+    classes = stash(made.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
+    found = connected_components(fingerprint_links(classes.select("fp", F.col("fp").alias("rep")), t, block))
+    grouped = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("of"))
+    named = grouped.join(grouped.groupBy("of").agg(F.min("low").alias("component_id")), "of")
+    return stash(named.select("fp", "of", "component_id"), "simhash-groups")
+
+
 def keep_one_of_each(docs: DataFrame, t: int = 4, shingle: int = 4) -> DataFrame:
-    """`docs` without the rows whose near-duplicate group has a smaller doc_id; other rows as they are."""
-    groups = simhash_groups(docs, t, shingle)
-    dropped = stash(groups.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct(), "simhash-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group of `docs`, with all of its columns as they are.
+
+    It is the row of the smallest doc_id; of rows that share that id, and of equal rows, the one that
+    stands first in the table this writes. A row is judged by its own text: another row of its doc_id in
+    another group is kept or dropped by itself. A null doc_id comes after all others. An empty table
+    gives no rows.
+    """
+    fp, row = (next(c for c in (name, *(f"{name}_{k}" for k in range(len(docs.columns)))) if c not in docs.columns) for name in ("fp", "row"))
+    made = stash(with_fingerprints(docs, fp, shingle).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    slim = made.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    grouped = slim.join(_components(slim, t), "fp").select("row", "doc_id", "of")
+    first = grouped.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    dropped = stash(grouped.join(first, "of").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(row)), "simhash-dropped")
+    return made.join(dropped, row, "left_anti").select(*docs.columns)
