@@ -4,8 +4,9 @@ Documents are range-partitioned by id and sorted, so a partition is a run of con
 A task encodes its run slice by slice; a slice becomes one block: the concatenated ids (16 bits each
 where the vocabulary allows, else 32) and two Elias-Fano sequences, the document boundaries in the id
 array and the document ids. Blocks are rows of a Parquet table, so Spark's commit protocol decides
-which attempts count and any store that Spark writes will do. Offsets come back from the select
-structure alone; the place of a block in the whole is its partition's base, one number a partition.
+which attempts count and any store that Spark writes will do. Offsets and document ids come back from
+select, a batch of places at a time; the place of a block in the whole is its partition's base, one
+number a partition.
 """
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import crc32, slices, small_batches, text_column
 from plumbline.llm.tokens import WORDS_KEPT, SubwordEncoder, with_end
-from plumbline.operators.stash import shared_folder
+from plumbline.operators.stash import new_path
 
 
 class EliasFano:
@@ -44,6 +45,7 @@ class EliasFano:
         size = (self.n * self.low + 7) // 8
         self.lows = np.frombuffer(blob, np.uint8, size, at)
         self.highs = np.frombuffer(blob, np.uint8, len(blob) - at - size, at + size)
+        self.words: np.ndarray | None = None
 
     @classmethod
     def encode(cls, values: np.ndarray) -> bytes:
@@ -67,31 +69,36 @@ class EliasFano:
         at = (i[:, None] * self.low + np.arange(self.low)).astype(np.int64)
         return (((self.lows[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
-    def all(self) -> np.ndarray:
-        """Every value, in order."""
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))
-        i = np.arange(self.n)
-        return self._signed(((ones - i).astype(np.uint64) << np.uint64(self.low)) + self._lows(i))
-
-    def select(self, i: int) -> int:
-        """The i-th value: from the sampled one before it, words are counted until the i-th one is reached."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at, left = int(self.samples[i // self.SAMPLE]), i % self.SAMPLE
-        byte = at >> 3
-        seen = np.unpackbits(self.highs[byte : byte + 8], bitorder="little")
-        seen[: at & 7] = 0
-        while (count := int(seen.sum())) <= left:
-            left -= count
-            byte += 8
-            seen = np.unpackbits(self.highs[byte : byte + 8], bitorder="little")
-        place = byte * 8 + int(np.flatnonzero(seen)[left])
-        return int(self._signed(np.uint64((place - i) << self.low) + self._lows(np.array([i])))[0])
+    def select(self, i: np.ndarray | int) -> np.ndarray:
+        """The values at places i: each counts on from the sample before it, word by word, until its one is reached."""
+        i = np.atleast_1d(np.asarray(i, np.int64))
+        if len(i) and not (0 <= i.min() and i.max() < self.n):
+            raise IndexError("no such place")
+        if self.words is None:
+            self.words = np.frombuffer(self.highs.tobytes() + bytes(-len(self.highs) % 8), "<u8")
+        at, left = self.samples[i // self.SAMPLE].astype(np.int64), i % self.SAMPLE
+        word = at >> 6
+        seen = self.words[word] & ~((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)) if len(i) else np.zeros(0, np.uint64)
+        open_ = np.arange(len(i))
+        while len(open_):
+            ones = np.bitwise_count(seen[open_]).astype(np.int64)
+            on = ones <= left[open_]
+            open_, ones = open_[on], ones[on]
+            left[open_] -= ones
+            word[open_] += 1
+            seen[open_] = self.words[word[open_]]
+        bits = np.unpackbits(seen.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        place = word * 64 + (np.cumsum(bits, axis=1) > left[:, None]).argmax(1)
+        return self._signed(((place - i).astype(np.uint64) << np.uint64(self.low)) + self._lows(i))
 
 
 BLOCKS = "part int, block int, base long, n_docs int, n_null int, n_tokens long, width int, ids binary, bounds binary, docs binary"
 
 
+#: Documents whose offsets are selected at once.
+READ = 4096
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, partitions: int | None = None, slice_bytes: int = 8 << 20) -> str:
     """Writes the ids of every document (`doc_id`, `text`) to blocks under `path`, in ascending doc_id order.
 
@@ -143,16 +150,16 @@ def _read(spark: SparkSession, path: str, out: str, value, kind: pa.DataType) ->
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], f"<u{row['width']}")
-                off = EliasFano(row["bounds"]).all()
-                keys = [None] * row["n_null"] + EliasFano(row["docs"]).all().tolist()
-                start = before[row["part"]] + row["base"] + off[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start, pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array([value(ids[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], kind)], names=[c.split()[0] for c in out.split(", ")])
+                ids, bounds, docs = np.frombuffer(row["ids"], f"<u{row['width']}"), EliasFano(row["bounds"]), EliasFano(row["docs"])
+                for at in range(0, row["n_docs"], READ):
+                    to = min(row["n_docs"], at + READ)
+                    off, null = bounds.select(np.arange(at, to + 1)), max(0, min(row["n_null"], to) - at)
+                    keys = [None] * null + docs.select(np.arange(at + null, to) - row["n_null"]).tolist()
+                    start = before[row["part"]] + row["base"] + off[:-1]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start, pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array([value(ids[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], kind)], names=[c.split()[0] for c in out.split(", ")])
 
     return blocks.mapInArrow(documents, out)
 
 
 def new_token_folder(spark: SparkSession) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    return new_path(spark, "token-files")
