@@ -13,12 +13,15 @@ the set of distinct phrases, each with its first place.
 * Phrases are hashed and dealt by their trigger's gram. Of equal phrases all but the first are repeats
   as a whole: highly repetitive text ends here, one row a phrase and batch.
 * Distinct phrases with a common trigger gram (where a copied passage begins, ends or was edited) are
-  entered in the dictionary with their bytes, and their suffixes are brought together by gram and by
-  their first `length` bytes; all but the first of equal ones are repeats. Phrases whose trigger no
-  other has hold nothing repeated and are never expanded.
+  entered in the dictionary with their bytes. The dictionary's suffixes are ranked to depth `length` by
+  prefix doubling, which gives its suffix array to that depth; suffixes of one rank stand in the order
+  of the parse, the places of their phrases in the corpus, and all but the first are repeats. Phrases
+  whose trigger no other has hold nothing repeated and are never expanded.
 
-Suffixes are grouped by 64-bit hashes of their first `length` bytes within their gram (128 bits in
-all) and ordered by place; lexicographic ranks, which a full suffix array would add, decide nothing.
+A string lies whole in its phrase, so ranks never look beyond a phrase and the parse orders what the
+dictionary leaves equal by place alone: deeper ranks of the parse decide nothing. Two steps go by hash:
+phrases are equal if 128 bits of hashes are, and the strings of a trigger gram with so many phrases
+that they would not fit a task (`hot`) are dealt singly, by gram and a 64-bit hash of the string.
 
 Texts stand in bucketed chunks of rows in the shared folder, which every later step joins by chunk
 without moving them again.
@@ -26,7 +29,6 @@ without moving them again.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import give_back, ragged_index, slices, small_batches, string_bytes, text_column
-from plumbline.operators.stash import shared_folder, stash
+from plumbline.operators.stash import stash, stash_bucketed
 
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE = 1 << 20
@@ -161,11 +163,8 @@ def write_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"])
 
     small_batches(docs.sparkSession)
-    spark, name = docs.sparkSession, f"chunks_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(run, "chunk long, rows binary")
-    rows.write.format("parquet").option("compression", "none").option("path", f"{shared_folder(spark)}/{name}").bucketBy(n, "chunk").saveAsTable(name)
-    return spark.table(name)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stash_bucketed(docs.mapInArrow(run, "chunk long, rows binary"), "chunks", "chunk", n, codec="none")
 
 
 DEALT = "bucket int, kind int, chunk long, trigger binary, phrase binary, doc binary, lo binary, many binary, at binary, data binary"
@@ -306,36 +305,72 @@ def _windows(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+#: Bytes of the dictionary that are ranked at once; phrases with one trigger stay together.
+RANKED = 4 << 20
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The rank of the first `length` bytes from every place of `data`, equal for equal bytes; zeros follow the end."""
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    depth = min(8, length)
+    key = np.zeros(n, np.uint64)
+    for k in range(depth):
+        key = key << np.uint64(8) | padded[k : k + n]
+    rank = np.unique(key, return_inverse=True)[1]
+    while depth < length:
+        step = min(depth, length - depth)  # the last step overlaps
+        rest = np.zeros(n, np.int64)
+        rest[: n - step] = rank[step:] + 1
+        rank = np.unique(rank.astype(np.int64) * (n + 1) + rest, return_inverse=True)[1]
+        depth += step
+    return rank
+
+
+def _late(rank: np.ndarray, doc: np.ndarray, chunk: np.ndarray, lo: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(chunk, starts) of all strings but the first in the corpus of each rank."""
+    order = np.lexsort((lo, chunk, doc, rank, *more))
+    late = order[~_first_flags(*(x[order] for x in (rank, *more)))]
+    for c, mine in _by_chunk(chunk[late]):
+        yield c, np.unique(lo[late[mine]])
+
+
 def _resolve_suffixes(length: int):
     """Dealt rows of a bucket to the strings that repeat in each chunk."""
 
+    def ranges(found: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for c, start in found:
+            opens = np.flatnonzero(np.concatenate([[True], np.diff(start) > 1]))
+            many = np.diff(np.concatenate([opens, [len(start)]])) + length - 1
+            yield _batch([{"chunk": c, "lo": start[opens].astype("<u4").tobytes(), "many": many.astype("<u4").tobytes()}], FOUND_SCHEMA)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        strings, spelled, data = [], [], []
         for row in _rows(batches):
             if row["kind"] == REPEATED:
                 yield _batch([{"chunk": row["chunk"], "lo": row["lo"], "many": row["many"]}], FOUND_SCHEMA)
                 continue
             trigger, doc, lo = _bytes(row, "trigger", "<u8"), _bytes(row, "doc", "<i8"), _bytes(row, "lo", "<u4").astype(np.int64)
+            chunk = np.full(len(lo), row["chunk"])
             if row["kind"] == STRINGS:
-                parts.append((trigger, _bytes(row, "phrase", "<u8"), doc, np.full(len(lo), row["chunk"]), lo))
-                continue
-            many = _bytes(row, "many", "u1").astype(np.int64)
-            size = many + length - 1
-            which = np.repeat(np.arange(len(lo)), many)
-            step = ragged_index(np.zeros(len(lo), np.int64), many)
-            text = _windows(_bytes(row, "data", "u1"), (np.cumsum(size) - size)[which] + step, length)
-            parts.append((trigger[which], text, doc[which], np.full(len(which), row["chunk"]), lo[which] + step))
-        if not parts:
+                strings.append((_bytes(row, "phrase", "<u8"), doc, chunk, lo, trigger))
+            else:
+                spelled.append((trigger, doc, chunk, lo, _bytes(row, "many", "u1").astype(np.int64)))
+                data.append(_bytes(row, "data", "u1"))
+        if strings:
+            yield from ranges(_late(*(np.concatenate(x) for x in zip(*strings, strict=True))))
+        if not spelled:
             return
-        trigger, text, doc, chunk, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((lo, chunk, doc, text, trigger))
-        late = order[~_first_flags(trigger[order], text[order])]
-        for c, mine in _by_chunk(chunk[late]):
-            start = np.unique(lo[late[mine]])
-            opens = np.flatnonzero(np.concatenate([[True], np.diff(start) > 1]))
-            many = np.diff(np.concatenate([opens, [len(start)]])) + length - 1
-            yield _batch([{"chunk": c, "lo": start[opens].astype("<u4").tobytes(), "many": many.astype("<u4").tobytes()}], FOUND_SCHEMA)
+        trigger, doc, chunk, lo, many = (np.concatenate(x) for x in zip(*spelled, strict=True))
+        data = np.concatenate(data)
+        del strings, spelled
+        size = many + length - 1
+        begin = np.cumsum(size) - size
+        for _, part in _by_bucket(trigger, -(-len(data) // RANKED)):
+            rank = suffix_ranks(data[ragged_index(begin[part], size[part])], length)
+            starts = ragged_index(np.cumsum(size[part]) - size[part], many[part])
+            which, step = np.repeat(part, many[part]), ragged_index(np.zeros(len(part), np.int64), many[part])
+            yield from ranges(_late(rank[starts], doc[which], chunk[which], lo[which] + step))
 
     return run
 
@@ -399,8 +434,9 @@ def repeat_digest(docs: DataFrame, length: int = 100, **options) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     """`docs` (`doc_id`, `text`, other columns) with repeated bytes cut out of the texts.
 
-    A code point of which some bytes are removed goes whole. Null texts stay null; other columns stay
-    as they are.
+    A code point of which some bytes are removed goes whole. Null texts stay null; other columns, and
+    columns named like this operator's own (`chunk`, `rows`, `marks`), stay as they are. Of equal rows
+    the one read first stays whole, the others lose their text. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
