@@ -19,7 +19,6 @@ scored in overlapping windows: the first half is context only, so each token is
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import give_back, slices, small_batches, text_column
 from plumbline.llm.tokens import SubwordEncoder, split_chunks, with_end
-from plumbline.operators.stash import shared_folder, stash
+from plumbline.operators.stash import stash, stash_bucketed
 
 #: Scores and logits stay within bounds that a float's exponential can take.
 BOUND = np.float32(30.0)
@@ -308,16 +307,54 @@ def _training_docs(row: dict, id_type: str) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], np.concatenate([[0], np.cumsum(np.diff(off)[~held])])
 
 
+#: Cells of a table that travel and are added up as one blob.
+BLOCK = 1 << 14
+
+
 def _summed(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
-    used = np.flatnonzero(cells)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(cells[used].astype(np.float64))], names=["cell", "x"])
+    """A task's table as its blocks that are not all zero, compressed."""
+    cells = np.asarray(cells, np.float64)
+    for at in range(0, len(cells), BLOCK):
+        part = cells[at : at + BLOCK]
+        if part.any():
+            kind = "<u4" if part.min() >= 0 and part.max() < 1 << 32 and not (part % 1).any() else "<f8"
+            blob = zlib.compress(part.astype(kind).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([kind]), pa.array([blob], pa.binary())], names=["block", "kind", "cells"])
+
+
+BLOBS = "block int, kind string, cells binary"
+
+
+def _add_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs sorted by block and kind to one blob a block; one block's sum is held at a time."""
+    now, total = None, None
+    for batch in batches:
+        for row in batch.to_pylist():
+            part = np.frombuffer(zlib.decompress(row["cells"]), row["kind"])
+            if row["block"] != now:
+                if now is not None:
+                    yield _blob(now, total)
+                now, total = row["block"], np.zeros(len(part))
+            total += part
+    if now is not None:
+        yield _blob(now, total)
+
+
+def _blob(block: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array(["<f8"]), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["block", "kind", "cells"])
 
 
 def _gather(sliced: DataFrame, run, size: int) -> np.ndarray:
-    """Sums over all slices of a table of `size` cells: tasks add up their own, Spark the rest."""
-    found = sliced.select("ids", "bounds", "held_out", "slice").mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
+    """Sums over all slices of a table of `size` cells: tasks add up their own, buckets those of all tasks.
+
+    What travels is a blob a task and block, and the driver gets the table's blocks, once each.
+    """
+    found = sliced.select("ids", "bounds", "held_out", "slice").mapInArrow(run, BLOBS)
+    added = found.repartition("block").sortWithinPartitions("block").mapInArrow(_add_blobs, BLOBS)
     out = np.zeros(size)
-    out[found["cell"].to_numpy()] = found["x"].to_numpy()
+    for row in added.collect():  # the table's blocks, whose size the model's shape sets
+        part = np.frombuffer(zlib.decompress(row.cells), row.kind)
+        out[row.block * BLOCK : row.block * BLOCK + len(part)] = part
     return out
 
 
@@ -368,18 +405,17 @@ def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, shape: Sha
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; scores are base-10 log
     probabilities, the base one of words and an end, the model's of subword ids and an end. Words are
     told apart by hash (64 bits within a bucket that other bits of a 128-bit hash choose). With nothing
-    to learn from, every unseen token counts by the smoothing alone. An empty table gives no rows; extra
-    columns are ignored.
+    to learn from, every unseen token counts by the smoothing alone. Equal texts get equal scores in one
+    run. `score` depends on how the table is cut into tasks, as each trains on its share and parameters
+    are averaged; all other columns do not. An empty table gives no rows; extra columns are ignored.
     """
     shape, spark = shape or Shape(), docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = SubwordEncoder.of(tokenizer).size
     id_type = "<u4" if size > 1 << 16 else "<u2"
-    name = f"slices_{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_slice_docs(tokenizer, end_id, slice_bytes, n), SLICE_ROW)
-    rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(n, "slice").saveAsTable(name)
-    sliced = spark.table(name)
+    sliced = stash_bucketed(rows, "slices", "slice", n)
     dealt = sliced.select("slice", "hashes", "counts", "buckets").mapInArrow(_deal_words, PARTS).repartitionById(n, F.col("bucket"))
     answers = stash(dealt.mapInArrow(_add_words, ANSWER), "word-counts")
     total = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
