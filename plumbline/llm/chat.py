@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+PLACEHOLDER = re.compile(r"<\|(image|audio|document|other):(\d+)\|>")
 TURN = re.compile(r"\A<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n\Z", re.S)
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -53,7 +54,7 @@ class Flattener:
     attachments: list[dict[str, Any]] = field(default_factory=list)
 
     def flatten(self, parts: list[dict[str, Any]]) -> str:
-        return "".join(getattr(self, f"visit_{p['type']}", self.visit_unknown)(p) for p in parts)
+        return "".join(getattr(self, f"visit_{p.get('type')}", self.visit_other)(p) for p in parts)
 
     def visit_text(self, part: dict[str, Any]) -> str:
         return escape(part.get("text") or "")
@@ -68,8 +69,9 @@ class Flattener:
     def visit_document(self, part: dict[str, Any]) -> str:
         return self._attach("document", part, max(1, part.get("pages") or 1) * self.tokens_a_page)
 
-    def visit_unknown(self, part: dict[str, Any]) -> str:
-        raise ValueError(f"no visitor for a part of type {part.get('type')!r}")
+    def visit_other(self, part: dict[str, Any]) -> str:
+        """A part of no known type (or none) keeps its place and reference, and expands to nothing."""
+        return self._attach("other", part, 0)
 
     def _attach(self, kind: str, part: dict[str, Any], tokens: int) -> str:
         self.attachments.append({"n": len(self.attachments) + 1, "kind": kind, "ref": part.get("ref"), "tokens": tokens})
@@ -92,7 +94,9 @@ def format_conversations(turns: DataFrame, content: str = "text", trained: str =
 
     Returns conv_id, turn, formatted, loss (the spans, in code points of `formatted`, of turns whose role
     is `trained`) and attachments. Null content or parts' text are empty, a null role is the empty
-    role; extra columns are ignored. A conversation's text is its rows' `formatted` by turn.
+    role, a part of unknown type is an attachment without tokens. A row per row, so equal rows stay;
+    an empty table gives no rows; extra columns are ignored. A conversation's text is its rows'
+    `formatted` by turn.
     """
     typed = turns.schema[content].dataType.typeName() == "array"
 
@@ -113,41 +117,64 @@ def format_conversations(turns: DataFrame, content: str = "text", trained: str =
     return rows.mapInArrow(run, FORMATTED)
 
 
-def read_turn(formatted: str) -> tuple[str, str]:
-    """(role, text) of a formatted turn, unescaped; placeholders stay."""
+def read_parts(body: str, attachments: list[dict[str, Any]] | None = None) -> list[dict[str, Any]]:
+    """The typed parts of a turn's formatted content, in order.
+
+    Placeholders are told from text that looks like one before anything is unescaped. Neighbouring text
+    parts come back as one, empty ones not at all.
+    """
+    known = {a["n"]: a for a in attachments or []}
+    out, at = [], 0
+    for m in PLACEHOLDER.finditer(body):
+        out += [{"type": "text", "text": unescape(body[at : m.start()])}] if m.start() > at else []
+        out.append({"type": m[1], "n": int(m[2])} | {k: known[int(m[2])][k] for k in ("ref", "tokens") if int(m[2]) in known})
+        at = m.end()
+    return out + ([{"type": "text", "text": unescape(body[at:])}] if at < len(body) else [])
+
+
+def read_turn(formatted: str, attachments: list[dict[str, Any]] | None = None) -> tuple[str, list[dict[str, Any]]]:
+    """(role, typed parts) of a formatted turn."""
     m = TURN.match(formatted)
     if not m:
         raise ValueError("not a formatted turn")
-    return unescape_role(m[1]), unescape(m[2])
+    return unescape_role(m[1]), read_parts(m[2], attachments)
+
+
+def text_of(parts: list[dict[str, Any]]) -> str:
+    """All text of typed parts, attachments left out."""
+    return "".join(p["text"] for p in parts if p["type"] == "text")
 
 
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_parts long, attachment_tokens long"
 
 
 def conversation_digest(formatted: DataFrame) -> DataFrame:
     """Per conversation, read back from formatted turns: turns and loss-masked text as digests.
 
-    Turns of one number are taken in the order of their formatted text; null numbers come first. Null
-    conv_ids are one conversation. An empty table gives no rows.
+    n_parts counts the typed parts read back, attachment_tokens what attachments expand to. Turns of one
+    number are taken in the order of their formatted text, equal rows each; null numbers come first.
+    Null conv_ids are one conversation. An empty table gives no rows; extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, done = None, None, []
-        end = lambda: (key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+        end = lambda: (key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), *state[4:])
         for batch in batches:
-            for conv, formatted, loss in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            for conv, formatted, loss, attached in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if state is None or conv != key:
                     if state is not None:
                         done.append(end())
-                    key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_turn(formatted)
+                    key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+                role, parts = read_turn(formatted, attached)
                 state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
+                state[1].update(f"{role}\n{text_of(parts)}\n".encode())
                 for span in loss:
-                    masked = unescape(formatted[span["start"] : span["end"]])
+                    masked = text_of(read_parts(formatted[span["start"] : span["end"]]))
                     state[2] += len(masked)
                     state[3].update(masked.encode())
                 state[4] += len(formatted)
+                state[5] += len(parts)
+                state[6] += sum(p.get("tokens") or 0 for p in parts)
             if done:
                 yield rows(done)
                 done = []
@@ -157,4 +184,4 @@ def conversation_digest(formatted: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in DIGEST.split(", ")]
     kinds = [pa.string() if "sha256" in c else pa.int64() for c in names]
     rows = lambda found: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "turn", "formatted", "loss").mapInArrow(run, DIGEST)
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "turn", "formatted", "loss", "attachments").mapInArrow(run, DIGEST)

@@ -63,7 +63,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = [(-1, turn, role, "<|im_end|><|im_start|>assistant ok") for turn, role in enumerate(("user", "assistant"))]
     both = given.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
-    parts = both.withColumn("parts", F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    lines = F.split("text", "(?<=\n)")  # every line of a text is a part
+    parts = both.withColumn("parts", F.transform(lines, lambda x: F.struct(F.lit("text").alias("type"), x.alias("text"))))
     return chat.conversation_digest(chat.format_conversations(parts, content="parts"))
 
 
@@ -83,7 +84,9 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, text, lines, words, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
                 CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                 CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines,
-                length(regexp_replace(text, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS n_letters FROM w
+                length(regexp_replace(text, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits,
+                length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^{}]', '', 'g')) AS n_braces,
+                len(list_filter(lines, lambda x: regexp_matches(x, 'BULLET'))) AS n_bullet_lines, len(list_filter(lines, lambda x: regexp_matches(x, 'ELLIPSIS'))) AS n_ellipsis_lines FROM w
         ),
         g AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), lambda i: {'i': i, 's': words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]})) AS g FROM c WHERE len(words) >= 3),
         r AS (SELECT doc_id, g.i AS i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g.s) > 1),
@@ -93,7 +96,7 @@ ORACLES: dict[str, str] = {
             FROM c LEFT JOIN p USING (doc_id)
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR RULES) AS kept FROM j
-    """.replace("RULES", " OR ".join(r.sql for r in quality.RULES)),
+    """.replace("RULES", " OR ".join(r.sql for r in quality.RULES)).replace("BULLET", quality.BULLET).replace("ELLIPSIS", quality.ELLIPSIS),
     "op10_chat_format": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -102,7 +105,8 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(length('<|im_start|>' || role || chr(10) || replace(text, '<', '<\') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+            CAST(sum(length('<|im_start|>' || role || chr(10) || replace(text, '<', '<\') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars,
+            count(*) FILTER (text <> '') AS n_parts, CAST(0 AS BIGINT) AS attachment_tokens
         FROM t GROUP BY conv_id
     """,
 }

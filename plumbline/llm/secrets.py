@@ -191,7 +191,10 @@ def redact(text: bytes, mask: bytes = b"[SECRET]") -> bytes:
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", text: str = "text") -> DataFrame:
-    """`docs` with the secrets in column `text` replaced; null texts stay null, other columns as they are."""
+    """`docs` with the secrets in column `text` replaced; null texts stay null, other columns as they are.
+
+    A row per row: equal rows stay equal. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
