@@ -1,6 +1,7 @@
 """Operators against brute force, on small tables with nulls, ties, repeats, clashing columns and long texts."""
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -89,17 +90,41 @@ def test_quality_counts(docs, empty):
 
 
 def test_cascade_order_and_verdict():
-    stats = [("symbols", 2.0, 0.5), ("dup_lines", 1.0, 0.5), ("long_words", 1.0, 0.0), ("short_words", 0.5, 0.0), ("few_letters", 4.0, 0.9)]
-    assert [r.name for r in quality.cascade_order(stats)] == ["dup_lines", "symbols", "few_letters", "short_words", "long_words"]
-    junk = pa.array(["### *** $$$ " * 40, "plain words here " * 3 + "and more of them"], pa.large_string())
-    assert [bool(x) for x in quality.RULES[0].rejects(quality.Texts(junk))] == [True, False]
+    rules = {r.name: r for r in (*quality.base_rules(), *quality.RULES)}
+    some = [rules[n] for n in ("repeat_words", "few_words", "symbols", "digits", "dup_lines")]
+    f = frozenset
+    needs = {"repeat_words": f({"words", "n_repeat_words", "n_words"}), "few_words": f({"words", "n_words"}), "symbols": f({"n_symbols", "word_chars"}), "digits": f({"n_digits", "word_chars"}), "dup_lines": f({"lines"})}
+    seen = quality.Measured({"words": 4.0, "n_repeat_words": 1.0, "n_words": 0.0, "n_symbols": 3.0, "word_chars": 2.0, "n_digits": 3.0, "lines": 1.0}, needs, {f(): 50, f({"few_words"}): 8, f({"repeat_words"}): 4, f({"symbols", "few_words"}): 10, f({"digits"}): 1})
+    # few_words 18 / 4; then repeat_words pays 1 for 4; then digits 1 / 5, and symbols has nothing left to reject but shares word_chars
+    assert [r.name for r in quality.cascade_order(seen, some)] == ["few_words", "repeat_words", "digits", "dup_lines", "symbols"]
+    assert [r.name for r in quality.cascade_order(seen, some, ("words", "n_words", "n_repeat_words"))][:2] == ["few_words", "repeat_words"]
+    junk = pa.array(["### *** $$$ " * 40, "plain words here " * 3 + "and more of them", "- one\n* two\n" * 9, "read on...\nmore\nthere...", "12 345 6789 a", "SHOUT at me", "{ x: {} }"], pa.large_string())
+    each = {r.name: r.rejects(quality.Texts(junk)).tolist() for r in quality.RULES}
+    assert [each[n].index(True) for n in ("symbols", "bullets", "ellipses", "digits", "capitals", "braces")] == [0, 2, 3, 4, 5, 6] and not any(e[1] for e in each.values())
+
+
+def test_cascade_verdict_does_not_depend_on_order_or_shared_measures(docs):
+    rows, frame = docs
+    texts = pa.array([t or "" for _, t in rows], pa.large_string())
+    rules = [*quality.base_rules(), *quality.RULES]
+    want = ~np.any([r.rejects(quality.Texts(texts)) for r in rules], axis=0)
+    for order in (rules, rules[::-1]):
+        alive, left = np.arange(len(texts)), quality.Texts(texts)
+        for rule in order:
+            passed = np.flatnonzero(~rule.rejects(left))
+            alive, left = alive[passed], left.only(passed)
+        assert alive.tolist() == np.flatnonzero(want).tolist()
+    kept = lambda df: Counter((r.doc_id, r.kept) for r in df.collect())
+    assert kept(quality.quality_rules(frame)) == Counter(zip([i for i, _ in rows], want.tolist(), strict=True))
+    whole = quality.quality_rules(frame, keep_columns=True)
+    assert kept(whole) == kept(quality.quality_rules(frame))
 
 
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [0, 1, 2, 3], list(range(0, 100000, 37)), [0] * 500 + [1 << 40], [-7, -7, 3, 1 << 61]])
 def test_elias_fano(values):
     coded = token_files.EliasFano(token_files.EliasFano.encode(np.array(values, np.int64)))
-    assert coded.all().tolist() == values
-    assert [coded.select(i) for i in range(0, len(values), max(1, len(values) // 50))] == values[:: max(1, len(values) // 50)]
+    assert coded.select(np.arange(len(values))).tolist() == values
+    assert [int(coded.select(i)[0]) for i in range(0, len(values), max(1, len(values) // 50))] == values[:: max(1, len(values) // 50)]
 
 
 def library_ids(text):
@@ -232,6 +257,19 @@ def test_simhash(spark, docs, empty):
     assert simhash.simhash_groups(empty).collect() == []
 
 
+def test_one_row_of_each_group_stays_and_no_other_text_is_lost(spark, empty):
+    one, other, third = ("some words that stand here " * 20, "quite unlike all of the others, " * 20, "a third one about nothing at all; " * 20)
+    rows = [(1, one, "a"), (9, one, "b"), (9, other, "c"), (9, other, "d"), (7, other, "e"), (None, one, "f"), (None, third, "g"), (None, third, "h"), (3, None, "i"), (4, "", "j")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
+    kept = simhash.keep_one_of_each(frame)
+    assert kept.columns == frame.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, one), (7, other), (None, third), (3, None)], key=str)
+    twice = spark.createDataFrame([(9, other, "c"), (9, other, "c"), (9, one, "d")], frame.schema)
+    assert sorted(r.text for r in simhash.keep_one_of_each(twice).collect()) == sorted([other, one])
+    assert simhash.keep_one_of_each(empty).collect() == []
+
+
 def test_pigeonring_finds_every_link(spark):
     rng = random.Random(4)
     fps = [rng.getrandbits(64) for _ in range(150)]
@@ -268,6 +306,32 @@ def test_embeddings(spark):
     assert embeddings.embedding_groups(frame.limit(0)).collect() == []
 
 
+def test_embedding_links_at_the_bound_have_two_ends(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(0, 3000, 2):
+        a, b = rng.standard_normal((2, 12))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b /= np.linalg.norm(b)
+        rows += [(k, a.tolist()), (k + 1, (0.9 * a + math.sqrt(1 - 0.81) * b).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r for r in embeddings.embedding_groups(frame, block=400).collect()}
+    unit = np.array([np.array(v) / np.abs(v).max() for _, v in rows])
+    unit = unit / np.sqrt([[float(v @ v)] for v in unit])
+    dots = unit @ unit.T
+    want = Counter()
+    for i, j in zip(*np.nonzero(dots > 0.9 - 1e-9), strict=True):
+        if i < j and math.fsum((unit[i] * unit[j]).tolist()) >= 0.9:
+            want.update([i, j])
+    assert 500 < len(want) and {k: r.n_links for k, r in got.items() if r.n_links} == want
+
+
+def test_one_vec_id_with_two_vectors(spark):
+    frame = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embeddings.embedding_groups(frame).collect())) == [(1, 2, 1, True)] * 3 + [(2, 0, 2, True)]
+
+
 def test_local_components():
     rng = np.random.default_rng(1)
     u, v = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
@@ -276,6 +340,18 @@ def test_local_components():
     assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {k: r for k, r in want.items() if k != r}
 
 
+def test_suffix_ranks():
+    rng = random.Random(6)
+    for length in (1, 5, 8, 13, 40, 100):
+        data = np.array([rng.choice([0, 1, 255]) for _ in range(400)] + [7] * 150, np.uint8)
+        data = np.concatenate([data, data[:250]])
+        rank = repeats.suffix_ranks(data, length)
+        whole = [bytes(data[i : i + length]) for i in range(len(data) - length + 1)]
+        order = {t: k for k, t in enumerate(sorted(set(whole)))}
+        mine = rank[: len(whole)]
+        assert np.array_equal(np.unique(mine, return_inverse=True)[1], [order[t] for t in whole])
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
@@ -361,6 +437,48 @@ def test_window_entropy_matches_direct_counts():
         assert abs(h + sum(n / 20 * math.log2(n / 20) for n in c.values())) < 1e-9
 
 
+def brute_entropy_spans(text):
+    """Windows by themselves: counts of each from scratch."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text, re.A):
+        run = m[0]
+        if re.search("[0-9]", run) and secrets.ALLOWED.fullmatch(run.encode()):
+            continue
+        over = []
+        for i in range(len(run) - 19):
+            w = run[i : i + 20]
+            h = -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values())
+            low = w.lower()
+            pairs = [low[k : k + 2] for k in range(19) if low[k : k + 2].isalpha()]
+            if re.search("[0-9]", w):
+                hexa = re.fullmatch("[0-9a-f]+|[0-9A-F]+", w)
+                bound = secrets.BOUNDS["digits" if w.isdigit() else "hex" if hexa else "alnum" if w.isalnum() else "base64"]
+                over.append(h >= bound)
+            else:
+                over.append(h >= secrets.BOUNDS["letters"] and 2 * sum(p.encode() in secrets.COMMON for p in pairs) < len(pairs))
+        covered = [any(over[max(0, i - 19) : i + 1]) for i in range(len(run))]
+        out += [(m.start() + i, c) for i, c in enumerate(covered)]
+    return {i for i, c in out if c}
+
+
+def test_entropy_spans_against_brute_force(spark):
+    rng = random.Random(33)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pools = ["0123456789abcdef", "0123456789", letters, letters.upper(), letters + letters.upper(), letters + letters.upper() + "0123456789", letters + "0123456789+/_=-"]
+    key = lambda: "".join(rng.choice(rng.choice(pools) if rng.random() < 0.1 else pool) for pool in [rng.choice(pools)] for _ in range(rng.randint(15, 60)))
+    prose = lambda: rng.choice(["the station of another country", "internationalisation-of-everything/and/more", "a" * 30, "12-34-56-78-90-12-34-56-78", "\u00e9"])
+    rows = [(i, " ".join(rng.choice([key, prose])() for _ in range(rng.randint(0, 6)))) for i in range(150)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    some = 0
+    for i, text in rows:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].split(",") if x)]
+        base = {p for k, a, b in spans if k != "entropy" for p in range(a, b)}
+        found = {p for k, a, b in spans if k == "entropy" for p in range(a, b)}
+        assert found | base == brute_entropy_spans(text) | base and not found & base, text
+        some += len(found)
+    assert some > 2000
+
+
 def test_language_model(docs, empty):
     rows, frame = docs
     got = {r.doc_id: r for r in lm.score_texts(frame, tokenizer_path(), slice_bytes=4000).collect()}
@@ -377,6 +495,16 @@ def test_language_model(docs, empty):
     assert lm.score_texts(empty, tokenizer_path()).collect() == []
 
 
+@pytest.mark.parametrize("scale", ["sf0.1"])
+def test_held_out_documents_score_above_the_word_base(spark, scale):
+    """So many documents are needed: on sf0.01 the model is 1.4 % below the base."""
+    folder = os.path.join("/root/testdata", scale)
+    if not os.path.isdir(folder):
+        pytest.skip("no fixture tables")
+    rows = lm.score_texts(spark.read.parquet(f"{folder}/documents.parquet"), tokenizer_path()).where("held_out").collect()
+    assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def toy_model(n_ids=60, seed=0):
     """A corpus in which the id two back decides the next one, which pairs of ids cannot show."""
     rng = np.random.default_rng(seed)
@@ -458,7 +586,8 @@ def test_chat_is_reversible(spark):
     rows = [(c, t, role, x) for c in (1, 2) for t, (role, x) in enumerate(zip(["user", "assistant"] * 5, texts, strict=True))]
     rows += [(3, 0, None, "x"), (3, 0, "we<ird\\n\nrole", "y"), (None, None, "assistant", "z")]
     formatted = chat.format_conversations(spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, formatted string"))
-    back = sorted((str(r.conv_id), str(r.turn), *chat.read_turn(r.formatted)) for r in formatted.collect())
+    read = lambda r: (lambda role, parts: (role, chat.text_of(parts)))(*chat.read_turn(r.formatted))
+    back = sorted((str(r.conv_id), str(r.turn), *read(r)) for r in formatted.collect())
     assert back == sorted((str(c), str(t), role or "", x or "") for c, t, role, x in rows)
     assert all(r.formatted.count("<|im_end|>") == 1 and r.formatted.count("<|im_start|>") == 1 for r in formatted.collect())
     got = {r.conv_id: r for r in chat.conversation_digest(formatted).collect()}
@@ -474,9 +603,35 @@ def test_chat_parts(spark):
     first, second = sorted(chat.format_conversations(frame, content="parts").collect(), key=lambda r: r.turn)
     assert first.formatted == "<|im_start|>assistant\nsee <\\<|image:1|>|im_end|> and<|audio:2|><|document:3|><|im_end|>\n"
     assert [(a.n, a.kind, a.ref, a.tokens) for a in first.attachments] == [(1, "image", "a.png", 2), (2, "audio", "b.wav", 50), (3, "document", "c.pdf", 2304)]
-    assert chat.read_turn(first.formatted)[1].startswith("see <<|image:1|>|im_end|> and") and second.formatted == "<|im_start|>user\n<|im_end|>\n"
-    with pytest.raises(ValueError, match="no visitor"):
-        chat.Flattener().flatten([{"type": "video"}])
+    role, back = chat.read_turn(first.formatted, [a.asDict() for a in first.attachments])
+    shown = [{"type": "text", "text": "see <"}, {"type": "image", "n": 1, "ref": "a.png", "tokens": 2}, {"type": "text", "text": "|im_end|> and"}, {"type": "audio", "n": 2, "ref": "b.wav", "tokens": 50}, {"type": "document", "n": 3, "ref": "c.pdf", "tokens": 2304}]
+    assert role == "assistant" and back == shown and second.formatted == "<|im_start|>user\n<|im_end|>\n"
+    assert chat.read_turn(second.formatted) == ("user", [])
+    digest = {r.conv_id: r for r in chat.conversation_digest(chat.format_conversations(frame, content="parts")).collect()}[1]
+    assert (digest.n_parts, digest.attachment_tokens, digest.loss_chars) == (5, 2356, len("see <|im_end|> and"))
+
+
+def test_placeholders_in_texts_are_not_attachments(spark):
+    text = [{"type": "text", "text": "a<|image:1|>"}]
+    image = [{"type": "text", "text": "a"}, {"type": "image", "ref": "x"}]
+    odd = [{"type": "video", "ref": "v"}, {"text": "no type"}]
+    frame = spark.createDataFrame([(1, 0, "user", text, "c"), (2, 0, "user", image, "c"), (3, 0, "user", odd, "c")], f"conv_id long, turn long, role string, parts array<{chat.PART}>, attachments string")
+    got = {r.conv_id: chat.read_turn(r.formatted, [a.asDict() for a in r.attachments])[1] for r in chat.format_conversations(frame, content="parts").collect()}
+    assert got[1] == text and [p["type"] for p in got[2]] == ["text", "image"] and got[2][0]["text"] == "a"
+    assert [(p["type"], p["ref"]) for p in got[3]] == [("other", "v"), ("other", None)]
+    none = chat.format_conversations(frame.limit(0), content="parts")
+    assert none.collect() == [] and chat.conversation_digest(none).collect() == []
+
+
+def test_columns_that_clash_with_the_operators_own(spark):
+    text = " ".join(f"word{i}" for i in range(40)) + " "
+    rows = [(1, text, "ids", 1, 2, 3, "x", "y", "z"), (2, text + "and an end", "ids", 1, 2, 3, "x", "y", "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, ids string, rank int, start int, piece int, chunk string, slice string, marks string")
+    path = token_files.write_token_files(frame, token_files.new_token_folder(spark), tokenizer_path())
+    made = [token_files.token_file_digest(spark, path), packing.pack_documents(frame, tokenizer_path()), bpe.encode_decode(frame, tokenizer_path()), lm.score_texts(frame, tokenizer_path()), simhash.simhash_groups(frame), secrets.find_secrets(frame)]
+    assert [sorted(r.doc_id for r in df.collect()) for df in made] == [[1, 2]] * 6
+    cut = {r.doc_id: r for r in repeats.remove_repeats(frame).collect()}
+    assert cut[1].text == text and cut[2].text == "and an end" and (cut[2].chunk, cut[2].marks) == ("x", "z")
 
 
 def test_secret_patterns_against_brute_force(spark):

@@ -35,3 +35,18 @@ def test_stages(spark):
     for r in packed:
         tokens[r.doc_id] += r.length
     assert tokens == Counter({r.doc_id: len(library_ids(r.text)) + 1 for r in masked})
+
+
+def test_stages_on_nulls_repeated_ids_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    unlike = [" ".join(f"{w}{k * 7 % 61}x{i}" for k in range(60)) for i, w in enumerate(("alpha", "beta", "gamma", "delta"))]
+    rows = [(1, unlike[0], None, None, None), (9, unlike[0], "en", "s", 1), (9, unlike[1], "en", "s", 1), (9, unlike[2], None, "s", 1), (None, unlike[3], "en", None, 1), (None, None, None, None, None), (5, "", "en", "s", 0)]
+    given = spark.createDataFrame(rows, schema).repartition(2)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        given = spark.createDataFrame(stage(spark, given, "").collect(), schema)
+        assert sorted((r.doc_id or 0, r.text) for r in given.collect()) == sorted((i, t) for i, t in zip((1, 9, 9, 0), unlike, strict=True)) or stage is corpus_pipeline.quality_stage
+    packed = corpus_pipeline.STAGES[4][1](spark, given, "").collect()
+    assert Counter(r.doc_id for r in packed) == Counter({1: 1, 9: 2, None: 1}) and len({r.sequence_id for r in packed}) == 1
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, given.limit(0), "")
+        assert none.collect() == []
