@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import packing, quality, repeats, secrets, simhash
 from plumbline.llm.queries import tokenizer_path
-from plumbline.operators.stash import stash
+from plumbline.operators.stash import discard, keep, scratch, stash
 from plumbline.sources.tables import table
 
 #: Packing and exact repeat removal have no SQL of their own; tests hold each stage against brute force.
@@ -33,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that of the smallest doc_id."""
+    """One row of each SimHash group stays: that of the smallest doc_id."""
     return simhash.keep_one_of_each(docs)
 
 
@@ -62,10 +62,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents, each on what the one before it wrote."""
+    """All stages over the whole table of documents, each on what the one before it wrote.
+
+    What a stage wrote on its way is removed once its result is, and its input with it.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stash(docs, f"pipeline-{k + 1}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            made = keep(stash(stage(spark, docs, sf_dir), f"pipeline-{k + 1}"))
+        discard(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
