@@ -32,6 +32,8 @@ SLACK = 1e-7
 #: Cosines this near to the bound are summed again without rounding between.
 CLOSE = 1e-12
 ROWS = 512
+#: Copies that one job takes, in blocks.
+RUN = 8
 
 
 def unit_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -169,35 +171,52 @@ def _one_dimension(classes: DataFrame, dim: int, cosine: float, block: int, samp
     cells = {c.cell: (c.n, c.far) for c in classes.select("v").mapInArrow(homes, "cell int, d double").groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("far")).collect()}
     blocks = np.array([-(-cells.get(c, (0, 0))[0] // block) for c in range(len(pivots))])
     far = np.array([cells.get(c, (0, -10.0))[1] for c in range(len(pivots))])
-    first = np.concatenate([[0], np.cumsum(blocks * blocks)])  # jobs are numbered cell by cell, one a pair of blocks
+
+    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distances from the pivots, homes, and (row, cell) of the copies."""
+        d = _distances(x, pivots)
+        home = d.argmin(1)
+        own = d[np.arange(len(d)), home][:, None]
+        # a neighbour y of x in cell j: d(y, pj) >= d(x, pj) - r, and pj is nearer to y than x's pivot
+        meets = (d <= far + r + SLACK) & (d <= own + 2 * r + SLACK) & (d**2 - own**2 <= 2 * r * _distances(pivots[home], pivots) + SLACK)
+        other = np.arange(len(pivots))
+        meets &= np.where((home[:, None] + other) % 2 == 0, other < home[:, None], other > home[:, None])
+        return d, home, *np.nonzero(meets)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = sum((np.bincount(places(_matrix(batch.column(0).slice(at, ROWS), dim))[3], minlength=len(pivots)) for at in range(0, batch.num_rows, ROWS)), np.zeros(len(pivots), int))
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(count[some], pa.int64())], names=["cell", "n"])
+
+    # one row a pivot: how many copies come to its cell, which are cut into runs of a few blocks' size
+    copies = {c.cell: c.n for c in classes.select("v").mapInArrow(visits, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    runs = np.array([max(1, math.ceil(copies.get(c, 0) / (RUN * block))) for c in range(len(pivots))])
+    # jobs are numbered cell by cell: one a pair of blocks, the first run of copies with each block's own, then one a block and further run
+    first = np.concatenate([[0], np.cumsum(blocks * (blocks + runs - 1))])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                x = _matrix(part.column(0), dim)
-                d = _distances(x, pivots)
-                home, rows = d.argmin(1), np.arange(len(d))
-                own = d[rows, home][:, None]
-                # a neighbour y of x in cell j: d(y, pj) >= d(x, pj) - r, and pj is nearer to y than x's pivot
-                meets = (d <= far + r + SLACK) & (d <= own + 2 * r + SLACK) & (d**2 - own**2 <= 2 * r * _distances(pivots[home], pivots) + SLACK)
-                other = np.arange(len(pivots))
-                meets &= np.where((home[:, None] + other) % 2 == 0, other < home[:, None], other > home[:, None])
-                # natives: one row for each block of their cell
-                b = blocks[home]
-                mine = (np.asarray(part.column(1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % b
-                row = np.repeat(rows, b)
-                with_ = np.arange(b.sum()) - np.repeat(np.cumsum(b) - b, b)
-                low, high = np.minimum(mine[row], with_), np.maximum(mine[row], with_)
-                job = first[home[row]] + low * b[row] + high
-                side = np.where(with_ == mine[row], OWN, np.where(low == mine[row], LEFT, RIGHT))
+                d, home, who, cell = places(_matrix(part.column(0), dim))
+                hashed = (np.asarray(part.column(1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                # natives: one row for each block of their cell, and one for each further run of copies
+                b, more = blocks[home], runs[home] - 1
+                row = np.repeat(np.arange(len(d)), b + more)
+                with_ = np.arange((b + more).sum()) - np.repeat(np.cumsum(b + more) - b - more, b + more)
+                mine, size = (hashed % b)[row], b[row]
+                low, high = np.minimum(mine, with_), np.maximum(mine, with_)
+                job = first[home[row]] + np.where(with_ < size, low * size + high, size * size + mine * more[row] + with_ - size)
+                side = np.where(with_ == mine, OWN, np.where((low == mine) | (with_ >= size), LEFT, RIGHT))
                 # copies: one row for each block of the other cell
-                who, cell = np.nonzero(meets)
                 many = blocks[cell]
                 who, cell, c = np.repeat(who, many), np.repeat(cell, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                run, size = hashed[who] // 7 % runs[cell], blocks[cell]
+                visit = first[cell] + np.where(run == 0, c * size + c, size * size + c * (runs[cell] - 1) + run - 1)
                 take = np.concatenate([row, who])
                 columns = [
-                    pa.array(np.concatenate([job, first[cell] + c * blocks[cell] + c]), pa.int64()), pa.array(np.concatenate([side, np.full(len(who), RIGHT)]), pa.int32()),
+                    pa.array(np.concatenate([job, visit]), pa.int64()), pa.array(np.concatenate([side, np.full(len(who), RIGHT)]), pa.int32()),
                     pa.array(np.concatenate([d[row, home[row]], d[who, cell]])), *(part.column(i).take(pa.array(take)) for i in (1, 2, 0)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["job", "side", "d", "key", "n", "v"])
