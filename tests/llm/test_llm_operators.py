@@ -285,7 +285,9 @@ def test_pigeonring_finds_every_link(spark):
     assert union_find(n, [(r.src, r.dst) for r in links]) == want
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("run", [8, 0.25])
+def test_embeddings(spark, monkeypatch, run):
+    monkeypatch.setattr(embeddings, "RUN", run)  # 0.25: copies in several runs a block
     rng = np.random.default_rng(8)
     rows, centre = [], rng.standard_normal((6, 16))
     for i in range(400):
