@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import hamming
 from plumbline.operators.components import connected_components
+from plumbline.operators.stash import stash
 
 
 def sign_bits(vector: str, bits: int = 64) -> Column:
@@ -17,25 +19,80 @@ def sign_bits(vector: str, bits: int = 64) -> Column:
     return F.aggregate(F.slice(marks, 1, 63), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).bitwiseOR(top)
 
 
+def coarse_bits(vector: str, groups: int = 16, each: int = 4) -> Column:
+    """The signs of sums of neighbouring components, as every `each`-th bit of a long: vectors that are alike get near fingerprints."""
+    total = lambda i: F.aggregate(F.slice(F.col(vector).cast("array<double>"), each * i + 1, each), F.lit(0.0), lambda a, x: a + x)
+    marks = [F.when(total(i) > 0, F.lit(1 << (each * i)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(groups)]
+    return reduce(lambda a, b: a.bitwiseOR(b), marks)
+
+
 def exact_classes(df: DataFrame, digest: str, key: str) -> DataFrame:
     """(digest, representative, copies) of every content; membership is the join on the digest."""
     return df.groupBy(digest).agg(F.min(key).alias("representative"), F.count("*").alias("copies"))
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, radius: int, same: Sequence[str] = ()) -> DataFrame:
+def _ring(radius: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of radius + 1 bands of 64 bits."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def hamming_pairs(df: DataFrame, key: str, bits: str, radius: int, same: Sequence[str] = (), block: int = 1024) -> DataFrame:
     """Pairs (left < right) of rows whose 64-bit fingerprints differ in 1 to `radius` bits.
 
-    Rows are classes of equal fingerprints. Of radius + 1 bands one at least is equal, so bands are an
-    equi-join; a pair is reported under its first equal band. `same` columns must agree.
+    Rows are classes of equal fingerprints. On a ring of radius + 1 bands some band is equal and the two
+    from there on differ in one bit at most, so one half of the next band is equal too: such a band and
+    half are a key, for which both sides meet. Keys with many rows are split into blocks, which meet block
+    by block. A pair is reported under its first common key. `same` columns must agree.
+    """
+    ring = _ring(radius)
+    take = lambda c, low, width: F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    halves = [(ring[i], half) for i in range(len(ring)) for low, width in [ring[(i + 1) % len(ring)]] for half in ((low, width // 2), (low + width // 2, width - width // 2))]
+    values = lambda c: [F.shiftleft(take(c, *whole), half[1]).bitwiseOR(take(c, *half)) for whole, half in halves]
+    keys = df.select(*same, F.col(key), F.col(bits), F.posexplode(F.array(*values(F.col(bits)))).alias("_i", "_v"))
+    counted = keys.groupBy(*same, "_i", "_v").agg(F.count("*").alias("_n")).where("_n > 1")
+    met = keys.join(counted, [*same, "_i", "_v"]).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("long"))
+    met = met.withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")))
+    dealt = met.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    dealt = dealt.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other"))
+    side = lambda s: dealt.select(*same, "_i", "_v", "_low", "_high", F.col("_block").alias(f"{s}_block"), F.col(key).alias(f"{s}_id"), F.col(bits).alias(f"{s}_bits"))
+    pairs = side("left").join(side("right"), [*same, "_i", "_v", "_low", "_high"]).where((F.col("left_id") < F.col("right_id")) & ((F.col("_low") == F.col("_high")) | (F.col("left_block") != F.col("right_block"))))
+    near = pairs.withColumn("distance", hamming(F.col("left_bits"), F.col("right_bits"))).where(f"distance between 1 and {radius}")
+    equal = F.array(*(a == b for a, b in zip(values(F.col("left_bits")), values(F.col("right_bits")), strict=True)))
+    return near.where(F.col("_i") == F.array_position(equal, True) - 1).select(*same, "left_id", "right_id", "distance")
+
+
+def duplicate_audit(df: DataFrame, key: str, digest: Sequence[str], near: DataFrame) -> DataFrame:
+    """(kind, left_id, right_id, distance): every exact copy linked to its class's first row, and the near pairs given.
+
+    A class of n copies gives n - 1 links, not all its pairs.
+    """
+    classes = df.groupBy(*digest).agg(F.min(key).alias("_low"), F.count("*").alias("_n")).where("_n > 1")
+    exact = df.join(classes, list(digest)).where(F.col(key) != F.col("_low")).select(F.lit("exact").alias("kind"), F.col("_low").alias("left_id"), F.col(key).alias("right_id"), F.lit(0).alias("distance"))
+    return exact.unionByName(near.select(F.lit("near").alias("kind"), "left_id", "right_id", F.col("distance").cast("int").alias("distance")))
+
+
+def spanning_edges(near: DataFrame, components: DataFrame, node: str) -> DataFrame:
+    """(left_id, right_id, distance): the links, in the order (distance, left_id, right_id), that each join two components not yet joined.
+
+    `near` has left_id, right_id, distance; `components` says where each node is to begin with. The order
+    is total, so these links are those that some component has as its first to another one, round by
+    round; components at least halve in number each round, and nothing is gathered on the driver.
     """
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    band = lambda c, i: F.shiftrightunsigned(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1).cast("long"))
-    bands = df.select(*same, F.col(key), F.col(bits), F.posexplode(F.array(*(band(F.col(bits), i) for i in range(n)))).alias("_i", "_v"))
-    side = lambda s: bands.select(*same, "_i", "_v", F.col(key).alias(f"{s}_id"), F.col(bits).alias(f"{s}_bits"))
-    met = side("left").join(side("right"), [*same, "_i", "_v"]).where("left_id < right_id").withColumn("distance", hamming(F.col("left_bits"), F.col("right_bits")))
-    equal = F.array(*(band(F.col("left_bits"), i) == band(F.col("right_bits"), i) for i in range(n)))
-    return met.where((F.col("distance") <= radius) & (F.col("_i") == F.array_position(equal, True) - 1)).select(*same, "left_id", "right_id", "distance")
+    side = lambda s: components.select(F.col(node).alias(f"{s}_id"), F.col("component").alias(f"{s}_c"))
+    across = F.col("left_c") != F.col("right_c")
+    links = stash(near.select("left_id", "right_id", "distance").join(side("left"), "left_id").join(side("right"), "right_id").where(across), "links")
+    link = F.struct("distance", "left_id", "right_id", "left_c", "right_c").alias("e")
+    kept = links.limit(0).select("left_id", "right_id", "distance")
+    while not links.isEmpty():
+        ends = links.select(F.col("left_c").alias("c"), link).unionByName(links.select(F.col("right_c").alias("c"), link))
+        first = stash(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), "first-links")
+        kept = kept.unionByName(first.select("left_id", "right_id", "distance"))
+        moved = connected_components(first.select(F.col("left_c").alias("src"), F.col("right_c").alias("dst")))
+        for c in ("left_c", "right_c"):
+            links = links.join(moved.select(F.col("node").alias(c), F.col("component").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        links = stash(links.where(across), "links")
+    return kept
 
 
 def group_components(records: DataFrame, digest: str, group: str, near: DataFrame | None = None) -> DataFrame:

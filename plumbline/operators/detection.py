@@ -52,36 +52,47 @@ def match_boxes(pairs: DataFrame, key: Sequence[str], threshold: str) -> DataFra
     return ordered.mapInArrow(walk, schema)
 
 
+def _running(unit: Sequence[str], order: Sequence) -> tuple:
+    """Windows over a unit that is cut into buckets of score: up to a row in its bucket, from it on, and over the buckets before and after."""
+    own, all_ = Window.partitionBy(*unit, "_b").orderBy(*order), Window.partitionBy(*unit).orderBy(F.desc("_b"))
+    return own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing), all_.rowsBetween(Window.unboundedPreceding, -1), all_.rowsBetween(1, Window.unboundedFollowing)
+
+
 def detection_precision(truth: DataFrame, predicted: DataFrame, record: str, concept: str, thresholds: Sequence[float]) -> DataFrame:
-    """Envelope average precision per concept and overlap threshold; overlap is computed once, thresholds are a column.
+    """Per concept and overlap threshold: truths, matches (tp), detections without (fp), truths without (missed), envelope average precision.
 
-    A concept with truths and no detection has 0, one without truths null.
+    Detections are ranked once; only pairs that overlap are repeated for the thresholds. Precision is
+    best where a detection matches, so the envelope follows from the matches and their ranks alone. A
+    concept with truths and no detection has an ap of 0, one without truths null. No concept is sorted
+    in one task: ranks are those inside a bucket of scores plus the totals of the buckets before.
     """
-    key = [record, concept]
+    key, unit = [record, concept], [concept, "threshold"]
     marks = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
+    scored = predicted.select(*key, "detection_id", "score", F.floor(F.col("score") * 1024).alias("_b"))
+    upto, _, before, _ = _running([concept], [F.desc("score"), record, "detection_id"])
+    totals = scored.groupBy(concept, "_b").agg(F.count("*").alias("_n")).select(concept, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = scored.withColumn("_own", F.count("*").over(upto)).join(totals, [concept, "_b"]).select(*key, "detection_id", "_b", (F.col("_own") + F.col("_before")).alias("n"))
     pairs = box_pairs(truth, predicted, key, min(thresholds))
-    hits = match_boxes(pairs.select("*", marks), key, "threshold").select(*key, "threshold", "detection_id", F.lit(1).alias("tp"))
-    scored = predicted.select(*key, "detection_id", "score", marks).join(hits, [*key, "threshold", "detection_id"], "left").fillna(0, ["tp"])
-    # precision and recall after each detection of a concept, from per-bucket totals and ranks inside buckets
-    rank = [F.desc("score"), record, "detection_id"]
-    scored = scored.withColumn("_b", F.floor(F.col("score") * 1024))
-    unit = [concept, "threshold"]
-    own = Window.partitionBy(*unit, "_b").orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)
-    higher = Window.partitionBy(*unit).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = scored.groupBy(*unit, "_b").agg(F.count("*").alias("bn"), F.sum("tp").alias("bt"))
-    totals = totals.select(*unit, "_b", F.coalesce(F.sum("bn").over(higher), F.lit(0)).alias("bn"), F.coalesce(F.sum("bt").over(higher), F.lit(0)).alias("bt"))
-    curve = scored.withColumn("n", F.count("*").over(own)).withColumn("t", F.sum("tp").over(own)).join(totals, [*unit, "_b"])
-    curve = curve.select(*unit, "_b", "tp", *(c if isinstance(c, str) else "score" for c in rank), ((F.col("t") + F.col("bt")) / (F.col("n") + F.col("bn"))).alias("precision"))
-    # the envelope: the best precision at this recall or a higher one
-    later = Window.partitionBy(*unit, "_b").orderBy(*rank).rowsBetween(0, Window.unboundedFollowing)
-    lower = Window.partitionBy(*unit).orderBy(F.desc("_b")).rowsBetween(1, Window.unboundedFollowing)
-    best = curve.groupBy(*unit, "_b").agg(F.max("precision").alias("m")).select(*unit, "_b", F.max("m").over(lower).alias("beyond"))
-    envelope = curve.withColumn("m", F.max("precision").over(later)).join(best, [*unit, "_b"])
-    area = envelope.groupBy(*unit).agg(F.sum(F.col("tp") * F.greatest("m", "beyond")).alias("area"))
-    counts = truth.groupBy(concept).agg(F.count("*").alias("truths"))
+    hits = match_boxes(pairs.select("*", marks), key, "threshold").join(ranked, [*key, "detection_id"]).select(*unit, "_b", "n")
+    upto, on, before, after = _running(unit, ["n"])
+    totals = hits.groupBy(*unit, "_b").agg(F.count("*").alias("_n")).select(*unit, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    curve = hits.withColumn("_own", F.count("*").over(upto)).join(totals, [*unit, "_b"]).withColumn("precision", (F.col("_own") + F.col("_before")) / F.col("n"))
+    later = curve.groupBy(*unit, "_b").agg(F.max("precision").alias("_m")).select(*unit, "_b", F.max("_m").over(after).alias("_later"))
+    envelope = curve.withColumn("_m", F.max("precision").over(on)).join(later, [*unit, "_b"])
+    area = envelope.groupBy(*unit).agg(F.sum(F.greatest("_m", "_later")).alias("_area"), F.count("*").alias("tp"))
+    count = lambda df, name: df.groupBy(concept).agg(F.count("*").alias(name))
     grid = predicted.select(concept).unionByName(truth.select(concept)).distinct().select(concept, marks)
-    out = grid.join(counts, concept, "left").join(area, unit, "left")
-    return out.select(concept, "threshold", F.coalesce("truths", F.lit(0)).alias("truths"), F.when(F.col("truths") > 0, F.coalesce("area", F.lit(0.0)) / F.col("truths")).alias("ap"))
+    out = grid.join(count(truth, "truths"), concept, "left").join(count(predicted, "_told"), concept, "left").join(area, unit, "left").fillna(0, ["truths", "_told", "tp"])
+    ap = F.when(F.col("truths") > 0, F.coalesce("_area", F.lit(0.0)) / F.col("truths"))
+    return out.select(*unit, "truths", "tp", (F.col("_told") - F.col("tp")).alias("fp"), (F.col("truths") - F.col("tp")).alias("missed"), ap.alias("ap"))
+
+
+def detection_summary(precision: DataFrame, concept: str, at: float = 0.5) -> DataFrame:
+    """Per concept, from `detection_precision`: counts and ap at one overlap, and the mean ap over all overlaps; and a row of means (concept null)."""
+    here = F.abs(F.col("threshold") - at) < 1e-9
+    per = precision.groupBy(concept).agg(*(F.max(F.when(here, F.col(c))).alias(c) for c in ("truths", "tp", "fp", "missed")), F.max(F.when(here, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
+    total = per.agg(*(F.sum(c).alias(c) for c in ("truths", "tp", "fp", "missed")), F.avg("ap50").alias("ap50"), F.avg("ap50_95").alias("ap50_95"))
+    return per.unionByName(total.withColumn(concept, F.lit(None).cast(per.schema[concept].dataType)))
 
 
 def concept_scores(predicted: DataFrame, records: DataFrame, record: str, concept: str, concepts: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +51,23 @@ class Policy:
     alarm: float | None = None
 
 
+# The grid of alarm policies.
+POLICY_BETAS = (0.70, 0.85)
+POLICY_MEMORY = (2, 3)
+POLICY_BANDS = ((0.30, 0.60), (0.40, 0.70))
+POLICY_ALARMS = (0.80,)
+POLICY_ABSTENTION = tuple(k / 100 for k in range(10, 91, 5))
+
+
+def policy_grid() -> list[dict]:
+    """All combinations, in the order of their complexity rank."""
+    every = product(POLICY_BETAS, POLICY_MEMORY, POLICY_BANDS, POLICY_ALARMS, POLICY_ABSTENTION)
+    return [
+        {"candidate_id": f"b{beta:.2f}_k{k}_l{low:.2f}_h{high:.2f}_a{alarm:.2f}_u{least:.2f}", "beta": beta, "k": float(k), "low": low, "high": high, "alarm": alarm, "abstention": least, "complexity_rank": rank}
+        for rank, (beta, k, (low, high), alarm, least) in enumerate(every)
+    ]
+
+
 STATES = ("normal", "attention", "prewarning", "alarm")
 
 

@@ -8,24 +8,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def extract_events(df: DataFrame, unit: Sequence[str], position: str, flag: Column, continuity: float, merge_gap: float = 0) -> DataFrame:
+def extract_events(df: DataFrame, unit: Sequence[str], position: str, flag: Column, continuity: float | Column, merge_gap: float = 0) -> DataFrame:
     """Runs of flagged positions as events (unit, event_id from 1, start, end, positions), both ends included.
 
-    A gap over the larger of `continuity` and `merge_gap` begins a new event. Units without a flagged
-    position have no event. Repeated positions count each; null flags are false.
+    A gap over the larger of `continuity` (a number, or a column that is one number a unit) and `merge_gap`
+    begins a new event. Units without a flagged position have no event. Repeated positions count each;
+    null flags are false.
     """
     w = Window.partitionBy(*unit).orderBy(position)
     hits = df.where(F.coalesce(flag, F.lit(False)))
-    opens = F.coalesce(F.col(position) - F.lag(position).over(w) > max(continuity, merge_gap), F.lit(True)).cast("int")
+    reach = F.greatest(continuity if isinstance(continuity, Column) else F.lit(continuity), F.lit(merge_gap))
+    opens = F.coalesce(F.col(position) - F.lag(position).over(w) > reach, F.lit(True)).cast("int")
     numbered = hits.withColumn("_open", opens).withColumn("event_id", F.sum("_open").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*unit, "event_id").agg(F.min(position).alias("start"), F.max(position).alias("end"), F.count("*").alias("positions"))
 
 
-def eligible_pairs(truth: DataFrame, predicted: DataFrame, unit: Sequence[str], lookback: float) -> DataFrame:
-    """Pairs of a unit in which the prediction starts within [truth.start - lookback, truth.end]."""
-    t = truth.select(*unit, F.col("event_id").alias("truth_id"), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    p = predicted.select(*unit, F.col("event_id").alias("pred_id"), F.col("start").alias("p_start"))
-    return t.join(p, list(unit)).where((F.col("p_start") >= F.col("t_start") - lookback) & (F.col("p_start") <= F.col("t_end")))
+def unit_continuity(df: DataFrame, unit: Sequence[str], position: str, otherwise: float) -> DataFrame:
+    """(unit, continuity, n): the median gap between neighbouring positions (`otherwise` with one row), and the rows."""
+    gap = F.col(position) - F.lag(position).over(Window.partitionBy(*unit).orderBy(position))
+    gaps = df.select(*unit, gap.alias("_gap"))
+    return gaps.groupBy(*unit).agg(F.coalesce(F.percentile("_gap", 0.5), F.lit(float(otherwise))).alias("continuity"), F.count("*").alias("n"))
+
+
+def eligible_pairs(truth: DataFrame, predicted: DataFrame, unit: Sequence[str], lookback: float, width: float | None = None) -> DataFrame:
+    """Pairs of a unit in which the prediction starts within [truth.start - lookback, truth.end].
+
+    Both sides meet in buckets of `width` along the positions (the lookback, if there is one), so that a
+    unit with very many events is not joined all with all.
+    """
+    width = width or lookback or 32
+    place = lambda c: F.floor(c / width)
+    spans = F.sequence(place(F.col("start") - lookback), place(F.col("end")))
+    t = truth.select(*unit, F.col("event_id").alias("truth_id"), F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.explode(spans).alias("_bucket"))
+    p = predicted.select(*unit, F.col("event_id").alias("pred_id"), F.col("start").alias("p_start"), place(F.col("start")).alias("_bucket"))
+    return t.join(p, [*unit, "_bucket"]).where((F.col("p_start") >= F.col("t_start") - lookback) & (F.col("p_start") <= F.col("t_end"))).drop("_bucket")
 
 
 def match_events(truth: DataFrame, predicted: DataFrame, unit: Sequence[str], lookback: float) -> DataFrame:
@@ -33,23 +49,26 @@ def match_events(truth: DataFrame, predicted: DataFrame, unit: Sequence[str], lo
 
     Predictions by start, then id, each take the eligible unmatched truth that ends first (then the
     smaller id). The choice depends on all before it, so a unit's eligible pairs are walked in order: they
-    stream through a sorted partition, and only the ids taken so far in the open unit are kept.
+    stream through a sorted partition, and of the open unit only the truths taken that have not ended
+    before the current prediction are kept.
     """
     pairs = eligible_pairs(truth, predicted, unit, lookback).select(*unit, "p_start", "pred_id", "t_end", "truth_id", "t_start")
     n = len(unit)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, taken_p, taken_t = None, set(), set()
+        key, last, taken = None, None, {}
         for batch in batches:
             keep, columns = [], [c.to_pylist() for c in batch.columns]
             for i, now in enumerate(zip(*columns[:n], strict=True)):
                 if now != key:
-                    key, taken_p, taken_t = now, set(), set()
+                    key, last, taken = now, None, {}
                 pred, true = columns[n + 1][i], columns[n + 3][i]
-                if pred not in taken_p and true not in taken_t:
-                    taken_p.add(pred)
-                    taken_t.add(true)
+                if pred != last and true not in taken:  # a prediction's pairs follow each other
+                    last = pred
+                    taken[true] = columns[n + 2][i]
                     keep.append(i)
+                    if len(taken) > 1024:
+                        taken = {k: end for k, end in taken.items() if end >= columns[n][i]}
             found = batch.take(pa.array(keep, pa.int64()))
             lead = pa.array([float(columns[n + 4][i] - columns[n][i]) for i in keep], pa.float64())
             yield pa.RecordBatch.from_arrays([*(found.column(k) for k in range(n)), found.column(n + 3), found.column(n + 1), lead], names=[*unit, "truth_id", "pred_id", "lead"])
@@ -62,8 +81,8 @@ def match_events(truth: DataFrame, predicted: DataFrame, unit: Sequence[str], lo
 def event_summary(units: DataFrame, truth: DataFrame, predicted: DataFrame, matched: DataFrame, unit: Sequence[str]) -> DataFrame:
     """Per unit: truths, predictions, matches, precision, recall, F1, miss rate.
 
-    Without truths, recall and miss rate are null; without predictions, precision is; F1 is null only
-    without truths, else 2 * matched / (truths + predictions).
+    Without truths, recall, F1 and miss rate are null, and so is precision without predictions; with
+    truths and no prediction, precision and F1 are 0. F1 is 2 * matched / (truths + predictions).
     """
     count = lambda df, name: df.groupBy(*unit).agg(F.count("*").alias(name))
     out = units.select(*unit).distinct()
@@ -71,57 +90,90 @@ def event_summary(units: DataFrame, truth: DataFrame, predicted: DataFrame, matc
         out = out.join(count(df, name), list(unit), "left").fillna(0, [name])
     t, p, m = F.col("truths"), F.col("predictions"), F.col("matched")
     return out.select(
-        *unit, "truths", "predictions", "matched", F.try_divide(m, p).alias("precision"), F.try_divide(m, t).alias("recall"),
+        *unit, "truths", "predictions", "matched", F.coalesce(F.try_divide(m, p), F.when(t > 0, 0.0)).alias("precision"), F.try_divide(m, t).alias("recall"),
         F.when(t > 0, F.try_divide(2 * m, t + p)).alias("f1"), F.when(t > 0, 1 - F.try_divide(m, t)).alias("miss_rate"),
     )
 
 
-def sensor_evaluation(df: DataFrame, unit: Sequence[str], position: str, value: str, score: str, risk: float, threshold: float, continuity: float, merge_gap: float, horizon: float) -> DataFrame:
-    """Event metrics of a score against a risk value per unit, with lead-time quartiles and false alarms per hour."""
-    truth = extract_events(df, unit, position, F.col(value) >= risk, continuity, merge_gap)
-    predicted = extract_events(df, unit, position, F.col(score) >= threshold, continuity, merge_gap)
+def sensor_evaluation(df: DataFrame, unit: Sequence[str], position: str, value: str, score: str, risk: float, threshold: float, merge_gap: float, horizon: float, stride: float, ticks: float = 1) -> DataFrame:
+    """Event metrics of a score against a risk value per unit: lead times in seconds, false alarms per hour.
+
+    A unit's events run on over gaps up to its median gap between positions (`stride` with one position).
+    Its exposure is that gap times its positions. `ticks` positions are a second; `merge_gap`, `horizon`
+    and `stride` are in positions.
+    """
+    known = unit_continuity(df, unit, position, stride)
+    rows = df.select(*unit, position, F.col(value).alias("_value"), F.col(score).alias("_score")).join(known, list(unit))
+    truth = extract_events(rows, unit, position, F.col("_value") >= risk, F.col("continuity"), merge_gap)
+    predicted = extract_events(rows, unit, position, F.col("_score") >= threshold, F.col("continuity"), merge_gap)
     matched = match_events(truth, predicted, unit, horizon)
-    lead = matched.groupBy(*unit).agg(*(F.percentile("lead", q).alias(f"lead_p{int(100 * q)}") for q in (0.25, 0.5, 0.75)))
-    hours = df.groupBy(*unit).agg(((F.max(position) - F.min(position)) / 3600).alias("hours"))
+    at = lambda q: F.percentile(F.col("lead") / ticks, q)
+    lead = matched.groupBy(*unit).agg(at(0.25).alias("lead_p25"), at(0.5).alias("lead_p50"), at(0.75).alias("lead_p75"))
+    hours = known.select(*unit, (F.col("continuity") * F.col("n") / (3600.0 * ticks)).alias("hours"))
     out = event_summary(df, truth, predicted, matched, unit).join(hours, list(unit)).join(lead, list(unit), "left")
-    return out.withColumn("false_alarms_per_hour", F.try_divide(F.col("predictions") - F.col("matched"), F.col("hours")))
+    return out.withColumn("lead_iqr", F.col("lead_p75") - F.col("lead_p25")).withColumn("false_alarms_per_hour", F.try_divide(F.col("predictions") - F.col("matched"), F.col("hours")))
 
 
 POSITIVE = ("prewarning", "alarm")
 
 
-def episode_evaluation(df: DataFrame, episode: str, step: str, truth: str, state: str) -> DataFrame:
+def episode_evaluation(df: DataFrame, episode: Sequence[str], step: str, truth: str, state: str) -> DataFrame:
     """Event metrics of a state sequence per episode: steps one apart are continuous, nothing looks back.
 
-    Abstention breaks an event and counts against coverage; flips are changes of the positive state
-    between steps that follow each other.
+    Abstention breaks an event and counts against coverage. A flip is any change of state from a row to
+    the next. Delays are steps from a truth's start to the prediction's; `delay_total` adds them up.
     """
     positive = F.col(state).isin(*POSITIVE)
-    true = extract_events(df, [episode], step, F.col(truth) == 1, 1)
-    told = extract_events(df, [episode], step, positive, 1)
-    matched = match_events(true, told, [episode], 0)
-    w = Window.partitionBy(episode).orderBy(step)
-    flip = (F.lag(step).over(w) == F.col(step) - 1) & (F.lag(positive).over(w) != positive)
-    shape = df.withColumn("_flip", F.coalesce(flip, F.lit(False)).cast("int")).groupBy(episode).agg(F.avg((F.col(state) != "abstain").cast("double")).alias("coverage"), F.sum("_flip").alias("flips"), F.count("*").alias("steps"))
-    delay = matched.groupBy(episode).agg(F.avg(-F.col("lead")).alias("mean_delay"))
-    return event_summary(df, true, told, matched, [episode]).join(shape, episode).join(delay, episode, "left")
+    true = extract_events(df, episode, step, F.col(truth) == 1, 1)
+    told = extract_events(df, episode, step, positive, 1)
+    matched = match_events(true, told, episode, 0)
+    before = F.lag(state).over(Window.partitionBy(*episode).orderBy(step))
+    marked = df.withColumn("_flip", F.coalesce(before != F.col(state), F.lit(False)))
+    shape = marked.groupBy(*episode).agg(F.count_if(F.col(state) != "abstain").alias("answered"), F.count_if("_flip").alias("flips"), F.count("*").alias("steps"))
+    delay = matched.groupBy(*episode).agg(F.sum(-F.col("lead")).alias("delay_total"))
+    out = event_summary(df, true, told, matched, episode).join(shape, list(episode)).join(delay, list(episode), "left")
+    return out.withColumn("coverage", F.col("answered") / F.col("steps")).withColumn("mean_delay", F.try_divide("delay_total", "matched"))
+
+
+def policy_metrics(episodes: DataFrame, policy: Sequence[str], concept: str, slowest: float = 32.0) -> DataFrame:
+    """Per policy, from evaluated episodes: coverage, false alarms, miss rate, delay and flips pooled over all, F1 the mean of concepts'.
+
+    Without truths the miss rate is 0, without an eligible concept F1 is 0, without a match the delay is `slowest`.
+    """
+    sums = [F.sum(c).alias(c) for c in ("truths", "predictions", "matched", "answered", "steps", "flips", "delay_total")]
+    per = episodes.groupBy(*policy, concept).agg(*sums, F.count("*").alias("episodes"))
+    of = {c: F.sum(c) for c in ("truths", "predictions", "matched", "answered", "steps", "flips", "delay_total", "episodes")}
+    f1 = F.when(F.col("truths") > 0, 2 * F.col("matched") / (F.col("truths") + F.col("predictions")))
+    return per.groupBy(*policy).agg(
+        (of["answered"] / of["steps"]).alias("answer_coverage"), (100 * (of["predictions"] - of["matched"]) / of["episodes"]).alias("false_alarms_per_100_episodes"),
+        F.coalesce(1 - F.try_divide(of["matched"], of["truths"]), F.lit(0.0)).alias("event_miss_rate"), F.coalesce(F.avg(f1), F.lit(0.0)).alias("event_macro_f1"),
+        F.coalesce(F.try_divide(of["delay_total"], of["matched"]), F.lit(slowest)).alias("mean_detection_delay_steps"), (of["flips"] / of["episodes"]).alias("mean_state_flips_per_episode"),
+    )
+
+
+# The grid of score thresholds, in hundredths.
+THRESHOLDS = tuple(k / 100 for k in range(10, 91, 5))
 
 
-def threshold_candidates(df: DataFrame, unit: Sequence[str], family: str, position: str, value: str, score: str, risk: float, thresholds: Sequence[float], continuity: float, merge_gap: float, horizon: float) -> DataFrame:
+def threshold_candidates(df: DataFrame, unit: Sequence[str], family: str, position: str, value: str, score: str, risk: float, merge_gap: float, horizon: float, stride: float, ticks: float = 1, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """One row per family and threshold: false alarms per hour, macro F1, miss rate, pooled over units.
 
-    The rows that a threshold flags are repeated for it; the walk over events runs per unit and threshold.
+    Continuity and exposure are those of `sensor_evaluation`. The rows that a threshold flags are repeated
+    for it; the walk over events runs per unit and threshold.
     """
-    marks = F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col(score))).alias("threshold")
     key = [family, *unit]
-    told = extract_events(df.select(*key, position, marks), [*key, "threshold"], position, F.lit(True), continuity, merge_gap)
-    truth = extract_events(df, key, position, F.col(value) >= risk, continuity, merge_gap)
-    grid = df.select(*key).distinct().withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    true = truth.join(grid, key)
+    known = unit_continuity(df, key, position, stride)
+    rows = df.select(*key, position, F.col(value).alias("_value"), F.col(score).alias("_score")).join(known, key)
+    marks = F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("_score"))).alias("threshold")
+    told = extract_events(rows.select(*key, position, "continuity", marks), [*key, "threshold"], position, F.lit(True), F.col("continuity"), merge_gap)
+    truth = extract_events(rows, key, position, F.col("_value") >= risk, F.col("continuity"), merge_gap)
+    each = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
+    grid = known.select(*key, each)
+    true = truth.select("*", each)
     matched = match_events(true, told, [*key, "threshold"], horizon)
     per = event_summary(grid, true, told, matched, [*key, "threshold"])
-    hours = df.groupBy(*key).agg(((F.max(position) - F.min(position)) / 3600).alias("hours"))
+    hours = known.select(*key, (F.col("continuity") * F.col("n") / (3600.0 * ticks)).alias("hours"))
     return per.join(hours, key).groupBy(family, "threshold").agg(
         F.try_divide(F.sum(F.col("predictions") - F.col("matched")), F.sum("hours")).alias("false_alarms_per_hour"), F.avg("f1").alias("event_macro_f1"),
         (1 - F.try_divide(F.sum("matched"), F.sum("truths"))).alias("event_miss_rate"),
-    ).select(F.concat_ws("@", family, F.col("threshold").cast("string")).alias("candidate_id"), F.col(family).alias("family_id"), "threshold", "false_alarms_per_hour", "event_macro_f1", "event_miss_rate")
+    ).select(F.format_string("%s@%.2f", F.col(family), F.col("threshold")).alias("candidate_id"), F.col(family).alias("family_id"), "threshold", "false_alarms_per_hour", "event_macro_f1", "event_miss_rate")

@@ -67,27 +67,30 @@ def paired_table(df: DataFrame, unit: Sequence[str], family: str, value: str, le
     return wide.withColumn("difference", F.col("left") - F.col("right"))
 
 
-def paired_bootstrap(pairs: DataFrame, repeat: str, unit: str, difference: str, draws: int, seed: int) -> DataFrame:
-    """(draw, mean): means over repeats of the means of units drawn with replacement inside each repeat.
+def paired_bootstrap(pairs: DataFrame, repeat: str, unit: str, difference: str, draws: int, seed: int, contrast: Sequence[str] = ()) -> DataFrame:
+    """(contrast, draw, mean): means over repeats of the means of units drawn with replacement inside each repeat.
 
-    Unit k of a draw is the unit whose number is a hash of (seed, draw, repeat, k), so any engine can draw
-    the same. Rows grow with draws times units; units are evaluation groups, not records.
+    Unit k of a draw is the unit whose number is a hash of (seed, contrast, draw, repeat, k), so any engine
+    can draw the same. Rows grow with draws times units; units are evaluation groups, not records.
     """
-    w = Window.partitionBy(repeat)
-    numbered = pairs.select(repeat, unit, difference).withColumn("k", F.row_number().over(w.orderBy(unit)) - 1).withColumn("n", F.count("*").over(w))
-    drawn = numbered.select(repeat, "k", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    pick = F.conv(F.substring(joined_sha256(seed, "draw", repeat, "k"), 1, 8), 16, 10).cast("long") % F.col("n")
-    chosen = drawn.select(repeat, "draw", pick.alias("k")).join(numbered.select(repeat, F.col("k").cast("long").alias("k"), difference), [repeat, "k"])
-    per = chosen.groupBy("draw", repeat).agg(F.avg(difference).alias("m"))
-    return per.groupBy("draw").agg(F.avg("m").alias("mean"))
-
-
-def interval(means: DataFrame) -> DataFrame:
-    """Percentile interval and two-sided p value of bootstrap means."""
+    cell = [*contrast, repeat]
+    w = Window.partitionBy(*cell)
+    numbered = pairs.select(*cell, unit, difference).withColumn("k", F.row_number().over(w.orderBy(unit)) - 1).withColumn("n", F.count("*").over(w))
+    drawn = numbered.select(*cell, "k", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    pick = F.conv(F.substring(joined_sha256(seed, *contrast, "draw", repeat, "k"), 1, 8), 16, 10).cast("long") % F.col("n")
+    chosen = drawn.select(*cell, "draw", pick.alias("k")).join(numbered.select(*cell, F.col("k").cast("long").alias("k"), difference), [*cell, "k"])
+    per = chosen.groupBy(*contrast, "draw", repeat).agg(F.avg(difference).alias("m"))
+    return per.groupBy(*contrast, "draw").agg(F.avg("m").alias("mean"))
+
+
+def interval(pairs: DataFrame, means: DataFrame, repeat: str, difference: str, contrast: Sequence[str] = ()) -> DataFrame:
+    """Per contrast: the effect (mean of the repeats' means in the data), and the percentile interval and two-sided p value of its bootstrap means."""
     share = lambda c: F.avg(c.cast("double"))
-    m = F.col("mean")
+    m, key = F.col("mean"), [*contrast, "_one"]
     p = F.least(F.lit(1.0), 2 * F.least(share(m <= 0), share(m >= 0)))
-    return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.avg("mean").alias("estimate"), p.alias("p_value"))
+    drawn = means.withColumn("_one", F.lit(1)).groupBy(*key).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), p.alias("p_value"))
+    effect = pairs.withColumn("_one", F.lit(1)).groupBy(*key, repeat).agg(F.avg(difference).alias("_m")).groupBy(*key).agg(F.avg("_m").alias("estimate"))
+    return effect.join(drawn, key).drop("_one")
 
 
 def holm(df: DataFrame, key: str, p: str, family: Sequence[str] = ()) -> DataFrame:
@@ -99,8 +102,8 @@ def holm(df: DataFrame, key: str, p: str, family: Sequence[str] = ()) -> DataFra
 
 
 def contrast_decision(estimate: Column, low: Column, high: Column, p: Column, effect: float, alpha: float = 0.05) -> Column:
-    """'negative', 'support' or 'inconclusive' from an interval, an adjusted p value and the least effect that matters."""
-    return F.when((high < 0) & (p <= alpha), "negative").when((low > 0) & (estimate >= effect) & (p <= alpha), "support").otherwise("inconclusive")
+    """'negative' (the interval lies below 0), 'support' (above it, with an effect that matters and a p value that holds) or 'inconclusive'."""
+    return F.when(high < 0, "negative").when((low > 0) & (estimate >= effect) & (p <= alpha), "support").otherwise("inconclusive")
 
 
 def mean_interval(value: str) -> list[Column]:

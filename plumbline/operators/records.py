@@ -96,32 +96,6 @@ def vector_correlation(a: Column, b: Column) -> Column:
     return F.try_divide(dot, F.sqrt(va * vb))
 
 
-def spanning_edges(near: DataFrame, components: DataFrame, node: str, most: int = 1_000_000) -> list[tuple]:
-    """Near links, in the order (distance, left, right), that each join two components not yet joined.
-
-    `near` has left_id, right_id, distance. Links inside one exact component are left out by the join; the
-    rest are confirmed links between few groups, and more than `most` of them are an error.
-    """
-    side = lambda s: components.select(F.col(node).alias(f"{s}_id"), F.col("component").alias(f"{s}_c"))
-    across = near.join(side("left"), "left_id").join(side("right"), "right_id").where("left_c <> right_c")
-    if across.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} links between components")
-    parent: dict = {}
-
-    def find(x):
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    kept = []
-    for r in across.orderBy("distance", "left_id", "right_id").collect():
-        a, b = find(r.left_c), find(r.right_c)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append((r.left_id, r.right_id, r.distance))
-    return kept
-
-
 def template_family(df: DataFrame, conflict: Column, families: Sequence[str], conflict_families: Sequence[str], digest: Column) -> DataFrame:
     """`df` with a template family: groups with a natural conflict draw from their own list, by hash."""
     from plumbline.functions import hash_modulo

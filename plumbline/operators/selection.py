@@ -42,29 +42,38 @@ def median_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     return ranked.where(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).drop("_rn", "_n")
 
 
+def _choose(candidates: DataFrame, group: Sequence[str], ok: Column, order: Sequence[Column], blocked: Sequence[Column]) -> DataFrame:
+    """(group, status, selected, diagnostic): the best allowed candidate, and the least bad of all.
+
+    Status is 'pass', or 'diagnostic_only_blocked' where no candidate is allowed (selected is then null).
+    """
+    marked = candidates.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    best = first_per_group(marked.where("_ok"), group, order, 1).select(*group, F.col("candidate_id").alias("selected"))
+    least = first_per_group(marked, group, blocked, 1).select(*group, F.col("candidate_id").alias("diagnostic"))
+    status = F.when(F.col("selected").isNull(), "diagnostic_only_blocked").otherwise("pass")
+    return least.join(best, list(group), "left").select(*group, status.alias("status"), "selected", "diagnostic")
+
+
 def select_threshold(candidates: DataFrame, group: Sequence[str], max_false_alarms: float) -> DataFrame:
-    """One candidate per group: the best allowed one, or the least bad one, marked as blocked.
+    """The chosen threshold of each group, beside its diagnostic candidate (see `_choose`).
 
     Allowed: false alarms per hour within the cap; these go by macro F1, then miss rate, then the higher
-    threshold, then id. Where none is allowed, by false alarms, miss rate, higher threshold, id.
+    threshold, then id. The diagnostic one goes by false alarms, miss rate, higher threshold, id.
     """
-    ok = F.col("false_alarms_per_hour") <= max_false_alarms
-    lead = F.when(ok, -F.col("event_macro_f1")).otherwise(F.col("false_alarms_per_hour"))
-    order = [ok.desc(), lead.asc_nulls_last(), F.col("event_miss_rate").asc_nulls_last(), F.desc("threshold"), F.col("candidate_id")]
-    status = F.when(ok, "selected").otherwise("diagnostic_only_blocked")
-    return first_per_group(candidates.withColumn("status", status), group, order, 1)
+    last = [F.col("event_miss_rate").asc_nulls_last(), F.desc("threshold"), F.asc("candidate_id")]
+    fa = F.col("false_alarms_per_hour")
+    return _choose(candidates, group, fa <= max_false_alarms, [F.col("event_macro_f1").desc_nulls_last(), *last], [fa.asc_nulls_last(), *last])
 
 
 def select_policy(candidates: DataFrame, group: Sequence[str], coverage: float = 0.9, tolerance: float = 0.02, max_false_alarms: float = 10.0, max_miss: float = 0.2) -> DataFrame:
-    """As `select_threshold` for alarm policies: coverage band, false alarms per 100 episodes and miss rate must hold."""
-    held = lambda c: F.coalesce(c, F.lit(False))
-    ok = held(F.abs(F.col("answer_coverage") - coverage) <= tolerance + 1e-12) & held(F.col("false_alarms_per_100_episodes") <= max_false_alarms) & held(F.col("event_miss_rate") <= max_miss)
-    gap = F.abs(F.col("answer_coverage") - coverage)
-    order = [
-        ok.desc(), F.when(~ok, gap).asc_nulls_first(), F.col("event_macro_f1").desc_nulls_last(), F.col("mean_detection_delay_steps").asc_nulls_last(),
-        F.col("mean_state_flips_per_episode").asc_nulls_last(), F.col("complexity_rank"), F.col("candidate_id"),
-    ]
-    return first_per_group(candidates.withColumn("status", F.when(ok, "selected").otherwise("diagnostic_only_blocked")), group, order, 1)
+    """As `select_threshold` for alarm policies: coverage band, false alarms per 100 episodes and miss rate must hold.
+
+    Allowed ones go by macro F1, delay, flips, complexity, id; the diagnostic one by miss rate, false alarms, id.
+    """
+    fa, miss = F.col("false_alarms_per_100_episodes"), F.col("event_miss_rate")
+    ok = (F.abs(F.col("answer_coverage") - coverage) <= tolerance) & (fa <= max_false_alarms) & (miss <= max_miss)
+    order = [F.col("event_macro_f1").desc_nulls_last(), F.col("mean_detection_delay_steps").asc_nulls_last(), F.col("mean_state_flips_per_episode").asc_nulls_last(), F.asc("complexity_rank"), F.asc("candidate_id")]
+    return _choose(candidates, group, ok, order, [miss.asc_nulls_last(), fa.asc_nulls_last(), F.asc("candidate_id")])
 
 
 def derangement(df: DataFrame, stratum: str, key: Sequence[str], seed: int) -> DataFrame:

@@ -22,22 +22,29 @@ def assign_by_hash(df: DataFrame, group: Sequence[str], weights: dict[str, float
     return df.withColumn("pool", hash_pool(joined_sha256(seed, *group), names, [weights[n] for n in names]))
 
 
-def quotas(n: int, weights: dict[str, float], seed: int) -> dict[str, int]:
-    """How many of n go to each pool: largest remainders, ties by hash, at least one each while n allows.
+class QuotaError(ValueError):
+    """There are fewer components than pools."""
 
-    A pool without any takes one from the pool that exceeds its share most.
+
+def quotas(n: int, weights: dict[str, float], seed: int, dataset: str) -> dict[str, int]:
+    """How many of n components of a dataset go to each pool: largest remainders, ties by hash, at least one each.
+
+    An empty pool takes one from the pool that exceeds its share most, then from the larger one, then by
+    hash. Fewer components than pools are an error.
     """
-    tie = lambda p: hashlib.sha256(f"{seed}|{p}".encode()).hexdigest()
+    if n < len(weights):
+        raise QuotaError(f"{dataset} has {n} components for {len(weights)} pools")
+    by = lambda purpose: lambda p: hashlib.sha256(f"{seed}|{dataset}|quota-{purpose}|{p}".encode()).hexdigest()
     exact = {p: Fraction(str(w)) for p, w in weights.items()}
     total = sum(exact.values())
     share = {p: n * w / total for p, w in exact.items()}
     out = {p: int(s) for p, s in share.items()}
-    for p in sorted(share, key=lambda p: (out[p] - share[p], tie(p)))[: n - sum(out.values())]:
+    for p in sorted(share, key=lambda p: (out[p] - share[p], by("remainder")(p)))[: n - sum(out.values())]:
         out[p] += 1
-    while n >= len(out) and (empty := [p for p in out if not out[p]]):
-        donor = max((p for p in out if out[p] > 1), key=lambda p: (out[p] - share[p], tie(p)))
+    for empty in sorted((p for p in out if not out[p]), key=by("empty")):
+        donor = min((p for p in out if out[p] > 1), key=lambda p: (share[p] - out[p], -out[p], by("donor")(p)))
         out[donor] -= 1
-        out[min(empty, key=tie)] += 1
+        out[empty] += 1
     return out
 
 
@@ -46,24 +53,56 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
     return ranked_by_hash(df, [], key, joined_sha256(seed, *key)).withColumnRenamed("_rank", "rank").drop("_n")
 
 
-def assign_by_quota(components: DataFrame, key: str, weights: dict[str, float], seed: int) -> DataFrame:
-    """(key, pool): hash-ranked components take hash-ranked slots, whose numbers are the quotas."""
-    ranked = hash_rank(components.select(key).distinct(), [key], seed)
-    n = ranked.count()
-    spark = components.sparkSession
-    pools = spark.createDataFrame([(p, k) for p, k in quotas(n, weights, seed).items() if k], "pool string, k long")
-    slots = pools.select("pool", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("slot"))
-    taken = hash_rank(slots, ["pool", "slot"], seed).select("rank", "pool")
-    return ranked.join(taken, "rank").select(key, "pool")
-
+def deal_quotas(sizes: dict[tuple[str, ...], int], weights: dict[str, float], seed: int) -> tuple[dict[str, dict[str, int]], dict[tuple[str, ...], dict[str, int]]]:
+    """Quotas of every dataset, and how many components of each set of datasets go to each pool so that all quotas hold.
 
-def assign_by_time(df: DataFrame, cohort: str, order: Sequence[str], weights: dict[str, float], seed: int) -> DataFrame:
+    Sets of several datasets come first, those with the most datasets leading, and take from each pool in
+    proportion to what its datasets all have left; a set of one dataset takes the rest.
+    """
+    datasets = sorted({d for of in sizes for d in of})
+    each = {d: quotas(sum(n for of, n in sizes.items() if d in of), weights, seed, d) for d in datasets}
+    left, dealt = {d: dict(q) for d, q in each.items()}, {}
+    for of in sorted(sizes, key=lambda of: (-len(of), of)):
+        room = {p: min(left[d][p] for d in of) for p in sorted(weights)}
+        n, total = sizes[of], sum(room.values())
+        if total < n:
+            raise QuotaError(f"{n} components of {'+'.join(of)} do not fit the quotas of their datasets")
+        out = {p: n * r // max(1, total) for p, r in room.items()}
+        tie = lambda p: hashlib.sha256(f"{seed}|cross-pool|{'+'.join(of)}|{p}".encode()).hexdigest()  # noqa: B023,E731
+        for p in sorted((p for p in out if out[p] < room[p]), key=lambda p: (-(n * room[p] % max(1, total)), tie(p)))[: n - sum(out.values())]:  # noqa: B023
+            out[p] += 1
+        for d in of:
+            for p, k in out.items():
+                left[d][p] -= k
+        dealt[of] = out
+    return each, dealt
+
+
+def assign_components(membership: DataFrame, component: str, dataset: str, weights: dict[str, float], seed: int) -> DataFrame:
+    """(component, pool): components, each in one dataset or more, so that every dataset's quotas hold.
+
+    Components of one set of datasets stand in hash order and take that set's slots in hash order. The
+    driver gets how many components each set of datasets has; datasets are few. Order and repeats of
+    rows do not matter; null components are left out.
+    """
+    sets = membership.where(F.col(component).isNotNull()).groupBy(component).agg(F.array_join(F.array_sort(F.collect_set(dataset)), "+").alias("_of"), F.array_sort(F.collect_set(dataset)).alias("_sets"))
+    sizes = {tuple(r._sets): r.n for r in sets.groupBy("_sets").agg(F.count("*").alias("n")).collect()}
+    _, dealt = deal_quotas(sizes, weights, seed)
+    spark = membership.sparkSession
+    many = spark.createDataFrame([("+".join(of), p, k) for of, q in dealt.items() for p, k in q.items() if k], "_of string, pool string, k long")
+    slots = many.select("_of", "pool", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("_slot"))
+    slots = ranked_by_hash(slots, ["_of"], ["pool", "_slot"], joined_sha256(seed, "_of", F.lit("slot"), "pool", "_slot")).select("_of", "_rank", "pool")
+    ranked = ranked_by_hash(sets.select(component, "_of"), ["_of"], [component], joined_sha256(seed, "_of", F.lit("component"), component))
+    return ranked.join(slots, ["_of", "_rank"]).select(component, "pool")
+
+
+def assign_by_time(df: DataFrame, cohort: str, order: Sequence[str], weights: dict[str, float], seed: int, dataset: str) -> DataFrame:
     """(cohort, place, pool): cohorts in time order, in contiguous blocks, pools in the given order.
 
     Cohorts are periods, of which there are few; their ranks come of one small table.
     """
     places = df.select(cohort).distinct().withColumn("place", F.dense_rank().over(Window.orderBy(cohort)).cast("long"))
-    given = quotas(places.count(), weights, seed)
+    given = quotas(places.count(), weights, seed, f"{dataset}:temporal_cohorts")
     pool, run = None, 0
     for p in order:
         run += given[p]
@@ -71,6 +110,19 @@ def assign_by_time(df: DataFrame, cohort: str, order: Sequence[str], weights: di
     return places.withColumn("pool", pool)
 
 
+def pool_blocks(assigned: DataFrame, start: str, length: float, family: dict[str, Sequence[str]], purge: float) -> DataFrame:
+    """Per family and pool, in the family's order: first and last cohort, the gap to the pool before, and whether it reaches `purge`.
+
+    `start` is a cohort's first second and `length` its duration.
+    """
+    spark = assigned.sparkSession
+    rows = [(f, p, k) for f, pools in family.items() for k, p in enumerate(pools)]
+    blocks = assigned.groupBy("pool").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("cohorts"))
+    joined = spark.createDataFrame(rows, "family string, pool string, ordinal int").join(blocks, "pool")
+    gap = F.col("first") - (F.lag("last").over(Window.partitionBy("family").orderBy("ordinal")) + length)
+    return joined.withColumn("gap", gap).withColumn("purged", F.coalesce(F.col("gap") >= purge, F.lit(True)))
+
+
 def few_shot(df: DataFrame, dataset: str, group: str, label: str, seeds: Sequence[int], share: float = 0.1) -> DataFrame:
     """Per dataset and seed, the first share of groups by hash (one at least), with the classes of each."""
     per = df.groupBy(dataset, group).agg(F.count_if(F.col(label) == 1).alias("positives"), F.count("*").alias("rows"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import hex_boundaries, rounded
 from plumbline.operators import dedup, episodes, events, selection, splits
 from plumbline.plans.catalogue import register
+from plumbline.plans.oracles import SUMMARY, greedy, islands
 from plumbline.sources.tables import table
 
 SEED = 13007
@@ -33,15 +34,60 @@ def e_hash_ranks(spark, sf_dir):
     return splits.hash_rank(convs, ["conv_id"], SEED).select("conv_id", "rank")
 
 
-@register()
+def _slots_sql(dataset: str, n: str, weights: dict[str, float]) -> str:
+    """CTE q (pool, k): quotas of `n` components by largest remainder, where every pool gets one at least."""
+    table = ", ".join(f"('{p}', {round(w * 100)})" for p, w in sorted(weights.items()))
+    return f"""
+        v AS (SELECT pool, {n} * w // 100 AS base, {n} * w % 100 AS rest FROM (VALUES {table}) AS x(pool, w)),
+        q AS (SELECT pool, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, sha256('{SEED}|{dataset}|quota-remainder|' || pool)) <= {n} - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM v)"""
+
+
+@register(f"""
+    WITH c AS (SELECT conv_id, row_number() OVER (ORDER BY sha256('{SEED}|chat|component|' || conv_id), conv_id) AS r FROM (SELECT DISTINCT conv_id FROM conversations)),
+    {_slots_sql("chat", "(SELECT count(*) FROM c)", splits.EPISODE)},
+    s AS (SELECT pool, row_number() OVER (ORDER BY sha256('{SEED}|chat|slot|' || pool || '|' || j), pool, j) AS r FROM (SELECT pool, unnest(range(0, CAST(k AS BIGINT))) AS j FROM q))
+    SELECT conv_id, pool FROM c JOIN s USING (r)
+""")
 def e_quota_pools(spark, sf_dir):
-    return splits.assign_by_quota(table(spark, sf_dir, "conversations"), "conv_id", splits.EPISODE, SEED)
+    chats = table(spark, sf_dir, "conversations").select("conv_id", F.lit("chat").alias("dataset"))
+    return splits.assign_components(chats, "conv_id", "dataset", splits.EPISODE, SEED)
 
 
 @register()
+def e_component_pools(spark, sf_dir):
+    """Groups of documents that share contents, in one language or more, over the pools so that every language's quotas hold."""
+    records = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("h"), F.expr("doc_id div 4").alias("grp"), "lang")
+    groups = dedup.group_components(records.select("h", "grp"), "h", "grp")
+    membership = records.select("grp", "lang").distinct().join(groups, "grp").select("component", "lang")
+    pools = splits.assign_components(membership, "component", "lang", splits.EPISODE, SEED)
+    return membership.distinct().join(pools, "component").groupBy("lang", "pool").agg(F.count("*").alias("components"))
+
+
+TIME_ORDER = ("tr", "sel", "prob", "te")
+DAYS = f"""
+    WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, min(CAST(epoch(date_trunc('day', ts)) AS BIGINT)) AS first_second FROM events GROUP BY 1), c AS (SELECT *, row_number() OVER (ORDER BY day) AS place FROM d),
+    {_slots_sql("events:temporal_cohorts", "(SELECT count(*) FROM c)", splits.BRANCH)},
+    b AS (SELECT pool, sum(k) OVER (ORDER BY list_position(['tr', 'sel', 'prob', 'te'], pool)) AS last_place, k FROM q),
+    a AS (SELECT day, first_second, place, pool FROM c JOIN b ON place <= last_place AND place > last_place - k)
+"""
+
+
+@register(DAYS + "SELECT day, place, pool FROM a")
 def e_time_pools(spark, sf_dir):
     days = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"))
-    return splits.assign_by_time(days, "day", ["tr", "sel", "prob", "te"], splits.BRANCH, SEED)
+    return splits.assign_by_time(days, "day", TIME_ORDER, splits.BRANCH, SEED, "events")
+
+
+@register(DAYS + """, f AS (SELECT * FROM (VALUES ('branch', 'tr', 0), ('branch', 'sel', 1), ('branch', 'te', 2), ('calibration', 'sel', 0), ('calibration', 'prob', 1), ('calibration', 'te', 2)) AS x(family, pool, ordinal)),
+    k AS (SELECT family, pool, CAST(ordinal AS INTEGER) AS ordinal, min(first_second) AS "first", max(first_second) AS "last", count(*) AS cohorts FROM f JOIN a USING (pool) GROUP BY ALL),
+    g AS (SELECT *, CAST("first" - (lag("last") OVER (PARTITION BY family ORDER BY ordinal) + 86400) AS BIGINT) AS gap FROM k)
+    SELECT *, coalesce(gap >= 86400, true) AS purged FROM g
+""")
+def v_pool_blocks(spark, sf_dir):
+    """Whether a day at least lies between the pools of a family."""
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"))
+    placed = splits.assign_by_time(days, "day", TIME_ORDER, splits.BRANCH, SEED, "events").withColumn("first_second", F.unix_date(F.col("day").cast("date")).cast("long") * 86400)
+    return splits.pool_blocks(placed, "first_second", 86400, {"branch": ("tr", "sel", "te"), "calibration": ("sel", "prob", "te")}, 86400)
 
 
 @register("""
@@ -90,14 +136,49 @@ def c_sign_bits(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", dedup.sign_bits("embedding").alias("bits"))
 
 
+COARSE = "(SELECT bit_or(CASE WHEN list_sum(embedding[4 * i + 1:4 * i + 4]::DOUBLE[]) > 0 THEN 1::BIGINT << (4 * i)::INTEGER ELSE 0::BIGINT END) FROM range(0, 16) AS t(i))"
+
+
 @register(f"""
-    WITH b AS (SELECT vec_id, {BITS} AS bits FROM embeddings), c AS (SELECT bits, min(vec_id) AS id FROM b GROUP BY bits)
-    SELECT l.id AS left_id, r.id AS right_id, CAST(bit_count(xor(l.bits, r.bits)) AS INTEGER) AS distance FROM c l JOIN c r ON l.id < r.id AND bit_count(xor(l.bits, r.bits)) <= 8
+    WITH b AS (SELECT vec_id, {COARSE} AS bits FROM embeddings), c AS (SELECT bits, min(vec_id) AS id FROM b GROUP BY bits)
+    SELECT l.id AS left_id, r.id AS right_id, CAST(bit_count(xor(l.bits, r.bits)) AS INTEGER) AS distance FROM c l JOIN c r ON l.id < r.id AND bit_count(xor(l.bits, r.bits)) <= 2
 """)
 def j_hamming_pairs(spark, sf_dir):
-    bits = table(spark, sf_dir, "embeddings").select("vec_id", dedup.sign_bits("embedding").alias("bits"))
+    bits = table(spark, sf_dir, "embeddings").select("vec_id", dedup.coarse_bits("embedding").alias("bits"))
     classes = dedup.exact_classes(bits, "bits", "vec_id").select(F.col("representative").alias("id"), "bits")
-    return dedup.hamming_pairs(classes, "id", "bits", 8)
+    return dedup.hamming_pairs(classes, "id", "bits", 2)
+
+
+NEAR = f"""
+    b AS (SELECT vec_id, label % 2 AS half, {COARSE} AS bits FROM embeddings), c AS (SELECT half, bits, min(vec_id) AS id FROM b GROUP BY half, bits),
+    l AS (SELECT l.id AS left_id, r.id AS right_id, CAST(bit_count(xor(l.bits, r.bits)) AS INTEGER) AS distance FROM c l JOIN c r ON l.half = r.half AND l.id < r.id AND bit_count(xor(l.bits, r.bits)) <= 2)
+"""
+
+
+def near_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors with their coarse bits, and near pairs of their classes; pairs must agree in the half of the labels they belong to."""
+    bits = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("half"), dedup.coarse_bits("embedding").alias("bits"))
+    classes = bits.groupBy("half", "bits").agg(F.min("vec_id").alias("id"))
+    return bits, dedup.hamming_pairs(classes, "id", "bits", 2, ["half"])
+
+
+@register(f"WITH {NEAR} SELECT 'exact' AS kind, c.id AS left_id, b.vec_id AS right_id, 0 AS distance FROM b JOIN c USING (half, bits) WHERE b.vec_id <> c.id UNION ALL SELECT 'near', left_id, right_id, distance FROM l")
+def e_duplicate_audit(spark, sf_dir):
+    """Exact copies as links to their class's first, near pairs between classes of one half."""
+    bits, near = near_pairs(spark, sf_dir)
+    return dedup.duplicate_audit(bits, "vec_id", ["half", "bits"], near)
+
+
+@register(f"""
+    WITH RECURSIVE {NEAR}, k AS (SELECT *, row_number() OVER (ORDER BY distance, left_id, right_id) AS k FROM l), z AS (SELECT left_id AS x, right_id AS y, k FROM k UNION ALL SELECT right_id, left_id, k FROM k),
+    r(k, x) AS (SELECT k, left_id FROM k UNION SELECT r.k, z.y FROM r JOIN z ON z.x = r.x AND z.k < r.k)
+    SELECT left_id, right_id, distance FROM k WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = k.k AND r.x = k.right_id)
+""")
+def e_spanning_edges(spark, sf_dir):
+    """Near links, nearest first, that each join two components not yet joined."""
+    bits, near = near_pairs(spark, sf_dir)
+    classes = bits.groupBy("half", "bits").agg(F.min("vec_id").alias("id")).select("id", F.col("id").alias("component"))
+    return dedup.spanning_edges(near, classes, "id")
 
 
 @register("""
@@ -137,38 +218,88 @@ def e_alarm_states(spark, sf_dir):
     return out.select("conv_id", "turn", rounded("memory").alias("memory"), "state")
 
 
-@register()
+#: CTEs k (step states by unit u) and r (their units), of policies pol (id, beta, mem, low, high, al, ab) over all conversations; `off` says where a step abstains.
+EPISODE_STATES = """
+    st AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn, least(1.0::DOUBLE, length(text) / 800.0::DOUBLE) AS p, role, length(text) > 600 AS truth FROM conversations),
+    tt AS (SELECT pol.id || '/' || conv_id AS u, pol.*, conv_id, k, turn, p, truth, {off} AS off FROM st, pol),
+    sm(u, k, m, run, armed, lvl) AS (
+        SELECT DISTINCT u, 0::BIGINT, 0.0::DOUBLE, 0, 0, 0 FROM tt
+        UNION ALL
+        SELECT u, k, CASE WHEN off THEN m0 ELSE m END, CASE WHEN off THEN run0 ELSE run END, CASE WHEN off THEN armed0 ELSE armed END,
+            CASE WHEN off THEN lvl0 ELSE greatest(CASE WHEN lvl0 >= 2 AND m >= low THEN lvl0 ELSE 0 END, CASE WHEN armed >= mem THEN 3 WHEN run >= mem THEN 2 WHEN m >= low THEN 1 ELSE 0 END) END
+        FROM (SELECT *, CASE WHEN m >= high THEN run0 + 1 ELSE 0 END AS run, CASE WHEN m >= al THEN armed0 + 1 ELSE 0 END AS armed FROM
+            (SELECT tt.*, sm.m AS m0, sm.run AS run0, sm.armed AS armed0, sm.lvl AS lvl0, tt.beta * sm.m + (1 - tt.beta) * tt.p AS m FROM sm JOIN tt ON tt.u = sm.u AND tt.k = sm.k + 1))
+    ),
+    k AS (SELECT tt.u, tt.id, tt.conv_id, tt.turn AS pos, 1 AS reach, tt.truth, CASE WHEN tt.off THEN 'abstain' ELSE (['normal', 'attention', 'prewarning', 'alarm'])[sm.lvl + 1] END AS state FROM tt JOIN sm USING (u, k)),
+"""
+EVALUATED = f"""{islands("t", "k", "truth")}, {islands("p", "k", "state IN ('prewarning', 'alarm')")}, {greedy(0)}, units AS (SELECT DISTINCT u FROM k), {SUMMARY},
+    fl AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY u ORDER BY pos) <> state, false) AS flip FROM k),
+    sh AS (SELECT u, any_value(id) AS id, any_value(conv_id) AS conv_id, count(*) FILTER (state <> 'abstain') AS answered, count(*) FILTER (flip) AS flips, count(*) AS steps FROM fl GROUP BY u),
+    dl AS (SELECT u, sum(ps - ts)::DOUBLE AS delay_total FROM x GROUP BY u)
+"""
+
+
+@register(f"""
+    WITH RECURSIVE pol AS (SELECT 'one' AS id, 0.7::DOUBLE AS beta, 2 AS mem, 0.3::DOUBLE AS low, 0.6::DOUBLE AS high, 0.8::DOUBLE AS al), {EPISODE_STATES.format(off="role = 'system'")} {EVALUATED}
+    SELECT conv_id, truths, predictions, matched, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(miss_rate, 6) AS miss_rate, answered, flips, steps, delay_total,
+        round(answered / steps::DOUBLE, 6) AS coverage, CASE WHEN matched > 0 THEN round(delay_total / matched, 6) END AS mean_delay FROM c JOIN sh USING (u) LEFT JOIN dl USING (u)
+""")
 def e_episode_evaluation(spark, sf_dir):
     t = turns(spark, sf_dir)
     states = episodes.policy_states(t, ["conv_id"], "turn", "p", F.col("abstain"), POLICY)
-    return events.episode_evaluation(states.join(t.select("conv_id", "turn", "truth"), ["conv_id", "turn"]), "conv_id", "turn", "truth", "state")
+    out = events.episode_evaluation(states.join(t.select("conv_id", "turn", "truth"), ["conv_id", "turn"]), ["conv_id"], "turn", "truth", "state")
+    shares = ("precision", "recall", "f1", "miss_rate", "coverage", "mean_delay")
+    return out.select("conv_id", "truths", "predictions", "matched", "answered", "flips", "steps", "delay_total", *(rounded(c).alias(c) for c in shares))
 
 
 def policy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The policy grid over all episodes: each candidate's coverage, false alarms, misses, F1, delay, flips."""
-    grid = [(f"b{b}k{k}l{lo}h{hi}t{t}", b, float(k), lo, hi, 0.8, t, rank) for rank, (b, k, (lo, hi), t) in enumerate((b, k, pair, t) for b in (0.7, 0.85) for k in (2, 3) for pair in ((0.3, 0.6), (0.4, 0.7)) for t in (0.1, 0.3, 0.5))]
-    policies = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("candidate_id", "beta", "k", "low", "high", "alarm", "abstention", "complexity_rank"), g, strict=True))) for g in grid))).alias("g")
-    t = turns(spark, sf_dir).select("*", policies).select("conv_id", "turn", "p", "truth", "g.*")
-    carry = ["beta", "k", "low", "high", "alarm", "abstention", "complexity_rank"]
-    states = episodes.policy_states(t, ["candidate_id", "conv_id"], "turn", "p", F.abs(F.col("p") - 0.5) < F.col("abstention") / 10, {c: F.col(c) for c in carry[:5]}, carry)
-    joined = states.join(turns(spark, sf_dir).select("conv_id", "turn", "truth"), ["conv_id", "turn"]).withColumn("episode", F.concat_ws("/", "candidate_id", "conv_id"))
-    each = events.episode_evaluation(joined, "episode", "turn", "truth", "state").withColumn("candidate_id", F.substring_index("episode", "/", 1))
-    per = each.groupBy("candidate_id").agg(
-        (F.sum(F.col("coverage") * F.col("steps")) / F.sum("steps")).alias("answer_coverage"), (100 * F.sum(F.col("predictions") - F.col("matched")) / F.count("*")).alias("false_alarms_per_100_episodes"),
-        (1 - F.try_divide(F.sum("matched"), F.sum("truths"))).alias("event_miss_rate"), F.avg("f1").alias("event_macro_f1"), F.coalesce(F.avg("mean_delay"), F.lit(32.0)).alias("mean_detection_delay_steps"), F.avg("flips").alias("mean_state_flips_per_episode"),
-    )
-    ranks = spark.createDataFrame([(g[0], g[-1]) for g in grid], "candidate_id string, complexity_rank int")
-    return per.join(ranks, "candidate_id")
+    """The whole policy grid over all episodes: each candidate's coverage, false alarms, misses, F1, delay, flips.
+
+    A step abstains where its confidence, twice its distance from 0.5, is below the policy's. Concepts are two halves of the conversations.
+    """
+    grid = episodes.policy_grid()
+    names = ("candidate_id", "beta", "k", "low", "high", "alarm", "abstention")
+    policies = F.explode(F.array(*(F.struct(*(F.lit(g[n]).alias(n) for n in names)) for g in grid))).alias("g")
+    t = turns(spark, sf_dir).select("conv_id", "turn", "p", policies).select("conv_id", "turn", "p", "g.*")
+    states = episodes.policy_states(t, ["candidate_id", "conv_id"], "turn", "p", F.abs(2 * F.col("p") - 1) < F.col("abstention"), {c: F.col(c) for c in names[1:6]})
+    joined = states.join(turns(spark, sf_dir).select("conv_id", "turn", "truth"), ["conv_id", "turn"])
+    each = events.episode_evaluation(joined, ["candidate_id", "conv_id"], "turn", "truth", "state").withColumn("concept", F.col("conv_id") % 2)
+    ranks = spark.createDataFrame([(g["candidate_id"], g["complexity_rank"]) for g in grid], "candidate_id string, complexity_rank int")
+    return events.policy_metrics(each, ["candidate_id"], "concept").join(ranks, "candidate_id")
+
+
+GRID = f"""
+    WITH RECURSIVE pol0 AS (SELECT beta, mem, low, high, 0.8::DOUBLE AS al, ab / 100.0::DOUBLE AS ab FROM (VALUES (0.7::DOUBLE), (0.85::DOUBLE)) AS b(beta), (VALUES (2), (3)) AS m(mem), (VALUES (0.3::DOUBLE, 0.6::DOUBLE), (0.4::DOUBLE, 0.7::DOUBLE)) AS l(low, high), range(10, 91, 5) AS r(ab)),
+    pol AS (SELECT printf('b%.2f_k%d_l%.2f_h%.2f_a%.2f_u%.2f', beta, mem, low, high, al, ab) AS id, *, CAST(row_number() OVER (ORDER BY beta, mem, low, ab) - 1 AS INTEGER) AS rank FROM pol0),
+    {EPISODE_STATES.format(off="abs(2 * p - 1) < ab")} {EVALUATED},
+    pc AS (SELECT id, conv_id % 2 AS concept, sum(truths) AS truths, sum(predictions) AS predictions, sum(matched) AS matched, sum(answered) AS answered, sum(steps) AS steps, sum(flips) AS flips, sum(delay_total) AS delay, count(*) AS n FROM c JOIN sh USING (u) LEFT JOIN dl USING (u) GROUP BY ALL),
+    y AS (
+        SELECT id AS candidate_id, sum(answered) / sum(steps)::DOUBLE AS answer_coverage, 100.0 * sum(predictions - matched) / sum(n) AS false_alarms_per_100_episodes, coalesce(1 - sum(matched) / nullif(sum(truths), 0)::DOUBLE, 0) AS event_miss_rate,
+            coalesce(avg(2.0::DOUBLE * matched / (truths + predictions)) FILTER (truths > 0), 0) AS event_macro_f1, coalesce(sum(delay) / nullif(sum(matched), 0), 32.0) AS mean_detection_delay_steps, sum(flips) / sum(n)::DOUBLE AS mean_state_flips_per_episode FROM pc GROUP BY id
+    ),
+    z AS (SELECT y.*, pol.rank AS complexity_rank FROM y JOIN pol ON pol.id = y.candidate_id)
+"""
+GRID_METRICS = ("answer_coverage", "false_alarms_per_100_episodes", "event_miss_rate", "event_macro_f1", "mean_detection_delay_steps", "mean_state_flips_per_episode")
 
 
-@register()
+@register(GRID + f"SELECT candidate_id, complexity_rank, {', '.join(f'round({c}, 6) AS {c}' for c in GRID_METRICS)} FROM z")
 def e_policy_grid(spark, sf_dir):
-    return policy_candidates(spark, sf_dir)
+    return policy_candidates(spark, sf_dir).select("candidate_id", "complexity_rank", *(rounded(c).alias(c) for c in GRID_METRICS))
 
 
-@register()
+#: Constraints of two packages: one that no policy of the grid meets, one that some do.
+LIMITS = {"strict": (0.9, 0.02, 10.0, 0.2), "wide": (0.5, 0.45, 100.0, 1.0)}
+
+
+@register(GRID + ", " + ", ".join(f"""
+    o_{n} AS (SELECT candidate_id FROM z WHERE abs(answer_coverage - {c}) <= {t} AND false_alarms_per_100_episodes <= {fa} AND event_miss_rate <= {miss} ORDER BY event_macro_f1 DESC, mean_detection_delay_steps, mean_state_flips_per_episode, complexity_rank, candidate_id LIMIT 1),
+    d_{n} AS (SELECT candidate_id FROM z ORDER BY event_miss_rate, false_alarms_per_100_episodes, candidate_id LIMIT 1)""" for n, (c, t, fa, miss) in LIMITS.items()) + " " + " UNION ALL ".join(
+    f"SELECT '{n}' AS package, CASE WHEN (SELECT count(*) FROM o_{n}) = 0 THEN 'diagnostic_only_blocked' ELSE 'pass' END AS status, (SELECT candidate_id FROM o_{n}) AS selected, candidate_id AS diagnostic FROM d_{n}" for n in LIMITS
+))
 def o_constrained_policy(spark, sf_dir):
-    return selection.select_policy(policy_candidates(spark, sf_dir).withColumn("package", F.lit("E")), ["package"])
+    found = policy_candidates(spark, sf_dir)
+    chosen = [selection.select_policy(found.withColumn("package", F.lit(n)), ["package"], *limits) for n, limits in LIMITS.items()]
+    return chosen[0].unionByName(chosen[1])
 
 
 @register("""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import rounded
 from plumbline.operators import detection, metrics, models
+from plumbline.operators.stash import stash
 from plumbline.plans.catalogue import register
 from plumbline.sources.tables import table
 
@@ -71,11 +72,11 @@ def m_relative_drop(spark, sf_dir):
     return a.select("source", rounded(metrics.relative_drop(F.col("clean"), F.col("other"))).alias("drop_percent"))
 
 
-PAIRS = f"{SCORED}, v AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS family, lang, source, avg(p) AS value FROM d GROUP BY ALL), w AS (SELECT lang, source, max(value) FILTER (family = 'a') AS l, max(value) FILTER (family = 'b') AS r FROM v GROUP BY ALL)"
+PAIRS = f"{SCORED}, v AS (SELECT CASE WHEN CAST(round(p * 1000) AS BIGINT) % 2 = 0 THEN 'a' ELSE 'b' END AS family, lang, source, avg(p) AS value FROM d GROUP BY ALL), w AS (SELECT lang, source, max(value) FILTER (family = 'a') AS l, max(value) FILTER (family = 'b') AS r FROM v GROUP BY ALL)"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    family = F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b")
+    family = F.when(F.round(F.col("p") * 1000).cast("long") % 2 == 0, "a").otherwise("b")
     v = scored(spark, sf_dir).groupBy(family.alias("family"), "lang", "source").agg(F.avg("p").alias("value"))
     return metrics.paired_table(v, ["lang", "source"], "family", "value", "a", "b")
 
@@ -85,31 +86,50 @@ def m_paired_table(spark, sf_dir):
     return pairs(spark, sf_dir).select("lang", "source", *(rounded(c).alias(c) for c in ("left", "right", "difference")))
 
 
+DRAWS = 10_000
+
 BOOTSTRAP = f"""
     WITH {PAIRS}, u AS (SELECT lang, l - r AS diff, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM w WHERE l IS NOT NULL AND r IS NOT NULL),
-    x AS (SELECT u.lang, draw, ('0x' || substr(sha256('12011|' || draw || '|' || lang || '|' || k), 1, 8))::BIGINT % n AS k FROM u, range(0, 200) AS t(draw)),
+    x AS (SELECT u.lang, draw, ('0x' || substr(sha256('12011|' || draw || '|' || lang || '|' || k), 1, 8))::BIGINT % n AS k FROM u, range(0, {DRAWS}) AS t(draw)),
     m AS (SELECT draw, avg(m) AS mean FROM (SELECT draw, x.lang, avg(diff) AS m FROM x JOIN u ON u.lang = x.lang AND u.k = x.k GROUP BY ALL) GROUP BY draw)
 """
 
 
 @register(BOOTSTRAP + """
-    SELECT round(quantile_cont(mean, 0.025), 6) + 0.0 AS low, round(quantile_cont(mean, 0.975), 6) + 0.0 AS high, round(avg(mean), 6) + 0.0 AS estimate,
+    SELECT round(quantile_cont(mean, 0.025), 4) + 0.0 AS low, round(quantile_cont(mean, 0.975), 4) + 0.0 AS high, (SELECT round(avg(d), 6) + 0.0 FROM (SELECT avg(diff) AS d FROM u GROUP BY lang)) AS estimate,
         round(least(1.0, 2 * least(avg((mean <= 0)::INTEGER), avg((mean >= 0)::INTEGER))), 6) AS p_value FROM m
 """)
 def m_paired_bootstrap(spark, sf_dir):
-    means = metrics.paired_bootstrap(pairs(spark, sf_dir), "lang", "source", "difference", 200, 12011)
-    return metrics.interval(means).select(*(rounded(c).alias(c) for c in ("low", "high", "estimate", "p_value")))
+    given = pairs(spark, sf_dir)
+    means = metrics.paired_bootstrap(given, "lang", "source", "difference", DRAWS, 12011)
+    return metrics.interval(given, means, "lang", "difference").select(*(rounded(c, 4).alias(c) for c in ("low", "high")), *(rounded(c).alias(c) for c in ("estimate", "p_value")))
+
+
+CONTRASTS = f"""
+    WITH {SCORED}, v AS (SELECT lang, source, avg(p) AS p, avg(quality::DOUBLE) AS q, avg(toxic::DOUBLE) AS t FROM d GROUP BY ALL),
+    u0 AS (SELECT lang || ':' || kind AS contrast, lang, source, CASE kind WHEN 'lower' THEN p - q WHEN 'higher' THEN q - t ELSE p - 0.5 END AS diff FROM v, (VALUES ('lower'), ('higher'), ('same')) AS k(kind)),
+    u AS (SELECT contrast, lang, diff, row_number() OVER (PARTITION BY contrast ORDER BY source) - 1 AS k, count(*) OVER (PARTITION BY contrast) AS n FROM u0),
+    x AS (SELECT contrast, draw, ('0x' || substr(sha256('12011|' || contrast || '|' || draw || '|' || lang || '|' || k), 1, 8))::BIGINT % n AS k FROM u, range(0, 2000) AS t(draw)),
+    m AS (SELECT contrast, draw, avg(diff) AS mean FROM x JOIN u USING (contrast, k) GROUP BY ALL),
+    i AS (SELECT contrast, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, least(1.0, 2 * least(avg((mean <= 0)::INTEGER), avg((mean >= 0)::INTEGER))) AS p FROM m GROUP BY contrast),
+    e AS (SELECT i.*, (SELECT avg(diff) FROM u WHERE u.contrast = i.contrast) AS estimate, row_number() OVER (ORDER BY p, contrast) AS k, count(*) OVER () AS n FROM i),
+    h AS (SELECT *, max(least(1.0, p * (n - k + 1))) OVER (ORDER BY p, contrast) AS ph FROM e)
+    SELECT contrast, round(estimate, 6) + 0.0 AS estimate, round(low, 4) + 0.0 AS low, round(high, 4) + 0.0 AS high, round(p, 6) AS p_value, round(ph, 6) AS p_holm,
+        CASE WHEN high < 0 THEN 'negative' WHEN low > 0 AND estimate >= 0.05 AND ph <= 0.05 THEN 'support' ELSE 'inconclusive' END AS decision FROM h
+"""
 
 
-@register(f"""
-    WITH {SCORED}, p AS (SELECT source, round(avg(p) / 20, 6) AS p FROM d GROUP BY source), r AS (SELECT *, row_number() OVER (ORDER BY p, source) AS k, count(*) OVER () AS n FROM p),
-    h AS (SELECT *, max(least(1.0, p * (n - k + 1))) OVER (ORDER BY p, source) AS ph FROM r)
-    SELECT source, p, round(ph, 6) AS p_holm, CASE WHEN ph <= 0.05 THEN 'support' ELSE 'inconclusive' END AS decision FROM h
-""")
+@register(CONTRASTS)
 def m_holm(spark, sf_dir):
-    p = scored(spark, sf_dir).groupBy("source").agg(F.round(F.avg("p") / 20, 6).alias("p"))
-    decided = metrics.contrast_decision(F.lit(0.1), F.lit(0.06), F.lit(0.2), F.col("p_holm"), 0.05)
-    return metrics.holm(p, "source", "p").select("source", "p", decided.alias("decision"), rounded("p_holm").alias("p_holm"))
+    """Three contrasts a language, from bootstrap to decision: all three decisions occur."""
+    v = scored(spark, sf_dir).groupBy("lang", "source").agg(F.avg("p").alias("p"), F.avg(F.col("quality").cast("double")).alias("q"), F.avg(F.col("toxic").cast("double")).alias("t"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), d.alias("difference")) for k, d in (("lower", F.col("p") - F.col("q")), ("higher", F.col("q") - F.col("t")), ("same", F.col("p") - 0.5))))).alias("c")
+    given = v.select("lang", "source", kinds).select("lang", "source", F.concat_ws(":", "lang", "c.kind").alias("contrast"), "c.difference")
+    means = metrics.paired_bootstrap(given, "lang", "source", "difference", 2000, 12011, ["contrast"])
+    tested = metrics.interval(given, means, "lang", "difference", ["contrast"])
+    held = metrics.holm(tested, "contrast", "p_value")
+    decided = metrics.contrast_decision(F.col("estimate"), F.col("low"), F.col("high"), F.col("p_holm"), 0.05)
+    return held.select("contrast", *(rounded(c, 4).alias(c) for c in ("low", "high")), *(rounded(c).alias(c) for c in ("estimate", "p_value", "p_holm")), decided.alias("decision"))
 
 
 @register("""
@@ -145,24 +165,49 @@ def m_standardizer(spark, sf_dir):
 
 
 @register(f"""
-    WITH {SCORED}, g AS (SELECT source, count(*) AS rows FROM d GROUP BY source) SELECT count(*) AS groups, CAST(sum(rows) AS BIGINT) AS rows FROM g
+    WITH RECURSIVE {SCORED}, g AS (SELECT doc_id // 7 AS grp, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, sha256('13007|' || (doc_id // 7)), doc_id // 7) AS k FROM d GROUP BY 1),
+    f(k, a, b, c, fold) AS (
+        SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, -1
+        UNION ALL SELECT k, a + CASE WHEN fold = 0 THEN rows ELSE 0 END, b + CASE WHEN fold = 1 THEN rows ELSE 0 END, c + CASE WHEN fold = 2 THEN rows ELSE 0 END, fold
+        FROM (SELECT g.k, rows, a, b, c, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS fold FROM f JOIN g ON g.k = f.k + 1)
+    )
+    SELECT grp, rows, CAST(fold AS INTEGER) AS fold FROM f JOIN g USING (k)
 """)
 def m_group_folds(spark, sf_dir):
-    folds = models.group_folds(scored(spark, sf_dir), "source")
-    return folds.where("fold between 0 and 2").agg(F.count("*").alias("groups"), F.sum("rows").alias("rows"))
+    return models.group_folds(scored(spark, sf_dir).withColumn("grp", F.expr("doc_id div 7")), "grp")
 
 
 @register()
 def m_calibrated(spark, sf_dir):
     """Each document's score under the three calibrations, fitted on all labelled documents."""
-    d = scored(spark, sf_dir)
-    t = models.fit_temperature(d, "p", "quality")
-    a, b = models.fit_platt(d, "p", "quality")
-    knots = models.fit_isotonic(d, "p", "quality")
-    from plumbline.functions import clipped_logit, logistic
+    d = stash(scored(spark, sf_dir).select("doc_id", "p", "quality"), "scored")
+    out = d
+    for method in models.METHODS:
+        out = models.calibrate(out, "p", method, models.fit_calibrator(d, "p", "quality", method), method)
+    return out.select("doc_id", "p", *models.METHODS)
+
+
+@register()
+def m_calibrator_choice(spark, sf_dir):
+    """Mean Brier score of each calibration over three folds of whole groups, and which is chosen."""
+    method, _, losses = models.select_calibrator(scored(spark, sf_dir).withColumn("grp", F.expr("doc_id div 7")), "p", "quality", "grp")
+    return spark.createDataFrame([(m, round(b, 6), m == method) for m, b in losses.items()], "method string, brier double, selected boolean")
+
+
+@register("""
+    WITH n AS (SELECT conv_id, turn // 2 AS step, role, least(1.0::DOUBLE, length(text) / 800.0::DOUBLE) AS p, ln(1 + exp(CASE role WHEN 'user' THEN 0.5 WHEN 'assistant' THEN -0.25 ELSE 0 END)) AS w FROM conversations),
+    l AS (SELECT *, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) AS z FROM n)
+    SELECT conv_id, step, round(coalesce(1 / (1 + exp(-greatest(-40, least(40, sum(w * z) FILTER (role <> 'system') / sum(w) FILTER (role <> 'system') + 0.1)))), 0.5), 6) AS fused, count(*) FILTER (role <> 'system') AS nodes, count(*) FILTER (role <> 'system') = 0 AS abstained FROM l GROUP BY ALL
+""")
+def m_logit_fusion(spark, sf_dir):
+    n = table(spark, sf_dir, "conversations").select("conv_id", F.expr("turn div 2").alias("step"), "role", F.least(F.lit(1.0), F.length("text") / 800).alias("p"), (F.col("role") != "system").alias("available"))
+    return models.logit_fusion(n, ["conv_id", "step"], "role", "p", "available", {"user": 0.5, "assistant": -0.25}, 0.1).withColumn("fused", rounded("fused"))
+
 
-    z = clipped_logit(F.col("p"))
-    return d.select("doc_id", "p", logistic(z / t).alias("temperature"), logistic(a * z + b).alias("platt"), models.apply_knots(F.col("p"), knots).alias("isotonic"))
+@register(f"WITH {SCORED} SELECT lang, round(avg(pow(p - (1 - abs(quality - p)), 2)) FILTER (toxic = 0), 6) AS loss, count(*) FILTER (toxic = 0) AS n FROM d GROUP BY lang")
+def m_reliability_loss(spark, sf_dir):
+    d = scored(spark, sf_dir).withColumn("available", F.col("toxic") == 0)
+    return d.groupBy("lang").agg(rounded(models.reliability_loss("p", "quality", "p", "available")).alias("loss"), F.count_if("available").alias("n"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -170,16 +215,16 @@ def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     w, h = 10 + F.col("l_quantity"), 10 + F.col("l_suppkey") % 17
     x, y = (F.col("l_orderkey") * 7 + F.expr("l_linenumber div 2") * 3) % 20, (F.col("l_partkey") % 20).cast("double")
     b = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("record"), F.col("l_returnflag").alias("concept"), F.col("l_linenumber").alias("n"), x.cast("double").alias("x1"), y.alias("y1"), (x + w).cast("double").alias("x2"), (y + h).cast("double").alias("y2"),
+        F.col("l_orderkey").alias("record"), F.col("l_returnflag").alias("concept"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("id"), x.cast("double").alias("x1"), y.alias("y1"), (x + w).cast("double").alias("x2"), (y + h).cast("double").alias("y2"),
         (((F.col("l_partkey") * 31 + F.col("l_linenumber")) % 1000) / 1000).alias("score"),
     )
-    return b.where("n % 2 = 1").withColumnRenamed("n", "box_id").drop("score"), b.where("n % 2 = 0").withColumnRenamed("n", "detection_id")
+    return b.where("n % 2 = 1").withColumnRenamed("id", "box_id").drop("score", "n"), b.where("n % 2 = 0").withColumnRenamed("id", "detection_id").drop("n")
 
 
 BOXES = """
-    b AS (SELECT l_orderkey AS record, l_returnflag AS concept, l_linenumber AS n, ((l_orderkey * 7 + (l_linenumber // 2) * 3) % 20)::DOUBLE AS x1, (l_partkey % 20)::DOUBLE AS y1, 10 + l_quantity AS w, (10 + l_suppkey % 17)::DOUBLE AS h,
+    b AS (SELECT l_orderkey AS record, l_returnflag AS concept, l_linenumber AS n, l_partkey * 10 + l_linenumber AS id, ((l_orderkey * 7 + (l_linenumber // 2) * 3) % 20)::DOUBLE AS x1, (l_partkey % 20)::DOUBLE AS y1, 10 + l_quantity AS w, (10 + l_suppkey % 17)::DOUBLE AS h,
         ((l_partkey * 31 + l_linenumber) % 1000) / 1000.0::DOUBLE AS score FROM lineitem),
-    o AS (SELECT p.record, p.concept, p.n AS detection_id, t.n AS box_id, p.score, greatest(0, least(p.x1 + p.w, t.x1 + t.w) - greatest(p.x1, t.x1)) * greatest(0, least(p.y1 + p.h, t.y1 + t.h) - greatest(p.y1, t.y1)) AS i, p.w * p.h + t.w * t.h AS a
+    o AS (SELECT p.record, p.concept, p.id AS detection_id, t.id AS box_id, p.score, greatest(0, least(p.x1 + p.w, t.x1 + t.w) - greatest(p.x1, t.x1)) * greatest(0, least(p.y1 + p.h, t.y1 + t.h) - greatest(p.y1, t.y1)) AS i, p.w * p.h + t.w * t.h AS a
         FROM b p JOIN b t ON p.record = t.record AND p.concept = t.concept AND p.n % 2 = 0 AND t.n % 2 = 1)
 """
 
@@ -190,10 +235,39 @@ def d_box_pairs(spark, sf_dir):
     return detection.box_pairs(truth, predicted, ["record", "concept"], 0.3).withColumn("iou", rounded("iou"))
 
 
-@register()
+OVERLAPS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+AP = f"""
+    WITH RECURSIVE {BOXES}, h AS (SELECT unnest(range(50, 100, 5)) / 100.0::DOUBLE AS threshold),
+    y AS (SELECT concept, threshold, record, detection_id, any_value(score) AS score, list(box_id ORDER BY i / (a - i) DESC, box_id) AS boxes FROM o, h WHERE i / (a - i) >= threshold GROUP BY concept, threshold, record, detection_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY concept, threshold, record ORDER BY score DESC, detection_id) AS k FROM y),
+    m(concept, threshold, record, k, detection_id, used, box) AS (
+        SELECT DISTINCT concept, threshold, record, 0::BIGINT, -1::BIGINT, []::BIGINT[], NULL::BIGINT FROM k
+        UNION ALL SELECT k.concept, k.threshold, k.record, k.k, k.detection_id, CASE WHEN len(list_filter(k.boxes, lambda b: NOT list_contains(m.used, b))) > 0 THEN list_append(m.used, list_filter(k.boxes, lambda b: NOT list_contains(m.used, b))[1]) ELSE m.used END, list_filter(k.boxes, lambda b: NOT list_contains(m.used, b))[1]
+        FROM m JOIN k ON k.concept = m.concept AND k.threshold = m.threshold AND k.record = m.record AND k.k = m.k + 1
+    ),
+    d AS (SELECT concept, threshold, score, record, id AS detection_id FROM b, h WHERE n % 2 = 0),
+    f AS (SELECT d.*, CASE WHEN m.box IS NULL THEN 0 ELSE 1 END AS tp FROM d LEFT JOIN m ON m.concept = d.concept AND m.threshold = d.threshold AND m.record = d.record AND m.detection_id = d.detection_id AND m.box IS NOT NULL),
+    c AS (SELECT *, sum(tp) OVER w / count(*) OVER w::DOUBLE AS precision FROM f WINDOW w AS (PARTITION BY concept, threshold ORDER BY score DESC, record, detection_id ROWS UNBOUNDED PRECEDING)),
+    e AS (SELECT *, max(precision) OVER (PARTITION BY concept, threshold ORDER BY score DESC, record, detection_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM c),
+    t AS (SELECT concept, count(*) AS truths FROM b WHERE n % 2 = 1 GROUP BY concept),
+    ap AS (SELECT concept, threshold, truths, CAST(sum(tp) AS BIGINT) AS tp, CAST(count(*) - sum(tp) AS BIGINT) AS fp, CAST(truths - sum(tp) AS BIGINT) AS missed, sum(tp * best) / truths AS ap FROM e JOIN t USING (concept) GROUP BY concept, threshold, truths)
+"""
+
+
+@register(AP + "SELECT concept, threshold, truths, tp, fp, missed, round(ap, 6) AS ap FROM ap")
 def d_average_precision(spark, sf_dir):
     truth, predicted = boxes(spark, sf_dir)
-    return detection.detection_precision(truth, predicted, "record", "concept", [0.5 + 0.05 * k for k in range(10)])
+    return detection.detection_precision(truth, predicted, "record", "concept", OVERLAPS).withColumn("ap", rounded("ap"))
+
+
+@register(AP + """, p AS (SELECT concept, any_value(truths) AS truths, max(tp) FILTER (threshold = 0.5) AS tp, max(fp) FILTER (threshold = 0.5) AS fp, max(missed) FILTER (threshold = 0.5) AS missed, max(ap) FILTER (threshold = 0.5) AS ap50, avg(ap) AS ap50_95 FROM ap GROUP BY concept)
+    SELECT concept, truths, tp, fp, missed, round(ap50, 6) AS ap50, round(ap50_95, 6) AS ap50_95 FROM p
+    UNION ALL SELECT NULL, CAST(sum(truths) AS BIGINT), CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(missed) AS BIGINT), round(avg(ap50), 6), round(avg(ap50_95), 6) FROM p
+""")
+def d_detection_summary(spark, sf_dir):
+    truth, predicted = boxes(spark, sf_dir)
+    out = detection.detection_summary(detection.detection_precision(truth, predicted, "record", "concept", OVERLAPS), "concept")
+    return out.withColumns({c: rounded(c) for c in ("ap50", "ap50_95")})
 
 
 @register("""

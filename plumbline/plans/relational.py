@@ -339,8 +339,9 @@ def o_top_k(spark, sf_dir):
             count(*) FILTER (value >= t AND user_id % 2 = 0) / 720.0 AS fa, 2.0 * count(*) FILTER (value >= t AND user_id % 2 = 1) / (count(*) FILTER (value >= t) + count(*) FILTER (user_id % 2 = 1)) AS f1,
             1 - count(*) FILTER (value >= t AND user_id % 2 = 1) / CAST(count(*) FILTER (user_id % 2 = 1) AS DOUBLE) AS miss
         FROM events, (SELECT unnest([10, 20, 40, 80, 160]) AS t) GROUP BY event_type, t),
-    r AS (SELECT *, fa <= 1 AS ok, row_number() OVER (PARTITION BY family_id ORDER BY (fa <= 1) DESC, CASE WHEN fa <= 1 THEN -f1 ELSE fa END, miss, threshold DESC, candidate_id) AS rn FROM c)
-    SELECT family_id, candidate_id, threshold, CASE WHEN ok THEN 'selected' ELSE 'diagnostic_only_blocked' END AS status FROM r WHERE rn = 1
+    o AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY f1 DESC, miss, threshold DESC, candidate_id) AS rn FROM c WHERE fa <= 1),
+    d AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY fa, miss, threshold DESC, candidate_id) AS rn FROM c)
+    SELECT d.family_id, CASE WHEN o.candidate_id IS NULL THEN 'diagnostic_only_blocked' ELSE 'pass' END AS status, o.candidate_id AS selected, d.candidate_id AS diagnostic FROM d LEFT JOIN o ON o.family_id = d.family_id AND o.rn = 1 WHERE d.rn = 1
 """)
 def o_constrained_threshold(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", "value", (F.col("user_id") % 2 == 1).alias("truth"))
@@ -351,7 +352,7 @@ def o_constrained_threshold(spark, sf_dir):
         F.concat_ws("@", "event_type", F.col("r.t").cast("string")).alias("candidate_id"), F.col("event_type").alias("family_id"), F.col("r.t").cast("double").alias("threshold"),
         (F.col("r.fp") / 720).alias("false_alarms_per_hour"), (2 * F.col("r.tp") / (F.col("r.tp") + F.col("r.fp") + F.col("pos"))).alias("event_macro_f1"), (1 - F.col("r.tp") / F.col("pos")).alias("event_miss_rate"),
     )
-    return selection.select_threshold(c, ["family_id"], 1.0).select("family_id", "candidate_id", "threshold", "status")
+    return selection.select_threshold(c, ["family_id"], 1.0)
 
 
 @register("""

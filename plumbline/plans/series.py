@@ -8,6 +8,7 @@ from plumbline.functions import rounded
 from plumbline.operators import events as ev
 from plumbline.operators import selection, timeseries
 from plumbline.plans.catalogue import register
+from plumbline.plans.oracles import SUMMARY, greedy, islands
 from plumbline.sources.tables import finite, table, with_utc
 
 RISK, ALARM, GAP = 113.285, 90.628, 21600
@@ -52,19 +53,67 @@ def e_anticipated_events(spark, sf_dir):
     return out.select("user_id", "truths", F.col("predictions").alias("alarms"), F.col("matched").alias("anticipated"), F.when(F.col("truths") > 0, rounded("recall")).alias("recall"))
 
 
-@register()
+MICROS = 1_000_000
+#: Events with a score in [0, 1], the median gap of each unit's positions, and its rows.
+SENSOR = """
+        e AS (SELECT {unit} AS u, epoch_us(ts) AS pos, value, least(1.0::DOUBLE, value / 200) AS score, event_type, user_id FROM events),
+        g AS (SELECT u, pos - lag(pos) OVER (PARTITION BY u ORDER BY pos) AS gap FROM e), r AS (SELECT u, coalesce(median(gap), {stride}000000.0) AS reach, count(*) AS n FROM g GROUP BY u),
+        s AS (SELECT e.*, reach FROM e JOIN r USING (u))"""
+
+
+def scored_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(spark, sf_dir).withColumn("score", F.least(F.lit(1.0), F.col("value") / 200))
+
+
+@register(f"""
+    WITH RECURSIVE {SENSOR.format(unit="user_id", stride=STRIDE)}, {islands("t", "s", f"value >= {RISK}")}, {islands("p", "s", "score >= 0.45")}, {greedy(GAP * MICROS)}, units AS (SELECT u FROM r), {SUMMARY},
+    q AS (SELECT u, quantile_cont((ts - ps) / 1e6, 0.25) AS a, quantile_cont((ts - ps) / 1e6, 0.5) AS b, quantile_cont((ts - ps) / 1e6, 0.75) AS z FROM x GROUP BY u)
+    SELECT u AS user_id, truths, predictions, matched, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(miss_rate, 6) AS miss_rate, round(reach * n / 3.6e9, 6) AS hours,
+        round(a, 4) + 0.0 AS lead_p25, round(b, 4) + 0.0 AS lead_p50, round(z, 4) + 0.0 AS lead_p75, round(z - a, 4) + 0.0 AS lead_iqr, round((predictions - matched) / (reach * n / 3.6e9), 6) AS false_alarms_per_hour
+    FROM c JOIN r USING (u) LEFT JOIN q USING (u)
+""")
 def e_greedy_event_matching(spark, sf_dir):
-    return ev.sensor_evaluation(series(spark, sf_dir), ["user_id"], "us", "value", "value", RISK, ALARM, GAP * 1_000_000, 0, GAP * 1_000_000)
+    out = ev.sensor_evaluation(scored_series(spark, sf_dir), ["user_id"], "us", "value", "score", RISK, 0.45, 0, GAP * MICROS, STRIDE * MICROS, MICROS)
+    shares, leads = ("precision", "recall", "f1", "miss_rate", "hours", "false_alarms_per_hour"), ("lead_p25", "lead_p50", "lead_p75", "lead_iqr")
+    return out.select("user_id", "truths", "predictions", "matched", *(rounded(c).alias(c) for c in shares), *(rounded(c, 4).alias(c) for c in leads))
+
+
+CANDIDATES = f"""
+    WITH RECURSIVE {SENSOR.format(unit="event_type || '/' || user_id", stride=STRIDE)}, h AS (SELECT unnest(range(10, 91, 5)) / 100.0::DOUBLE AS threshold),
+    base AS (SELECT u AS v, any_value(event_type) AS family, any_value(reach) AS reach, count(*) AS n FROM s GROUP BY u),
+    s2 AS (SELECT u || '@' || threshold AS u, pos, reach FROM s JOIN h ON score >= threshold), {islands("t0", "s", f"value >= {RISK}")},
+    t AS (SELECT t0.u || '@' || threshold AS u, k, s, e FROM t0, h), {islands("p", "s2", "true")}, {greedy(GAP * MICROS)},
+    units AS (SELECT v || '@' || threshold AS u FROM base, h), {SUMMARY},
+    y AS (SELECT family, threshold, c.*, reach * n / 3.6e9 AS hours FROM base, h JOIN c ON c.u = base.v || '@' || h.threshold),
+    z AS (
+        SELECT printf('%s@%.2f', family, threshold) AS candidate_id, family AS family_id, threshold, sum(predictions - matched) / sum(hours) AS false_alarms_per_hour, avg(f1) AS event_macro_f1,
+            1 - sum(matched) / nullif(sum(truths), 0)::DOUBLE AS event_miss_rate FROM y GROUP BY family, threshold
+    )
+"""
 
 
-@register()
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.threshold_candidates(scored_series(spark, sf_dir), ["user_id"], "event_type", "us", "value", "score", RISK, 0, GAP * MICROS, STRIDE * MICROS, MICROS)
+
+
+@register(CANDIDATES + "SELECT candidate_id, family_id, threshold, round(false_alarms_per_hour, 6) AS false_alarms_per_hour, round(event_macro_f1, 6) AS event_macro_f1, round(event_miss_rate, 6) AS event_miss_rate FROM z")
 def e_threshold_candidates(spark, sf_dir):
-    return ev.threshold_candidates(series(spark, sf_dir), ["user_id"], "event_type", "t", "value", "value", RISK, [30.0, 60.0, 90.0, 120.0, 150.0, 180.0], GAP, 0, GAP)
+    """All five families at the 17 thresholds."""
+    out = candidates(spark, sf_dir)
+    return out.select("candidate_id", "family_id", "threshold", *(rounded(c).alias(c) for c in ("false_alarms_per_hour", "event_macro_f1", "event_miss_rate")))
+
 
+#: False alarms per hour that some families can keep to and some cannot.
+CAP = 0.0006
 
-@register()
+
+@register(CANDIDATES + f""",
+    o AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY event_macro_f1 DESC NULLS LAST, event_miss_rate NULLS LAST, threshold DESC, candidate_id) AS k FROM z WHERE false_alarms_per_hour <= {CAP}),
+    d AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY false_alarms_per_hour, event_miss_rate NULLS LAST, threshold DESC, candidate_id) AS k FROM z)
+    SELECT d.family_id, CASE WHEN o.candidate_id IS NULL THEN 'diagnostic_only_blocked' ELSE 'pass' END AS status, o.candidate_id AS selected, d.candidate_id AS diagnostic FROM d LEFT JOIN o ON o.family_id = d.family_id AND o.k = 1 WHERE d.k = 1
+""")
 def e_selected_threshold(spark, sf_dir):
-    return selection.select_threshold(e_threshold_candidates(spark, sf_dir), ["family_id"], 0.02)
+    return selection.select_threshold(candidates(spark, sf_dir), ["family_id"], CAP)
 
 
 RESAMPLED = f"""

@@ -32,11 +32,25 @@ def series(spark, points):
 
 
 def test_sensor_evaluation(spark):
-    args = (["unit"], "t", "v", "s", 1.0, 0.5, 10, 0, 30)
+    args = (["unit"], "t", "v", "s", 1.0, 0.5, 0, 30, 60)
     one = events.sensor_evaluation(series(spark, [(80, 0.0, 1.0), (95, 0.0, 0.0), (100, 2.0, 1.0), (110, 2.0, 0.0)]), *args).first()
     assert (one.matched, one.predictions - one.matched, one.lead_p50, one.lead_p75 - one.lead_p25) == (1, 1, 20.0, 0.0)
     early = events.sensor_evaluation(series(spark, [(60, 0.0, 1.0), (70, 0.0, 1.0), (75, 0.0, 1.0), (100, 2.0, 0.0), (110, 2.0, 0.0)]), *args).first()
     assert (early.matched, early.truths, early.predictions, early.f1) == (0, 1, 1, 0.0)
+    assert (one.hours, one.false_alarms_per_hour) == (10 * 4 / 3600, 1 / (10 * 4 / 3600))  # median gap times rows
+    silent = events.sensor_evaluation(series(spark, [(80, 2.0, 0.0)]), *args).first()
+    assert (silent.precision, silent.recall, silent.f1, silent.hours) == (0.0, 0.0, 0.0, 60 / 3600)
+    calm = events.sensor_evaluation(series(spark, [(80, 0.0, 0.0), (90, 0.0, 0.0)]), *args).first()
+    assert (calm.precision, calm.recall, calm.f1) == (None, None, None)
+
+
+def test_threshold_candidates_pool_units(spark):
+    rows_ = [("f", u, t, v, s) for u, points in (("a", [(0, 2.0, 0.9), (60, 0.0, 0.1), (120, 0.0, 0.5)]), ("b", [(0, 0.0, 0.3), (60, 2.0, 0.2)])) for t, v, s in points]
+    df = spark.createDataFrame(rows_, "fam string, unit string, t long, v double, s double")
+    got = {r.candidate_id: r for r in events.threshold_candidates(df, ["unit"], "fam", "t", "v", "s", 1.0, 0, 0, 60).collect()}
+    assert len(got) == 17 and set(got) >= {"f@0.10", "f@0.90"}
+    high = got["f@0.50"]  # a: a match and a false alarm; b: a miss
+    assert np.allclose((high.false_alarms_per_hour, high.event_macro_f1, high.event_miss_rate), (12, 1 / 3, 0.5))
 
 
 def test_matching_against_brute_force(spark):
@@ -68,12 +82,14 @@ def episode(spark, truth, states, name="e"):
 
 
 def test_episode_evaluation(spark):
-    r = events.episode_evaluation(episode(spark, [0, 1, 1, 0, 0], ["prewarning", "prewarning", "abstain", "normal", "normal"]), "e", "step", "truth", "state").first()
-    assert (r.matched, r.coverage) == (0, 0.8)
-    r = events.episode_evaluation(episode(spark, [0, 0], ["normal", "normal"]), "e", "step", "truth", "state").first()
+    r = events.episode_evaluation(episode(spark, [0, 1, 1, 0, 0], ["prewarning", "prewarning", "abstain", "normal", "normal"]), ["e"], "step", "truth", "state").first()
+    assert (r.matched, r.coverage, r.flips) == (0, 0.8, 2)
+    r = events.episode_evaluation(episode(spark, [1, 1, 1, 0, 1], ["normal", "attention", "alarm", "prewarning", "abstain"]), ["e"], "step", "truth", "state").first()
+    assert (r.matched, r.mean_delay, r.delay_total, r.flips, r.precision) == (1, 2.0, 2.0, 4, 1.0)
+    r = events.episode_evaluation(episode(spark, [0, 0], ["normal", "normal"]), ["e"], "step", "truth", "state").first()
     assert r.f1 is None and r.miss_rate is None and r.recall is None
     two = episode(spark, [1], ["alarm"], "a").unionByName(episode(spark, [1], ["alarm"], "b"))
-    r = events.episode_evaluation(two, "e", "step", "truth", "state").agg(F.sum("predictions").alias("n"), F.sum("flips").alias("f")).first()
+    r = events.episode_evaluation(two, ["e"], "step", "truth", "state").agg(F.sum("predictions").alias("n"), F.sum("flips").alias("f")).first()
     assert (r.n, r.f) == (2, 0)
 
 
@@ -108,21 +124,33 @@ def test_alarm_states_stream_long_episodes(spark):
 def test_threshold_choice(spark):
     schema = "family_id string, candidate_id string, threshold double, false_alarms_per_hour double, event_macro_f1 double, event_miss_rate double"
     blocked = selection.select_threshold(spark.createDataFrame([("f", "a", 0.1, 2.0, 0.9, 0.1), ("f", "b", 0.2, 1.0, 0.2, 0.5)], schema), ["family_id"], 0.5).first()
-    assert (blocked.candidate_id, blocked.status) == ("b", "diagnostic_only_blocked")
+    assert (blocked.selected, blocked.diagnostic, blocked.status) == (None, "b", "diagnostic_only_blocked")
     chosen = selection.select_threshold(spark.createDataFrame([("f", "a", 0.1, 0.4, 0.5, 0.2), ("f", "b", 0.2, 0.3, 0.5, 0.2), ("f", "c", 0.3, 9.0, 1.0, 0.0)], schema), ["family_id"], 0.5).first()
-    assert (chosen.candidate_id, chosen.status) == ("b", "selected")
+    assert (chosen.selected, chosen.diagnostic, chosen.status) == ("b", "b", "pass")
+
+
+def test_policy_choice(spark):
+    schema = "package string, candidate_id string, answer_coverage double, false_alarms_per_100_episodes double, event_miss_rate double, event_macro_f1 double, mean_detection_delay_steps double, mean_state_flips_per_episode double, complexity_rank int"
+    rows_ = [("p", "a", 0.5, 1.0, 0.3, 0.9, 1.0, 1.0, 0), ("p", "b", 0.89, 9.0, 0.1, 0.2, 1.0, 1.0, 1), ("p", "c", 0.91, 5.0, 0.1, 0.2, 1.0, 1.0, 2), ("q", "d", 0.5, 1.0, 0.4, 0.9, 1.0, 1.0, 0), ("q", "e", 0.9, 50.0, 0.3, 0.1, 1.0, 1.0, 1)]
+    got = {r.package: r for r in selection.select_policy(spark.createDataFrame(rows_, schema), ["package"]).collect()}
+    assert (got["p"].status, got["p"].selected, got["p"].diagnostic) == ("pass", "b", "c")  # blocked ones go by miss rate, then false alarms
+    assert (got["q"].status, got["q"].selected, got["q"].diagnostic) == ("diagnostic_only_blocked", None, "e")
 
 
 def test_hash_pools_and_quotas(spark):
     weights = splits.BRANCH
-    q = splits.quotas(43, weights, 13007)
+    q = splits.quotas(43, weights, 13007, "d")
     assert sum(q.values()) == 43 and min(q.values()) >= 1
-    assert splits.quotas(43, dict(reversed(weights.items())), 13007) == q
-    assert min(splits.quotas(4, weights, 1).values()) == 1 and sum(splits.quotas(2, weights, 1).values()) == 2
+    assert splits.quotas(43, dict(reversed(weights.items())), 13007, "d") == q
+    assert min(splits.quotas(4, weights, 1, "d").values()) == 1
+    with pytest.raises(splits.QuotaError):
+        splits.quotas(3, weights, 1, "d")
+    few = splits.quotas(5, {"a": 0.96, "b": 0.01, "c": 0.01, "d": 0.01, "e": 0.01}, 1, "d")
+    assert few == dict.fromkeys("abcde", 1)
     groups = [f"g{i}" for i in range(26)]
     df = spark.createDataFrame([(g,) for g in groups], "c string")
     shuffled = spark.createDataFrame([(g,) for g in random.Random(1).sample(groups, 26)] * 2, "c string").repartition(3)
-    one, two = (rows(splits.assign_by_quota(d, "c", weights, 13007), "c", "pool") for d in (df, shuffled))
+    one, two = (rows(splits.assign_components(d.withColumn("d", F.lit("x")), "c", "d", weights, 13007), "c", "pool") for d in (df, shuffled))
     assert one == two and len(one) == 26
     pool = rows(splits.assign_by_hash(df, ["c"], weights, 5), "c", "pool")
     import hashlib
@@ -136,7 +164,7 @@ def test_hash_pools_and_quotas(spark):
 
 def test_time_pools_are_contiguous(spark):
     days = spark.createDataFrame([(f"2024-01-{d:02}", s) for d in range(1, 17) for s in range(3)], "day string, sensor int")
-    out = splits.assign_by_time(days, "day", ["tr", "sel", "prob", "te"], splits.BRANCH, 1).orderBy("day").collect()
+    out = splits.assign_by_time(days, "day", ["tr", "sel", "prob", "te"], splits.BRANCH, 1, "d").orderBy("day").collect()
     runs = [r.pool for i, r in enumerate(out) if not i or out[i - 1].pool != r.pool]
     assert runs == ["tr", "sel", "prob", "te"] and len(out) == 16
 
@@ -331,8 +359,8 @@ def test_calibrations(spark):
     assert abs(((q - y) * z).sum() + a) < 1e-3 and abs((q - y).sum()) < 1e-3
     knots = models.fit_isotonic(spark.createDataFrame([(0.1, 0), (0.2, 1), (0.3, 0), (0.4, 1)], "p double, y int"), "p", "y")
     assert knots == [(0.1, 0.0), (0.2, 0.5), (0.3, 0.5), (0.4, 1.0)]
-    at = spark.createDataFrame([(0.0,), (0.15,), (0.25,), (0.9,)], "p double").select(models.apply_knots(F.col("p"), knots).alias("v"))
-    assert np.allclose([r.v for r in at.collect()], [0, 0.25, 0.5, 1])
+    at = models.apply_knots(spark.createDataFrame([(0.0,), (0.15,), (0.25,), (0.9,), (None,)], "p double"), "p", knots, "v")
+    assert [r.v if r.p is None else round(r.v, 9) for r in at.collect()] == [0, 0.25, 0.5, 1, None]
     w = spark.createDataFrame([(1, [0.4, None]), (2, [None, None]), (3, [1.0, 1.0])], "id int, h array<double>")
     s = {r.id: r.score for r in models.persistence_scores(w, "h", 0.7, F.lit(True)).collect()}
     assert abs(s[2] - 0.5) < 1e-12 and s[1] < 0.5 < s[3] and math.isclose(s[3], 1 / (1 + math.exp(-0.3 / 0.3)), rel_tol=1e-9)
@@ -340,6 +368,111 @@ def test_calibrations(spark):
     assert sorted(r.fold for r in folds) == [0, 0, 0, 1, 1, 1, 2, 2, 2]
 
 
+def brute_isotonic(p, y):
+    blocks = []
+    for q in sorted(set(p)):
+        mine = [b for a, b in zip(p, y, strict=True) if a == q]
+        blocks.append([sum(mine), len(mine), [q]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            s, n, qs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + qs]
+    return {q: s / n for s, n, qs in blocks for q in qs}
+
+
+def test_isotonic_fit_is_exact_at_any_size(spark):
+    rng = np.random.default_rng(7)
+    p = rng.random(9000).tolist() + [0.25] * 50
+    y = (rng.random(9050) < np.array(p) ** 2).astype(int).tolist()
+    df = spark.createDataFrame(list(zip(p, y, strict=True)), "p double, y int").repartition(5)
+    want = brute_isotonic(p, y)
+    knots = models.fit_isotonic(df, "p", "y")
+    assert all(abs(want[x] - v) < 1e-12 for x, v in knots) and {knots[0][0], knots[-1][0]} == {min(p), max(p)}
+    got = models.apply_knots(df, "p", knots, "v").collect()
+    assert max(abs(r.v - want[r.p]) for r in got) < 1e-9
+    assert models.fit_isotonic(df.limit(0), "p", "y") == []
+
+
+def test_group_folds_are_balanced(spark):
+    rng = random.Random(5)
+    sizes = {f"g{i}": rng.choice([1, 1, 2, 3, 5, 40, 41]) for i in range(60)}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string")
+    got = models.group_folds(df, "g").collect()
+    assert {r.g: r.rows for r in got} == sizes
+    loads = [sum(r.rows for r in got if r.fold == f) for f in range(3)]
+    want, order = [0, 0, 0], sorted(sizes.values(), reverse=True)
+    for n in order:
+        want[want.index(min(want))] += n
+    assert loads == want and max(loads) - min(loads) <= 1
+    assert models.group_folds(df.limit(0), "g").collect() == []
+
+
+def test_calibrator_choice_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=600)
+    y = (rng.random(600) < 1 / (1 + np.exp(-(2 * z + 1)))).astype(int)
+    p = 1 / (1 + np.exp(-z))
+    df = spark.createDataFrame([(float(a), int(b), i % 20) for i, (a, b) in enumerate(zip(p, y, strict=True))], "p double, y int, g int")
+    fold = {r.g: r.fold for r in models.group_folds(df, "g").collect()}
+    f = np.array([fold[i % 20] for i in range(600)])
+    each = []
+    for k in range(3):
+        fit = brute_isotonic(p[f != k].tolist(), y[f != k].tolist())
+        xs = sorted(fit)
+        each.append(np.mean((np.interp(p[f == k], xs, [fit[x] for x in xs]) - y[f == k]) ** 2))
+    method, fitted, losses = models.select_calibrator(df, "p", "y", "g")
+    assert abs(losses["isotonic"] - np.mean(each)) < 1e-9
+    assert method == min(losses, key=losses.get) and losses["platt"] < losses["temperature"] and fitted is not None
+
+
+def test_components_over_several_datasets_keep_every_quota(spark):
+    rng = random.Random(2)
+    of = {f"c{i}": [d for d in ("x", "y", "z") if rng.random() < 0.6] or ["x"] for i in range(150)}
+    rows_ = [(c, d) for c, ds in of.items() for d in ds] * 2
+    one = rows(splits.assign_components(spark.createDataFrame(rows_, "c string, d string"), "c", "d", splits.BRANCH, 13007), "c", "pool")
+    rng.shuffle(rows_)
+    assert one == rows(splits.assign_components(spark.createDataFrame(rows_, "c string, d string").repartition(5), "c", "d", splits.BRANCH, 13007), "c", "pool")
+    pool = dict(one)
+    assert set(pool) == set(of)
+    for d in "xyz":
+        mine = [c for c in of if d in of[c]]
+        assert {p: sum(pool[c] == p for c in mine) for p in splits.BRANCH} == splits.quotas(len(mine), splits.BRANCH, 13007, d)
+
+
+def test_spanning_edges_against_kruskal(spark):
+    rng = random.Random(8)
+    nodes = list(range(60))
+    links = sorted({(min(a, b), max(a, b)) for a, b in ((rng.choice(nodes), rng.choice(nodes)) for _ in range(200)) if a != b})
+    near = [(a, b, rng.randint(1, 4)) for a, b in links]
+    parts = {n: n - n % 3 for n in nodes}
+    parent = {c: c for c in parts.values()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    want = []
+    for a, b, d in sorted(near, key=lambda e: (e[2], e[0], e[1])):
+        x, y = find(parts[a]), find(parts[b])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            want.append((a, b, d))
+    got = dedup.spanning_edges(spark.createDataFrame(near, "left_id int, right_id int, distance int"), spark.createDataFrame(list(parts.items()), "n int, component int"), "n")
+    assert rows(got, "left_id", "right_id", "distance") == sorted(want)
+
+
+def test_contrast_decisions(spark):
+    cases = [(-0.2, -0.3, -0.01, 0.2), (0.2, 0.1, 0.3, 0.01), (0.2, 0.1, 0.3, 0.2), (0.02, 0.01, 0.3, 0.01), (0.0, -0.1, 0.1, 0.01)]
+    df = spark.createDataFrame(cases, "e double, l double, h double, p double").select(metrics.contrast_decision(*(F.col(c) for c in "elhp"), 0.05).alias("d"))
+    assert [r.d for r in df.collect()] == ["negative", "support", "inconclusive", "inconclusive", "inconclusive"]
+
+
+def test_effect_is_that_of_the_data(spark):
+    pairs = spark.createDataFrame([("a", "u", 1.0), ("a", "v", 3.0), ("b", "u", 10.0)], "r string, u string, d double")
+    out = metrics.interval(pairs, metrics.paired_bootstrap(pairs, "r", "u", "d", 50, 1), "r", "d").first()
+    assert out.estimate == 6.0 and out.low < 6.0 < out.high and out.p_value == 0.0
+
+
 def test_scalar_functions(spark):
     one = spark.createDataFrame([("a/b.txt", "Wind Speed (m/s)", 0.4)], "p string, n string, x double").select(
         fn.safe_relative_path(F.col("p")).alias("safe"), fn.safe_relative_path(F.lit("../x")).alias("up"), fn.normalised_name("n").alias("name"), fn.on_grid(F.col("x"), [0.1, 0.4]).alias("grid"), fn.on_grid(F.lit(0.41), [0.1, 0.4]).alias("off"),
@@ -365,7 +498,7 @@ def test_records(spark):
     assert rows(records.claim_status(claims, contrasts, gates), "claim", "status") == [("a", "supported"), ("b", "limited"), ("c", "negative"), ("d", "removed"), ("e", "limited")]
     parts = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")], "g string, component string")
     near = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("a", "c", 3), ("c", "d", 4)], "left_id string, right_id string, distance int")
-    assert records.spanning_edges(near, parts, "g") == [("b", "c", 2), ("c", "d", 4)]
+    assert rows(dedup.spanning_edges(near, parts, "g"), "left_id", "right_id", "distance") == [("b", "c", 2), ("c", "d", 4)]
 
 
 def test_images(spark):
