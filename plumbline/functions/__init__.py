@@ -109,3 +109,30 @@ def rounded(x: Column | str, digits: int = 6) -> Column:
 def gamma(pixels: Column, g: float) -> Column:
     """A gamma curve over an array of bytes (0 to 255)."""
     return F.transform(pixels, lambda p: F.round(255 * F.pow(p / 255.0, F.lit(g))).cast("int"))
+
+
+def mapped(x: Column, values: dict) -> Column:
+    """The value that `values` has for x; one that it has not is an error, null stays null."""
+    table = F.create_map(*(F.lit(v) for kv in values.items() for v in kv))
+    return F.when(x.isNull(), F.lit(None)).when(F.map_contains_key(table, F.coalesce(x, F.lit(next(iter(values))))), F.element_at(table, x)).otherwise(F.raise_error(F.concat(F.lit("no value for "), x.cast("string"))))
+
+
+def zoned_time(text: Column) -> Column:
+    """An ISO time with a zone (Z or an offset) as an instant; null for any other text."""
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(text))
+
+
+def label_signature(label: Column, paths: Sequence[str]) -> Column:
+    """SHA-256 of a struct as JSON without its path fields."""
+    return F.sha2(F.to_json(label.dropFields(*paths)), 256)
+
+
+def semantic_signature(concepts: Column, present: Column, verified: Column) -> Column:
+    """SHA-256 of the distinct concepts in order, with whether any is present and whether negatives are verified."""
+    return F.sha2(F.to_json(F.struct(F.array_sort(F.array_distinct(concepts)).alias("concepts"), present.alias("present"), verified.alias("verified"))), 256)
+
+
+def distinct_filled(x: Column | str) -> Column:
+    """Aggregate: distinct values, blank ones and nulls left out."""
+    return F.countDistinct(F.when(F.trim(x) != "", F.trim(x)))
+

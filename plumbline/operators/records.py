@@ -63,6 +63,18 @@ def budget_roll_up(used: DataFrame, caps: DataFrame, key: str, amount: str, cap:
     return caps.join(total, key, "left").select(key, cap, F.coalesce("used", F.lit(0.0)).alias("used"), (F.col(cap) - F.coalesce("used", F.lit(0.0))).alias("left"), (F.coalesce("used", F.lit(0.0)) <= F.col(cap)).alias("within"))
 
 
+def population_hash(df: DataFrame, key: str, digits: int) -> DataFrame:
+    """(population_hash, n) of a column's distinct values: a hash over the hashes of buckets of sorted values.
+
+    A value's bucket is the first `digits` hex digits of its hash, so 16 ** digits buckets share the values
+    evenly; only the buckets' hashes come together.
+    """
+    ids = df.select(F.col(key).cast("string").alias("k")).distinct()
+    per = ids.groupBy(F.substring(F.sha2("k", 256), 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "\n"), 256).alias("h"), F.count("*").alias("n"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: F.concat_ws(":", x["b"], x["h"]))
+    return per.agg(F.sha2(F.array_join(rows, "\n"), 256).alias("population_hash"), F.sum("n").alias("n"))
+
+
 def part_set_hash(df: DataFrame, unit: str, part: str, digest: str, size: str) -> DataFrame:
     """Per archive: parts, bytes, and a hash of its parts in order; archives have few parts."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(part).cast("string").alias("p"), F.col(digest).alias("d"), F.col(size).cast("string").alias("s"))))

@@ -96,3 +96,25 @@ def observed_order(df: DataFrame, group: Sequence[str], position: str, value: st
     runs = df.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(value)))
     ordered = F.array_sort(F.collect_list(F.struct(position, value)))
     return runs.groupBy(*group).agg(F.concat_ws(">", F.transform(ordered, lambda x: x[value])).alias("observed"), F.count("*").alias("runs"))
+
+
+def first_groups(df: DataFrame, dataset: Sequence[str], group: str, position: str, n: int) -> DataFrame:
+    """Rows of the first n groups of each dataset, groups in the order of their first position, then by name."""
+    first = df.groupBy(*dataset, group).agg(F.min(position).alias("_at"))
+    chosen = first_per_group(first, dataset, ["_at", group], n).select(*dataset, group)
+    return df.join(chosen, [*dataset, group], "left_semi").select(*df.columns)
+
+
+def source_budgets(sources: DataFrame, source: str, budget: int) -> DataFrame:
+    """(source, budget): the total budget in equal whole parts, what is left going to the last source by name. Sources are few."""
+    w = Window.partitionBy(F.lit(1))
+    ranked = sources.select(source).distinct().withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(source)))
+    share = F.floor(F.lit(budget) / F.col("_n"))
+    return ranked.select(source, F.when(F.col("_k") == F.col("_n"), F.lit(budget) - share * (F.col("_n") - 1)).otherwise(share).cast("long").alias("budget"))
+
+
+def alternated(left: DataFrame, right: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of two tables in turn within each group, left first, with their place from 0; when one ends the other goes on."""
+    number = lambda df, side: df.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).withColumn("side", F.lit(side))
+    both = number(left, 0).unionByName(number(right, 1))
+    return both.withColumn("place", (F.row_number().over(Window.partitionBy(*group).orderBy("_k", "side")) - 1).cast("long")).drop("_k")

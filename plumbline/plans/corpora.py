@@ -303,16 +303,17 @@ def o_constrained_policy(spark, sf_dir):
 
 
 @register("""
-    WITH RECURSIVE g AS (SELECT role, conv_id, least(count(*), 32) AS n, row_number() OVER (PARTITION BY role ORDER BY conv_id) AS k FROM conversations GROUP BY role, conv_id),
-    p(role, k, episode, used, first_step) AS (
-        SELECT role, k, 0::BIGINT, n, 0::BIGINT FROM g WHERE k = 1
-        UNION ALL SELECT g.role, g.k, CASE WHEN used + n > 32 THEN episode + 1 ELSE episode END, CASE WHEN used + n > 32 THEN n ELSE used + n END, CASE WHEN used + n > 32 THEN 0 ELSE used END FROM p JOIN g ON g.role = p.role AND g.k = p.k + 1
+    WITH RECURSIVE g AS (SELECT role, conv_id % 4 AS seed, conv_id, least(count(*), 32) AS n, row_number() OVER (PARTITION BY role, conv_id % 4 ORDER BY conv_id) AS k FROM conversations GROUP BY role, conv_id),
+    p(role, seed, k, episode, used, first_step) AS (
+        SELECT role, seed, k, 0::BIGINT, n, 0::BIGINT FROM g WHERE k = 1
+        UNION ALL SELECT g.role, g.seed, g.k, CASE WHEN used + n > 32 THEN episode + 1 ELSE episode END, CASE WHEN used + n > 32 THEN n ELSE used + n END, CASE WHEN used + n > 32 THEN 0 ELSE used END FROM p JOIN g ON g.role = p.role AND g.seed = p.seed AND g.k = p.k + 1
     )
-    SELECT role, conv_id, episode, CAST(first_step AS BIGINT) AS first_step FROM p JOIN g USING (role, k)
+    SELECT role, seed, conv_id, episode, CAST(first_step AS BIGINT) AS first_step FROM p JOIN g USING (role, seed, k)
 """)
 def e_episode_packing(spark, sf_dir):
-    groups = table(spark, sf_dir, "conversations").groupBy("role", "conv_id").agg(F.count("*").alias("n"))
-    return episodes.pack_groups(groups, ["role"], ["conv_id"], "n").select("role", "conv_id", "episode", "first_step")
+    """Lanes are a role and a seed, of which there are as many as the table asks for."""
+    groups = table(spark, sf_dir, "conversations").groupBy("role", "conv_id").agg(F.count("*").alias("n")).withColumn("seed", F.col("conv_id") % 4)
+    return episodes.pack_groups(groups, ["role", "seed"], ["conv_id"], "n").select("role", "seed", "conv_id", "episode", "first_step")
 
 
 @register("""

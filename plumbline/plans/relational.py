@@ -135,7 +135,7 @@ BANDS = [(1, 5, "small"), (6, 15, "medium"), (16, 30, "large"), (31, 44, "huge")
 
 
 @register("""
-    SELECT p_partkey, band, count(*) OVER (PARTITION BY p_partkey) AS matches FROM part JOIN (VALUES (1, 5, 'small'), (6, 15, 'medium'), (16, 30, 'large'), (31, 44, 'huge')) AS b(a, z, band)
+    SELECT p_partkey, band, count(a) OVER (PARTITION BY p_partkey) AS matches FROM part LEFT JOIN (VALUES (1, 5, 'small'), (6, 15, 'medium'), (16, 30, 'large'), (31, 44, 'huge')) AS b(a, z, band)
     ON p_size BETWEEN a AND z
 """)
 def j_range_containment(spark, sf_dir):
@@ -143,7 +143,7 @@ def j_range_containment(spark, sf_dir):
 
     bands = spark.createDataFrame(BANDS, "low int, high int, band string")
     found = containing(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", bands, "low", "high", ["p_partkey"])
-    return found.where("matches > 0").select("p_partkey", "band", "matches")
+    return found.select("p_partkey", "band", "matches")
 
 
 @register("""
@@ -160,7 +160,7 @@ def j_interval_overlap(spark, sf_dir):
 
 
 @register("""
-    WITH p AS (SELECT CAST(p_size AS BIGINT) AS s, p_brand FROM part WHERE p_partkey % 10 = 0),
+    WITH p AS (SELECT CAST(p_size AS BIGINT) AS s, p_brand || '/' || p_type AS p_brand FROM part),
     d AS (SELECT DISTINCT p_brand, s FROM p),
     e AS (SELECT p_brand, s, lead(s, 1, 61) OVER (PARTITION BY p_brand ORDER BY s) AS nxt, lag(s, 1, 0) OVER (PARTITION BY p_brand ORDER BY s) AS prev FROM d WHERE s BETWEEN 1 AND 60)
     SELECT p_brand, s + 1 AS low, nxt - 1 AS high FROM e WHERE nxt - s > 1
@@ -169,7 +169,7 @@ def j_interval_overlap(spark, sf_dir):
 def j_interval_subtraction(spark, sf_dir):
     from plumbline.operators.ranges import subtract_points
 
-    points = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select("p_brand", F.col("p_size").cast("long").alias("s"))
+    points = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("p_brand"), F.col("p_size").cast("long").alias("s"))
     return subtract_points(points, "p_brand", "s", 1, 60)
 
 
@@ -261,11 +261,14 @@ def a_cube(spark, sf_dir):
     return table(spark, sf_dir, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.grouping("lang").cast("int").alias("no_lang"), F.grouping("source").cast("int").alias("no_source"))
 
 
-@register("SELECT sha256('[' || string_agg('\"' || source || '\"', ',' ORDER BY source) || ']') AS population_hash, count(*) AS n FROM (SELECT DISTINCT source FROM documents)")
+@register("""
+    WITH d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS k FROM documents), b AS (SELECT substr(sha256(k), 1, 2) AS bucket, count(*) AS n, sha256(string_agg(k, chr(10) ORDER BY k)) AS h FROM d GROUP BY 1)
+    SELECT sha256(string_agg(bucket || ':' || h, chr(10) ORDER BY bucket)) AS population_hash, CAST(sum(n) AS BIGINT) AS n FROM b
+""")
 def a_population_hash(spark, sf_dir):
-    # the distinct sources are few; a population of unbounded ids is hashed by bucket instead
-    sources = table(spark, sf_dir, "documents").select("source").distinct()
-    return sources.agg(F.sha2(F.to_json(F.array_sort(F.collect_list("source"))), 256).alias("population_hash"), F.count("*").alias("n"))
+    from plumbline.operators.records import population_hash
+
+    return population_hash(table(spark, sf_dir, "documents"), "doc_id", 2)
 
 
 @register("""

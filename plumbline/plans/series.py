@@ -145,11 +145,20 @@ def e_history_windows(spark, sf_dir):
     return w.select("window_id", "user_id", "history_start", "history_end", "forecast_end", total.alias("history_sum"), F.size(kept).cast("long").alias("observed"), "future_max", "event_truth")
 
 
+def _slope_sql(k: int) -> str:
+    """Least-squares slope of the last k cells over their places, missing ones left out."""
+    at = f"list_filter(range(1, {k + 1}), lambda i: history[-{k}:][i] IS NOT NULL)"
+    total = lambda x: f"list_sum(list_transform({at}, lambda i: {x}))"
+    cell = f"history[-{k}:][i]"
+    return f"(len({at}) * {total(f'i * {cell}')} - {total('i')} * {total(cell)}) / (len({at}) * {total('i * i')} - {total('i')} * {total('i')})"
+
+
 def _statistics_sql(k: int, span: int) -> str:
     part = f"list_filter(history[-{k}:], lambda v: v IS NOT NULL)"
     return ", ".join([
         f"round(list_min({part}), 4) AS min_{span}", f"round(list_max({part}), 4) AS max_{span}", f"round(list_avg({part}), 4) AS mean_{span}", f"round(list_stddev_pop({part}), 3) AS std_{span}",
         f"round(list_aggregate({part}, 'quantile_cont', 0.25), 4) AS q25_{span}", f"round(list_median({part}), 4) AS median_{span}", f"round(list_aggregate({part}, 'quantile_cont', 0.75), 4) AS q75_{span}",
+        f"round(CASE WHEN len({part}) < 2 THEN 0.0 ELSE {_slope_sql(k)} END, 4) + 0.0 AS slope_{span}",
         f"round({part}[-1], 4) AS last_{span}", f"round(1 - len({part}) / {k}.0, 6) AS missing_{span}",
     ])
 
@@ -159,7 +168,7 @@ def e_causal_statistics(spark, sf_dir):
     w = timeseries.history_windows(series(spark, sf_dir), "events", "user_id", "t", "value", HISTORY, HORIZON, STRIDE, RISK)
     out = timeseries.causal_statistics(w, "window_id", "history", STRIDE, (4 * STRIDE, 8 * STRIDE))
     digits = lambda c: 3 if c.startswith("std") else 6 if c.startswith("missing") else 4
-    return out.select("window_id", *(F.round(c, digits(c)).alias(c) for c in out.columns if c != "window_id" and not c.startswith("slope")))
+    return out.select("window_id", *((F.round(c, digits(c)) + F.lit(0.0)).alias(c) for c in out.columns if c != "window_id"))
 
 
 @register(f"SELECT event_id, count(value) OVER w AS future_n, max(value) OVER w AS future_max FROM (SELECT *, (epoch_us(ts) // 1000000) AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING)")

@@ -1,13 +1,11 @@
 """Streaming queries, each run to the end of what there is and read back."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import streaming
-from plumbline.operators.stash import shared_folder
+from plumbline.operators.stash import new_path
 from plumbline.plans.catalogue import register
 from plumbline.sources.tables import table
 
@@ -20,7 +18,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def finished(stream: DataFrame) -> DataFrame:
     """All rows that the stream emits for what is there now, read back from its table."""
-    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    folder = new_path(stream.sparkSession, "stream")
     streaming.run_to_table(stream, f"{folder}/rows", f"{folder}/state")
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
@@ -43,3 +41,35 @@ def s_tumbling_blocks(spark, sf_dir):
     """Closed days only: a day is told once the watermark has passed its end."""
     blocks = streaming.tumbling_blocks(events_stream(spark, sf_dir), "user_id", "1 day", "1 hour")
     return finished(blocks.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "top"))
+
+
+@register("""
+    WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events), w AS (SELECT e.*, date_trunc('day', ts) + to_hours(6 * CAST(floor(hour(ts) / 6) - k AS BIGINT)) AS start FROM events e, range(0, 4) AS r(k))
+    SELECT user_id, strftime(start + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS history_end, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS top FROM w, m WHERE start + INTERVAL 1 DAY <= mark GROUP BY user_id, start
+""")
+def s_sliding_history(spark, sf_dir):
+    """Windows of a day every six hours that the watermark has passed."""
+    out = streaming.sliding_history(events_stream(spark, sf_dir), "user_id", "1 day", "6 hours", "1 hour")
+    return finished(out.select("user_id", F.date_format("history_end", "yyyy-MM-dd HH:mm:ss").alias("history_end"), "n", F.round("mean", 6).alias("mean"), "top"))
+
+
+@register("""
+    WITH f AS (SELECT user_id, ts, CASE WHEN coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 86400000000, true) THEN 1 ELSE 0 END AS o FROM events WHERE value >= 50 WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    n AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM f), i AS (SELECT user_id, k, min(ts) AS a, max(ts) AS z, count(*) AS positions FROM n GROUP BY user_id, k)
+    SELECT user_id, epoch_us(a) AS first_us, epoch_us(z) AS last_us, positions FROM i WHERE z + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE value >= 50)
+""")
+def s_event_sessions(spark, sf_dir):
+    """Events of values over 50, at most a day apart, that the watermark has passed."""
+    out = streaming.event_sessions(events_stream(spark, sf_dir), "user_id", 50.0, "1 day")
+    return finished(out.select("user_id", F.unix_micros("start").alias("first_us"), F.unix_micros("end").alias("last_us"), "positions"))
+
+
+@register("SELECT 'high' AS output, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE value >= 90 UNION ALL SELECT 'errors', count(*), round(sum(value), 2) FROM events WHERE event_type = 'error'")
+def s_split_stream(spark, sf_dir):
+    """One stream to two tables, batch by batch; a row may go to both. A second run finds nothing new."""
+    folder = new_path(spark, "stream")
+    outputs = {"high": F.col("value") >= 90, "errors": F.col("event_type") == "error"}
+    for _ in range(2):
+        streaming.run_to_tables(events_stream(spark, sf_dir), folder, f"{folder}-state", outputs)
+    read = lambda n: spark.read.parquet(f"{folder}/{n}").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.lit(n).alias("output"), "n", "total")
+    return read("high").unionByName(read("errors"))

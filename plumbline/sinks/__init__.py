@@ -3,11 +3,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import centre_box
+from plumbline.operators.stash import remove
 
 
 def content_digest(df: DataFrame) -> dict[str, str | int]:
@@ -27,39 +31,81 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"{old} could not become {new}")
+
+
+@contextmanager
+def _staged(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder beside `path` to write to, which takes its place when all is written and goes when anything fails."""
+    beside = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    try:
+        yield beside
+        _rename(spark, beside, path)
+    finally:
+        remove(spark, beside)
+
+
 def write_once(df: DataFrame, path: str, partition_by: list[str] | None = None) -> dict[str, str | int]:
     """Writes a Parquet table that never changes: a second write of equal content does nothing, another is an error.
 
-    The digest is of content, so file layout and row order do not count.
+    The digest is of content, so file layout and row order do not count. The table is written beside its
+    place and moved there whole, so a write that fails leaves nothing in the way of the next.
     """
     spark, told = df.sparkSession, content_digest(df)
     if _exists(spark, path):
         if content_digest(spark.read.parquet(path).select(*df.columns))["digest"] != told["digest"]:
             raise FileExistsError(f"{path} holds other content")
         return told
-    writer = df.write.mode("error").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with _staged(spark, path) as beside:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(beside)
     return told
 
 
 def write_many(df: DataFrame, path: str, outputs: dict[str, Column]) -> dict[str, dict]:
-    """Rows to a table per condition, all under `path`; the commit marker `_receipt` is written last.
+    """Rows to a table per condition, all under `path`, in one pass; what stands there is complete, with its `_receipt`.
 
-    A row may go to several outputs or none. A folder without its receipt is an unfinished run.
+    A row may go to several outputs or none; outputs without rows are empty tables. Everything is written
+    beside its place and moved there whole.
     """
     spark = df.sparkSession
-    if _exists(spark, f"{path}/_receipt"):
+    if _exists(spark, path):
         raise FileExistsError(f"{path} is finished")
+    told = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in outputs.items())), lambda x: x.isNotNull())
     receipts = {}
-    for name, condition in outputs.items():
-        part = df.where(condition)
-        part.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
-        receipts[name] = content_digest(spark.read.parquet(f"{path}/{name}"))
-    lines = [(json.dumps(receipts, sort_keys=True),)]
-    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("error").text(f"{path}/_receipt")
+    with _staged(spark, path) as beside:
+        df.withColumn("_output", F.explode(told)).write.option("compression", "zstd").partitionBy("_output").parquet(f"{beside}/_rows")
+        for name in outputs:
+            mine = f"{beside}/{name}"
+            if _exists(spark, f"{beside}/_rows/_output={name}"):
+                _rename(spark, f"{beside}/_rows/_output={name}", mine)
+            else:
+                df.limit(0).write.parquet(mine)
+            receipts[name] = content_digest(spark.read.schema(df.schema).parquet(mine))
+        remove(spark, f"{beside}/_rows")
+        spark.createDataFrame([(json.dumps(receipts, sort_keys=True),)], "value string").coalesce(1).write.text(f"{beside}/_receipt")
     return receipts
 
 
+def write_csv(df: DataFrame, path: str, order: list[str], files: int = 1) -> None:
+    """CSV files with a header, rows in order over `files` ranges, nulls as empty cells; the same rows give the same bytes."""
+    spark = df.sparkSession
+    if _exists(spark, path):
+        raise FileExistsError(f"{path} is finished")
+    with _staged(spark, path) as beside:
+        df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(beside, header=True, nullValue="", emptyValue="")
+
+
+def write_label_files(records: DataFrame, path: str, classes: list[str]) -> None:
+    """Label files of records (see `label_lines`), a folder record_id=<id> each."""
+    label_lines(records, classes).where("content <> ''").write.partitionBy("record_id").text(path)
+
+
 def write_sensor_blocks(df: DataFrame, path: str) -> None:
     """Sensor rows in a folder per sensor and block; repeated seconds of a sensor are refused, and so is an existing folder."""
     if df.groupBy("sensor", "epoch").count().where("count > 1").limit(1).collect():

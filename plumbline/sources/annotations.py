@@ -5,6 +5,8 @@ what policies dropped, so one contract serves every layout.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +16,22 @@ BOX = "struct<source_label:string,x1:double,y1:double,x2:double,y2:double>"
 COCO = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,iscrowd:int>>, categories array<struct<id:long,name:string>>"
 
 
-
-
-
-
 def read_coco(spark: SparkSession, path: str, labels: list[str] | None = None) -> DataFrame:
     """COCO annotations. Crowd boxes, boxes without area and boxes of other labels are dropped and counted.
 
-    An annotation of an unknown image or category, or a repeated id, is an error.
+    An annotation of an unknown image or category, or a repeated id, is an error. Several files are one
+    dataset: they may share categories, if ids and names agree, but no image or annotation id.
     """
     raw = spark.read.schema(COCO).json(path, multiLine=True)
+    kinds = raw.select(F.input_file_name().alias("f"), F.explode("categories").alias("c")).select("f", "c.id", "c.name")
+    doubled = kinds.groupBy("f", "id").count().where("count > 1").select("id").unionByName(kinds.groupBy("id").agg(F.countDistinct("name").alias("n")).where("n > 1").select("id")).distinct().count()
     images = raw.select(F.explode("images").alias("i")).select("i.*")
-    names = raw.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("source_label"))
+    names = raw.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("source_label")).distinct()
     marks = raw.select(F.explode("annotations").alias("a")).select("a.*")
     stray = marks.join(images.select(F.col("id").alias("image_id")), "image_id", "left_anti").count() + marks.join(names, "category_id", "left_anti").count()
     repeated = images.groupBy("id").count().where("count > 1").count() + marks.groupBy("id").count().where("count > 1").count()
-    if stray or repeated:
-        raise ValueError(f"COCO: {stray} annotations of unknown images or categories, {repeated} repeated ids")
+    if stray or repeated or doubled:
+        raise ValueError(f"COCO: {stray} annotations of unknown images or categories, {repeated} repeated ids, {doubled} repeated categories")
     x, y, w, h = (F.col("bbox")[k] for k in range(4))
     wanted = F.col("source_label").isin(labels) if labels else F.lit(True)
     state = F.when(F.coalesce("iscrowd", F.lit(0)) == 1, "crowd").when((w <= 0) | (h <= 0), "invalid").when(~wanted, "unselected").otherwise("kept")
@@ -45,15 +46,19 @@ def read_coco(spark: SparkSession, path: str, labels: list[str] | None = None) -
 
 
 def read_yolo(spark: SparkSession, path: str, images: DataFrame, names: list[str], missing: str = "empty") -> DataFrame:
-    """YOLO label files joined to `images` (record_id, width, height); a record's file is <record_id>.txt.
+    """YOLO label files joined to `images` (record_id, width, height); a record's file is <record_id>.txt under `path`.
 
-    A line is class, centre x, centre y, width, height, all normalised. Lines of another form or out of
-    [0, 1] are an error; records without a file have no boxes, or are an error with missing='error'.
+    A record in a subfolder has that folder in its id, so equal names in two folders do not mix. Folders
+    record_id=<id>, as Spark writes them, count too. A line is class, centre x, centre y, width, height, all normalised.
+    Lines of another form, with a class that is no whole number of the names', or out of [0, 1] are an
+    error; records without a file have no boxes, or are an error with missing='error'.
     """
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("record_id"))
+    place = F.url_decode(F.regexp_extract(F.input_file_name(), re.escape(path.rstrip("/").split("://")[-1].replace("file:", "")) + r"/(.+)\.txt$", 1))
+    told = F.regexp_extract(place, "(^|/)record_id=([^/]+)/", 2)
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.when(told != "", F.url_decode(told)).otherwise(place).alias("record_id"))
     lines = text.select("record_id", F.explode(F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")).alias("line"))
     fields = lines.select("record_id", F.split(F.trim("line"), r"\s+").alias("f")).select("record_id", F.size("f").alias("n"), F.transform("f", lambda s: s.try_cast("double")).alias("v"))
-    bad = fields.where((F.col("n") != 5) | F.exists("v", lambda x: x.isNull()) | F.exists(F.slice("v", 2, 4), lambda x: (x < 0) | (x > 1)) | (F.col("v")[0] >= len(names)))
+    bad = fields.where((F.col("n") != 5) | F.exists("v", lambda x: x.isNull()) | F.exists(F.slice("v", 2, 4), lambda x: (x < 0) | (x > 1)) | (F.col("v")[0] >= len(names)) | (F.col("v")[0] < 0) | (F.col("v")[0] != F.floor(F.col("v")[0])))
     if k := bad.count():
         raise ValueError(f"YOLO: {k} lines are not class, x, y, width, height in [0, 1]")
     if missing == "error" and (k := images.join(text, "record_id", "left_anti").count()):

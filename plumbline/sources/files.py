@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import block_start
@@ -73,6 +73,18 @@ def record_id(rule: dict, path: Column, ranges: DataFrame | None = None) -> Colu
     return F.when(path.rlike(rule["regex"]), F.regexp_replace(F.regexp_extract(path, rule["regex"], 0), rule["regex"], rule["template"]))
 
 
+def schema_rows(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> DataFrame:
+    """(name, column, place, type) of tables, from their files' footers or headers; no row is read."""
+    rows = [(name, f.name, k + 1, f.dataType.simpleString()) for name, path in paths.items() for k, f in enumerate(spark.read.format(fmt).option("header", True).load(path).schema)]
+    return spark.createDataFrame(rows, "name string, column string, place int, type string")
+
+
+def unordered_rows(df: DataFrame, unit: Sequence[str], position: str, order: Sequence[str]) -> DataFrame:
+    """Per unit that has any: how many rows, in their `order`, do not lie after the one before."""
+    before = F.lag(position).over(Window.partitionBy(*unit).orderBy(*order))
+    return df.select(*unit, (F.col(position) <= before).alias("_b")).groupBy(*unit).agg(F.count_if("_b").alias("backwards")).where("backwards > 0")
+
+
 READERS: dict[str, Callable[..., DataFrame]] = {
     "coco": annotations.read_coco, "yolo": annotations.read_yolo, "voc": annotations.read_voc, "sensors_long": read_sensors_long, "sensors_wide": read_sensors_wide,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -74,3 +74,15 @@ def alarm_states(steps: DataFrame, key: str, policy: Policy) -> DataFrame:
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Everything available now into a Parquet table, each batch once, resumable from the checkpoint."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_to_tables(stream: DataFrame, path: str, checkpoint: str, outputs: dict[str, Column]) -> None:
+    """Each batch to a table per condition, in a folder batch=<id> of each: a batch that runs again after a failure replaces its own."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for name, condition in outputs.items():
+            batch.where(condition).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.unpersist()
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

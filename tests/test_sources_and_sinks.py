@@ -18,6 +18,11 @@ def test_coco(spark, tmp_path):
     got = {r.record_id: r for r in annotations.read_coco(spark, str(path), ["person"]).collect()}
     assert [tuple(b) for b in got["a.jpg"].boxes] == [("person", 1.0, 2.0, 4.0, 6.0)] and got["b.jpg"].boxes == []
     assert (got["a.jpg"].dropped_crowd, got["a.jpg"].dropped_invalid, got["a.jpg"].dropped_unselected) == (1, 1, 1)
+    spec["categories"].append({"id": 7, "name": "person"})
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="1 repeated categories"):
+        annotations.read_coco(spark, str(path))
+    spec["categories"].pop()
     spec["annotations"].append(a(4, 99, 7, [0, 0, 1, 1]))
     path.write_text(json.dumps(spec))
     with pytest.raises(ValueError, match="1 annotations of unknown"):
@@ -34,6 +39,15 @@ def test_yolo_round_trip(spark, tmp_path):
     assert lines["a"].split("\n")[1] == "1 0.5000000000 0.5000000000 0.2000000000 0.4000000000" and lines["b"] == ""
     with pytest.raises(ValueError, match="no label file"):
         annotations.read_yolo(spark, str(tmp_path), images, ["cat", "dog"], missing="error")
+    for odd in ("-2 0.5 0.5 0.1 0.1", "0.5 0.5 0.5 0.1 0.1", "2 0.5 0.5 0.1 0.1"):
+        (tmp_path / "b.txt").write_text(odd)
+        with pytest.raises(ValueError, match="1 lines"):
+            annotations.read_yolo(spark, str(tmp_path), images, ["cat", "dog"])
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "b.txt").unlink()
+    (tmp_path / "sub" / "a.txt").write_text("1 0.5 0.5 1 1")
+    both = annotations.read_yolo(spark, str(tmp_path), images.unionByName(spark.createDataFrame([("sub/a", 10, 10)], images.schema)), ["cat", "dog"])
+    assert {r.record_id: len(r.boxes) for r in both.collect()} == {"a": 2, "b": 0, "sub/a": 1}
     (tmp_path / "b.txt").write_text("0 0.5 1.5 0.1 0.1")
     with pytest.raises(ValueError, match="1 lines"):
         annotations.read_yolo(spark, str(tmp_path), images, ["cat", "dog"])
@@ -98,6 +112,13 @@ def test_write_once_and_seals(spark, tmp_path):
     assert sinks.release(spark, df, "t", f"file://{tmp_path}/seal").count() == 2
     with pytest.raises(PermissionError):
         sinks.release(spark, other, "t", f"file://{tmp_path}/seal")
+    broken = df.withColumn("k", F.when(F.col("k") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("k")))
+    for write in (lambda: sinks.write_many(broken, f"file://{tmp_path}/torn", {"all": F.lit(True)}), lambda: sinks.write_csv(broken, f"file://{tmp_path}/torn", ["k"])):
+        with pytest.raises(Exception, match="lost"):
+            write()
+        assert not [p for p in tmp_path.iterdir() if p.name.startswith("torn")]  # nothing stands in the way of the next try
+    sinks.write_csv(df, f"file://{tmp_path}/torn", ["k"])
+    assert [p.read_text() for p in (tmp_path / "torn").glob("*.csv")] == ["k,s,x\n1,a,\n2,,0.5\n"]
     many = sinks.write_many(df, f"file://{tmp_path}/many", {"low": F.col("k") < 2, "all": F.lit(True)})
     assert (many["low"]["rows"], many["all"]["rows"]) == (1, 2)
     with pytest.raises(FileExistsError):
@@ -139,3 +160,31 @@ def test_streamed_alarms_equal_batch(spark, tmp_path):
     key = lambda r: (r.e, r.step, round(r.memory, 9), r.state)
     got = sorted(map(key, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert len(got) == 20 and got == sorted(map(key, batch.collect()))
+
+
+def test_streamed_split_runs_once(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [[(k, datetime(2024, 1, 1)) for k in range(5)], [(k, datetime(2024, 1, 1)) for k in range(5, 9)]]
+    stream = stream_of(spark, tmp_path, rows, "k int, ts timestamp")
+    for _ in range(2):
+        streaming.run_to_tables(stream, str(tmp_path / "out"), str(tmp_path / "state"), {"even": F.col("k") % 2 == 0, "all": F.lit(True)})
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out" / "even")).collect()) == [0, 2, 4, 6, 8]
+    assert spark.read.parquet(str(tmp_path / "out" / "all")).count() == 9
+
+
+def test_stash_scopes(spark):
+    from plumbline.operators import stash as st
+
+    fs = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = lambda path: fs(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs(path))
+    with st.scratch(spark):
+        with st.scratch(spark):
+            gone, kept = st.stash(spark.range(3), "a"), st.keep(st.stash(spark.range(4), "b"))
+            bucketed = st.stash_bucketed(spark.range(5), "c", "id", 2)
+            assert gone.count() + bucketed.count() == 8 and not spark.catalog.listTables()
+        assert not there(gone.stashed_at) and not there(bucketed.stashed_at) and kept.count() == 4
+    assert not there(kept.stashed_at)
+    left = st.stash(spark.range(2), "d")
+    st.discard(left)
+    assert not there(left.stashed_at)
