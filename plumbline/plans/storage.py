@@ -231,11 +231,12 @@ def v_skeleton(spark, sf_dir):
     return SKELETON.violations(s).unionByName(spread.select("rule", "broken"))
 
 
-#: A corruption manifest: every record with every kind and severity, a hash, and the source kept.
-CORRUPTIONS = contracts.TableContract(
-    required=("record_id", "corruption_type", "severity", "sha256", "source_kept"), key=("record_id", "corruption_type", "severity"), one_of={"corruption_type": ("fog", "gamma"), "severity": (1, 2, 3)},
-    matches={"sha256": contracts.SHA256}, rules={"source kept": F.col("source_kept")},
-)
+def corruptions() -> contracts.TableContract:
+    """A corruption manifest: every record with every kind and severity, a hash, and the source kept."""
+    return contracts.TableContract(
+        required=("record_id", "corruption_type", "severity", "sha256", "source_kept"), key=("record_id", "corruption_type", "severity"), one_of={"corruption_type": ("fog", "gamma"), "severity": (1, 2, 3)},
+        matches={"sha256": contracts.SHA256}, rules={"source kept": F.col("source_kept")},
+    )
 
 
 @register("""
@@ -246,4 +247,4 @@ def v_corruption_manifest(spark, sf_dir):
     cells = F.explode(F.array(*(F.struct(F.lit(k).alias("corruption_type"), F.lit(s).alias("severity")) for k in ("fog", "blur") for s in range(1, 5)))).alias("c")
     g = table(spark, sf_dir, "benchmark").select("item_id", cells).select(F.col("item_id").alias("record_id"), "c.*")
     h = F.when((F.col("record_id") * 3 + F.col("severity")) % 11 == 0, "none").otherwise(F.sha2(F.concat(F.col("record_id").cast("string"), "corruption_type", F.col("severity").cast("string")), 256))
-    return CORRUPTIONS.violations(g.withColumn("sha256", h).withColumn("source_kept", (F.col("record_id") + F.col("severity")) % 7 != 0))
+    return corruptions().violations(g.withColumn("sha256", h).withColumn("source_kept", (F.col("record_id") + F.col("severity")) % 7 != 0))
