@@ -18,6 +18,7 @@ scored in overlapping windows: the first half is context only, so each token is
 """
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections.abc import Iterator
@@ -248,7 +249,7 @@ class Model:
         """Mean gradients of the windows' negative log-likelihood of classes."""
         s, p = self.shape.stride, self.parameters
         en, distance, a, z, h, logits = self._forward(rows, first, opens, self._tables())
-        g = np.exp(logits)
+        g = np.exp(logits, out=logits)
         g /= g @ np.ones((g.shape[2], 1), np.float32)
         place = np.minimum(first[:, None] + np.arange(s), len(target) - 1)
         g.reshape(-1)[np.arange(place.size) * g.shape[2] + target[place].reshape(-1)] -= 1
@@ -261,9 +262,10 @@ class Model:
         y = (gs @ en).reshape(-1, en.shape[2])
         eq = en[:, s:].reshape(y.shape)
         root = np.float32(math.sqrt(self.shape.width))
+        both = eq.T @ y
         return {
-            "q": eq.T @ y @ p["k"] / root,
-            "k": y.T @ eq @ p["q"] / root,
+            "q": both @ p["k"] / root,
+            "k": both.T @ p["q"] / root,
             "v": z.T @ gh,
             "o": h.T @ g,
             "p": np.bincount(np.clip(distance, 0, None).reshape(-1), (gs.sum(0) * (distance >= 0)).reshape(-1), 2 * s).astype(np.float32),
@@ -313,11 +315,10 @@ BLOCK = 1 << 14
 
 def _summed(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A task's table as its blocks that are not all zero, compressed."""
-    cells = np.asarray(cells, np.float64)
     for at in range(0, len(cells), BLOCK):
         part = cells[at : at + BLOCK]
         if part.any():
-            kind = "<u4" if part.min() >= 0 and part.max() < 1 << 32 and not (part % 1).any() else "<f8"
+            kind = "<f8" if part.dtype.kind == "f" else "<u4" if part.max() < 1 << 32 else "<u8"
             blob = zlib.compress(part.astype(kind).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([kind]), pa.array([blob], pa.binary())], names=["block", "kind", "cells"])
 
@@ -349,7 +350,8 @@ def _gather(sliced: DataFrame, run, size: int) -> np.ndarray:
 
     What travels is a blob a task and block, and the driver gets the table's blocks, once each.
     """
-    found = sliced.select("ids", "bounds", "held_out", "slice").mapInArrow(run, BLOBS)
+    n = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = sliced.select("ids", "bounds", "held_out", "slice").coalesce(n).mapInArrow(run, BLOBS)  # a task emits a whole table, so there are no more tasks than partitions
     added = found.repartition("block").sortWithinPartitions("block").mapInArrow(_add_blobs, BLOBS)
     out = np.zeros(size)
     for row in added.collect():  # the table's blocks, whose size the model's shape sets
@@ -382,14 +384,17 @@ def fit(sliced: DataFrame, vocabulary: int, id_type: str, shape: Shape) -> Model
 
     model.start_from(_gather(sliced, follows, model.n_rows * (shape.classes + shape.rows)))
 
+    learner = copy.copy(model)  # travels to every task without the tables that only scores need
+    learner.pairs = learner.pairs_of_class = learner.share = None
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moments, used, start = {}, 0, model.flat()
+        moments, used, start = {}, 0, learner.flat()
         for row in _rows(batches):
             ids, off = _training_docs(row, id_type)
             if len(ids):
-                used += model.train(ids, off, moments, row["slice"] & 0xFFFF)
-        cells = np.concatenate([model.flat() * used, [used]])
-        model.set_flat(start)
+                used += learner.train(ids, off, moments, row["slice"] & 0xFFFF)
+        cells = np.concatenate([learner.flat() * used, [used]])
+        learner.set_flat(start)
         yield from _summed(cells)
 
     size = len(model.flat())
