@@ -136,3 +136,33 @@ def distinct_filled(x: Column | str) -> Column:
     """Aggregate: distinct values, blank ones and nulls left out."""
     return F.countDistinct(F.when(F.trim(x) != "", F.trim(x)))
 
+
+
+# JSON's short escapes, by UTF-16 unit.
+JSON_ESCAPES = {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "000C": "\\f", "000A": "\\n", "000D": "\\r", "0009": "\\t"}
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string of ASCII characters alone; all else is \\u and four lower-case hex digits of each UTF-16 unit. Linear in the text."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), 1)
+    short = F.create_map(*(F.lit(x) for pair in JSON_ESCAPES.items() for x in pair))
+    plain = lambda u: u.between("0020", "007E")
+    each = lambda u: F.coalesce(F.try_element_at(short, u), F.when(plain(u), F.unhex(F.substring(u, 3, 2)).cast("string")), F.concat(F.lit("\\u"), F.lower(u)))
+    return F.concat(F.lit('"'), F.array_join(F.transform(units, each), ""), F.lit('"'))
+
+
+def canonical_json(fields: dict[str, Column], texts: Sequence[str] = (), lists: Sequence[str] = ()) -> Column:
+    """A compact JSON object in ASCII with its names in order: `texts` are strings, `lists` arrays of strings, others integers or booleans. Null is null."""
+
+    def value(name: str) -> Column:
+        c = fields[name]
+        if name in texts:
+            shown = json_text(c)
+        elif name in lists:
+            shown = F.concat(F.lit("["), F.array_join(F.transform(c, json_text), ","), F.lit("]"))
+        else:
+            shown = c.cast("string")
+        return F.coalesce(shown, F.lit("null"))
+
+    parts = [F.concat(json_text(F.lit(name)), F.lit(":"), value(name)) for name in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))

@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHA256 = "^[0-9a-f]{64}$"
+# How names of truths begin and end.
+TRUTH_PREFIXES = ("truth_", "label_", "target_", "test_metric_")
+TRUTH_SUFFIXES = ("_truth", "_label", "_target", "_metric")
+# What an ontology's entries may say.
+MAPPING_STATUSES = ("compatible", "ignored", "unmapped", "reject")
+EVENT_SEMANTICS = ("observable_presence", "annotated_anomaly", "threshold_risk", "not_event_eligible")
+NEGATIVE_SEMANTICS = ("exhaustive_verified_absence", "unverified_missing_annotation", "not_applicable")
 
 
 class ContractError(ValueError):
@@ -113,6 +120,11 @@ def model_features(df: DataFrame, names: Sequence[str], identity: Sequence[str],
     return df.select(*names)
 
 
+def names_of_truth(columns: Sequence[str], names: Sequence[str] = (), prefixes: Sequence[str] = TRUTH_PREFIXES, suffixes: Sequence[str] = TRUTH_SUFFIXES) -> list[str]:
+    """The columns that a prediction must not hold, in order: by whole name, by how they begin or by how they end, in any case."""
+    return sorted(c for c in columns if c.lower() in names or c.lower().startswith(tuple(prefixes)) or c.lower().endswith(tuple(suffixes)))
+
+
 def asymmetric_edges(edges: DataFrame, key: Sequence[str], source: str, target: str) -> DataFrame:
     """Self edges, and edges whose reverse is absent: what breaks a symmetric edge table. Repeated edges count once."""
     e = edges.select(*key, source, target).distinct()
@@ -128,3 +140,16 @@ def trace_faults(df: DataFrame, key: Sequence[str], phase: str, counts: dict[str
     for w in wrong[1:]:
         bad = bad | w
     return df.groupBy(*key).agg(F.count("*").alias("rows"), bad.alias("bad")).where("bad").drop("bad")
+
+
+def ontology_contract() -> TableContract:
+    """Entries that map a dataset's labels to concepts: compatible ones name concept, policy and evidence; F1 that confirms needs verified negatives."""
+    compatible = F.coalesce(F.col("mapping_status") == "compatible", F.lit(False))
+    filled = lambda c: ~compatible | (F.trim(c) != "")
+    verified = F.col("negative_semantics") == "exhaustive_verified_absence"
+    return TableContract(
+        required=("dataset_id", "source_label", "canonical_concept_id", "mapping_status", "event_semantics", "negative_semantics", "allowed_tasks", "annotation_policy", "evidence_reference"),
+        key=("dataset_id", "source_label"),
+        one_of={"mapping_status": MAPPING_STATUSES, "event_semantics": EVENT_SEMANTICS, "negative_semantics": NEGATIVE_SEMANTICS},
+        rules={"tasks": F.col("allowed_tasks").isNotNull(), "concept": filled("canonical_concept_id"), "policy": filled("annotation_policy"), "evidence": filled("evidence_reference"), "verified negatives": ~F.array_contains("allowed_tasks", "confirmatory_f1") | verified},
+    )

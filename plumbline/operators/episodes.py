@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import canonical_json
+from plumbline.operators.contracts import join_checked
+
 
 def pack_groups(groups: DataFrame, lane: Sequence[str], order: Sequence[str], size: str, most: int = 32) -> DataFrame:
     """`groups` with episode (from 0) and first_step: groups in order, a new episode where the next would not fit.
@@ -146,3 +149,33 @@ def step_labels(df: DataFrame, episode: str, step: str, truth: str) -> DataFrame
     w = Window.partitionBy(episode).orderBy(step)
     before = F.coalesce(F.lag(truth).over(w), F.lit(0))
     return df.select(episode, step, truth, ((F.col(truth) == 1) & (before == 0)).alias("onset"), F.sum(((F.col(truth) == 1) & (before == 0)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("events_so_far"))
+
+
+def episode_features(df: DataFrame, key: Sequence[str], p: str, available: str) -> DataFrame:
+    """(key, p, available, quality_vector_json) of every item: whether it is available, and how far its probability is from one half."""
+    quality = F.to_json(F.struct(F.col(available).alias("available"), F.round(F.abs(F.col(p) - 0.5), 6).alias("probability_margin")))
+    return df.select(*key, p, available, quality.alias("quality_vector_json"))
+
+
+def episode_audit(items: DataFrame, records: DataFrame, record: str, key: Sequence[str], pair: str, graph_eligible: bool = True) -> DataFrame:
+    """Items with their records' metadata and edge_provenance, a row per key; `records` holds each record once.
+
+    An item whose record has a pair (a name that is not blank) stands for an observed one where graphs are eligible.
+    """
+    joined = join_checked(items, records, [record], complete=True)
+    paired = F.coalesce(F.trim(F.col(pair).cast("string")) != "", F.lit(False))
+    shown = joined.withColumn("edge_provenance", F.when(paired & F.lit(graph_eligible), "observed_pair").otherwise("no_edge"))
+    return shown.withColumn(pair, F.when(paired, F.col(pair).cast("string"))).dropDuplicates(list(key))
+
+
+def episode_labels(items: DataFrame, key: Sequence[str], role: str, record: str, concept: str, risk_concept: str) -> DataFrame:
+    """Truth of every concept-step, with the hash of what it rests on; a step whose items disagree on their role is an error.
+
+    A concept-step has an item per node, a handful.
+    """
+    role_of = F.when(F.countDistinct(role) == 1, F.min(role)).otherwise(F.raise_error(F.lit("a concept-step has several roles")))
+    steps = items.groupBy(*key).agg(role_of.alias("_role"), F.array_sort(F.collect_list(F.col(record).cast("string"))).alias("_records"))
+    truth = (F.col("_role") == "positive_observation").cast("int")
+    source = canonical_json({"concept_id": F.col(concept).cast("string"), "event_position_role": F.col("_role"), "record_ids": F.col("_records")}, texts=("concept_id", "event_position_role"), lists=("record_ids",))
+    semantics = F.when(F.col(concept) == risk_concept, "threshold_risk").otherwise("observable_presence")
+    return steps.select(*key, truth.alias("event_truth"), F.when(truth == 1, "alarm").otherwise("normal").alias("state_truth"), semantics.alias("event_semantics"), F.sha2(source, 256).alias("raw_annotation_hash"))

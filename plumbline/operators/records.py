@@ -114,3 +114,53 @@ def template_family(df: DataFrame, conflict: Column, families: Sequence[str], co
 
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (hash_modulo(digest, len(names)) + 1).cast("int"))
     return df.withColumn("template_family", F.when(conflict, pick(list(conflict_families))).otherwise(pick(list(families))))
+
+
+# What is wrong with a box.
+BOX_FAULTS = ("missing_image", "nonfinite_or_invalid_shape", "nonpositive", "negative_origin", "exceeds_image_bounds")
+
+
+def box_faults(annotations: DataFrame, images: DataFrame, image: str, box: str, width: str, height: str) -> DataFrame:
+    """`annotations` with the image's size and an array `reasons`: what is wrong with each box (x, y, width, height); empty for sound ones.
+
+    `images` holds each image once. A box of another shape or with numbers that are not finite is asked nothing else.
+    """
+    joined = annotations.join(images.withColumn("_there", F.lit(True)), image, "left")
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    shaped = F.coalesce((F.size(box) == 4) & F.forall(box, finite), F.lit(False))
+    at = lambda i: F.get(box, F.lit(i))
+    over = (at(0) + at(2) > F.col(width) + 1e-9) | (at(1) + at(3) > F.col(height) + 1e-9)
+    tests = (F.col("_there").isNull(), ~shaped, shaped & ((at(2) <= 0) | (at(3) <= 0)), shaped & ((at(0) < 0) | (at(1) < 0)), shaped & over)
+    named = [F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in zip(BOX_FAULTS, tests, strict=True)]
+    return joined.withColumn("reasons", F.array_compact(F.array(*named))).drop("_there")
+
+
+def fault_counts(audited: DataFrame) -> DataFrame:
+    """(reason, annotations) of every kind of fault, and of all annotations under 'selected_annotations'; from one aggregation."""
+    counts = audited.agg(F.count("*").alias("selected_annotations"), *(F.count_if(F.array_contains("reasons", n)).alias(n) for n in BOX_FAULTS))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("reason"), F.col(n).alias("annotations")) for n in ("selected_annotations", *BOX_FAULTS)))).alias("c")).select("c.*")
+
+
+def license_boundary(audited: DataFrame, image: str, license: str, crowd: str, allowed: Sequence[int]) -> DataFrame:
+    """Per license (-1: none): images with annotations, whether the license is allowed, and images with a sound box that is no crowd."""
+    sound = (F.size("reasons") == 0) & (F.coalesce(F.col(crowd).cast("int"), F.lit(0)) == 0)
+    images = audited.groupBy(image, F.coalesce(license, F.lit(-1)).alias(license)).agg(F.max(sound).alias("_sound"))
+    eligible = F.col(license).isin(*allowed) if allowed else F.lit(True)
+    return images.groupBy(license).agg(F.count("*").alias("images"), F.count_if("_sound").alias("usable_images")).withColumn("eligible", eligible)
+
+
+def scaling_summary(trials: DataFrame, module: str, workers: str, rate: str, wall: str, memory: str, digest: str) -> DataFrame:
+    """Per module and number of workers: repeats, mean rate and time, peak memory, whether all repeats gave one digest, and the gain over the fewest workers."""
+    means = trials.groupBy(module, workers).agg(
+        F.count("*").alias("repeats"), F.avg(rate).alias("mean_rate"), F.avg(wall).alias("mean_wall"), F.max(memory).alias("peak_memory"), ((F.countDistinct(digest) == 1) & (F.count(digest) == F.count("*"))).alias("deterministic")
+    )
+    base = means.groupBy(module).agg(F.min_by("mean_rate", workers).alias("_rate"), F.min(workers).alias("_workers"))
+    gain = F.try_divide(F.col("mean_rate"), F.col("_rate"))
+    return means.join(base, module).withColumn("speedup", gain).withColumn("efficiency", gain / (F.col(workers) / F.col("_workers"))).drop("_rate", "_workers")
+
+
+def reuse_decision(archives: DataFrame, receipts: DataFrame, dataset: str, digest: str, count: str) -> DataFrame:
+    """What to do about each dataset's manifest: 'build' without a receipt, 'reuse' where digest and count still hold, else 'drift'."""
+    known = receipts.select(dataset, F.col(digest).alias("_digest"), F.col(count).alias("_count"), F.lit(True).alias("_known"))
+    same = F.col(digest).eqNullSafe(F.col("_digest")) & F.col(count).eqNullSafe(F.col("_count"))
+    return archives.join(known, dataset, "left").withColumn("decision", F.when(F.col("_known").isNull(), "build").when(same, "reuse").otherwise("drift")).drop("_digest", "_count", "_known")
