@@ -64,7 +64,7 @@ PARTS = "slice long, bucket int, hashes binary, counts binary"
 
 
 def _slice_docs(tokenizer: str, end_id: int, slice_bytes: int, buckets: int):
-    """Documents to a row a slice: ids, word places, and the slice's distinct words by bucket and hash."""
+    """Documents to a row a slice: ids, word places, the slice's distinct words by bucket and hash, and counts of the training documents' ids with the number of these documents."""
     kinds = pa.schema([("slice", pa.int64()), *((c.split()[0], pa.binary()) for c in SLICE_ROW.split(", ")[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,16 +89,18 @@ def _slice_docs(tokenizer: str, end_id: int, slice_bytes: int, buckets: int):
             new[order] = np.arange(len(order))
             place = new[place]
             counts = np.bincount(place, np.repeat(~held, np.diff(bounds)), len(order))
+            seen = np.append(np.bincount(ids[np.repeat(~held, np.diff(off))], minlength=encoder.size), np.count_nonzero(~held))
             row = [
                 (part << 32) | k, np.array([-1 if i is None else i for i in keys], "<i8"), ids.astype("<u4" if encoder.size > 1 << 16 else "<u2"), off.astype("<i8"), held,
                 np.array([i is None for i in keys], bool), place.astype("<u4"), np.diff(bounds).astype("<i8"), pairs[order, 0], counts.astype("<u4"), bucket[order].astype("<u4"),
+                np.frombuffer(zlib.compress(seen.astype("<i8").tobytes(), 1), np.uint8),
             ]
             yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in row[1:])], schema=kinds)
 
     return run
 
 
-SLICE_ROW = "slice long, doc_ids binary, ids binary, bounds binary, held_out binary, no_id binary, words binary, n_words binary, hashes binary, counts binary, buckets binary"
+SLICE_ROW = "slice long, doc_ids binary, ids binary, bounds binary, held_out binary, no_id binary, words binary, n_words binary, hashes binary, counts binary, buckets binary, unigrams binary"
 
 
 def _array(row: dict, name: str, dtype: str) -> np.ndarray:
@@ -223,7 +225,7 @@ class Model:
     def _tables(self) -> np.ndarray:
         """What each row asks of the embeddings before a token: its query, taken through the keys' matrix."""
         p = self.parameters
-        return (self.embedding @ p["q"]) / np.float32(math.sqrt(self.shape.width)) @ p["k"].T
+        return self.embedding @ (p["q"] @ p["k"].T / np.float32(math.sqrt(self.shape.width)))
 
     def score(self, ids: np.ndarray, off: np.ndarray, at_once: int = 512) -> np.ndarray:
         """Natural log-probability of each document's ids (an end id included)."""
@@ -249,12 +251,11 @@ class Model:
         """Mean gradients of the windows' negative log-likelihood of classes."""
         s, p = self.shape.stride, self.parameters
         en, distance, a, z, h, logits = self._forward(rows, first, opens, self._tables())
-        g = np.exp(logits, out=logits)
-        g /= g @ np.ones((g.shape[2], 1), np.float32)
+        g = np.exp(logits, out=logits).reshape(-1, logits.shape[2])
         place = np.minimum(first[:, None] + np.arange(s), len(target) - 1)
-        g.reshape(-1)[np.arange(place.size) * g.shape[2] + target[place].reshape(-1)] -= 1
-        g *= ((np.arange(s) < many[:, None]) / np.float32(many.sum()))[:, :, None]
-        g = g.reshape(-1, g.shape[2]).astype(np.float32, copy=False)
+        weight = ((np.arange(s) < many[:, None]) / np.float32(many.sum())).reshape(-1, 1)
+        g *= weight / (g @ np.ones((g.shape[1], 1), np.float32))
+        g.reshape(-1)[np.arange(place.size) * g.shape[1] + target[place].reshape(-1)] -= weight[:, 0]
         gh = g @ p["o"].T
         gs = (gh @ p["v"].T).reshape(len(en), s, -1) @ en.transpose(0, 2, 1)
         gs -= ((gh * h) @ np.ones((h.shape[1], 1), np.float32)).reshape(len(en), s, 1)  # h is the weighted sum of the values
@@ -318,7 +319,7 @@ def _summed(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(cells), BLOCK):
         part = cells[at : at + BLOCK]
         if part.any():
-            kind = "<f8" if part.dtype.kind == "f" else "<u4" if part.max() < 1 << 32 else "<u8"
+            kind = "<f8" if part.dtype.kind == "f" else np.min_scalar_type(part.max()).newbyteorder("<").str  # the narrowest that holds it
             blob = zlib.compress(part.astype(kind).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([kind]), pa.array([blob], pa.binary())], names=["block", "kind", "cells"])
 
@@ -345,13 +346,13 @@ def _blob(block: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array(["<f8"]), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["block", "kind", "cells"])
 
 
-def _gather(sliced: DataFrame, run, size: int) -> np.ndarray:
+def _gather(sliced: DataFrame, run, size: int, columns: tuple[str, ...] = ("ids", "bounds", "held_out", "slice")) -> np.ndarray:
     """Sums over all slices of a table of `size` cells: tasks add up their own, buckets those of all tasks.
 
     What travels is a blob a task and block, and the driver gets the table's blocks, once each.
     """
     n = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = sliced.select("ids", "bounds", "held_out", "slice").coalesce(n).mapInArrow(run, BLOBS)  # a task emits a whole table, so there are no more tasks than partitions
+    found = sliced.select(*columns).coalesce(n).mapInArrow(run, BLOBS)  # a task emits a whole table, so there are no more tasks than partitions
     added = found.repartition("block").sortWithinPartitions("block").mapInArrow(_add_blobs, BLOBS)
     out = np.zeros(size)
     for row in added.collect():  # the table's blocks, whose size the model's shape sets
@@ -360,16 +361,17 @@ def _gather(sliced: DataFrame, run, size: int) -> np.ndarray:
     return out
 
 
-def fit(sliced: DataFrame, vocabulary: int, id_type: str, shape: Shape) -> Model:
-    """The model of all training documents in a sliced table; tables on the driver have the model's size."""
+def fit(sliced: DataFrame, vocabulary: int, id_type: str, shape: Shape) -> tuple[Model, int]:
+    """The model of all training documents in a sliced table, and their number; tables on the driver have the model's size."""
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(vocabulary, np.int64)
+        cells = np.zeros(vocabulary + 1, np.int64)
         for row in _rows(batches):
-            cells += np.bincount(_training_docs(row, id_type)[0], minlength=vocabulary)
+            cells += np.frombuffer(zlib.decompress(row["unigrams"]), "<i8")
         yield from _summed(cells)
 
-    model = Model(_gather(sliced, unigrams, vocabulary), shape)
+    seen = _gather(sliced, unigrams, vocabulary + 1, ("unigrams",))
+    model = Model(seen[:-1], shape)
 
     def follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, pairs = np.zeros(model.n_rows * shape.classes, np.int64), np.zeros(model.n_rows * shape.rows, np.int64)
@@ -401,7 +403,7 @@ def fit(sliced: DataFrame, vocabulary: int, id_type: str, shape: Shape) -> Model
     sums = _gather(sliced, train, size + 1)
     if sums[-1]:
         model.set_flat(sums[:-1] / sums[-1])
-    return model
+    return model, int(seen[-1])
 
 
 def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, shape: Shape | None = None, slice_bytes: int = 8 << 20) -> DataFrame:
@@ -424,8 +426,8 @@ def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, shape: Sha
     dealt = sliced.select("slice", "hashes", "counts", "buckets").mapInArrow(_deal_words, PARTS).repartitionById(n, F.col("bucket"))
     answers = stash(dealt.mapInArrow(_add_words, ANSWER), "word-counts")
     total = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    model = spark.sparkContext.broadcast(fit(sliced, size, id_type, shape))
-    ends = int(_gather(sliced, _count_ends, 1)[0])
+    fitted, ends = fit(sliced, size, id_type, shape)
+    model = spark.sparkContext.broadcast(fitted)
     tokens, distinct = int(total.n or 0) + ends, int(total.v or 0) + bool(ends)
     log = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (distinct + 1)))
 
@@ -448,8 +450,3 @@ def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, shape: Sha
     grouped = answers.groupBy("slice").agg(F.collect_list(F.struct("bucket", "total")).alias("answers"))
     joined = sliced.select("slice", "doc_ids", "ids", "bounds", "held_out", "no_id", "words", "n_words").join(grouped, "slice", "left")
     return joined.drop("slice").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends = sum(int((~_array(row, "held_out", "?")).sum()) for row in _rows(batches))
-    yield from _summed(np.array([ends]))
