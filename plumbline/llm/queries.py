@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, embeddings, lm, packing, quality, repeats, secrets, simhash, token_files
+from plumbline.llm import bpe, chat, embeddings, lm, packing, quality, repeats, secrets, simhash, token_files, whitening
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,10 +68,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.format_conversations(parts, content="parts"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_files, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_secret_scan, op7_lm_scores, op8_suffix_dedup, op9_bpe_round_trip, op10_chat_format)
-}
+    for f in (
+        op1_quality_rules, op2_token_files, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_secret_scan, op7_lm_scores, op8_suffix_dedup, op9_bpe_round_trip,
+        op10_chat_format, op12_embedding_whitening,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": r"""
