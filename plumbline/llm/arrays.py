@@ -31,6 +31,46 @@ def ragged_index(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lens), lens)
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def byte_set(outside: bytes) -> np.ndarray:
+    """Which byte values belong to words, given those that do not."""
+    inside = np.ones(256, bool)
+    inside[list(outside)] = False
+    return inside
+
+
+def word_codes(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words (runs of `inside` bytes within a text), every word's code, its first byte, and words per text."""
+    flags = inside[data]
+    some = np.diff(off) > 0
+    first, last = flags.copy(), flags.copy()
+    first[1:] &= ~flags[:-1]
+    last[:-1] &= ~flags[1:]
+    opens, shuts = off[:-1][some], off[1:][some] - 1
+    first[opens], last[shuts] = flags[opens], flags[shuts]
+    begin = np.flatnonzero(first)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - begin)])
+    words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(data[flags]))
+    coded = words.dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices), begin, np.diff(np.searchsorted(begin, off))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts in column `name` hold at least half of `most` bytes, the last one aside, and about `most` (one row at least)."""
+    held, size = [], 0
+    for part in slices(batches, name, most // 2):
+        held.append(part)
+        size += part.nbytes
+        if size >= most // 2:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most `rows` rows for this session, where nothing else than Spark's default is set.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, embeddings, lm, packing, quality, repeats, secrets, simhash, token_files, whitening
+from plumbline.llm import bpe, chat, decontamination, embeddings, lm, packing, quality, repeats, secrets, simhash, token_files, whitening
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,11 +72,15 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_token_files, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_secret_scan, op7_lm_scores, op8_suffix_dedup, op9_bpe_round_trip,
-        op10_chat_format, op12_embedding_whitening,
+        op10_chat_format, op12_embedding_whitening, op13_benchmark_decontamination,
     )
 }
 
@@ -116,4 +120,21 @@ ORACLES: dict[str, str] = {
             count(*) FILTER (text <> '') AS n_parts, CAST(0 AS BIGINT) AS attachment_tokens
         FROM t GROUP BY conv_id
     """,
+    "op13_benchmark_decontamination": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ),
+        s AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+        q AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, array_to_string(w[i : i + 9], ' ') AS g, len(w[i : i + 9]) AS size FROM s),
+        z AS (SELECT DISTINCT size FROM q),
+        p AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, z WHERE len(w) >= size),
+        o AS (SELECT p.r, p.i, q.size, q.item FROM p JOIN q ON p.size = q.size AND array_to_string(p.w[p.i : p.i + p.size - 1], ' ') = q.g),
+        h AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT r, i, unnest(range(0, size)) AS k FROM (SELECT DISTINCT r, i, size FROM o)) GROUP BY r),
+        m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM o) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
+    """,
 }
