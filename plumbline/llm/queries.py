@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontamination, embeddings, lm, packing, quality, repeats, secrets, simhash, token_files, whitening
+from plumbline.llm import bpe, chat, collocations, decontamination, embeddings, lm, packing, quality, repeats, secrets, simhash, token_files, whitening
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.format_conversations(parts, content="parts"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
@@ -80,7 +84,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_token_files, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_secret_scan, op7_lm_scores, op8_suffix_dedup, op9_bpe_round_trip,
-        op10_chat_format, op12_embedding_whitening, op13_benchmark_decontamination,
+        op10_chat_format, op11_phrase_collocations, op12_embedding_whitening, op13_benchmark_decontamination,
     )
 }
 
@@ -120,6 +124,26 @@ ORACLES: dict[str, str] = {
             count(*) FILTER (text <> '') AS n_parts, CAST(0 AS BIGINT) AS attachment_tokens
         FROM t GROUP BY conv_id
     """,
+    "op11_phrase_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        i AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) AS x(k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS g, count(*) AS f FROM i GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+        u AS (SELECT lang, k, g, a, unnest(range(1, k)) AS j, w FROM c),
+        s AS (
+            SELECT u.lang, u.g, u.a, j, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * u.a) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+            FROM u JOIN f AS l ON l.lang = u.lang AND l.g = array_to_string(u.w[1 : j], ' ') JOIN f AS r ON r.lang = u.lang AND r.g = array_to_string(u.w[j + 1 : u.k], ' ')
+            QUALIFY row_number() OVER (PARTITION BY u.lang, u.g ORDER BY score, j) = 1
+        ),
+        t AS (SELECT lang, a, w, k, z, unnest(range(1, k - z + 2)) AS b FROM c, range(2, 4) AS y(z) WHERE z < k),
+        h AS (SELECT lang, array_to_string(w[b : b + z - 1], ' ') AS g, max(a) AS within FROM t GROUP BY ALL),
+        k AS (SELECT s.* FROM s LEFT JOIN h ON h.lang = s.lang AND h.g = s.g WHERE within IS NULL OR 100 * within < 80 * s.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score FROM k JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
     "op13_benchmark_decontamination": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
