@@ -140,6 +140,10 @@ def deal_folds(sizes: dict[int, int], folds: int) -> list[tuple[int, int, int, i
     return out
 
 
+#: Slots that are made by one row of a table of slots.
+SLOTS = 100_000
+
+
 def group_folds(df: DataFrame, group: str, folds: int = 3, seed: int = 13007) -> DataFrame:
     """(group, rows, fold): groups dealt by size, largest first, each to the fold with the fewest rows; ties by hash, then the lower fold.
 
@@ -153,7 +157,10 @@ def group_folds(df: DataFrame, group: str, folds: int = 3, seed: int = 13007) ->
         by.setdefault(size, []).append((load, k))
     table = df.sparkSession.createDataFrame([(size, f, [x for x, _ in by[size]], [k for _, k in by[size]]) for size, f, _, _ in dealt] or [(0, 0, [0], [0])], "rows long, fold int, loads array<long>, many array<long>")
     mine = F.element_at("many", F.col("fold") + 1)
-    slots = table.where(mine > 0).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), mine - 1)))
+    blocks = table.where(mine > 0).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), mine - 1, F.lit(SLOTS).cast("long"))))
+    if len(dealt) > 1 or (dealt and dealt[0][3] > SLOTS):  # spread, as a size may have any number of slots
+        blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = blocks.withColumn("j", F.explode(F.sequence("low", F.least(F.col("low") + SLOTS, mine) - 1)))
     at = F.element_at("loads", F.col("fold") + 1) + F.col("j") * F.col("rows")
     # slots of every fold that come before this one: those with a smaller load, or the same load in a lower fold
     before = F.lit(1).cast("long")

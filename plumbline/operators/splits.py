@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import hash_pool, hex_boundaries, joined_sha256
@@ -23,7 +24,7 @@ def assign_by_hash(df: DataFrame, group: Sequence[str], weights: dict[str, float
 
 
 class QuotaError(ValueError):
-    """There are fewer components than pools."""
+    """There are fewer components than pools, or no assignment meets all quotas."""
 
 
 def quotas(n: int, weights: dict[str, float], seed: int, dataset: str) -> dict[str, int]:
@@ -53,29 +54,99 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
     return ranked_by_hash(df, [], key, joined_sha256(seed, *key)).withColumnRenamed("_rank", "rank").drop("_n")
 
 
-def deal_quotas(sizes: dict[tuple[str, ...], int], weights: dict[str, float], seed: int) -> tuple[dict[str, dict[str, int]], dict[tuple[str, ...], dict[str, int]]]:
+def _parts(n: int, low: list[int], high: list[int], share: list[float]) -> Iterator[tuple[int, ...]]:
+    """All ways to write n as a sum with each part within its bounds, those nearest to the shares first at every place."""
+    if len(low) == 1:
+        if low[0] <= n <= high[0]:
+            yield (n,)
+        return
+    first, last = max(low[0], n - sum(high[1:])), min(high[0], n - sum(low[1:]))
+    want = n * share[0] / sum(share) if sum(share) else 0.0
+    near = min(max(round(want), first), last)
+    for step in range(max(near - first, last - near) + 1 if first <= last else 0):
+        for v in {near + step, near - step} if want > near else {near - step, near + step}:
+            if first <= v <= last:
+                for rest in _parts(n - v, low[1:], high[1:], share[1:]):
+                    yield (v, *rest)
+
+
+def _search(sizes: dict[tuple[str, ...], int], left: dict[str, list[int]], share: list[float], reach: float, nodes: list[int]) -> dict[tuple[str, ...], tuple[int, ...]] | None:
+    """Counts of each set of datasets per pool, none farther than `reach` from its share, within what the datasets have left.
+
+    The set with the least room goes first, and what was found not to work is not tried twice. None if there is no way.
+    """
+    dead: set = set()
+
+    def bounds(of: tuple[str, ...]) -> tuple[list[int], list[int]]:
+        exact = [sizes[of] * w / sum(share) for w in share]
+        return [max(0, math.ceil(x - reach)) for x in exact], [min(*(left[d][p] for d in of), math.floor(x + reach)) for p, x in enumerate(exact)]
+
+    def solve(open_: tuple[tuple[str, ...], ...]) -> dict | None:
+        if not open_:
+            return {}
+        state = (open_, tuple(map(tuple, left.values())))
+        if state in dead:
+            return None
+        room = {of: sum(bounds(of)[1]) - sizes[of] for of in open_}
+        of = min(open_, key=lambda of: (room[of], of))
+        if room[of] >= 0:
+            rest = tuple(o for o in open_ if o != of)
+            for part in _parts(sizes[of], *bounds(of), share):
+                nodes[0] -= 1
+                if nodes[0] < 0:
+                    raise QuotaError("the search for an assignment took too many steps")
+                for d in of:
+                    left[d] = [a - b for a, b in zip(left[d], part, strict=True)]
+                found = solve(rest)
+                if found is not None:
+                    return found | {of: part}
+                for d in of:
+                    left[d] = [a + b for a, b in zip(left[d], part, strict=True)]
+        dead.add(state)
+        return None
+
+    return solve(tuple(sorted(sizes)))
+
+
+def deal_quotas(sizes: dict[tuple[str, ...], int], weights: dict[str, float], seed: int, max_steps: int = 200_000) -> tuple[dict[str, dict[str, int]], dict[tuple[str, ...], dict[str, int]]]:
     """Quotas of every dataset, and how many components of each set of datasets go to each pool so that all quotas hold.
 
-    Sets of several datasets come first, those with the most datasets leading, and take from each pool in
-    proportion to what its datasets all have left; a set of one dataset takes the rest.
+    Sets of several datasets are searched for exactly: near their shares at first, where large ones always
+    fit, then ever farther, at last everywhere. A set of one dataset takes what its dataset has left. It
+    is an error (QuotaError) if no assignment exists, or if `max_steps` steps did not decide it.
     """
-    datasets = sorted({d for of in sizes for d in of})
+    datasets, pools = sorted({d for of in sizes for d in of}), sorted(weights)
     each = {d: quotas(sum(n for of, n in sizes.items() if d in of), weights, seed, d) for d in datasets}
-    left, dealt = {d: dict(q) for d, q in each.items()}, {}
-    for of in sorted(sizes, key=lambda of: (-len(of), of)):
-        room = {p: min(left[d][p] for d in of) for p in sorted(weights)}
-        n, total = sizes[of], sum(room.values())
-        if total < n:
-            raise QuotaError(f"{n} components of {'+'.join(of)} do not fit the quotas of their datasets")
-        out = {p: n * r // max(1, total) for p, r in room.items()}
-        tie = lambda p: hashlib.sha256(f"{seed}|cross-pool|{'+'.join(of)}|{p}".encode()).hexdigest()  # noqa: B023,E731
-        for p in sorted((p for p in out if out[p] < room[p]), key=lambda p: (-(n * room[p] % max(1, total)), tie(p)))[: n - sum(out.values())]:  # noqa: B023
-            out[p] += 1
-        for d in of:
-            for p, k in out.items():
-                left[d][p] -= k
-        dealt[of] = out
-    return each, dealt
+    crossing = {of: n for of, n in sizes.items() if len(of) > 1}
+    share, reach, nodes = [float(weights[p]) for p in pools], 1.0, [max_steps]
+    while True:
+        left = {d: [q[p] for p in pools] for d, q in each.items()}
+        widest = reach >= max(crossing.values(), default=0)
+        part = [nodes[0] if widest else min(nodes[0], max_steps // 8)]
+        before = part[0]
+        try:
+            found = _search(crossing, left, share, reach, part)
+        except QuotaError:
+            if widest:
+                raise
+            found = None
+        nodes[0] -= before - max(0, part[0])
+        if found is not None:
+            break
+        if widest:
+            raise QuotaError("components of several datasets cannot meet the quotas of all of them")
+        reach *= 4
+    dealt = {of: dict(zip(pools, part, strict=True)) for of, part in found.items()}
+    return each, dealt | {of: dict(zip(pools, left[of[0]], strict=True)) for of in sizes if len(of) == 1}
+
+
+def numbered_slots(spark: SparkSession, counts: Iterable[tuple[str, str, int]], block: int = 100_000) -> DataFrame:
+    """(_of, pool, _slot): slots 0 to k - 1 of every (set, pool, k), made in blocks that Spark spreads over tasks."""
+    rows = [(of, pool, at, min(k, at + block) - 1) for of, pool, k in counts for at in range(0, k, block)]
+    table = spark.createDataFrame(rows, "_of string, pool string, _low long, _high long")
+    if len(rows) > 1:
+        table = table.repartition(min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return table.select("_of", "pool", F.explode(F.sequence("_low", "_high")).alias("_slot"))
 
 
 def assign_components(membership: DataFrame, component: str, dataset: str, weights: dict[str, float], seed: int) -> DataFrame:
@@ -83,14 +154,13 @@ def assign_components(membership: DataFrame, component: str, dataset: str, weigh
 
     Components of one set of datasets stand in hash order and take that set's slots in hash order. The
     driver gets how many components each set of datasets has; datasets are few. Order and repeats of
-    rows do not matter; null components are left out.
+    rows do not matter; null components are left out. It fails only where no assignment meets all quotas
+    (or none was found in a bounded number of steps).
     """
     sets = membership.where(F.col(component).isNotNull()).groupBy(component).agg(F.array_join(F.array_sort(F.collect_set(dataset)), "+").alias("_of"), F.array_sort(F.collect_set(dataset)).alias("_sets"))
     sizes = {tuple(r._sets): r.n for r in sets.groupBy("_sets").agg(F.count("*").alias("n")).collect()}
     _, dealt = deal_quotas(sizes, weights, seed)
-    spark = membership.sparkSession
-    many = spark.createDataFrame([("+".join(of), p, k) for of, q in dealt.items() for p, k in q.items() if k], "_of string, pool string, k long")
-    slots = many.select("_of", "pool", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("_slot"))
+    slots = numbered_slots(membership.sparkSession, (("+".join(of), p, k) for of, q in dealt.items() for p, k in q.items() if k))
     slots = ranked_by_hash(slots, ["_of"], ["pool", "_slot"], joined_sha256(seed, "_of", F.lit("slot"), "pool", "_slot")).select("_of", "_rank", "pool")
     ranked = ranked_by_hash(sets.select(component, "_of"), ["_of"], [component], joined_sha256(seed, "_of", F.lit("component"), component))
     return ranked.join(slots, ["_of", "_rank"]).select(component, "pool")

@@ -53,7 +53,14 @@ def e_quota_pools(spark, sf_dir):
     return splits.assign_components(chats, "conv_id", "dataset", splits.EPISODE, SEED)
 
 
-@register()
+@register(f"""
+    WITH RECURSIVE g AS (SELECT DISTINCT sha256(text) AS h, doc_id // 4 AS grp FROM documents), e AS (SELECT DISTINCT a.grp AS a, b.grp AS b FROM g a JOIN g b ON a.h = b.h),
+    r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    c AS (SELECT a AS grp, min(b) AS component FROM r GROUP BY a),
+    m AS (SELECT DISTINCT component, lang FROM documents JOIN c ON grp = doc_id // 4), n AS (SELECT lang, count(*) AS n FROM m GROUP BY lang),
+    v AS (SELECT lang, n, pool, n * w // 100 AS base, n * w % 100 AS rest FROM n, (VALUES {", ".join(f"('{p}', {round(w * 100)})" for p, w in sorted(splits.EPISODE.items()))}) AS x(pool, w))
+    SELECT lang, pool, CAST(base + CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY rest DESC, sha256('{SEED}|' || lang || '|quota-remainder|' || pool)) <= n - sum(base) OVER (PARTITION BY lang) THEN 1 ELSE 0 END AS BIGINT) AS components FROM v
+""")
 def e_component_pools(spark, sf_dir):
     """Groups of documents that share contents, in one language or more, over the pools so that every language's quotas hold."""
     records = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("h"), F.expr("doc_id div 4").alias("grp"), "lang")

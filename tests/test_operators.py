@@ -438,6 +438,67 @@ def test_components_over_several_datasets_keep_every_quota(spark):
         assert {p: sum(pool[c] == p for c in mine) for p in splits.BRANCH} == splits.quotas(len(mine), splits.BRANCH, 13007, d)
 
 
+def assignment_exists(sizes, each):
+    """Whether any counts per set of several datasets and pool stay within the quotas, by trying all."""
+    crossing, seen = [(of, n) for of, n in sizes.items() if len(of) > 1], set()
+    pools = list(next(iter(each.values())))
+
+    def ways(n, k):
+        return [(n,)] if k == 1 else [(v, *rest) for v in range(n + 1) for rest in ways(n - v, k - 1)]
+
+    def go(i, left):
+        if i == len(crossing):
+            return True
+        if (i, left) in seen:
+            return False
+        seen.add((i, left))
+        of, n = crossing[i]
+        for part in ways(n, len(pools)):
+            new = tuple((d, tuple(a - b for a, b in zip(q, part, strict=True)) if d in of else q) for d, q in left)
+            if min(min(q) for _, q in new) >= 0 and go(i + 1, new):
+                return True
+        return False
+
+    return go(0, tuple((d, tuple(q.values())) for d, q in each.items()))
+
+
+def test_assignments_are_found_wherever_there_is_one():
+    rng, seen = random.Random(11), set()
+    for _ in range(1200):
+        names = "wxyz"[: rng.choice([2, 3, 3, 4])]
+        sizes = {of: rng.randint(0, 3) for k in range(1, len(names) + 1) for of in combinations(names, k)}
+        sizes = {of: n for of, n in sizes.items() if n}
+        weights = {p: rng.choice([0.5, 0.3, 0.2, 0.1]) for p in "abcd"[: rng.choice([2, 3, 4])]}
+        held = {d: sum(n for of, n in sizes.items() if d in of) for of in sizes for d in of}
+        if not sizes or min(held.values()) < len(weights) or sum(sizes.values()) > 12:
+            continue
+        each = {d: splits.quotas(n, weights, 1, d) for d, n in sorted(held.items())}
+        try:
+            got, dealt = splits.deal_quotas(sizes, weights, 1)
+        except splits.QuotaError:
+            seen.add("none")
+            assert not assignment_exists(sizes, each), (sizes, weights)
+            continue
+        seen.add("found")
+        assert got == each and all(sum(dealt[of].values()) == n and min(dealt[of].values()) >= 0 for of, n in sizes.items())
+        assert all(sum(dealt[of][p] for of in sizes if d in of) == each[d][p] for d in each for p in weights)
+    assert seen == {"none", "found"}
+
+
+def test_assignments_of_large_and_hard_sets(spark):
+    hard = {("x",): 2, ("z",): 1, ("x", "y"): 2, ("y", "z"): 2, ("x", "y", "z"): 1}
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    each, dealt = splits.deal_quotas(hard, weights, 1)
+    assert all(sum(dealt[of][p] for of in hard if d in of) == each[d][p] for d in each for p in weights)
+    members = [(f"{'+'.join(of)}-{k}", d) for of, n in hard.items() for k in range(n) for d in of]
+    pool = dict(rows(splits.assign_components(spark.createDataFrame(members, "c string, d string"), "c", "d", weights, 1), "c", "pool"))
+    assert all(sum(pool[c] == p for c, d in members if d == of) == each[of][p] for of in each for p in weights)
+    large = {of: 10**9 + 7 * len(of) for k in (1, 2, 3) for of in combinations("uvwx", k)}
+    each, dealt = splits.deal_quotas(large, splits.BRANCH, 5)
+    assert all(sum(dealt[of][p] for of in large if d in of) == each[d][p] for d in each for p in splits.BRANCH)
+    assert rows(splits.numbered_slots(spark, [("x", "a", 7), ("x", "b", 2)], block=3), "pool", "_slot") == [("a", k) for k in range(7)] + [("b", 0), ("b", 1)]
+
+
 def test_spanning_edges_against_kruskal(spark):
     rng = random.Random(8)
     nodes = list(range(60))
