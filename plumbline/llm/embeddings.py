@@ -5,7 +5,8 @@ each has its home in the cell of its nearest pivot. A pair with homes i and j me
 cells, which one depends on i and j alone; there the other vector is a copy, if it may lie within r of
 any member at all. By the triangle inequality a member of cell j that is within r of a vector of cell i
 is at most r farther from both pivots than that vector, which gives the tests below; nothing within r
-is ever missed. Cells join independently: natives in blocks of bounded size, block against block, and
+is ever missed. How many pivots there are is decided by the products they save and the copies they cost, as
+a sample shows, but there are some at every size. Cells join independently: natives in blocks of bounded size, block against block, and
 copies against each block. Both sides of a job come in the order of their distance from the cell's
 pivot, so that only vectors whose distances differ by at most r are compared.
 
@@ -34,6 +35,8 @@ CLOSE = 1e-12
 ROWS = 512
 #: Copies that one job takes, in blocks.
 RUN = 8
+#: Rough costs of a product per dimension and of a copy, and the vectors that an estimate takes; they only decide how many cells there are.
+PAIR_SECONDS, COPY_SECONDS, PROBE = 2e-10, 2e-6, 512
 
 
 def unit_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -66,6 +69,39 @@ def choose_pivots(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[chosen]
 
 
+def _meets(d: np.ndarray, home: np.ndarray, far: np.ndarray, between: np.ndarray, r: float) -> np.ndarray:
+    """Which cells each vector has to visit, from its distances to the pivots, the cells' radii and the pivots' own distances.
+
+    A neighbour y of x in cell j: d(y, pj) >= d(x, pj) - r, and pj is nearer to y than x's pivot.
+    """
+    own = d[np.arange(len(d)), home][:, None]
+    meets = (d <= far + r + SLACK) & (d <= own + 2 * r + SLACK) & (d**2 - own**2 <= 2 * r * between[home] + SLACK)
+    other = np.arange(d.shape[1])
+    return meets & np.where((home[:, None] + other) % 2 == 0, other < home[:, None], other > home[:, None])
+
+
+def expected_cost(probe: np.ndarray, pivots: np.ndarray, r: float, total: int) -> float:
+    """Seconds that cells around these pivots would take, from what a few vectors show: products of pairs, and copies."""
+    d = _distances(probe, pivots)
+    home = d.argmin(1)
+    natives = np.bincount(home, minlength=len(pivots))
+    far = np.full(len(pivots), -10.0)
+    np.maximum.at(far, home, d.min(1))
+    far = np.where(far < 0, -10.0, far + r / 2)  # a few vectors do not reach the edge of a cell
+    visits = _meets(d, home, far, _distances(pivots, pivots), r).sum(0)
+    pairs = float((natives * visits + natives * natives / 2).sum()) * (total / len(probe)) ** 2
+    return pairs * probe.shape[1] * PAIR_SECONDS + float(visits.sum()) * total / len(probe) * COPY_SECONDS
+
+
+def cells_for(sample: np.ndarray, r: float, total: int) -> np.ndarray:
+    """The pivots: at least four from a hundred vectors on, growing with the root of their number, more where they save more than their copies cost."""
+    least = max(1, min(4, total // 25), math.isqrt(total) // 12)
+    sizes = [k for k in (least, 4 * least, 16 * least) if k == least or (k <= math.isqrt(total) and k <= len(sample))]
+    pivots = choose_pivots(sample, sizes[-1])  # fewer pivots are the first of them
+    probe = sample[:: max(1, len(sample) // PROBE)][:PROBE]
+    return min((pivots[:k] for k in sizes), key=lambda p: expected_cost(probe, p, r, total))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     column = column.cast(pa.large_binary())
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
@@ -155,11 +191,11 @@ def _one_dimension(classes: DataFrame, dim: int, cosine: float, block: int, samp
     """(key, n_links, src, dst): rows with links of classes, to be added up, and rows with links of forests."""
     spark = classes.sparkSession
     total = classes.count()
-    k = max(1, min(total // block, math.isqrt(total)))  # beyond the root, finding homes would cost more than it saves
-    most = max(sample_rows, 4 * k)
-    sample = classes.sample(False, min(1.0, 2 * most / total), 17).limit(most).collect() or classes.limit(1).collect()  # bounded by its parameter
-    pivots = choose_pivots(np.array([np.frombuffer(x.v, np.float64) for x in sample]), k)
+    most = max(sample_rows, 2 * math.isqrt(total))
     r = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
+    sample = classes.sample(False, min(1.0, 2 * most / total), 17).limit(most).collect() or classes.limit(1).collect()  # bounded by its parameter
+    pivots = cells_for(np.array([np.frombuffer(x.v, np.float64) for x in sample]), r, total)
+    between = _distances(pivots, pivots)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,12 +212,7 @@ def _one_dimension(classes: DataFrame, dim: int, cosine: float, block: int, samp
         """Distances from the pivots, homes, and (row, cell) of the copies."""
         d = _distances(x, pivots)
         home = d.argmin(1)
-        own = d[np.arange(len(d)), home][:, None]
-        # a neighbour y of x in cell j: d(y, pj) >= d(x, pj) - r, and pj is nearer to y than x's pivot
-        meets = (d <= far + r + SLACK) & (d <= own + 2 * r + SLACK) & (d**2 - own**2 <= 2 * r * _distances(pivots[home], pivots) + SLACK)
-        other = np.arange(len(pivots))
-        meets &= np.where((home[:, None] + other) % 2 == 0, other < home[:, None], other > home[:, None])
-        return d, home, *np.nonzero(meets)
+        return d, home, *np.nonzero(_meets(d, home, far, between, r))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

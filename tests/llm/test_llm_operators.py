@@ -308,6 +308,28 @@ def test_embeddings(spark, monkeypatch, run):
     assert embeddings.embedding_groups(frame.limit(0)).collect() == []
 
 
+def test_embeddings_use_cells_at_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal((25, 24))
+    x = np.array([centre[i % 25] + rng.standard_normal(24) * rng.choice([0.1, 0.4]) for i in range(600)])
+    used = []
+    choose = embeddings.cells_for
+    monkeypatch.setattr(embeddings, "cells_for", lambda *args: used.append(choose(*args)) or used[-1])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_groups(frame).collect()}
+    assert len(used[0]) >= 4
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = union_find(range(600), list(zip(*(k.tolist() for k in np.nonzero(near)), strict=True)))
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(600)}
+    # where the triangle inequality saves products, more cells cost less
+    tight = np.repeat(centre / np.linalg.norm(centre, axis=1)[:, None], 400, axis=0) + 1e-3 * rng.standard_normal((10000, 24))
+    tight /= np.linalg.norm(tight, axis=1)[:, None]
+    one, all_ = (embeddings.expected_cost(tight[::20], embeddings.choose_pivots(tight, k), 0.45, 10**6) for k in (1, 25))
+    assert all_ < one / 5
+
+
 def test_embedding_links_at_the_bound_have_two_ends(spark):
     rng = np.random.default_rng(5)
     rows = []
