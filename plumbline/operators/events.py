@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.quantiles import exact_quantiles, null_safe_join
+from plumbline.operators.scans import in_ranges, running
+
 
 def extract_events(df: DataFrame, unit: Sequence[str], position: str, flag: Column, continuity: float | Column, merge_gap: float = 0) -> DataFrame:
     """Runs of flagged positions as events (unit, event_id from 1, start, end, positions), both ends included.
@@ -15,19 +18,20 @@ def extract_events(df: DataFrame, unit: Sequence[str], position: str, flag: Colu
     begins a new event. Units without a flagged position have no event. Repeated positions count each;
     null flags are false.
     """
-    w = Window.partitionBy(*unit).orderBy(position)
-    hits = df.where(F.coalesce(flag, F.lit(False)))
     reach = F.greatest(continuity if isinstance(continuity, Column) else F.lit(continuity), F.lit(merge_gap))
-    opens = F.coalesce(F.col(position) - F.lag(position).over(w) > reach, F.lit(True)).cast("int")
-    numbered = hits.withColumn("_open", opens).withColumn("event_id", F.sum("_open").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    hits, cut = in_ranges(df.where(F.coalesce(flag, F.lit(False))).select(*unit, position, reach.alias("_reach")), unit, [position])
+    known = running(hits, unit, [position], {"_before": ("before", F.col(position))}, cut=cut)
+    opens = F.coalesce(F.col(position) - F.col("_before") > F.col("_reach"), F.lit(True)).cast("int")
+    numbered = running(known.withColumn("_open", opens), unit, [position], {"event_id": ("sum", F.col("_open"))}, cut=cut)
     return numbered.groupBy(*unit, "event_id").agg(F.min(position).alias("start"), F.max(position).alias("end"), F.count("*").alias("positions"))
 
 
 def unit_continuity(df: DataFrame, unit: Sequence[str], position: str, otherwise: float) -> DataFrame:
     """(unit, continuity, n): the median gap between neighbouring positions (`otherwise` with one row), and the rows."""
-    gap = F.col(position) - F.lag(position).over(Window.partitionBy(*unit).orderBy(position))
-    gaps = df.select(*unit, gap.alias("_gap"))
-    return gaps.groupBy(*unit).agg(F.coalesce(F.percentile("_gap", 0.5), F.lit(float(otherwise))).alias("continuity"), F.count("*").alias("n"))
+    gaps = running(df.select(*unit, F.col(position).alias("_at")), unit, ["_at"], {"_before": ("before", F.col("_at"))})
+    gaps = gaps.select(*unit, (F.col("_at") - F.col("_before")).alias("_gap"))
+    middle = exact_quantiles(gaps, unit, "_gap", {"continuity": 0.5}).fillna(float(otherwise), ["continuity"])
+    return null_safe_join(middle, gaps.groupBy(*unit).agg(F.count("*").alias("n")), unit)
 
 
 def eligible_pairs(truth: DataFrame, predicted: DataFrame, unit: Sequence[str], lookback: float, width: float | None = None) -> DataFrame:

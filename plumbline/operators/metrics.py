@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import joined_sha256
+from plumbline.operators.quantiles import exact_quantiles, null_safe_join
 
 
 def calibration_error(df: DataFrame, group: Sequence[str], p: str, y: str, bins: int = 10) -> DataFrame:
@@ -88,7 +89,8 @@ def interval(pairs: DataFrame, means: DataFrame, repeat: str, difference: str, c
     share = lambda c: F.avg(c.cast("double"))
     m, key = F.col("mean"), [*contrast, "_one"]
     p = F.least(F.lit(1.0), 2 * F.least(share(m <= 0), share(m >= 0)))
-    drawn = means.withColumn("_one", F.lit(1)).groupBy(*key).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), p.alias("p_value"))
+    given = means.withColumn("_one", F.lit(1))
+    drawn = null_safe_join(exact_quantiles(given, key, "mean", {"low": 0.025, "high": 0.975}), given.groupBy(*key).agg(p.alias("p_value")), key)
     effect = pairs.withColumn("_one", F.lit(1)).groupBy(*key, repeat).agg(F.avg(difference).alias("_m")).groupBy(*key).agg(F.avg("_m").alias("estimate"))
     return effect.join(drawn, key).drop("_one")
 
@@ -115,21 +117,23 @@ def mean_interval(value: str) -> list[Column]:
 def latency_summary(df: DataFrame, key: Sequence[str], phase: str, duration_ns: str) -> DataFrame:
     """p50 and p95 (truncated to whole nanoseconds) and throughput over timed iterations."""
     timed = df.where(F.col(phase) == "timed")
-    q = lambda x: F.percentile(duration_ns, x).cast("long")
-    return timed.groupBy(*key).agg(q(0.5).alias("latency_p50_ns"), q(0.95).alias("latency_p95_ns"), F.try_divide(F.count("*") * F.lit(1e9), F.sum(duration_ns)).alias("throughput_per_second"), F.count("*").alias("n"))
+    at = exact_quantiles(timed, key, duration_ns, {"latency_p50_ns": 0.5, "latency_p95_ns": 0.95})
+    at = at.select(*key, *(F.col(c).cast("long").alias(c) for c in ("latency_p50_ns", "latency_p95_ns")))
+    return null_safe_join(at, timed.groupBy(*key).agg(F.try_divide(F.count("*") * F.lit(1e9), F.sum(duration_ns)).alias("throughput_per_second"), F.count("*").alias("n")), key)
 
 
 def robust_scale(df: DataFrame, group: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Median and interquartile range (1 where it is 0) of each feature and group, nulls left out, as long rows."""
     long = df.select(*group, F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))).alias("f")).select(*group, "f.*")
-    out = long.groupBy(*group, "feature").agg(F.percentile("x", 0.5).alias("center"), (F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("scale"))
+    out = exact_quantiles(long, [*group, "feature"], "x", {"center": 0.5, "_a": 0.25, "_b": 0.75})
+    out = out.select(*group, "feature", "center", (F.col("_b") - F.col("_a")).alias("scale"))
     return out.withColumn("scale", F.when(F.coalesce(F.col("scale"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("scale")))
 
 
 def standardizer(df: DataFrame, features: Sequence[str], fit: Column) -> DataFrame:
     """Per feature, from the rows that `fit` marks: median for missing cells, then mean and population deviation (0: 1)."""
     long = df.where(fit).select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))).alias("f")).select("f.*")
-    median = long.groupBy("feature").agg(F.coalesce(F.percentile("x", 0.5), F.lit(0.0)).alias("median"))
+    median = exact_quantiles(long, ["feature"], "x", {"median": 0.5}).fillna(0.0, ["median"])
     filled = long.join(F.broadcast(median), "feature").withColumn("x", F.coalesce("x", "median"))  # a row a feature
     out = filled.groupBy("feature").agg(F.first("median").alias("median"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
     return out.withColumn("std", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")))

@@ -19,6 +19,8 @@ from plumbline.operators.stash import stash
 #: Buckets of a power of two; parts of a bucket that is refined.
 PER_OCTAVE, PARTS = 16, 1 << 16
 ROUNDS = 3
+#: So many distinct values, of all wanted buckets together, need no finer histogram: one task may sort them.
+FEW = 1 << 20
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -66,12 +68,12 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, at: dict[st
     # distinct values of the wanted buckets, with counts
     wanted = _wanted(coarse.where("_b0 is not null"), keys, "_b0", ranks, keys)
     found = wanted.where("_low = _high").select(*keys, "_rank", F.col("_low").alias("_x"))
-    open_ = stash(wanted.where("_low < _high"), "wanted")
+    open_ = wanted.where("_low < _high")
     path = [*keys, "_b0"]
     limits = lambda t, p: t.select(*p, "_low", "_high").distinct()
     left = null_safe_join(slim.where("_b0 is not null"), limits(open_, path), path)
     left = stash(left.groupBy(*path, "_v", "_low", "_high").agg(F.count("*").alias("_m")), "candidates")
-    for r in range(1, ROUNDS + 1):
+    for r in range(1, ROUNDS + 1 if left.count() > FEW else 1):
         bucket = f"_b{r}"
         left = left.withColumn(bucket, _part(F.col("_v"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
         counts = left.groupBy(*path, bucket).agg(*counted)

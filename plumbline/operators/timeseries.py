@@ -6,6 +6,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.scans import running, with_halo
+
+
+#: Grid points that stand in one array.
+BLOCK = 4096
+
 
 def causal_resample(df: DataFrame, sensor: str, epoch: str, values: Sequence[str], stride: int) -> DataFrame:
     """Each sensor on a grid of `stride` seconds: the last observation in (grid - stride, grid], with masks.
@@ -16,15 +22,20 @@ def causal_resample(df: DataFrame, sensor: str, epoch: str, values: Sequence[str
     bucket = (F.ceil(F.col(epoch) / stride) * stride).cast("long")
     last = df.groupBy(sensor, bucket.alias("grid")).agg(F.max_by(F.struct(*values), F.struct(epoch, *values)).alias("_row"))
     span = df.groupBy(sensor).agg(F.ceil(F.min(epoch) / stride).alias("a"), F.floor(F.max(epoch) / stride).alias("z")).where("a <= z")
-    grid = span.select(sensor, F.explode(F.sequence("a", "z")).alias("k")).select(sensor, (F.col("k") * stride).alias("grid"))
+    blocks = span.select(sensor, "z", F.explode(F.sequence("a", "z", F.lit(BLOCK).cast("long"))).alias("a"))  # an array of bounded size a row
+    grid = blocks.select(sensor, F.explode(F.sequence("a", F.least("z", F.col("a") + BLOCK - 1))).alias("k")).select(sensor, (F.col("k") * stride).alias("grid"))
     joined = grid.join(last, [sensor, "grid"], "left")
     return joined.select(sensor, "grid", *(F.col(f"_row.{v}").alias(v) for v in values), *(F.col(f"_row.{v}").isNotNull().alias(f"{v}_mask") for v in values))
 
 
-def future_window(df: DataFrame, sensor: str, epoch: str, value: str, horizon: int) -> dict[str, Column]:
-    """Aggregates over observations in (epoch, epoch + horizon]: how many, and the greatest value."""
-    w = Window.partitionBy(sensor).orderBy(epoch).rangeBetween(1, horizon)
-    return {"future_n": F.count(value).over(w), "future_max": F.max(value).over(w)}
+def future_window(df: DataFrame, sensor: str, epoch: str, value: str, horizon: int) -> DataFrame:
+    """`df` with future_n and future_max: how many observations lie in (epoch, epoch + horizon], and their greatest value.
+
+    A sensor is cut into blocks of several horizons, with the rows that a block looks ahead to.
+    """
+    halo = with_halo(df, epoch, 8 * horizon, ahead=horizon)
+    w = Window.partitionBy(sensor, "_block").orderBy(epoch).rangeBetween(1, horizon)
+    return halo.withColumn("future_n", F.count(value).over(w)).withColumn("future_max", F.max(value).over(w)).where("_own").drop("_block", "_own")
 
 
 def history_windows(df: DataFrame, dataset: str, sensor: str, epoch: str, value: str, history: int, horizon: int, stride: int, risk: float) -> DataFrame:
@@ -32,21 +43,22 @@ def history_windows(df: DataFrame, dataset: str, sensor: str, epoch: str, value:
 
     Returns window_id (a hash of dataset, sensor and end), history_start, history_end, forecast_end, the
     history as an array in time order (null where the grid has no observation), future_max and
-    event_truth (1 if a future value reaches `risk`).
+    event_truth (1 if a future value reaches `risk`). Sensors are cut into blocks of time with a halo, so
+    that a long one is many tasks; arrays are made once, for ends that have a future.
     """
     steps = history // stride
     grid = causal_resample(df, sensor, epoch, [value], stride)
-    back = Window.partitionBy(sensor).orderBy("grid").rowsBetween(-(steps - 1), 0)
-    points = grid.withColumn("_n", F.count("*").over(back)).withColumn("history", F.collect_list(F.struct("grid", value)).over(back)).where(F.col("_n") == steps)
-    ends = points.select(sensor, F.col("grid").alias("history_end"), F.transform("history", lambda x: x[value]).alias("history"))
-    # observations and ends on one time line: an end sees what follows it
-    line = df.select(sensor, F.col(epoch).alias("t"), F.col(value).alias("x"), F.lit(False).alias("is_end"), F.lit(None).cast("array<double>").alias("history"))
-    line = line.unionByName(ends.select(sensor, F.col("history_end").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(True).alias("is_end"), "history"))
-    ahead = Window.partitionBy(sensor).orderBy("t").rangeBetween(1, horizon)
-    line = line.withColumn("future_max", F.max("x").over(ahead)).where("is_end and future_max is not null")
-    return line.select(
-        F.sha2(F.concat_ws("|", F.lit(dataset), F.col(sensor).cast("string"), F.col("t").cast("string")), 256).alias("window_id"), sensor,
-        (F.col("t") - history).alias("history_start"), F.col("t").alias("history_end"), (F.col("t") + horizon).alias("forecast_end"), "history", "future_max", (F.col("future_max") >= risk).cast("int").alias("event_truth"),
+    # observations and grid points on one time line: a grid point sees what follows it
+    line = df.select(sensor, F.col(epoch).cast("long").alias("t"), F.col(value).alias("x"), F.lit(False).alias("is_end"))
+    line = line.unionByName(grid.select(sensor, F.col("grid").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(True).alias("is_end")))
+    ahead = future_window(line, sensor, "t", "x", horizon).where("is_end and future_max is not null").select(sensor, F.col("t").alias("grid"), "future_max")
+    behind = with_halo(grid.select(sensor, "grid", value), "grid", max(64, 8 * steps) * stride, behind=(steps - 1) * stride)
+    back = Window.partitionBy(sensor, "_block").orderBy("grid").rowsBetween(-(steps - 1), 0)
+    points = behind.withColumn("history", F.collect_list(F.struct("grid", value)).over(back)).where(F.col("_own") & (F.size("history") == steps))
+    found = points.join(ahead, [sensor, "grid"])
+    return found.select(
+        F.sha2(F.concat_ws("|", F.lit(dataset), F.col(sensor).cast("string"), F.col("grid").cast("string")), 256).alias("window_id"), sensor,
+        (F.col("grid") - history).alias("history_start"), F.col("grid").alias("history_end"), (F.col("grid") + horizon).alias("forecast_end"), F.transform("history", lambda x: x[value]).alias("history"), "future_max", (F.col("future_max") >= risk).cast("int").alias("event_truth"),
     )
 
 
@@ -86,12 +98,11 @@ def causal_statistics(windows: DataFrame, key: str, history: str, stride: int, s
 
 def purge_gaps(df: DataFrame, sensor: str, start: str, end: str, pool: str, pools: Sequence, tie: Sequence[str]) -> DataFrame:
     """For each window, the gap between its start and the latest end of any earlier window of another pool."""
-    before = Window.partitionBy(sensor).orderBy(start, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    latest = [F.when(F.col(pool) != p, F.max(F.when(F.col(pool) == p, F.col(end))).over(before)) for p in pools]
-    return df.withColumn("gap", F.col(start) - F.greatest(*latest))
+    ends = {f"_e{i}": ("max_before", F.when(F.col(pool) == p, F.col(end))) for i, p in enumerate(pools)}
+    latest = [F.when(F.col(pool) != p, F.col(f"_e{i}")) for i, p in enumerate(pools)]
+    return running(df, [sensor], [start, *tie], ends).withColumn("gap", F.col(start) - F.greatest(*latest)).drop(*ends)
 
 
 def time_order_faults(df: DataFrame, sensor: str, epoch: str) -> DataFrame:
     """Observations that do not come strictly after the one before them in reading order (`_seq`)."""
-    before = F.lag(epoch).over(Window.partitionBy(sensor).orderBy("_seq"))
-    return df.withColumn("before", before).where(F.col(epoch) <= F.col("before"))
+    return running(df, [sensor], ["_seq"], {"before": ("before", F.col(epoch))}).where(F.col(epoch) <= F.col("before"))

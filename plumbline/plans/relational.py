@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from plumbline import functions as fn
 from plumbline.operators import contracts, selection
+from plumbline.operators.quantiles import exact_quantiles, null_safe_join
+from plumbline.operators.scans import in_ranges, running
 from plumbline.plans.catalogue import register
 from plumbline.sources.tables import finite, table, with_utc
 
@@ -221,11 +223,11 @@ def a_having_pairs(spark, sf_dir):
         round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(stddev_pop(value), 6) AS sd_pop, round(stddev_samp(value), 6) AS sd, round(avg(value), 6) AS mean FROM events GROUP BY event_type
 """)
 def a_exact_quantiles(spark, sf_dir):
-    p = lambda q: F.percentile("value", q)
-    return finite(table(spark, sf_dir, "events")).groupBy("event_type").agg(
-        fn.rounded(p(0.25)).alias("p25"), fn.rounded(p(0.5)).alias("p50"), fn.rounded(p(0.75)).alias("p75"), fn.rounded(p(0.75) - p(0.25)).alias("iqr"),
-        fn.rounded(F.stddev_pop("value")).alias("sd_pop"), fn.rounded(F.stddev_samp("value")).alias("sd"), fn.rounded(F.avg("value")).alias("mean"),
-    )
+    e = finite(table(spark, sf_dir, "events"))
+    at = exact_quantiles(e, ["event_type"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    rest = e.groupBy("event_type").agg(fn.rounded(F.stddev_pop("value")).alias("sd_pop"), fn.rounded(F.stddev_samp("value")).alias("sd"), fn.rounded(F.avg("value")).alias("mean"))
+    at = at.select("event_type", *(fn.rounded(c).alias(c) for c in ("p25", "p50", "p75")), fn.rounded(F.col("p75") - F.col("p25")).alias("iqr"))
+    return null_safe_join(at, rest, ["event_type"])
 
 
 @register("""
@@ -281,15 +283,15 @@ def a_pivot(spark, sf_dir):
 
 @register("SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) - 1 AS INTEGER) AS place, round(sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber ROWS UNBOUNDED PRECEDING), 2) AS running FROM lineitem")
 def w_rank_and_running_sum(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
-    running = F.sum("l_extendedprice").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "lineitem").select(*LINE_KEY, (F.row_number().over(w) - 1).alias("place"), F.round(running, 2).alias("running"))
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_extendedprice", (-F.col("l_extendedprice")).alias("falling"))
+    out = running(lines, ["l_orderkey"], ["falling", "l_linenumber"], {"n": ("count", F.lit(1)), "total": ("sum", F.col("l_extendedprice"))})
+    return out.select(*LINE_KEY, (F.col("n") - 1).cast("int").alias("place"), F.round("total", 2).alias("running"))
 
 
 @register("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM events")
 def w_reverse_running_max(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(0, Window.unboundedFollowing)
-    return table(spark, sf_dir, "events").select("event_id", F.max("value").over(w).alias("envelope"))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return running(events, ["user_id"], ["ts", "event_id"], {"envelope": ("max", F.col("value"))}, reverse=True).select("event_id", "envelope")
 
 
 @register("""
@@ -298,8 +300,10 @@ def w_reverse_running_max(spark, sf_dir):
 """)
 def w_median_gap(spark, sf_dir):
     e = with_utc(table(spark, sf_dir, "events"), "ts").withColumn("e", F.unix_timestamp("ts"))
-    gaps = e.withColumn("gap", F.col("e") - F.lag("e").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return gaps.groupBy("user_id").agg(F.coalesce(F.percentile("gap", 0.5), F.lit(30.0)).alias("median_gap"), F.count("gap").alias("gaps"), F.count_if(F.col("gap") < 0).alias("backwards"))
+    known = running(e.select("user_id", "ts", "event_id", "e"), ["user_id"], ["ts", "event_id"], {"before": ("before", F.col("e"))})
+    gaps = known.select("user_id", (F.col("e") - F.col("before")).alias("gap"))
+    counts = gaps.groupBy("user_id").agg(F.count("gap").alias("gaps"), F.count_if(F.col("gap") < 0).alias("backwards"))
+    return null_safe_join(exact_quantiles(gaps, ["user_id"], "gap", {"median_gap": 0.5}).fillna(30.0, ["median_gap"]), counts, ["user_id"])
 
 
 @register("SELECT c_mktsegment, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 3")
@@ -427,9 +431,12 @@ def f_causal_masks(spark, sf_dir):
 
 @register("SELECT event_id, last_value(CASE WHEN value >= 50 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_high, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING), 6) AS mean3 FROM events")
 def w_last_known_and_trailing(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    high = F.last(F.when(F.col("value") >= 50, F.col("value")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "events").select("event_id", high.alias("last_high"), fn.rounded(F.avg("value").over(w.rowsBetween(-2, 0))).alias("mean3"))
+    events, key = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), (["user_id"], ["ts", "event_id"])
+    events, cut = in_ranges(events, *key)
+    one = running(events, *key, {"last_high": ("last", F.when(F.col("value") >= 50, F.col("value"))), "v1": ("before", F.col("value"))}, cut=cut)
+    two = running(one, *key, {"v2": ("before", F.col("v1"))}, cut=cut)
+    three = F.filter(F.array("v2", "v1", "value"), lambda x: x.isNotNull())
+    return two.select("event_id", "last_high", fn.rounded(F.try_divide(F.aggregate(three, F.lit(0.0), lambda a, x: a + x), F.size(three))).alias("mean3"))
 
 
 @register("SELECT lang, source, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY lang, source")

@@ -163,18 +163,17 @@ def _statistics_sql(k: int, span: int) -> str:
     ])
 
 
-@register(WINDOWS + f"SELECT sha256('events|' || user_id || '|' || grid) AS window_id, {_statistics_sql(4, 4 * STRIDE)}, {_statistics_sql(8, 8 * STRIDE)} FROM x")
+@register(WINDOWS + f"SELECT sha256('events|' || user_id || '|' || grid) AS window_id, {_statistics_sql(2, 2 * STRIDE)}, {_statistics_sql(4, 4 * STRIDE)}, {_statistics_sql(8, 8 * STRIDE)} FROM x")
 def e_causal_statistics(spark, sf_dir):
     w = timeseries.history_windows(series(spark, sf_dir), "events", "user_id", "t", "value", HISTORY, HORIZON, STRIDE, RISK)
-    out = timeseries.causal_statistics(w, "window_id", "history", STRIDE, (4 * STRIDE, 8 * STRIDE))
+    out = timeseries.causal_statistics(w, "window_id", "history", STRIDE, (2 * STRIDE, 4 * STRIDE, 8 * STRIDE))
     digits = lambda c: 3 if c.startswith("std") else 6 if c.startswith("missing") else 4
     return out.select("window_id", *((F.round(c, digits(c)) + F.lit(0.0)).alias(c) for c in out.columns if c != "window_id"))
 
 
 @register(f"SELECT event_id, count(value) OVER w AS future_n, max(value) OVER w AS future_max FROM (SELECT *, (epoch_us(ts) // 1000000) AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING)")
 def j_future_window(spark, sf_dir):
-    s = series(spark, sf_dir)
-    return s.select("event_id", *(c.alias(n) for n, c in timeseries.future_window(s, "user_id", "t", "value", HORIZON).items()))
+    return timeseries.future_window(series(spark, sf_dir), "user_id", "t", "value", HORIZON).select("event_id", "future_n", "future_max")
 
 
 @register("""

@@ -20,8 +20,9 @@ def table(spark, seed):
     return spark.createDataFrame(rows, "g string, _rank int, x double").repartition(3)
 
 
-@pytest.mark.parametrize("group", [["g"], ["g", "_rank"], []])
-def test_quantiles_are_those_of_percentile(spark, group):
+@pytest.mark.parametrize(("group", "few"), [(["g"], 0), (["g", "_rank"], 1 << 20), ([], 0), ([], 1 << 20)])
+def test_quantiles_are_those_of_percentile(spark, monkeypatch, group, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
     df = table(spark, 4)
     found = {tuple(r[: len(group)]): tuple(r[len(group) :]) for r in quantiles.exact_quantiles(df, group, "x", AT).collect()}
     plain = df.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
