@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrays import give_back, slices, small_batches, text_column
+from plumbline.llm.arrays import gathered, give_back, small_batches, text_column
 from plumbline.llm.tokens import SubwordEncoder, split_chunks, with_end
 from plumbline.operators.stash import stash, stash_bucketed
 
@@ -53,6 +53,7 @@ class Shape:
     batch: int = 256
     rate: float = 0.01
     prior: float = 3.0
+    smooth: float = 4.0
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -69,7 +70,7 @@ def _slice_docs(tokenizer: str, end_id: int, slice_bytes: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = SubwordEncoder.of(tokenizer), TaskContext.get().partitionId()
-        for k, batch in enumerate(slices(batches, "text", slice_bytes)):
+        for k, batch in enumerate(gathered(batches, "text", slice_bytes)):
             texts = text_column(batch, "text")
             chunks, bounds = split_chunks(texts)
             coded = pc.ascii_lower(chunks.dictionary).dictionary_encode()  # each distinct chunk is lower-cased once
@@ -175,7 +176,7 @@ class Model:
         for c in range(s.classes):
             self.pairs_of_class[:, c] = pairs[:, np.flatnonzero(self.frequent_class == c)].sum(1)
         prior = (follows.sum(0) + 0.5) / (follows.sum() + 0.5 * s.classes)
-        table = np.log((follows + 4 * prior) / (follows.sum(1, keepdims=True) + 4))
+        table = np.log((follows + s.smooth * prior) / (follows.sum(1, keepdims=True) + s.smooth))
         self.direct = table.astype(np.float32)
         lift = table - np.log(prior)
         weight = np.sqrt(follows.sum(1, keepdims=True) + 1)
@@ -227,9 +228,16 @@ class Model:
         p = self.parameters
         return self.embedding @ (p["q"] @ p["k"].T / np.float32(math.sqrt(self.shape.width)))
 
-    def score(self, ids: np.ndarray, off: np.ndarray, at_once: int = 512) -> np.ndarray:
-        """Natural log-probability of each document's ids (an end id included)."""
-        ids = ids.astype(np.int64)
+    def score(self, ids: np.ndarray, off: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """Natural log-probability of each document's ids (an end id included), some documents at a time."""
+        out, a = [np.zeros(0)], 0
+        while a < len(off) - 1:
+            b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
+            out.append(self._score(ids[off[a] : off[b]].astype(np.int64), off[a : b + 1] - off[a]))
+            a = b
+        return np.concatenate(out)
+
+    def _score(self, ids: np.ndarray, off: np.ndarray, at_once: int = 512) -> np.ndarray:
         rows, target = self.inputs(ids, off), self.class_of[ids]
         first, opens, many = self.windows(off)
         each, asks, s = np.zeros(len(ids)), self._tables(), self.shape.stride
@@ -406,7 +414,7 @@ def fit(sliced: DataFrame, vocabulary: int, id_type: str, shape: Shape) -> tuple
     return model, int(seen[-1])
 
 
-def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, shape: Shape | None = None, slice_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, shape: Shape | None = None, slice_bytes: int = 16 << 20) -> DataFrame:
     """Base and model scores of every whole text of `docs` (`doc_id`, `text`; null: empty), a row per row.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; scores are base-10 log
