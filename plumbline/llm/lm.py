@@ -228,16 +228,16 @@ class Model:
         p = self.parameters
         return self.embedding @ (p["q"] @ p["k"].T / np.float32(math.sqrt(self.shape.width)))
 
-    def score(self, ids: np.ndarray, off: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    def score(self, ids: np.ndarray, off: np.ndarray, at_once: int = 512, most: int = 1 << 20) -> np.ndarray:
         """Natural log-probability of each document's ids (an end id included), some documents at a time."""
         out, a = [np.zeros(0)], 0
         while a < len(off) - 1:
             b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
-            out.append(self._score(ids[off[a] : off[b]].astype(np.int64), off[a : b + 1] - off[a]))
+            out.append(self._score(ids[off[a] : off[b]].astype(np.int64), off[a : b + 1] - off[a], at_once))
             a = b
         return np.concatenate(out)
 
-    def _score(self, ids: np.ndarray, off: np.ndarray, at_once: int = 512) -> np.ndarray:
+    def _score(self, ids: np.ndarray, off: np.ndarray, at_once: int) -> np.ndarray:
         rows, target = self.inputs(ids, off), self.class_of[ids]
         first, opens, many = self.windows(off)
         each, asks, s = np.zeros(len(ids)), self._tables(), self.shape.stride
