@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from plumbline.llm.arrays import ragged_index, slices, small_batches, text_column
 
@@ -36,6 +38,12 @@ def byte_letters() -> dict[str, str]:
     return {chr(b): chr(b) for b in shown} | {chr(256 + i): chr(b) for i, b in enumerate(hidden)}
 
 
+def unassigned() -> list[tuple[int, int]]:
+    """The ranges of code points that Python's Unicode tables do not know; surrogates are not text."""
+    known = [cp for cp in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(cp)) != "Cn"]
+    return [(a + 1, b - 1) for a, b in zip([0x7F, *known], [*known, sys.maxunicode + 1], strict=True) if b - a > 1]
+
+
 class BacktrackingBPE:
     """Encoder and decoder for a byte-level BPE file with an end-of-word suffix and a word pattern."""
 
@@ -69,6 +77,9 @@ class BacktrackingBPE:
         self.first.make_automaton()
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        # what Python's Unicode tables do not assign may be a letter, or have a lower case, in the library's newer ones
+        self.unknown = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unassigned()) + "]")
+        self.library, self.letters = Tokenizer.from_file(path), letters
         self._pairs: dict[tuple[int, int], bool] = {}
         self._clear()
         # decoding: every token's text and a space, in one array, and where each begins
@@ -150,6 +161,11 @@ class BacktrackingBPE:
             if k % 2:
                 ids.append(self.special[part])
                 continue
+            if not part.isascii() and self.unknown.search(part):  # the library normalises and splits, by its own tables
+                split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                for word, _ in split:
+                    ids += self.encode_word("".join(self.letters[c] for c in word) + END)
+                continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             for word in self.word.findall(part.lower()):

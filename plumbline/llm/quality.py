@@ -249,22 +249,24 @@ def cascade_order(seen: Measured, rules: Sequence[Rule], made: Sequence[str] = (
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, min_words: int = 50, max_repeat_percent: int = 50, keep_columns: bool = False, sample_rows: int = 400) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, min_words: int = 50, max_repeat_percent: int = 50, keep_columns: bool = False, sample_rows: int = 400, kept_only: bool = False) -> DataFrame:
     """The counts of every whole text of `docs` (`doc_id`, `text`) and whether it is kept.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept. With
     `keep_columns` it returns all of the input's columns and `kept`, which takes the place of one of that
     name; then the base conditions are rules of the cascade like the others, and no text is measured
-    beyond its first rejection. Null text has no words, so it fails the base conditions. A row per row:
+    beyond its first rejection. With `kept_only` it returns the rows that are kept, with the input's
+    columns alone, one named `kept` among them as it is. Null text has no words, so it fails the base conditions. A row per row:
     repeated rows are judged each. An empty table gives no rows. No shuffle: a document is judged where
     it is read.
     """
     small_batches(docs.sparkSession)
+    keep_columns = keep_columns or kept_only
     base = base_rules(min_words, max_repeat_percent)
     every = [*base, *rules] if keep_columns else list(rules)
     order = cascade_order(measured(docs, every, sample_rows), every, () if keep_columns else COUNTS)
     rows = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = f"{', '.join(f'`{c}` {t}' for c, t in docs.dtypes if c != 'kept')}, kept boolean" if keep_columns else f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean"
+    schema = docs.schema if kept_only else f"{', '.join(f'`{c}` {t}' for c, t in docs.dtypes if c != 'kept')}, kept boolean" if keep_columns else f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -281,7 +283,9 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, min_words: int
                     alive, left = alive[passed], left.only(passed)
             kept = np.zeros(len(failed), bool)
             kept[alive] = True
-            if keep_columns:
+            if kept_only:
+                yield batch.filter(pa.array(kept))
+            elif keep_columns:
                 names = [c for c in batch.schema.names if c != "kept"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(kept)], names=[*names, "kept"])
             else:

@@ -351,6 +351,16 @@ def test_embedding_links_at_the_bound_have_two_ends(spark):
     assert 500 < len(want) and {k: r.n_links for k, r in got.items() if r.n_links} == want
 
 
+def test_every_code_point_is_encoded_as_the_library_does():
+    """Newer code points than Python knows among them; in words, before digits and by themselves."""
+    library, encoder = Tokenizer.from_file(tokenizer_path()), bpe.BacktrackingBPE.of(tokenizer_path())
+    points = [chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and c % 3 == 0] + [chr(c) for a, b in bpe.unassigned() for c in (a, (a + b) // 2, b)]
+    texts = [f"ab{c}cd {c} x{c} {c}y 1{c}" for c in points]
+    ids, off = encoder.encode(pa.array(texts))
+    wrong = [t for t, x, a, b in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), off, off[1:], strict=False) if x.ids != ids[a:b].tolist()]
+    assert not wrong, wrong[:5]
+
+
 def test_one_vec_id_with_two_vectors(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, embeddings.embedding_groups(frame).collect())) == [(1, 2, 1, True)] * 3 + [(2, 0, 2, True)]

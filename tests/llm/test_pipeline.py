@@ -1,4 +1,5 @@
 """Each stage of the corpus pipeline against brute force over what it was given."""
+import random
 from collections import Counter
 
 import pytest
@@ -50,3 +51,16 @@ def test_stages_on_nulls_repeated_ids_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, given.limit(0), "")
         assert none.collect() == []
+
+
+def test_stages_keep_foreign_columns(spark):
+    """Columns that are not of `documents`, with names that operators use themselves, come through every filtering stage."""
+    names = ("kept", "fp", "row", "rows", "chunk", "marks", "block", "rank", "bucket", "slice", "spans", "_range", "component_id")
+    rng = random.Random(4)
+    text = lambda k: " ".join("".join(rng.choice("aeiourstlnmdp") for _ in range(rng.randint(2, 9))) for _ in range(120)) + "."
+    given = spark.createDataFrame([(k, text(k), "en", "s", 1, *(f"{n}-{k}" for n in names)) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    columns = given.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        given = stage(spark, given, "")
+        assert given.columns == columns
+    assert sorted((r.doc_id, *(r[n] for n in names)) for r in given.collect()) == [(k, *(f"{n}-{k}" for n in names)) for k in range(6)]
