@@ -29,7 +29,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the others go."""
-    return quality.quality_rules(docs, keep_columns=True).where("kept").select(*docs.columns)
+    return quality.quality_rules(docs, kept_only=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
