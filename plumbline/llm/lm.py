@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import gathered, give_back, small_batches, text_column
-from plumbline.llm.tokens import SubwordEncoder, split_chunks, with_end
+from plumbline.llm.tokens import WORDS_KEPT, SubwordEncoder, split_chunks, with_end
 from plumbline.operators.stash import stash, stash_bucketed
 
 #: Scores and logits stay within bounds that a float's exponential can take.
@@ -69,7 +69,7 @@ def _slice_docs(tokenizer: str, end_id: int, slice_bytes: int, buckets: int):
     kinds = pa.schema([("slice", pa.int64()), *((c.split()[0], pa.binary()) for c in SLICE_ROW.split(", ")[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = SubwordEncoder.of(tokenizer), TaskContext.get().partitionId()
+        encoder, part = SubwordEncoder.of(tokenizer, most=WORDS_KEPT), TaskContext.get().partitionId()
         for k, batch in enumerate(gathered(batches, "text", slice_bytes)):
             texts = text_column(batch, "text")
             chunks, bounds = split_chunks(texts)
@@ -96,7 +96,10 @@ def _slice_docs(tokenizer: str, end_id: int, slice_bytes: int, buckets: int):
                 np.array([i is None for i in keys], bool), place.astype("<u4"), np.diff(bounds).astype("<i8"), pairs[order, 0], counts.astype("<u4"), bucket[order].astype("<u4"),
                 np.frombuffer(zlib.compress(seen.astype("<i8").tobytes(), 1), np.uint8),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in row[1:])], schema=kinds)
+            out = pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in row[1:])], schema=kinds)
+            del batch, texts, chunks, coded, lowered, which, place, ids, order, new, pairs, row
+            give_back()
+            yield out
 
     return run
 
