@@ -70,7 +70,7 @@ def block_start(epoch: Column, seconds: int) -> Column:
 
 
 def logistic(x: Column, bound: float = 40.0) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-bound), F.least(F.lit(bound), x))))
+    return F.when(x.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.lit(-bound), F.least(F.lit(bound), x)))))
 
 
 def clipped_logit(p: Column, eps: float = 1e-6) -> Column:
@@ -166,3 +166,12 @@ def canonical_json(fields: dict[str, Column], texts: Sequence[str] = (), lists:
 
     parts = [F.concat(json_text(F.lit(name)), F.lit(":"), value(name)) for name in sorted(fields)]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def file_number(stem: Column) -> Column:
+    """The place of a file's number among others, as (namespace, major, minor): of `123` (0, 123, 0), of `p12-3` (1, 12, 3); null for other stems."""
+    part = lambda pattern, group: F.regexp_extract(stem, pattern, group).try_cast("long")
+    place = lambda a, b, c: F.struct(F.lit(a).alias("namespace"), b.alias("major"), c.alias("minor"))
+    plain, paged = "^([0-9]+)$", "^[pP]([0-9]+)-([0-9]+)$"
+    number = F.when(stem.rlike(plain), place(0, part(plain, 1), F.lit(0).cast("long"))).when(stem.rlike(paged), place(1, part(paged, 1), part(paged, 2)))
+    return F.when(number["major"].isNotNull() & number["minor"].isNotNull(), number)

@@ -1,12 +1,15 @@
 """Table contracts, checked in one pass, and joins with a declared cardinality."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.quantiles import null_safe_join
+
 SHA256 = "^[0-9a-f]{64}$"
 # How names of truths begin and end.
 TRUTH_PREFIXES = ("truth_", "label_", "target_", "test_metric_")
@@ -153,3 +156,97 @@ def ontology_contract() -> TableContract:
         one_of={"mapping_status": MAPPING_STATUSES, "event_semantics": EVENT_SEMANTICS, "negative_semantics": NEGATIVE_SEMANTICS},
         rules={"tasks": F.col("allowed_tasks").isNotNull(), "concept": filled("canonical_concept_id"), "policy": filled("annotation_policy"), "evidence": filled("evidence_reference"), "verified negatives": ~F.array_contains("allowed_tasks", "confirmatory_f1") | verified},
     )
+
+
+# What two tables can differ in.
+DIFFERENCES = ("only_left", "only_right", "repeated_left", "repeated_right", "null", "value")
+
+
+def table_differences(left: DataFrame, right: DataFrame, key: Sequence[str], tolerance: dict[str, float] | None = None, first: int = 3) -> DataFrame:
+    """(kind, column, rows, first): how two tables that should be one differ, by kind of difference and column.
+
+    Rows meet by `key` in one join, nulls in it being equal. Numbers of the columns in `tolerance` may differ by
+    that much; all else must be equal, NaN to NaN. A key on one side only, or with several rows on a side,
+    counts once under no column, and repeated keys are compared no further. `first` has the first keys of
+    each kind, as text, in the order of that text. Columns that only one table has are an error.
+    """
+    if set(left.columns) != set(right.columns):
+        raise ValueError(f"columns differ: {sorted(set(left.columns) ^ set(right.columns))}")
+    near, columns = tolerance or {}, [c for c in left.columns if c not in key]
+    side = lambda df, s: df.groupBy(*(F.col(k).alias(f"_{s}_{k}") for k in key)).agg(F.count("*").alias(f"_{s}_n"), *(F.first(c).alias(f"_{s}{i}") for i, c in enumerate(columns)))
+    met = side(left, "l").join(side(right, "r"), reduce(lambda a, b: a & b, (F.col(f"_l_{k}").eqNullSafe(F.col(f"_r_{k}")) for k in key)), "full")
+    both = F.col("_l_n").isNotNull() & F.col("_r_n").isNotNull()
+    single = both & (F.col("_l_n") == 1) & (F.col("_r_n") == 1)
+    found = [
+        (F.col("_r_n").isNull(), "only_left", None), (F.col("_l_n").isNull(), "only_right", None),
+        (both & (F.col("_l_n") > 1), "repeated_left", None), (both & (F.col("_r_n") > 1), "repeated_right", None),
+    ]
+    for i, c in enumerate(columns):
+        a, b = F.col(f"_l{i}"), F.col(f"_r{i}")
+        found.append((single & (a.isNull() != b.isNull()), "null", c))
+        unequal = ~((F.abs(a - b) <= near[c]) | a.eqNullSafe(b)) if c in near else ~a.eqNullSafe(b)
+        found.append((single & a.isNotNull() & b.isNotNull() & unequal, "value", c))
+    marks = F.filter(F.array(*(F.when(ok, F.struct(F.lit(kind).alias("kind"), F.lit(c).cast("string").alias("column"))) for ok, kind, c in found)), lambda x: x.isNotNull())
+    name = F.concat_ws("|", *(F.coalesce(F.col(f"_l_{k}"), F.col(f"_r_{k}")).cast("string") for k in key))
+    long = met.select(name.alias("_key"), F.explode(marks).alias("m")).select("_key", "m.*").withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(64)))
+    early = long
+    for by in (["kind", "column", "_salt"], ["kind", "column"]):  # the first of every salt, then of those
+        early = early.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_key"))).where(F.col("_n") <= first)
+    listed = early.groupBy("kind", "column").agg(F.array_join(F.sort_array(F.collect_list("_key")), ",").alias("first"))
+    counts = long.groupBy("kind", "column").agg(F.count("*").alias("rows"))
+    return null_safe_join(counts, listed, ["kind", "column"]).select("kind", "column", "rows", "first")
+
+
+def nested_violations(df: DataFrame, sorted_unique: Sequence[str] = (), map_keys: dict[str, Sequence[str]] | None = None, elements: dict[str, tuple[str, Callable[[Column], Column]]] | None = None, rules: dict[str, Column] | None = None) -> DataFrame:
+    """(rule, broken, elements): rules inside nested columns, counted in one pass: rows that break each, and elements that do.
+
+    `sorted_unique`: arrays of strings whose items are not blank and rise strictly. `map_keys`: maps with
+    exactly these keys. `elements`: {rule: (array or map column, condition on an element or a map's
+    value)}; a null condition is broken. `rules`: conditions over a row's columns, null likewise. A null
+    array or map breaks the rules on it, with no element.
+    """
+    parts: dict[str, tuple[Column, Column]] = {}
+    for c in sorted_unique:
+        a = F.col(c)
+        blank = F.size(F.filter(a, lambda x: x.isNull() | (F.trim(x) == "")))
+        falls = F.size(F.filter(F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), lambda x, y: y.isNotNull() & (y <= x)), lambda x: x))
+        parts[f"blank:{c}"] = (a.isNull() | (blank > 0), blank)
+        parts[f"sorted:{c}"] = (a.isNull() | (falls > 0), falls)
+    for c, keys in (map_keys or {}).items():
+        have, want = F.map_keys(c), F.array(*map(F.lit, keys))
+        odd = F.size(F.array_except(have, want)) + F.size(F.array_except(want, have))
+        parts[f"keys:{c}"] = (F.col(c).isNull() | (odd > 0), odd)
+    for rule, (c, condition) in (elements or {}).items():
+        values = F.map_values(c) if df.schema[c].dataType.typeName() == "map" else F.col(c)
+        bad = F.size(values) - F.size(F.filter(values, condition))  # a filter keeps what is true
+        parts[f"element:{rule}"] = (F.col(c).isNull() | (bad > 0), bad)
+    for rule, condition in (rules or {}).items():
+        bad = ~F.coalesce(condition, F.lit(False))
+        parts[f"rule:{rule}"] = (bad, bad.cast("int"))
+    sums = [F.struct(F.lit(r).alias("rule"), F.count_if(row).alias("broken"), F.coalesce(F.sum(F.greatest(n, F.lit(0)).cast("long")), F.lit(0)).alias("elements")).alias(f"_{i}") for i, (r, (row, n)) in enumerate(parts.items())]
+    one = df.agg(*sums)
+    return one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*")
+
+
+def fusion_eligibility(df: DataFrame, pools: Sequence[str], floor: int | None = None) -> DataFrame:
+    """`nested_violations` of a table that says which concepts may be fused.
+
+    Columns: concept_id, fusion_primary_eligible, graph_primary_eligible, three hashes, eligible_branch_types
+    (array) and their count, independent_multibranch_positive_group_count, multibranch_event_count_by_pool
+    (a map of all `pools`), exclusion_reason; model_outcomes_used may be there and must be false.
+    """
+    eligible, types, reason = F.col("fusion_primary_eligible"), F.col("eligible_branch_types"), F.col("exclusion_reason")
+    sha = lambda c: F.col(c).rlike("^[0-9a-f]{64}$")
+    groups = F.col("independent_multibranch_positive_group_count")
+    rules = {
+        "graph_needs_fusion": ~F.col("graph_primary_eligible") | eligible, **{c: sha(c) for c in ("episode_skeleton_candidate_hash", "ontology_lock_hash", "split_manifest_hash")},
+        "type_count": F.col("eligible_branch_type_count") == F.size(types), "group_count": groups >= 0, "two_types": ~eligible | (F.size(types) >= 2),
+        "no_reason": ~eligible | reason.isNull(), "reason": eligible | F.coalesce(F.trim(reason) != "", F.lit(False)),
+    }
+    if floor is not None:
+        rules["floor"] = ~eligible | (groups >= floor)
+    if "model_outcomes_used" in df.columns:
+        rules["no_outcomes"] = ~F.col("model_outcomes_used")
+    once = df.groupBy("concept_id").agg(F.count("*").alias("n")).agg(F.lit("key:concept_id").alias("rule"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("broken"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("elements"))
+    found = nested_violations(df, ["eligible_branch_types"], {"multibranch_event_count_by_pool": pools}, {"event_count": ("multibranch_event_count_by_pool", lambda x: x >= 0)}, rules)
+    return found.unionByName(once)

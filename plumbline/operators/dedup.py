@@ -26,6 +26,14 @@ def coarse_bits(vector: str, groups: int = 16, each: int = 4) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), marks)
 
 
+def difference_bits(vector: str, width: int = 16, bits: int = 64) -> Column:
+    """Bit i (lowest first) of a long: whether `width` components from place i on sum to more than the `width` after them, the vector as a ring."""
+    ring = F.concat(*[F.col(vector).cast("array<double>")] * (1 + -(-2 * width // bits)))
+    total = lambda at: F.aggregate(F.slice(ring, at, width), F.lit(0.0), lambda a, x: a + x)
+    marks = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(total(i + 1) > total(i + 1 + width), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(marks, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+
 def exact_classes(df: DataFrame, digest: str, key: str) -> DataFrame:
     """(digest, representative, copies) of every content; membership is the join on the digest."""
     return df.groupBy(digest).agg(F.min(key).alias("representative"), F.count("*").alias("copies"))
@@ -119,3 +127,61 @@ def component_ids(components: DataFrame, group: str) -> DataFrame:
     h = F.sum(F.xxhash64(group).cast("decimal(38,0)"))
     agg = components.groupBy("component").agg(F.count("*").alias("groups"), F.min(group).alias("a"), F.max(group).alias("z"), h.alias("h"))
     return agg.select("component", F.concat(F.lit("cmp_"), F.substring(F.sha2(F.concat_ws("|", "a", "z", F.col("groups").cast("string"), F.col("h").cast("string")), 256), 1, 24)).alias("component_id"), "groups")
+
+
+# What a near pair of thumbnails must reach to be confirmed.
+CONFIRMED = {"aspect_max": 0.02, "deviation_min": 5.0, "intensity_min": 0.995, "gradient_min": 0.990, "affine_rmse_max": 0.030}
+
+
+def _mean(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def _centred(a: Column) -> Column:
+    mean = _mean(a)
+    return F.transform(a, lambda x: x - mean)
+
+
+def confirm_near(pairs: DataFrame, items: DataFrame, key: str, thumbnail: str, width: int, wide: str, high: str, same: str, semantics: str, levels: float = 255.0, bounds: dict[str, float] | None = None) -> DataFrame:
+    """`pairs` (left_id, right_id, distance) with how alike their pictures are, and a `status`.
+
+    An item has a grey `thumbnail` of `width` columns as an array row by row, the size of its picture
+    (`wide`, `high`), a column that must agree (`same`) and one that says what its labels mean. Per pair:
+    deviation (the smaller one of both thumbnails), intensity and gradient (correlations of pixels, and of
+    differences of neighbouring ones; -1 where a side is flat), affine_rmse (of the best affine map of
+    one onto the other, the worse way, in shares of `levels`; infinite from a flat side), aspect (relative
+    difference). status: other_kind, rejected, conflict (confirmed, but with other semantics) or
+    confirmed. Items meet pairs by two joins; what is derived of a thumbnail is derived once an item.
+    """
+    b = CONFIRMED | (bounds or {})
+    grid, n = F.transform(F.col(thumbnail), lambda x: x.cast("double")), F.size(thumbnail)
+    down = F.zip_with(F.slice(grid, width + 1, F.greatest(n - width, F.lit(0))), F.slice(grid, 1, F.greatest(n - width, F.lit(0))), lambda x, y: x - y)
+    across = F.filter(F.transform(F.zip_with(F.slice(grid, 2, F.greatest(n - 1, F.lit(0))), F.slice(grid, 1, F.greatest(n - 1, F.lit(0))), lambda x, y: x - y), lambda d, i: F.when(i % width != width - 1, d)), lambda d: d.isNotNull())
+    derived = items.select(F.col(key).alias("id"), F.col(same).alias("same"), F.col(semantics).alias("semantics"), (F.col(wide) / F.col(high)).alias("ratio"), _centred(grid).alias("v"), _centred(F.concat(down, across)).alias("g"))
+    derived = derived.select("*", _dot(F.col("v"), F.col("v")).alias("vv"), _dot(F.col("g"), F.col("g")).alias("gg"))
+    side = lambda s: derived.select(*(F.col(c).alias(f"{s}_{c}") for c in derived.columns))
+    met = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    col = lambda c: (F.col(f"left_{c}"), F.col(f"right_{c}"))
+
+    def correlation(v: str, vv: str) -> Column:
+        norm = F.sqrt(col(vv)[0]) * F.sqrt(col(vv)[1])
+        return F.when(norm > 1e-12, _dot(*col(v)) / norm).otherwise(-1.0)
+
+    def rmse(a: str, z: str) -> Column:
+        slope = _dot(*col("v")) / F.col(f"{a}_vv")
+        left = F.zip_with(F.col(f"{a}_v"), F.col(f"{z}_v"), lambda x, y: (y - slope * x) * (y - slope * x))
+        return F.when(F.col(f"{a}_vv") > 1e-12, F.sqrt(F.greatest(_mean(left), F.lit(0.0))) / levels).otherwise(float("inf"))
+
+    ratio = F.abs(F.col("left_ratio") - F.col("right_ratio")) / F.greatest("left_ratio", "right_ratio")
+    told = met.select(
+        *pairs.columns, (F.col("left_same") == F.col("right_same")).alias("_same"), (F.col("left_semantics") == F.col("right_semantics")).alias("_means"), ratio.alias("aspect"),
+        F.sqrt(F.least("left_vv", "right_vv") / F.size("left_v")).alias("deviation"), correlation("v", "vv").alias("intensity"), correlation("g", "gg").alias("gradient"),
+        F.greatest(rmse("left", "right"), rmse("right", "left")).alias("affine_rmse"),
+    )
+    alike = (F.col("aspect") <= b["aspect_max"]) & (F.col("deviation") >= b["deviation_min"]) & (F.col("intensity") >= b["intensity_min"]) & (F.col("gradient") >= b["gradient_min"]) & (F.col("affine_rmse") <= b["affine_rmse_max"])
+    status = F.when(~F.coalesce("_same", F.lit(False)), "other_kind").when(~F.coalesce(alike, F.lit(False)), "rejected").when(~F.coalesce("_means", F.lit(False)), "conflict").otherwise("confirmed")
+    return told.withColumn("status", status).drop("_same", "_means")

@@ -72,7 +72,8 @@ def paired_bootstrap(pairs: DataFrame, repeat: str, unit: str, difference: str,
     """(contrast, draw, mean): means over repeats of the means of units drawn with replacement inside each repeat.
 
     Unit k of a draw is the unit whose number is a hash of (seed, contrast, draw, repeat, k), so any engine
-    can draw the same. Rows grow with draws times units; units are evaluation groups, not records.
+    can draw the same; means are rounded to 12 digits, so that one of zero is zero in whatever order it is
+    summed. Rows grow with draws times units; units are evaluation groups, not records.
     """
     cell = [*contrast, repeat]
     w = Window.partitionBy(*cell)
@@ -81,7 +82,7 @@ def paired_bootstrap(pairs: DataFrame, repeat: str, unit: str, difference: str,
     pick = F.conv(F.substring(joined_sha256(seed, *contrast, "draw", repeat, "k"), 1, 8), 16, 10).cast("long") % F.col("n")
     chosen = drawn.select(*cell, "draw", pick.alias("k")).join(numbered.select(*cell, F.col("k").cast("long").alias("k"), difference), [*cell, "k"])
     per = chosen.groupBy(*contrast, "draw", repeat).agg(F.avg(difference).alias("m"))
-    return per.groupBy(*contrast, "draw").agg(F.avg("m").alias("mean"))
+    return per.groupBy(*contrast, "draw").agg(F.round(F.avg("m"), 12).alias("mean"))
 
 
 def interval(pairs: DataFrame, means: DataFrame, repeat: str, difference: str, contrast: Sequence[str] = ()) -> DataFrame:

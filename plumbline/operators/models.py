@@ -36,11 +36,13 @@ def negative_log_likelihood(df: DataFrame, p: str, y: str, temperatures: Sequenc
 
 
 def fit_temperature(df: DataFrame, p: str, y: str, low: float = -5.0, high: float = 5.0, rounds: int = 6, points: int = 17) -> float:
-    """The temperature of least loss, log T in [low, high]: a grid in one pass a round, narrowed around its best."""
+    """The temperature of least loss, log T in [low, high]: a grid in one pass a round, narrowed around its best; 1 without rows."""
     a, z = low, high
     for _ in range(rounds):
         grid = [a + (z - a) * i / (points - 1) for i in range(points)]
         losses = negative_log_likelihood(df, p, y, [math.exp(g) for g in grid])
+        if losses[0] is None:
+            return 1.0
         best = min(range(points), key=losses.__getitem__)
         a, z = grid[max(0, best - 1)], grid[min(points - 1, best + 1)]
     return math.exp((a + z) / 2)
@@ -49,9 +51,13 @@ def fit_temperature(df: DataFrame, p: str, y: str, low: float = -5.0, high: floa
 def fit_platt(df: DataFrame, p: str, y: str, l2: float = 1.0, rounds: int = 25) -> tuple[float, float]:
     """(slope, intercept) of a logistic regression on logits: Newton steps, each one aggregation of six sums.
 
-    The slope carries an L2 penalty of l2 / 2; the intercept none.
+    The slope carries an L2 penalty of l2 / 2; the intercept none, so one class alone has no best
+    intercept: then, and without rows, the fit is (1, 0).
     """
     z, a, b = clipped_logit(F.col(p)), 1.0, 0.0
+    ends = df.where(F.col(p).isNotNull()).agg(F.min(y).alias("low"), F.max(y).alias("high")).first()
+    if ends.low == ends.high:
+        return a, b
     for _ in range(rounds):
         q = logistic(F.lit(a) * z + b)
         w = q * (1 - q)
@@ -96,7 +102,7 @@ def fit_isotonic(df: DataFrame, p: str, y: str) -> list[tuple[float, float]]:
 
 
 def apply_knots(df: DataFrame, p: str, knots: Sequence[tuple[float, float]], name: str, cells: int = 4096) -> DataFrame:
-    """`df` with a column of linear interpolation of `p` between knots, constant beyond them, kept in [0, 1]; null for a null p.
+    """`df` with a column of linear interpolation of `p` between knots, constant beyond them, kept in [0, 1]; null for a null p or NaN.
 
     A row joins the cell of [0, 1] that its p lies in, which has the knots there and one on either side.
     """
@@ -113,7 +119,7 @@ def apply_knots(df: DataFrame, p: str, knots: Sequence[tuple[float, float]], nam
     at = F.size(F.filter("_x", lambda x: x <= F.col(p)))
     x0, x1, y0, y1 = (F.try_element_at(c, k) for c in ("_x", "_y") for k in (at, at + 1))
     inner = F.when(at == 0, F.element_at("_y", 1)).when(at == F.size("_x"), F.element_at("_y", -1)).otherwise(y0 + (y1 - y0) * F.coalesce(F.try_divide(F.col(p) - x0, x1 - x0), F.lit(0.0)))
-    value = F.when(F.col(p).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), inner)))
+    value = F.when(F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), inner)))
     place = F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor(F.col(p) * cells)))
     return df.withColumn("_cell", place).join(F.broadcast(table), "_cell", "left").withColumn(name, value).drop("_cell", "_x", "_y")
 

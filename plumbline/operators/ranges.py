@@ -3,9 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.scans import running
+from plumbline.operators.stash import stash
+
 
 def containing(points: DataFrame, value: str, ranges: DataFrame, low: str, high: str, key: Sequence[str], most: int = 10_000) -> DataFrame:
     """Each point with the inclusive ranges that hold it, and how many do (0: none, a row with nulls).
@@ -46,3 +49,36 @@ def subtract_points(points: DataFrame, group: str, value: str, low: int, high: i
     after = inside.select(group, (F.col(value) + 1).alias("low"), (F.lead(value, 1, high + 1).over(w) - 1).alias("high"))
     before = inside.groupBy(group).agg(F.min(value).alias("m")).select(group, F.lit(low).cast("long").alias("low"), (F.col("m") - 1).alias("high"))
     return after.unionByName(before).where("low <= high")
+
+
+def located(points: DataFrame, at: Column, ranges: DataFrame, low: Column, high: Column, value: str, unit: Sequence[str] = ()) -> DataFrame:
+    """`points` with `matches`, how many inclusive ranges hold each, and `value`, that of the range if it is just one.
+
+    `at`, `low` and `high` are of one orderable type, composite keys (structs) included. Starts, points
+    and ends stand on one ordered line; the number of open ranges, and the sum of their numbers, which
+    is the open one's where there is one, are carried along it. So neither side is broadcast and no
+    bucket width is needed, however many ranges there are and however they overlap. `unit` columns,
+    which both tables have, must agree. A null position matches nothing; ranges with a null end or that
+    descend hold nothing.
+    """
+    held = stash(ranges.select(*unit, low.alias("_low"), high.alias("_high"), F.col(value).alias("_value")).where("_low <= _high").withColumn("_id", F.monotonically_increasing_id()), "numbered-ranges")
+    line = points.withColumn("_at", at).withColumn("_kind", F.lit(1))
+    columns = [F.col(c) for c in unit]
+    starts = held.select(*columns, F.col("_low").alias("_at"), F.lit(0).alias("_kind"), F.col("_id").cast("decimal(38,0)").alias("_open"))
+    ends = held.select(*columns, F.col("_high").alias("_at"), F.lit(2).alias("_kind"), (-F.col("_id").cast("decimal(38,0)")).alias("_open"))
+    both = line.where("_at is not null").unionByName(starts.unionByName(ends), allowMissingColumns=True)
+    step = F.when(F.col("_kind") == 0, 1).when(F.col("_kind") == 2, -1).otherwise(0)
+    met = running(both, unit, ["_at", "_kind"], {"_matches": ("sum", step), "_sum": ("sum", F.coalesce("_open", F.lit(0).cast("decimal(38,0)")))}).where("_kind = 1")
+    met = met.withColumn("_id", F.when(F.col("_matches") == 1, F.col("_sum")).cast("long"))
+    found = met.join(held.select("_id", "_value"), "_id", "left").select(*points.columns, F.col("_matches").alias("matches"), F.col("_value").alias(value))
+    none = line.where("_at is null").select(*points.columns, F.lit(0).cast("long").alias("matches"), F.lit(None).cast(ranges.schema[value].dataType).alias(value))
+    return found.unionByName(none)
+
+
+def range_faults(ranges: DataFrame, low: Column, high: Column, value: str, unit: Sequence[str] = ()) -> DataFrame:
+    """(unit, value, fault): ranges without an end, that descend, or that begin before an earlier one of their unit ends."""
+    keyed = ranges.select(*unit, F.col(value), low.alias("_low"), high.alias("_high"))
+    bad = F.when(F.col("_low").isNull() | F.col("_high").isNull(), "missing_end").when(F.col("_low") > F.col("_high"), "descending")
+    sound = running(keyed.where("_low <= _high"), unit, ["_low", "_high", value], {"_reach": ("max_before", F.col("_high"))})
+    over = sound.where(F.col("_low") <= F.col("_reach")).select(*unit, value, F.lit("overlapping").alias("fault"))
+    return keyed.withColumn("fault", bad).where("fault is not null").select(*unit, value, "fault").unionByName(over)

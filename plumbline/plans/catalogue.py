@@ -22,7 +22,7 @@ def register(sql: str | None = None):
     return keep
 
 
-MODULES = ("relational", "series", "corpora", "evaluation", "records", "streams", "storage", "controls")
+MODULES = ("relational", "series", "corpora", "evaluation", "records", "streams", "storage", "controls", "audits")
 
 
 def _load() -> None:

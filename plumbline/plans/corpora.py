@@ -146,34 +146,39 @@ def c_sign_bits(spark, sf_dir):
 COARSE = "(SELECT bit_or(CASE WHEN list_sum(embedding[4 * i + 1:4 * i + 4]::DOUBLE[]) > 0 THEN 1::BIGINT << (4 * i)::INTEGER ELSE 0::BIGINT END) FROM range(0, 16) AS t(i))"
 
 
+#: 64 bits of which neighbours tell much the same: vectors without near copies have pairs within 4 bits, though few.
+FINE = "(SELECT bit_or(CASE WHEN list_sum(list_slice(embedding || embedding, i + 1, i + 16)::DOUBLE[]) > list_sum(list_slice(embedding || embedding, i + 17, i + 32)::DOUBLE[]) THEN CASE WHEN i = 63 THEN (-9223372036854775808)::BIGINT ELSE (1::BIGINT << i::INTEGER) END ELSE 0::BIGINT END) FROM range(0, 64) AS t(i))"
+RADIUS = 4
+
+
 @register(f"""
-    WITH b AS (SELECT vec_id, {COARSE} AS bits FROM embeddings), c AS (SELECT bits, min(vec_id) AS id FROM b GROUP BY bits)
-    SELECT l.id AS left_id, r.id AS right_id, CAST(bit_count(xor(l.bits, r.bits)) AS INTEGER) AS distance FROM c l JOIN c r ON l.id < r.id AND bit_count(xor(l.bits, r.bits)) <= 2
+    WITH b AS (SELECT vec_id, {FINE} AS bits FROM embeddings), c AS (SELECT bits, min(vec_id) AS id FROM b GROUP BY bits)
+    SELECT l.id AS left_id, r.id AS right_id, CAST(bit_count(xor(l.bits, r.bits)) AS INTEGER) AS distance FROM c l JOIN c r ON l.id < r.id AND bit_count(xor(l.bits, r.bits)) <= {RADIUS}
 """)
 def j_hamming_pairs(spark, sf_dir):
-    bits = table(spark, sf_dir, "embeddings").select("vec_id", dedup.coarse_bits("embedding").alias("bits"))
+    bits = table(spark, sf_dir, "embeddings").select("vec_id", dedup.difference_bits("embedding").alias("bits"))
     classes = dedup.exact_classes(bits, "bits", "vec_id").select(F.col("representative").alias("id"), "bits")
-    return dedup.hamming_pairs(classes, "id", "bits", 2)
+    return dedup.hamming_pairs(classes, "id", "bits", RADIUS)
 
 
 NEAR = f"""
-    b AS (SELECT vec_id, label % 2 AS half, {COARSE} AS bits FROM embeddings), c AS (SELECT half, bits, min(vec_id) AS id FROM b GROUP BY half, bits),
-    l AS (SELECT l.id AS left_id, r.id AS right_id, CAST(bit_count(xor(l.bits, r.bits)) AS INTEGER) AS distance FROM c l JOIN c r ON l.half = r.half AND l.id < r.id AND bit_count(xor(l.bits, r.bits)) <= 2)
+    b AS (SELECT vec_id, label % 2 AS half, {FINE} AS bits, {COARSE} AS coarse FROM embeddings), c AS (SELECT half, bits, min(vec_id) AS id FROM b GROUP BY half, bits),
+    l AS (SELECT l.id AS left_id, r.id AS right_id, CAST(bit_count(xor(l.bits, r.bits)) AS INTEGER) AS distance FROM c l JOIN c r ON l.half = r.half AND l.id < r.id AND bit_count(xor(l.bits, r.bits)) <= {RADIUS})
 """
 
 
 def near_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors with their coarse bits, and near pairs of their classes; pairs must agree in the half of the labels they belong to."""
-    bits = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("half"), dedup.coarse_bits("embedding").alias("bits"))
+    """Vectors with their bits, and near pairs of their classes; pairs must agree in the half of the labels they belong to."""
+    bits = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("half"), dedup.difference_bits("embedding").alias("bits"), dedup.coarse_bits("embedding").alias("coarse"))
     classes = bits.groupBy("half", "bits").agg(F.min("vec_id").alias("id"))
-    return bits, dedup.hamming_pairs(classes, "id", "bits", 2, ["half"])
+    return bits, dedup.hamming_pairs(classes, "id", "bits", RADIUS, ["half"])
 
 
-@register(f"WITH {NEAR} SELECT 'exact' AS kind, c.id AS left_id, b.vec_id AS right_id, 0 AS distance FROM b JOIN c USING (half, bits) WHERE b.vec_id <> c.id UNION ALL SELECT 'near', left_id, right_id, distance FROM l")
+@register(f"WITH {NEAR}, x AS (SELECT half, coarse, min(vec_id) AS id FROM b GROUP BY half, coarse) SELECT 'exact' AS kind, x.id AS left_id, b.vec_id AS right_id, 0 AS distance FROM b JOIN x USING (half, coarse) WHERE b.vec_id <> x.id UNION ALL SELECT 'near', left_id, right_id, distance FROM l")
 def e_duplicate_audit(spark, sf_dir):
     """Exact copies as links to their class's first, near pairs between classes of one half."""
     bits, near = near_pairs(spark, sf_dir)
-    return dedup.duplicate_audit(bits, "vec_id", ["half", "bits"], near)
+    return dedup.duplicate_audit(bits, "vec_id", ["half", "coarse"], near)
 
 
 @register(f"""

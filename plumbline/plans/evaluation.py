@@ -91,7 +91,7 @@ DRAWS = 10_000
 BOOTSTRAP = f"""
     WITH {PAIRS}, u AS (SELECT lang, l - r AS diff, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM w WHERE l IS NOT NULL AND r IS NOT NULL),
     x AS (SELECT u.lang, draw, ('0x' || substr(sha256('12011|' || draw || '|' || lang || '|' || k), 1, 8))::BIGINT % n AS k FROM u, range(0, {DRAWS}) AS t(draw)),
-    m AS (SELECT draw, avg(m) AS mean FROM (SELECT draw, x.lang, avg(diff) AS m FROM x JOIN u ON u.lang = x.lang AND u.k = x.k GROUP BY ALL) GROUP BY draw)
+    m AS (SELECT draw, round(avg(m), 12) AS mean FROM (SELECT draw, x.lang, avg(diff) AS m FROM x JOIN u ON u.lang = x.lang AND u.k = x.k GROUP BY ALL) GROUP BY draw)
 """
 
 
@@ -109,8 +109,8 @@ CONTRASTS = f"""
     WITH {SCORED}, v AS (SELECT lang, source, avg(p) AS p, avg(quality::DOUBLE) AS q, avg(toxic::DOUBLE) AS t FROM d GROUP BY ALL),
     u0 AS (SELECT lang || ':' || kind AS contrast, lang, source, CASE kind WHEN 'lower' THEN p - q WHEN 'higher' THEN q - t ELSE p - 0.5 END AS diff FROM v, (VALUES ('lower'), ('higher'), ('same')) AS k(kind)),
     u AS (SELECT contrast, lang, diff, row_number() OVER (PARTITION BY contrast ORDER BY source) - 1 AS k, count(*) OVER (PARTITION BY contrast) AS n FROM u0),
-    x AS (SELECT contrast, draw, ('0x' || substr(sha256('12011|' || contrast || '|' || draw || '|' || lang || '|' || k), 1, 8))::BIGINT % n AS k FROM u, range(0, 2000) AS t(draw)),
-    m AS (SELECT contrast, draw, avg(diff) AS mean FROM x JOIN u USING (contrast, k) GROUP BY ALL),
+    x AS (SELECT contrast, draw, ('0x' || substr(sha256('12011|' || contrast || '|' || draw || '|' || lang || '|' || k), 1, 8))::BIGINT % n AS k FROM u, range(0, {DRAWS}) AS t(draw)),
+    m AS (SELECT contrast, draw, round(avg(diff), 12) AS mean FROM x JOIN u USING (contrast, k) GROUP BY ALL),
     i AS (SELECT contrast, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, least(1.0, 2 * least(avg((mean <= 0)::INTEGER), avg((mean >= 0)::INTEGER))) AS p FROM m GROUP BY contrast),
     e AS (SELECT i.*, (SELECT avg(diff) FROM u WHERE u.contrast = i.contrast) AS estimate, row_number() OVER (ORDER BY p, contrast) AS k, count(*) OVER () AS n FROM i),
     h AS (SELECT *, max(least(1.0, p * (n - k + 1))) OVER (ORDER BY p, contrast) AS ph FROM e)
@@ -125,7 +125,7 @@ def m_holm(spark, sf_dir):
     v = scored(spark, sf_dir).groupBy("lang", "source").agg(F.avg("p").alias("p"), F.avg(F.col("quality").cast("double")).alias("q"), F.avg(F.col("toxic").cast("double")).alias("t"))
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), d.alias("difference")) for k, d in (("lower", F.col("p") - F.col("q")), ("higher", F.col("q") - F.col("t")), ("same", F.col("p") - 0.5))))).alias("c")
     given = v.select("lang", "source", kinds).select("lang", "source", F.concat_ws(":", "lang", "c.kind").alias("contrast"), "c.difference")
-    means = metrics.paired_bootstrap(given, "lang", "source", "difference", 2000, 12011, ["contrast"])
+    means = metrics.paired_bootstrap(given, "lang", "source", "difference", DRAWS, 12011, ["contrast"])
     tested = metrics.interval(given, means, "lang", "difference", ["contrast"])
     held = metrics.holm(tested, "contrast", "p_value")
     decided = metrics.contrast_decision(F.col("estimate"), F.col("low"), F.col("high"), F.col("p_holm"), 0.05)

@@ -1,12 +1,14 @@
 """Sensor files, string-typed manifests, bounded inventories, record-id rules, and a registry of readers."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import block_start
+from plumbline.functions import block_start, file_number
+from plumbline.operators.ranges import located
 from plumbline.sources import annotations
 
 
@@ -61,7 +63,7 @@ def inventory(spark: SparkSession, path: str, most: int, pattern: str = "*") ->
 def record_id(rule: dict, path: Column, ranges: DataFrame | None = None) -> Column:
     """A record id by rule: {'constant': x}, {'regex': p, 'template': t with $1, $2}, or {'null': True}.
 
-    Exactly one form. Lookups in ranges of file numbers are `ranges.containing` of the operators.
+    Exactly one form. The fourth form, {'lookup': p}, needs a join: `looked_up_ids`.
     """
     forms = [k for k in ("constant", "regex", "null") if k in rule]
     if len(forms) != 1:
@@ -73,6 +75,23 @@ def record_id(rule: dict, path: Column, ranges: DataFrame | None = None) -> Colu
     return F.when(path.rlike(rule["regex"]), F.regexp_replace(F.regexp_extract(path, rule["regex"], 0), rule["regex"], rule["template"]))
 
 
+def looked_up_ids(df: DataFrame, path: str, pattern: str, ranges: DataFrame, name: str, record: str = "record") -> DataFrame:
+    """`df` with column `name`: the value of the one range of file numbers (`value`, `start`, `end`) that holds the path's number.
+
+    `pattern` fits whole paths and has a named group `record` with the file's number (see
+    `functions.file_number`). `<name>_status` is ok, no_match (of the pattern), no_number, no_range or
+    several_ranges; in all cases but ok the id is null.
+    """
+    compiled = re.compile(pattern)
+    whole = "^(?:" + re.sub(r"\(\?P<", "(?<", pattern) + ")$"
+    fits = F.coalesce(F.col(path).rlike(whole), F.lit(False))
+    stem = F.when(fits, F.regexp_extract(path, whole, compiled.groupindex[record]))
+    keyed = df.withColumn(f"{name}_number", file_number(stem)).withColumn(f"{name}_fits", fits)
+    found = located(keyed, F.col(f"{name}_number"), ranges.select(F.col("value").alias(name), "start", "end"), file_number(F.col("start")), file_number(F.col("end")), name)
+    status = F.when(~F.col(f"{name}_fits"), "no_match").when(F.col(f"{name}_number").isNull(), "no_number").when(F.col("matches") == 0, "no_range").when(F.col("matches") > 1, "several_ranges").otherwise("ok")
+    return found.withColumn(f"{name}_status", status).select(*df.columns, name, f"{name}_status")
+
+
 def schema_rows(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> DataFrame:
     """(name, column, place, type) of tables, from their files' footers or headers; no row is read."""
     rows = [(name, f.name, k + 1, f.dataType.simpleString()) for name, path in paths.items() for k, f in enumerate(spark.read.format(fmt).option("header", True).load(path).schema)]
