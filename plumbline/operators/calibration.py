@@ -159,7 +159,7 @@ def choose_calibrators(df: DataFrame, key: Sequence[str], p: str, y: str, group:
     """
     known = _rows(df.withColumn("_group", F.col(group)), [*key, "_group"], p, y)
     rows = stash(null_safe_join(known, group_folds(known, "_group", folds, seed).select("_group", "fold"), ["_group"]).select(*key, "_p", "_y", "fold"), "fold-rows")
-    others = F.explode(F.filter(F.array(*map(F.lit, range(folds))), lambda f: f != F.col("fold"))).alias("_held")
+    others = F.explode(F.filter(F.array(*map(F.lit, range(-1, folds))), lambda f: f != F.col("fold"))).alias("_held")  # -1: no fold is held out
     fits, knots = fit_all(rows.select(*key, "_p", "_y", others), [*key, "_held"], "_p", "_y")
     told = calibrated(rows.select(*key, "_p", "_y", F.col("fold").alias("_held")), [*key, "_held"], "_p", fits, knots)
     per = told.groupBy(*key, "_held").agg(*(F.avg(F.pow(F.col(m) - F.col("_y"), 2)).alias(m) for m in METHODS))
@@ -168,8 +168,8 @@ def choose_calibrators(df: DataFrame, key: Sequence[str], p: str, y: str, group:
     best = F.element_at(F.array(*map(F.lit, METHODS)), F.array_position(losses, F.array_min(losses)).cast("int"))
     long = means.withColumn("_best", best).select(*key, "_best", F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("brier")) for m in METHODS))).alias("m"))
     choice = long.select(*key, "m.method", "m.brier", (F.col("m.method") == F.col("_best")).alias("selected"))
-    whole = fit_all(rows, key, "_p", "_y")
-    return choice, *whole
+    whole = lambda df: df.where("_held = -1").drop("_held")
+    return choice, whole(fits), whole(knots)
 
 
 def calibration_faults(df: DataFrame, record: Sequence[str], key: Sequence[str], p: str, y: str) -> DataFrame:

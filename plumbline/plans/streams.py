@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import streaming
+from plumbline.operators.episodes import Policy
 from plumbline.operators.stash import new_path
 from plumbline.plans.catalogue import register
-from plumbline.sources.tables import table
+from plumbline.sources.tables import finite, table, with_utc
 
 FAR = "3650 days"
 
@@ -64,6 +65,41 @@ def s_event_sessions(spark, sf_dir):
     return finished(out.select("user_id", F.unix_micros("start").alias("first_us"), F.unix_micros("end").alias("last_us"), "positions"))
 
 
+ORDERED = Policy(beta=0.7, k=2, low=0.3, high=0.5, alarm=0.6)
+
+
+@register("""
+    WITH RECURSIVE t AS (
+        SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id, CASE WHEN isfinite(value) THEN least(1.0::DOUBLE, value / 150.0::DOUBLE) END AS p, event_type = 'error' OR NOT isfinite(value) AS ab
+        FROM events WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 3 HOUR FROM events)
+    ),
+    s(u, k, m, run, armed, lvl) AS (
+        SELECT DISTINCT user_id, 0::BIGINT, 0.0::DOUBLE, 0, 0, 0 FROM t
+        UNION ALL
+        SELECT user_id, k, CASE WHEN ab THEN m0 ELSE m END, CASE WHEN ab THEN run0 ELSE run END, CASE WHEN ab THEN armed0 ELSE armed END,
+            CASE WHEN ab THEN lvl0 ELSE greatest(CASE WHEN lvl0 >= 2 AND m >= 0.3 THEN lvl0 ELSE 0 END, CASE WHEN armed >= 2 THEN 3 WHEN run >= 2 THEN 2 WHEN m >= 0.3 THEN 1 ELSE 0 END) END
+        FROM (SELECT *, CASE WHEN m >= 0.5 THEN run0 + 1 ELSE 0 END AS run, CASE WHEN m >= 0.6 THEN armed0 + 1 ELSE 0 END AS armed FROM
+            (SELECT t.user_id, t.k, t.ab, s.m AS m0, s.run AS run0, s.armed AS armed0, s.lvl AS lvl0, 0.7::DOUBLE * s.m + (1 - 0.7::DOUBLE) * t.p AS m FROM s JOIN t ON t.user_id = s.u AND t.k = s.k + 1))
+    )
+    SELECT t.user_id, t.event_id, round(s.m, 6) AS memory, CASE WHEN t.ab THEN 'abstain' ELSE (['normal', 'attention', 'prewarning', 'alarm'])[s.lvl + 1] END AS state FROM s JOIN t ON t.user_id = s.u AND t.k = s.k
+""")
+def s_ordered_states(spark, sf_dir):
+    """Events as steps that arrive up to two hours out of order, over several batches; rows that the watermark has passed."""
+    e = with_utc(finite(table(spark, sf_dir, "events")), "ts")
+    ends = e.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("z")).first()
+    shifted = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(2 * 3600)) * 1_000_000
+    part = F.floor((shifted - ends.a) * 4 / (ends.z - ends.a + 1))
+    steps = e.select("user_id", "ts", F.col("event_id").alias("step"), F.least(F.lit(1.0), F.col("value") / 150).alias("p"), (F.col("event_type") == "error").alias("abstain"), part.alias("part"))
+    folder = new_path(spark, "steps")
+    steps.withColumn("part", F.least("part", F.lit(4))).repartition("part").write.partitionBy("part").parquet(folder)
+    batches = spark.read.parquet(folder).select("part").distinct().orderBy("part").collect()  # five at most
+    for k in batches:  # a file a batch, the earlier steps first
+        spark.read.parquet(f"{folder}/part={k.part}").coalesce(1).write.parquet(f"{folder}-batches/{k.part}")
+    stream = streaming.read_stream(spark, f"{folder}-batches/*", steps.drop("part").schema)
+    out = finished(streaming.ordered_alarm_states(stream, "user_id", ORDERED, "3 hours"))
+    return out.select("user_id", F.col("step").alias("event_id"), F.round("memory", 6).alias("memory"), "state")
+
+
 @register("SELECT 'high' AS output, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE value >= 90 UNION ALL SELECT 'errors', count(*), round(sum(value), 2) FROM events WHERE event_type = 'error'")
 def s_split_stream(spark, sf_dir):
     """One stream to two tables, batch by batch; a row may go to both. A second run finds nothing new."""

@@ -71,6 +71,51 @@ def alarm_states(steps: DataFrame, key: str, policy: Policy) -> DataFrame:
     return steps.select(key, "step", "p", "abstain").groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, step long, memory double, state string", "memory double, high int, armed int, level int", "append", GroupStateTimeout.NoTimeout)
 
 
+def _advance(memory: float, high: int, armed: int, level: int, p: float, policy: Policy) -> tuple[float, int, int, int]:
+    """The machine after one more probability."""
+    memory = policy.beta * memory + (1 - policy.beta) * p
+    high = high + 1 if memory >= policy.high else 0
+    armed = armed + 1 if policy.alarm is not None and memory >= policy.alarm else 0
+    held = level if level >= 2 and memory >= policy.low else 0
+    return memory, high, armed, max(held, 3 if armed >= policy.k else 2 if high >= policy.k else 1 if memory >= policy.low else 0)
+
+
+def ordered_alarm_states(steps: DataFrame, key: str, policy: Policy, late: str, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """The alarm state machine over a stream of (key, ts, step, p, abstain) whose rows arrive in any order within `late`.
+
+    A key's rows wait in its state until the watermark has passed them, and then go through the machine in
+    the order of (ts, step), whatever batches they came in; a timer wakes a key that gets no more rows.
+    Rows later than the watermark are dropped, and counted by Spark. A key that has nothing waiting for
+    `idle_ms` of event time is forgotten and starts anew. A null or NaN probability abstains.
+    """
+    watched = steps.select(key, "ts", F.col("step").cast("long").alias("step"), F.col("p").cast("double").alias("p"), (F.coalesce("abstain", F.lit(True)) | F.col("p").isNull() | F.isnan(F.col("p").cast("double"))).alias("abstain"))
+    watched = watched.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+
+    def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory, high, armed, level, *held = state.get if state.exists else (0.0, 0, 0, 0, [], [], [], [])
+        waiting = list(zip(*held, strict=True))
+        for frame in frames:  # one key's rows of one micro-batch
+            waiting += zip(frame.us.tolist(), frame.step.tolist(), frame.p.fillna(0.0).tolist(), frame.abstain.tolist(), strict=True)
+        waiting.sort()
+        mark = state.getCurrentWatermarkMs()
+        out = []
+        while waiting and waiting[0][0] <= mark * 1000:
+            _, step, p, abstain = waiting.pop(0)
+            if not abstain:
+                memory, high, armed, level = _advance(memory, high, armed, level, p, policy)
+            out.append((name[0], step, memory, "abstain" if abstain else STATES[level]))
+        if state.hasTimedOut and not waiting and not out:
+            state.remove()
+        else:
+            state.update((memory, high, armed, level, *(list(c) for c in (zip(*waiting, strict=True) if waiting else ([], [], [], [])))))
+            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 if waiting else mark + idle_ms))
+        yield pd.DataFrame(out, columns=[key, "step", "memory", "state"])
+
+    kind = dict(steps.dtypes)[key]
+    kept = "memory double, high int, armed int, level int, us array<long>, step array<long>, p array<double>, abstain array<boolean>"
+    return watched.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, step long, memory double, state string", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Everything available now into a Parquet table, each batch once, resumable from the checkpoint."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
