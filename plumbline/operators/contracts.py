@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from plumbline.operators.quantiles import null_safe_join
 
 SHA256 = "^[0-9a-f]{64}$"
-# How names of truths begin and end.
+# Names of truths, and how such names begin and end.
 TRUTH_PREFIXES = ("truth_", "label_", "target_", "test_metric_")
+TRUTH_NAMES = (
+    "accuracy", "auroc", "event_truth", "f1", "state_truth", "label", "loss", "map50", "map50_95", "metric", "precision", "recall", "target", "test_metric", "test_label", "truth", "ground_truth",
+    "future_value", "forecast_label",
+)
 TRUTH_SUFFIXES = ("_truth", "_label", "_target", "_metric")
 # What an ontology's entries may say.
 MAPPING_STATUSES = ("compatible", "ignored", "unmapped", "reject")
@@ -123,7 +127,7 @@ def model_features(df: DataFrame, names: Sequence[str], identity: Sequence[str],
     return df.select(*names)
 
 
-def names_of_truth(columns: Sequence[str], names: Sequence[str] = (), prefixes: Sequence[str] = TRUTH_PREFIXES, suffixes: Sequence[str] = TRUTH_SUFFIXES) -> list[str]:
+def names_of_truth(columns: Sequence[str], names: Sequence[str] = TRUTH_NAMES, prefixes: Sequence[str] = TRUTH_PREFIXES, suffixes: Sequence[str] = TRUTH_SUFFIXES) -> list[str]:
     """The columns that a prediction must not hold, in order: by whole name, by how they begin or by how they end, in any case."""
     return sorted(c for c in columns if c.lower() in names or c.lower().startswith(tuple(prefixes)) or c.lower().endswith(tuple(suffixes)))
 

@@ -166,11 +166,14 @@ def assign_components(membership: DataFrame, component: str, dataset: str, weigh
     return ranked.join(slots, ["_of", "_rank"]).select(component, "pool")
 
 
-def assign_by_time(df: DataFrame, cohort: str, order: Sequence[str], weights: dict[str, float], seed: int, dataset: str) -> DataFrame:
+def assign_by_time(df: DataFrame, cohort: str, order: Sequence[str], weights: dict[str, float], seed: int, dataset: str, length: float | None = None) -> DataFrame:
     """(cohort, place, pool): cohorts in time order, in contiguous blocks, pools in the given order.
 
-    Cohorts are periods, of which there are few; their ranks come of one small table.
+    Cohorts are periods, of which there are few; their ranks come of one small table. With `length`
+    cohorts are first seconds of periods that long, and a period that is missing between two is an error.
     """
+    if length is not None and not cohort_gaps(df, cohort, length).isEmpty():
+        raise QuotaError(f"the cohorts of {dataset} are not one continuous series")
     places = df.select(cohort).distinct().withColumn("place", F.dense_rank().over(Window.orderBy(cohort)).cast("long"))
     given = quotas(places.count(), weights, seed, f"{dataset}:temporal_cohorts")
     pool, run = None, 0
@@ -180,6 +183,16 @@ def assign_by_time(df: DataFrame, cohort: str, order: Sequence[str], weights: di
     return places.withColumn("pool", pool)
 
 
+def cohort_gaps(df: DataFrame, start: str, length: float) -> DataFrame:
+    """(start, next, missing): cohorts that the next one does not follow at once, and how many are missing between; none if they are one continuous series.
+
+    `start` is a cohort's first second and `length` its duration; cohorts are periods, of which there are few.
+    """
+    after = F.lead(start).over(Window.orderBy(start))
+    gaps = df.select(start).where(F.col(start).isNotNull()).distinct().withColumn("next", after).where(F.col("next") - F.col(start) != length)
+    return gaps.withColumn("missing", ((F.col("next") - F.col(start)) / length - 1).cast("double"))
+
+
 def pool_blocks(assigned: DataFrame, start: str, length: float, family: dict[str, Sequence[str]], purge: float) -> DataFrame:
     """Per family and pool, in the family's order: first and last cohort, the gap to the pool before, and whether it reaches `purge`.
 
@@ -193,9 +206,9 @@ def pool_blocks(assigned: DataFrame, start: str, length: float, family: dict[str
     return joined.withColumn("gap", gap).withColumn("purged", F.coalesce(F.col("gap") >= purge, F.lit(True)))
 
 
-def few_shot(df: DataFrame, dataset: str, group: str, label: str, seeds: Sequence[int], share: float = 0.1) -> DataFrame:
-    """Per dataset and seed, the first share of groups by hash (one at least), with the classes of each."""
-    per = df.groupBy(dataset, group).agg(F.count_if(F.col(label) == 1).alias("positives"), F.count("*").alias("rows"))
+def few_shot(df: DataFrame, dataset: str, group: str, label: str, seeds: Sequence[int], share: float = 0.1, pool: str | None = None, train: str = "tr") -> DataFrame:
+    """Per dataset and seed, the first share of groups by hash (one at least), with the classes of each; with `pool`, of the groups in the pool `train` alone."""
+    per = (df if pool is None else df.where(F.col(pool) == train)).groupBy(dataset, group).agg(F.count_if(F.col(label) == 1).alias("positives"), F.count("*").alias("rows"))
     seeded = per.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
     keyed = seeded.withColumn("_k", F.concat_ws("|", "seed", dataset, group))
     return hash_sample(keyed, [dataset, "seed"], ["_k"], 0, share=share).drop("_k")

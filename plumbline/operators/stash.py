@@ -5,11 +5,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: What was written within each open `scratch`, innermost last.
-_SCOPES: list[list[str]] = []
+#: What was written within each `scratch` that this thread or task has open, innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,8 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; the open `scratch` removes it."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
     return path
 
 
@@ -45,22 +46,23 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     of them for the scope around this one.
     """
     mine: list[str] = []
-    _SCOPES.append(mine)
+    before = _SCOPES.get()
+    _SCOPES.set((*before, mine))
     try:
         yield mine
     finally:
-        _SCOPES.remove(mine)
+        _SCOPES.set(before)
         for path in mine:
             remove(spark, path)
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Hands a stashed table over to the scope around the innermost one."""
-    path = getattr(df, "stashed_at", None)
-    if _SCOPES and path in _SCOPES[-1]:
-        _SCOPES[-1].remove(path)
-        if len(_SCOPES) > 1:
-            _SCOPES[-2].append(path)
+    path, scopes = getattr(df, "stashed_at", None), _SCOPES.get()
+    if scopes and path in scopes[-1]:
+        scopes[-1].remove(path)
+        if len(scopes) > 1:
+            scopes[-2].append(path)
     return df
 
 

@@ -97,15 +97,26 @@ def v_pool_blocks(spark, sf_dir):
     return splits.pool_blocks(placed, "first_second", 86400, {"branch": ("tr", "sel", "te"), "calibration": ("sel", "prob", "te")}, 86400)
 
 
-@register("""
-    WITH p AS (SELECT lang, source, count(*) FILTER (quality = 1) AS positives, count(*) AS rows FROM documents JOIN labels USING (doc_id) GROUP BY lang, source),
+@register(f"""
+    WITH p AS (SELECT lang, source, count(*) FILTER (quality = 1) AS positives, count(*) AS rows FROM documents JOIN labels USING (doc_id) WHERE {_pool_case(f"sha256('{SEED}|' || lang || '|' || source)", splits.BRANCH)} = 'tr' GROUP BY lang, source),
     s AS (SELECT p.*, seed FROM p, (SELECT unnest([5171, 6197, 7331]) AS seed)),
     r AS (SELECT *, row_number() OVER (PARTITION BY lang, seed ORDER BY sha256('0|' || seed || '|' || lang || '|' || source), source) AS rn, count(*) OVER (PARTITION BY lang, seed) AS n FROM s)
     SELECT lang, source, seed, positives, rows FROM r WHERE rn <= greatest(1, CAST(ceil(n * 0.1) AS BIGINT))
 """)
 def e_few_shot(spark, sf_dir):
     labelled = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    return splits.few_shot(labelled, "lang", "source", "quality", [5171, 6197, 7331]).select("lang", "source", "seed", "positives", "rows")
+    pooled = splits.assign_by_hash(labelled, ["lang", "source"], splits.BRANCH, SEED)
+    return splits.few_shot(pooled, "lang", "source", "quality", [5171, 6197, 7331], pool="pool").select("lang", "source", "seed", "positives", "rows")
+
+
+@register("""
+    WITH d AS (SELECT DISTINCT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start FROM events WHERE event_type = 'error' AND value >= 200), n AS (SELECT start, lead(start) OVER (ORDER BY start) AS "next" FROM d)
+    SELECT start, "next", ("next" - start) / 86400.0::DOUBLE - 1 AS missing FROM n WHERE "next" - start <> 86400
+""")
+def v_cohort_gaps(spark, sf_dir):
+    """Days without a high error, between days with one."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error' and value >= 200")
+    return splits.cohort_gaps(e.select((F.unix_date(F.to_date("ts")).cast("long") * 86400).alias("start")), "start", 86400)
 
 
 @register(f"SELECT doc_id, CASE WHEN sha256('7|' || source || '|' || (doc_id // 10)) < '{hex_boundaries([0.2, 0.8])[0]}' THEN 'val' ELSE 'train' END AS split FROM documents")

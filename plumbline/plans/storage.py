@@ -15,9 +15,9 @@ from plumbline.sources.tables import table, with_utc
 TABLES = ("customer", "documents", "events", "lineitem", "orders", "part")
 
 
-@register(f"SELECT table_name AS name, column_name AS \"column\", CAST(ordinal_position AS INTEGER) AS place FROM information_schema.columns WHERE table_name IN {TABLES}")
+@register(f"SELECT table_name AS name, column_name AS \"column\", CAST(ordinal_position AS INTEGER) AS place, CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type FROM information_schema.columns WHERE table_name IN {TABLES}")
 def x_schema_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.schema_rows(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES}).select("name", "column", "place")
+    return files.schema_rows(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES})
 
 
 @register("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, n_chars FROM documents")
@@ -98,13 +98,13 @@ def x_coco(spark, sf_dir):
     return read.select("record_id", F.size("boxes").cast("long").alias("boxes"), F.round(area, 2).alias("area"), "dropped_crowd", "dropped_invalid", "dropped_unselected")
 
 
-@register("SELECT p_brand AS record_id, count(*) AS boxes, round(sum(((p_size % 9 + 1) / 20.0) * 200 * ((p_size % 7 + 1) / 20.0) * 100), 3) AS area, count(DISTINCT p_size % 3) AS labels FROM part GROUP BY p_brand")
+@register("SELECT p_brand || '-' || p_partkey // 500 AS record_id, count(*) AS boxes, round(sum(((p_size % 9 + 1) / 20.0) * 200 * ((p_size % 7 + 1) / 20.0) * 100), 3) AS area, count(DISTINCT p_size % 3) AS labels FROM part GROUP BY 1")
 def x_yolo(spark, sf_dir):
-    """Parts as boxes of their brand: label files of normalised boxes written, read back and measured."""
+    """Parts as boxes of their brand and block of five hundred numbers: label files of normalised boxes written, read back and measured."""
     path, names = new_path(spark, "labels"), ["a", "b", "c"]
     w, h = (F.col("p_size") % 9 + 1) / 20 * 200, (F.col("p_size") % 7 + 1) / 20 * 100
     box = F.struct(F.element_at(F.array(*map(F.lit, names)), (F.col("p_size") % 3 + 1).cast("int")).alias("source_label"), (100 - w / 2).alias("x1"), (50 - h / 2).alias("y1"), (100 + w / 2).alias("x2"), (50 + h / 2).alias("y2"))
-    records = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("record_id")).agg(F.collect_list(box).alias("boxes")).withColumns({"width": F.lit(200), "height": F.lit(100)})  # a label file holds its record's boxes
+    records = table(spark, sf_dir, "part").groupBy(F.concat_ws("-", "p_brand", F.expr("p_partkey div 500")).alias("record_id")).agg(F.collect_list(box).alias("boxes")).withColumns({"width": F.lit(200), "height": F.lit(100)})  # a label file holds its record's boxes
     sinks.write_label_files(records, path, names)
     read = annotations.read_yolo(spark, path, records.select("record_id", "width", "height"), names, missing="error")
     area = F.aggregate("boxes", F.lit(0.0), lambda a, b: a + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]))

@@ -175,6 +175,38 @@ def test_few_shot(spark):
     assert rows(out.groupBy("seed").count(), "seed", "count") == [(1, 2), (2, 2), (3, 2)]
 
 
+def test_few_shot_takes_training_groups_only(spark):
+    df = spark.createDataFrame([("d", f"g{i}", i % 2, "tr" if i < 10 else "te") for i in range(20)], "ds string, g string, y int, pool string")
+    assert {r.g for r in splits.few_shot(df, "ds", "g", "y", [1, 2, 3], share=0.5, pool="pool").collect()} <= {f"g{i}" for i in range(10)}
+
+
+def test_cohorts_must_follow_each_other(spark):
+    days = spark.createDataFrame([(d and 86400 * d,) for d in (0, 1, 2, 3, 5, 6, 9, 9, None)], "s long")
+    assert rows(splits.cohort_gaps(days, "s", 86400), "s", "next", "missing") == [(3 * 86400, 5 * 86400, 1.0), (6 * 86400, 9 * 86400, 2.0)]
+    weights = {"a": 1.0, "b": 1.0}
+    with pytest.raises(splits.QuotaError, match="continuous"):
+        splits.assign_by_time(days.where("s is not null"), "s", ["a", "b"], weights, 1, "d", length=86400)
+    whole = splits.assign_by_time(days.where("s < 4 * 86400"), "s", ["a", "b"], weights, 1, "d", length=86400)
+    assert rows(whole, "s", "pool") == [(0, "a"), (86400, "a"), (2 * 86400, "b"), (3 * 86400, "b")]
+
+
+def test_truths_by_whole_name():
+    assert contracts.names_of_truth(["F1", "score", "auroc", "p", "truth_x", "map50_95"]) == ["F1", "auroc", "map50_95", "truth_x"]
+
+
+def test_scopes_of_threads_are_their_own(spark):
+    import threading
+
+    from plumbline.operators.stash import new_path, scratch
+
+    with scratch(spark) as mine:
+        other = []
+        thread = threading.Thread(target=lambda: other.append(new_path(spark, "of-another-thread")))
+        thread.start()
+        thread.join()
+        assert mine == [] and other
+
+
 def test_hamming_join_equals_brute_force(spark):
     rng = random.Random(13007)
     bits = [rng.getrandbits(64) for _ in range(200)] + [0, 0b1111]
