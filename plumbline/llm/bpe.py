@@ -77,8 +77,8 @@ class BacktrackingBPE:
         self.first.make_automaton()
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        # what Python's Unicode tables do not assign may be a letter, or have a lower case, in the library's newer ones
-        self.unknown = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unassigned()) + "]")
+        #: Characters that were seen and that Python's Unicode tables know.
+        self.assigned: set[str] = set()
         self.library, self.letters = Tokenizer.from_file(path), letters
         self._pairs: dict[tuple[int, int], bool] = {}
         self._clear()
@@ -154,6 +154,14 @@ class BacktrackingBPE:
             tried[pos] = k
         return tuple(out)
 
+    def newer(self, part: str) -> bool:
+        """Whether a character is one that Python's Unicode tables do not know: it may be a letter, or have a lower case, in the library's newer ones."""
+        if self.assigned.issuperset(part):
+            return False
+        known = {c for c in part if unicodedata.category(c) != "Cn"}
+        self.assigned |= known
+        return not known.issuperset(part)
+
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         """The ids of a text without white space in it (or any text: white space only separates)."""
         ids: list[int] = []
@@ -161,7 +169,7 @@ class BacktrackingBPE:
             if k % 2:
                 ids.append(self.special[part])
                 continue
-            if not part.isascii() and self.unknown.search(part):  # the library normalises and splits, by its own tables
+            if not part.isascii() and self.newer(part):  # the library normalises and splits, by its own tables
                 split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
                 for word, _ in split:
                     ids += self.encode_word("".join(self.letters[c] for c in word) + END)
