@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import rounded
-from plumbline.operators import calibration, contracts, dedup
+from plumbline.operators import calibration, contracts, dedup, fusion
 from plumbline.operators.ranges import range_faults
 from plumbline.plans.catalogue import register
 from plumbline.plans.corpora import FINE, RADIUS, near_pairs
@@ -205,3 +205,22 @@ def m_concept_calibrators(spark, sf_dir):
     d = scored(spark, sf_dir).withColumn("grp", F.expr("doc_id div 7"))
     choice, fits, _ = calibration.choose_calibrators(d, ["lang"], "p", "quality", "grp")
     return choice.join(fits, "lang").select("lang", "method", rounded("brier").alias("brier"), "selected", *(rounded(c, 4).alias(c) for c in ("temperature", "slope", "intercept")))
+
+
+#: Roles as nodes, joined both ways.
+ROLES = ("user", "assistant", "system")
+EDGES = tuple((a, b) for a in range(3) for b in range(3) if a != b)
+
+
+@register()
+def m_graph_fusion(spark, sf_dir):
+    """Pairs of turns as steps whose roles are nodes, through two rounds of messages; tested against a loop over nodes and edges."""
+    c = table(spark, sf_dir, "conversations").withColumn("p", F.least(F.lit(1.0), F.length("text") / 800))
+    cell = lambda r, v: F.max(F.when(F.col("role") == r, v))
+    quality = lambda r: F.array(cell(r, F.col("turn") / 10), cell(r, F.col("p") * F.col("p")))
+    steps = c.groupBy("conv_id", F.expr("turn div 2").alias("step")).agg(
+        F.array(*(cell(r, F.col("p")) for r in ROLES)).alias("p"), F.array(*(F.coalesce(cell(r, F.lit(True)), F.lit(False)) for r in ROLES)).alias("available"), F.array(*(quality(r) for r in ROLES)).alias("quality"),
+        F.array(F.lit(1.0), F.lit(-0.5)).alias("concept"), F.array(*(F.array(F.lit((a - b) / 2)) for a, b in EDGES)).alias("pairs"),
+    )
+    out = fusion.graph_fused(steps, fusion.seeded_fusion(3, 2, 2, 1, EDGES, hidden=8, threshold=0.3))
+    return out.select("conv_id", "step", rounded("probability").alias("probability"), "abstained", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x).cast("decimal(9,6)").alias("weight"))
