@@ -9,7 +9,7 @@ from plumbline.operators import calibration, contracts, dedup, fusion
 from plumbline.operators.ranges import range_faults
 from plumbline.plans.catalogue import register
 from plumbline.plans.corpora import FINE, RADIUS, near_pairs
-from plumbline.plans.evaluation import SCORED, scored
+from plumbline.plans.evaluation import SCORED, grid_sql, isotonic_sql, scored
 from plumbline.sources import files
 from plumbline.sources.tables import table
 
@@ -153,34 +153,18 @@ def e_confirmed_duplicates(spark, sf_dir):
     return told.select("left_id", "right_id", "distance", *(rounded(c).alias(c) for c in ("aspect", "deviation", "intensity", "gradient", "affine_rmse")), "status")
 
 
-LOGITS = "z AS (SELECT lang, quality, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) AS z FROM d)"
+LOGITS = "z AS (SELECT lang AS k, quality AS y, doc_id, p, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) AS z FROM d)"
 
 
-def _grid_sql(rounds: int = 6, points: int = 17) -> str:
-    """CTEs t0 to t6 (lang, a, b): the bracket of log T, narrowed round by round."""
-    out = ["t0 AS (SELECT DISTINCT lang, -5.0::DOUBLE AS a, 5.0::DOUBLE AS b FROM z)"]
-    for r in range(rounds):
-        place = f"(a + (b - a) * i / {points - 1})"
-        out.append(f"g{r} AS (SELECT lang, a, b, i, avg(ln(1 + exp(-abs(z / exp({place})))) + greatest(z / exp({place}), 0) - quality * z / exp({place})) AS loss FROM z JOIN t{r} USING (lang), range(0, {points}) AS x(i) GROUP BY ALL)")
-        out.append(f"b{r} AS (SELECT lang, a, b, i FROM g{r} QUALIFY row_number() OVER (PARTITION BY lang ORDER BY loss, i) = 1)")
-        out.append(f"t{r + 1} AS (SELECT lang, a + (b - a) * greatest(0, i - 1) / {points - 1} AS a, a + (b - a) * least({points - 1}, i + 1) / {points - 1} AS b FROM b{r})")
-    return ", ".join(out)
-
-
-@register(f"WITH {SCORED}, {LOGITS}, {_grid_sql()} SELECT lang, round((a + b) / 2, 4) + 0.0 AS log_temperature FROM t6")
+@register(f"WITH {SCORED}, {LOGITS}, {grid_sql()} SELECT k AS lang, round((a + b) / 2, 4) + 0.0 AS log_temperature FROM t6")
 def m_concept_temperatures(spark, sf_dir):
     fits = calibration.fit_temperatures(scored(spark, sf_dir), ["lang"], "p", "quality")
     return fits.select("lang", rounded(F.log("temperature"), 4).alias("log_temperature"))
 
 
-@register(f"""
-    WITH {SCORED}, w AS (SELECT lang, p AS x, sum(quality) AS total, count(*) AS n FROM d GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY x) AS i, sum(total) OVER o AS st, sum(n) OVER o AS sn FROM w WINDOW o AS (PARTITION BY lang ORDER BY x)),
-    m AS (SELECT a.lang, a.i AS a, z.i AS z, (z.st - a.st + a.total) / (z.sn - a.sn + a.n)::DOUBLE AS mean FROM k a JOIN k z ON a.lang = z.lang AND z.i >= a.i),
-    l AS (SELECT lang, a, z, min(mean) OVER (PARTITION BY lang, a ORDER BY z DESC) AS low FROM m), v AS (SELECT lang, z AS i, max(low) AS value FROM l GROUP BY lang, z)
-    SELECT d.doc_id, d.lang, round(v.value, 6) AS isotonic FROM d JOIN k ON k.lang = d.lang AND k.x = d.p JOIN v ON v.lang = k.lang AND v.i = k.i
-""")
+@register(f"WITH {SCORED}, {LOGITS}, {isotonic_sql()} SELECT doc_id, z.k AS lang, round(value, 6) AS isotonic FROM z JOIN v ON v.k = z.k AND v.x = z.p")
 def m_concept_isotonic(spark, sf_dir):
-    """The isotonic fit of each language at its documents' scores: the greatest, over first points, of the least mean up to any last point."""
+    """The isotonic fit of each language at its documents' scores."""
     d = scored(spark, sf_dir).select("doc_id", "lang", "p", "quality")
     return calibration.interpolated(d, ["lang"], "p", calibration.fit_isotonics(d, ["lang"], "p", "quality"), "isotonic").select("doc_id", "lang", rounded("isotonic").alias("isotonic"))
 

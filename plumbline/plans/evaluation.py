@@ -177,21 +177,78 @@ def m_group_folds(spark, sf_dir):
     return models.group_folds(scored(spark, sf_dir).withColumn("grp", F.expr("doc_id div 7")), "grp")
 
 
-@register()
+LOGITS = "z AS (SELECT 'all' AS k, d.*, quality AS y, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) AS z FROM d)"
+
+
+def grid_sql(source: str = "z", rounds: int = 6, points: int = 17) -> str:
+    """CTEs t0 to t6 (k, a, b): per key, the bracket of the log temperature of `source` (k, y, z), narrowed round by round."""
+    out = [f"t0 AS (SELECT DISTINCT k, -5.0::DOUBLE AS a, 5.0::DOUBLE AS b FROM {source})"]
+    for r in range(rounds):
+        place = f"(a + (b - a) * i / {points - 1})"
+        out.append(f"g{r} AS (SELECT k, a, b, i, avg(ln(1 + exp(-abs(z / exp({place})))) + greatest(z / exp({place}), 0) - y * z / exp({place})) AS loss FROM {source} JOIN t{r} USING (k), range(0, {points}) AS x(i) GROUP BY ALL)")
+        out.append(f"b{r} AS (SELECT k, a, b, i FROM g{r} QUALIFY row_number() OVER (PARTITION BY k ORDER BY loss, i) = 1)")
+        out.append(f"t{r + 1} AS (SELECT k, a + (b - a) * greatest(0, i - 1) / {points - 1} AS a, a + (b - a) * least({points - 1}, i + 1) / {points - 1} AS b FROM b{r})")
+    return ", ".join(out)
+
+
+def newton_sql(source: str = "z", rounds: int = 14) -> str:
+    """CTEs n0 to n14 (k, a, b): per key, slope and intercept of the logistic regression of `source`, one Newton step each."""
+    out = [f"n0 AS (SELECT DISTINCT k, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {source})"]
+    for r in range(rounds):
+        sums = "sum((q - y) * z) + a AS ga, sum(q - y) AS gb, sum(q * (1 - q) * z * z) + 1 AS haa, sum(q * (1 - q) * z) AS hab, sum(q * (1 - q)) AS hbb"
+        out.append(f"m{r} AS (SELECT k, a, b, {sums} FROM (SELECT k, a, b, z, y, 1 / (1 + exp(-greatest(-40, least(40, a * z + b)))) AS q FROM {source} JOIN n{r} USING (k)) GROUP BY k, a, b)")
+        out.append(f"n{r + 1} AS (SELECT k, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM m{r})")
+    return ", ".join(out)
+
+
+def isotonic_sql(source: str = "z") -> str:
+    """CTE v (k, x, value): the isotonic fit of `source` (k, p, y) at its points: the greatest, over first points, of the least mean up to any last point."""
+    return f"""
+        w AS (SELECT k, p AS x, sum(y) AS total, count(*) AS n FROM {source} GROUP BY ALL), c AS (SELECT *, row_number() OVER o AS i, sum(total) OVER o AS st, sum(n) OVER o AS sn FROM w WINDOW o AS (PARTITION BY k ORDER BY x)),
+        j AS (SELECT a.k, a.i AS a, z.i AS z, (z.st - a.st + a.total) / (z.sn - a.sn + a.n)::DOUBLE AS mean FROM c a JOIN c z ON a.k = z.k AND z.i >= a.i), l AS (SELECT k, a, z, min(mean) OVER (PARTITION BY k, a ORDER BY z DESC) AS low FROM j),
+        v AS (SELECT c.k, c.x, max(low) AS value FROM l JOIN c ON c.k = l.k AND c.i = l.z GROUP BY c.k, c.x)"""
+
+
+LOGISTIC = "1 / (1 + exp(-greatest(-40, least(40, {x}))))"
+
+
+@register(f"""
+    WITH {SCORED}, {LOGITS}, {grid_sql()}, {newton_sql()}, {isotonic_sql()}
+    SELECT doc_id, p, round({LOGISTIC.format(x="z / exp((t6.a + t6.b) / 2)")}, 4) AS temperature, round({LOGISTIC.format(x="n14.a * z + n14.b")}, 5) AS platt, round(value, 6) AS isotonic
+    FROM z JOIN t6 USING (k) JOIN n14 USING (k) JOIN v ON v.k = z.k AND v.x = z.p
+""")
 def m_calibrated(spark, sf_dir):
     """Each document's score under the three calibrations, fitted on all labelled documents."""
     d = stash(scored(spark, sf_dir).select("doc_id", "p", "quality"), "scored")
     out = d
     for method in models.METHODS:
         out = models.calibrate(out, "p", method, models.fit_calibrator(d, "p", "quality", method), method)
-    return out.select("doc_id", "p", *models.METHODS)
+    return out.select("doc_id", "p", rounded("temperature", 4).alias("temperature"), rounded("platt", 5).alias("platt"), rounded("isotonic").alias("isotonic"))
 
 
-@register()
+#: Groups of seven documents dealt to three folds, largest first, each to the fold with the fewest rows.
+FOLDS = """
+    gs AS (SELECT doc_id // 7 AS grp, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, sha256('13007|' || (doc_id // 7)), doc_id // 7) AS r FROM d GROUP BY 1),
+    fo(r, grp, fold, a, b, c) AS (
+        SELECT 0::BIGINT, -1::BIGINT, -1, 0::BIGINT, 0::BIGINT, 0::BIGINT
+        UNION ALL SELECT r, grp, f, CASE WHEN f = 0 THEN a + n ELSE a END, CASE WHEN f = 1 THEN b + n ELSE b END, CASE WHEN f = 2 THEN c + n ELSE c END FROM
+            (SELECT gs.r, gs.grp, gs.n, fo.a, fo.b, fo.c, CASE WHEN fo.a <= fo.b AND fo.a <= fo.c THEN 0 WHEN fo.b <= fo.c THEN 1 ELSE 2 END AS f FROM fo JOIN gs ON gs.r = fo.r + 1)
+    )"""
+
+
+@register(f"""
+    WITH RECURSIVE {SCORED}, {FOLDS}, {LOGITS}, zf AS (SELECT z.*, fold FROM z JOIN fo ON grp = doc_id // 7), tr AS MATERIALIZED (SELECT h AS k, p, y, z FROM zf, range(0, 3) AS x(h) WHERE fold <> h),
+    {grid_sql("tr")}, {newton_sql("tr")}, {isotonic_sql("tr")},
+    te AS (SELECT fold AS k, p, y, {LOGISTIC.format(x="z / exp((t6.a + t6.b) / 2)")} AS temperature, {LOGISTIC.format(x="n14.a * z + n14.b")} AS platt FROM zf JOIN t6 ON t6.k = fold JOIN n14 ON n14.k = fold),
+    lo AS (SELECT te.*, v.x AS x0, v.value AS y0 FROM te ASOF LEFT JOIN v ON te.k = v.k AND te.p >= v.x), hi AS (SELECT lo.*, v.x AS x1, v.value AS y1 FROM lo ASOF LEFT JOIN v ON lo.k = v.k AND lo.p <= v.x),
+    ev AS (SELECT k, avg(pow(temperature - y, 2)) AS t, avg(pow(platt - y, 2)) AS q, avg(pow(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = p THEN y0 ELSE y0 + (y1 - y0) * (p - x0) / (x1 - x0) END - y, 2)) AS i FROM hi GROUP BY k),
+    me AS (SELECT unnest([{{'m': 'temperature', 'b': avg(t)}}, {{'m': 'platt', 'b': avg(q)}}, {{'m': 'isotonic', 'b': avg(i)}}]) AS r FROM ev)
+    SELECT r.m AS method, round(r.b, 5) AS brier, r.b = min(r.b) OVER () AS selected FROM me
+""")
 def m_calibrator_choice(spark, sf_dir):
     """Mean Brier score of each calibration over three folds of whole groups, and which is chosen."""
     method, _, losses = models.select_calibrator(scored(spark, sf_dir).withColumn("grp", F.expr("doc_id div 7")), "p", "quality", "grp")
-    return spark.createDataFrame([(m, round(b, 6), m == method) for m, b in losses.items()], "method string, brier double, selected boolean")
+    return spark.createDataFrame([(m, round(b, 5), m == method) for m, b in losses.items()], "method string, brier double, selected boolean")
 
 
 @register("""
