@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import clipped_logit, logistic
-from plumbline.operators.models import METHODS, group_folds
+from plumbline.operators.models import METHODS, STRIDE, group_folds
 from plumbline.operators.quantiles import null_safe_join
 from plumbline.operators.scans import in_ranges, running
 from plumbline.operators.stash import stash
@@ -64,7 +64,8 @@ def fit_platts(df: DataFrame, key: Sequence[str], p: str, y: str, l2: float = 1.
         det = haa * F.col("hbb") - F.col("hab") * F.col("hab")
         da = F.when(F.col("_done"), 0.0).otherwise(F.coalesce(F.try_divide(F.col("hbb") * ga - F.col("hab") * F.col("gb"), det), F.lit(0.0)))
         db = F.when(F.col("_done"), 0.0).otherwise(F.coalesce(F.try_divide(haa * F.col("gb") - F.col("hab") * ga, det), F.lit(0.0)))
-        return s.select(*key, (F.col("slope") - da).alias("slope"), (F.col("intercept") - db).alias("intercept"), (F.abs(da) + F.abs(db) < 1e-10).alias("_done"))
+        part = F.least(F.lit(1.0), F.lit(STRIDE) / F.greatest(F.abs(da) + F.abs(db), F.lit(1e-300)))
+        return s.select(*key, (F.col("slope") - part * da).alias("slope"), (F.col("intercept") - part * db).alias("intercept"), (F.abs(da) + F.abs(db) < 1e-10).alias("_done"))
 
     for _ in range(-(-rounds // STEPS)):
         for _ in range(STEPS):

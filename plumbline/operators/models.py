@@ -48,6 +48,10 @@ def fit_temperature(df: DataFrame, p: str, y: str, low: float = -5.0, high: floa
     return math.exp((a + z) / 2)
 
 
+#: How far a Newton step may go: where nearly all labels are of one class, whole steps overshoot for good.
+STRIDE = 2.0
+
+
 def fit_platt(df: DataFrame, p: str, y: str, l2: float = 1.0, rounds: int = 25) -> tuple[float, float]:
     """(slope, intercept) of a logistic regression on logits: Newton steps, each one aggregation of six sums.
 
@@ -67,7 +71,8 @@ def fit_platt(df: DataFrame, p: str, y: str, l2: float = 1.0, rounds: int = 25)
         if not det:
             break
         da, db = (s.hbb * ga - s.hab * s.gb) / det, (haa * s.gb - s.hab * ga) / det
-        a, b = a - da, b - db
+        part = min(1.0, STRIDE / max(abs(da) + abs(db), 1e-300))
+        a, b = a - part * da, b - part * db
         if abs(da) + abs(db) < 1e-10:
             break
     return a, b

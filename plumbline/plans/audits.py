@@ -9,7 +9,7 @@ from plumbline.operators import calibration, contracts, dedup, fusion
 from plumbline.operators.ranges import range_faults
 from plumbline.plans.catalogue import register
 from plumbline.plans.corpora import FINE, RADIUS, near_pairs
-from plumbline.plans.evaluation import SCORED, grid_sql, isotonic_sql, scored
+from plumbline.plans.evaluation import FOLDS, LOGISTIC, SCORED, grid_sql, isotonic_sql, newton_sql, scored
 from plumbline.sources import files
 from plumbline.sources.tables import table
 
@@ -183,12 +183,21 @@ def v_calibration_faults(spark, sf_dir):
     return calibration.calibration_faults(e, ["doc_id"], ["lang"], "p", "quality")
 
 
-@register()
+@register(f"""
+    WITH RECURSIVE {SCORED}, {FOLDS}, zf AS (SELECT d.*, fold, quality AS y, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) AS z FROM d JOIN fo ON grp = doc_id // 7),
+    tr AS MATERIALIZED (SELECT lang || '|' || h AS k, p, y, z FROM zf, range(-1, 3) AS x(h) WHERE fold <> h), {grid_sql("tr")}, {newton_sql("tr")}, {isotonic_sql("tr")},
+    te AS (SELECT lang, lang || '|' || fold AS k, p, y, {LOGISTIC.format(x="z / exp((t6.a + t6.b) / 2)")} AS temperature, {LOGISTIC.format(x="n25.a * z + n25.b")} AS platt FROM zf JOIN t6 ON t6.k = lang || '|' || fold JOIN n25 ON n25.k = lang || '|' || fold),
+    lo AS (SELECT te.*, v.x AS x0, v.value AS y0 FROM te ASOF LEFT JOIN v ON te.k = v.k AND te.p >= v.x), hi AS (SELECT lo.*, v.x AS x1, v.value AS y1 FROM lo ASOF LEFT JOIN v ON lo.k = v.k AND lo.p <= v.x),
+    ev AS (SELECT lang, k, avg(pow(temperature - y, 2)) AS t, avg(pow(platt - y, 2)) AS q, avg(pow(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = p THEN y0 ELSE y0 + (y1 - y0) * (p - x0) / (x1 - x0) END - y, 2)) AS i FROM hi GROUP BY ALL),
+    me AS (SELECT lang, unnest([{{'m': 'temperature', 'b': avg(t)}}, {{'m': 'platt', 'b': avg(q)}}, {{'m': 'isotonic', 'b': avg(i)}}]) AS r FROM ev GROUP BY lang)
+    SELECT lang, r.m AS method, round(r.b, 5) AS brier, r.b = min(r.b) OVER (PARTITION BY lang) AS selected, round((t6.a + t6.b) / 2, 3) + 0.0 AS log_temperature, round(n25.a, 4) + 0.0 AS slope, round(n25.b, 4) + 0.0 AS intercept
+    FROM me JOIN t6 ON t6.k = lang || '|-1' JOIN n25 ON n25.k = lang || '|-1'
+""")
 def m_concept_calibrators(spark, sf_dir):
-    """For each language, the calibration that does best over folds of whole groups, and the parameters of all of them; tested against single fits."""
+    """For each language, the calibration that does best over folds of whole groups, and the parameters fitted on all its rows."""
     d = scored(spark, sf_dir).withColumn("grp", F.expr("doc_id div 7"))
     choice, fits, _ = calibration.choose_calibrators(d, ["lang"], "p", "quality", "grp")
-    return choice.join(fits, "lang").select("lang", "method", rounded("brier").alias("brier"), "selected", *(rounded(c, 4).alias(c) for c in ("temperature", "slope", "intercept")))
+    return choice.join(fits, "lang").select("lang", "method", rounded("brier", 5).alias("brier"), "selected", rounded(F.log("temperature"), 3).alias("log_temperature"), *(rounded(c, 4).alias(c) for c in ("slope", "intercept")))
 
 
 #: Roles as nodes, joined both ways.

@@ -191,13 +191,14 @@ def grid_sql(source: str = "z", rounds: int = 6, points: int = 17) -> str:
     return ", ".join(out)
 
 
-def newton_sql(source: str = "z", rounds: int = 14) -> str:
-    """CTEs n0 to n14 (k, a, b): per key, slope and intercept of the logistic regression of `source`, one Newton step each."""
-    out = [f"n0 AS (SELECT DISTINCT k, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {source})"]
+def newton_sql(source: str = "z", rounds: int = 25) -> str:
+    """CTEs n0 to n25 (k, a, b): per key, slope and intercept of the logistic regression of `source`, one Newton step of bounded length each."""
+    out = [f"n0 AS (SELECT k, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, min(y) = max(y) AS one FROM {source} GROUP BY k)"]
     for r in range(rounds):
         sums = "sum((q - y) * z) + a AS ga, sum(q - y) AS gb, sum(q * (1 - q) * z * z) + 1 AS haa, sum(q * (1 - q) * z) AS hab, sum(q * (1 - q)) AS hbb"
-        out.append(f"m{r} AS (SELECT k, a, b, {sums} FROM (SELECT k, a, b, z, y, 1 / (1 + exp(-greatest(-40, least(40, a * z + b)))) AS q FROM {source} JOIN n{r} USING (k)) GROUP BY k, a, b)")
-        out.append(f"n{r + 1} AS (SELECT k, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM m{r})")
+        out.append(f"m{r} AS (SELECT k, a, b, one, {sums} FROM (SELECT k, a, b, one, z, y, 1 / (1 + exp(-greatest(-40, least(40, a * z + b)))) AS q FROM {source} JOIN n{r} USING (k)) GROUP BY k, a, b, one)")
+        out.append(f"e{r} AS (SELECT k, a, b, one, CASE WHEN one THEN 0 ELSE coalesce((hbb * ga - hab * gb) / nullif(haa * hbb - hab * hab, 0), 0) END AS da, CASE WHEN one THEN 0 ELSE coalesce((haa * gb - hab * ga) / nullif(haa * hbb - hab * hab, 0), 0) END AS db FROM m{r})")
+        out.append(f"n{r + 1} AS (SELECT k, a - da * least(1, {models.STRIDE} / greatest(abs(da) + abs(db), 1e-300)) AS a, b - db * least(1, {models.STRIDE} / greatest(abs(da) + abs(db), 1e-300)) AS b, one FROM e{r})")
     return ", ".join(out)
 
 
@@ -214,8 +215,8 @@ LOGISTIC = "1 / (1 + exp(-greatest(-40, least(40, {x}))))"
 
 @register(f"""
     WITH {SCORED}, {LOGITS}, {grid_sql()}, {newton_sql()}, {isotonic_sql()}
-    SELECT doc_id, p, round({LOGISTIC.format(x="z / exp((t6.a + t6.b) / 2)")}, 4) AS temperature, round({LOGISTIC.format(x="n14.a * z + n14.b")}, 5) AS platt, round(value, 6) AS isotonic
-    FROM z JOIN t6 USING (k) JOIN n14 USING (k) JOIN v ON v.k = z.k AND v.x = z.p
+    SELECT doc_id, p, round({LOGISTIC.format(x="z / exp((t6.a + t6.b) / 2)")}, 4) AS temperature, round({LOGISTIC.format(x="n25.a * z + n25.b")}, 5) AS platt, round(value, 6) AS isotonic
+    FROM z JOIN t6 USING (k) JOIN n25 USING (k) JOIN v ON v.k = z.k AND v.x = z.p
 """)
 def m_calibrated(spark, sf_dir):
     """Each document's score under the three calibrations, fitted on all labelled documents."""
@@ -239,7 +240,7 @@ FOLDS = """
 @register(f"""
     WITH RECURSIVE {SCORED}, {FOLDS}, {LOGITS}, zf AS (SELECT z.*, fold FROM z JOIN fo ON grp = doc_id // 7), tr AS MATERIALIZED (SELECT h AS k, p, y, z FROM zf, range(0, 3) AS x(h) WHERE fold <> h),
     {grid_sql("tr")}, {newton_sql("tr")}, {isotonic_sql("tr")},
-    te AS (SELECT fold AS k, p, y, {LOGISTIC.format(x="z / exp((t6.a + t6.b) / 2)")} AS temperature, {LOGISTIC.format(x="n14.a * z + n14.b")} AS platt FROM zf JOIN t6 ON t6.k = fold JOIN n14 ON n14.k = fold),
+    te AS (SELECT fold AS k, p, y, {LOGISTIC.format(x="z / exp((t6.a + t6.b) / 2)")} AS temperature, {LOGISTIC.format(x="n25.a * z + n25.b")} AS platt FROM zf JOIN t6 ON t6.k = fold JOIN n25 ON n25.k = fold),
     lo AS (SELECT te.*, v.x AS x0, v.value AS y0 FROM te ASOF LEFT JOIN v ON te.k = v.k AND te.p >= v.x), hi AS (SELECT lo.*, v.x AS x1, v.value AS y1 FROM lo ASOF LEFT JOIN v ON lo.k = v.k AND lo.p <= v.x),
     ev AS (SELECT k, avg(pow(temperature - y, 2)) AS t, avg(pow(platt - y, 2)) AS q, avg(pow(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = p THEN y0 ELSE y0 + (y1 - y0) * (p - x0) / (x1 - x0) END - y, 2)) AS i FROM hi GROUP BY k),
     me AS (SELECT unnest([{{'m': 'temperature', 'b': avg(t)}}, {{'m': 'platt', 'b': avg(q)}}, {{'m': 'isotonic', 'b': avg(i)}}]) AS r FROM ev)

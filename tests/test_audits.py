@@ -169,6 +169,11 @@ def test_fits_without_rows_and_of_one_class(spark):
     none = spark.createDataFrame([], "p double, y int")
     assert models.fit_temperature(none, "p", "y") == 1.0 and models.fit_platt(none, "p", "y") == (1.0, 0.0) and models.fit_isotonic(none, "p", "y") == []
     assert models.fit_platt(spark.createDataFrame([(0.2, 1), (0.9, 1)], "p double, y int"), "p", "y") == (1.0, 0.0)
+    lone = spark.createDataFrame([(0.01 * k, int(k == 90)) for k in range(1, 100)] + [(0.999, 0)] * 300, "p double, y int")
+    slope, intercept = models.fit_platt(lone, "p", "y")  # whole Newton steps run away here
+    z = [math.log(r.p / (1 - r.p)) for r in lone.collect()]
+    q = [1 / (1 + math.exp(-(slope * x + intercept))) for x in z]
+    assert abs(sum(q) - 1) < 1e-6 and abs(sum((v - r.y) * x for v, r, x in zip(q, lone.collect(), z, strict=True)) + slope) < 1e-6
     knots = models.apply_knots(spark.createDataFrame([(math.nan,), (0.5,), (None,)], "p double"), "p", [(0.2, 0.1), (0.8, 0.7)], "q").collect()
     assert [r.q is None for r in knots] == [True, False, True]
     empty = spark.createDataFrame([], "c string, p double, y double, g string")
