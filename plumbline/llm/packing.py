@@ -168,7 +168,11 @@ def best_plan(counts: dict[int, int], capacity: int, groups: int = 256) -> Plan:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None, with_ids: bool) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids, cut only at multiples of capacity."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids, cut only at multiples of capacity.
+
+    A null text is its end id alone, or no piece without one; a null doc_id stays null; rows that share
+    an id have their own pieces. An empty table gives no rows.
+    """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = SubwordEncoder.of(tokenizer, most=WORDS_KEPT)

@@ -152,7 +152,11 @@ class Chunk:
 
 
 def write_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """`docs` as (chunk, rows) with about `chunk_bytes` of text each, in a table that is bucketed by chunk."""
+    """`docs` as (chunk, rows) with about `chunk_bytes` of text each, in a table that is bucketed by chunk.
+
+    Rows keep all columns, nulls and repeats as they are; a row longer than a chunk is one. An empty
+    table gives no chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

@@ -154,7 +154,11 @@ def _compare(t: int):
 
 
 def fingerprint_links(classes: DataFrame, t: int = 4, block: int = 512) -> DataFrame:
-    """(src, dst) links that connect all `classes` (fp, rep; one row a fingerprint) within t bits of each other."""
+    """(src, dst) links that connect all `classes` (fp, rep; one row a fingerprint) within t bits of each other.
+
+    `rep` names a class and must not be null; classes that nothing is near, and an empty table, give no
+    links. A link may come more than once, from different keys.
+    """
     keyed = classes.select("fp", "rep", F.explode(ring_keys(F.col("fp"), t)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))

@@ -131,13 +131,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the blocks under `path`; ids: little-endian unsigned 32 bits."""
+    """(doc_id, start, n_tokens, ids) of every document in the blocks under `path`; ids: little-endian unsigned 32 bits.
+
+    A null text was written as its end id alone; a null doc_id comes back null; rows that shared an id
+    come back each. Files of an empty table give no rows.
+    """
     out = "doc_id long, start long, n_tokens long, ids binary"
     return _read(spark, path, out, lambda ids: ids.astype("<u4").tobytes(), pa.binary())
 
 
 def token_file_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the blocks under `path`."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the blocks under `path`; nulls and repeats as in `read_token_files`."""
     return _read(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", crc32, pa.int64())
 
 
