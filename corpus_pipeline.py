@@ -28,27 +28,27 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the others go."""
+    """Documents that the quality rules keep; the others go, those without a text among them. Equal rows are judged alike."""
     return quality.quality_rules(docs, kept_only=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash group stays: that of the smallest doc_id."""
+    """One row of each SimHash group stays: that of the smallest doc_id, a null one last, of equal ones the first written."""
     return simhash.keep_one_of_each(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeat an earlier string of 100 bytes; every document stays."""
+    """Texts without the bytes that repeat an earlier string of 100 bytes; every document stays, a null text as it is."""
     return _counted(repeats.remove_repeats(docs))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with secrets masked; every document stays."""
+    """Texts with secrets masked; every document stays, a null text as it is."""
     return _counted(secrets.redact_secrets(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document, with its sequence of at most 4096 tokens and its place there."""
+    """A row per piece of a document, with its sequence of at most 4096 tokens and its place there; a null text is its end id alone."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
