@@ -11,23 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import corner_box
+from plumbline.operators.stash import stash
 
 BOX = "struct<source_label:string,x1:double,y1:double,x2:double,y2:double>"
 COCO = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,iscrowd:int>>, categories array<struct<id:long,name:string>>"
 
 
-def read_coco(spark: SparkSession, path: str, labels: list[str] | None = None) -> DataFrame:
+def read_coco(spark: SparkSession, path: str, labels: list[str] | None = None, lines: bool = False) -> DataFrame:
     """COCO annotations. Crowd boxes, boxes without area and boxes of other labels are dropped and counted.
 
     An annotation of an unknown image or category, or a repeated id, is an error. Several files are one
-    dataset: they may share categories, if ids and names agree, but no image or annotation id.
+    dataset: they may share categories, if ids and names agree, but no image or annotation id. A file is
+    one JSON object; with `lines` each of its lines is one, and counts as a file of its own.
     """
-    raw = spark.read.schema(COCO).json(path, multiLine=True)
-    kinds = raw.select(F.input_file_name().alias("f"), F.explode("categories").alias("c")).select("f", "c.id", "c.name")
+    raw = spark.read.schema(COCO).json(path, multiLine=not lines)
+    part = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: F.struct(*((x if n == c else F.lit(None).cast(raw.schema[n].dataType.elementType)).alias(n) for n in raw.columns)))
+    # files are parsed once: each image, annotation and category becomes a row
+    rows = stash(raw.withColumn("f", F.monotonically_increasing_id()).select("f", F.explode(F.concat(*map(part, raw.columns))).alias("r")).select("f", "r.*"), "coco-rows")
+    kinds = rows.where("categories is not null").select("f", "categories.*")
     doubled = kinds.groupBy("f", "id").count().where("count > 1").select("id").unionByName(kinds.groupBy("id").agg(F.countDistinct("name").alias("n")).where("n > 1").select("id")).distinct().count()
-    images = raw.select(F.explode("images").alias("i")).select("i.*")
-    names = raw.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("source_label")).distinct()
-    marks = raw.select(F.explode("annotations").alias("a")).select("a.*")
+    images = rows.where("images is not null").select("images.*")
+    names = kinds.select(F.col("id").alias("category_id"), F.col("name").alias("source_label")).distinct()
+    marks = rows.where("annotations is not null").select("annotations.*")
     stray = marks.join(images.select(F.col("id").alias("image_id")), "image_id", "left_anti").count() + marks.join(names, "category_id", "left_anti").count()
     repeated = images.groupBy("id").count().where("count > 1").count() + marks.groupBy("id").count().where("count > 1").count()
     if stray or repeated or doubled:

@@ -9,6 +9,21 @@ from plumbline.operators.episodes import Policy, policy_states
 from plumbline.sources import annotations, files
 
 
+def test_coco_objects_of_lines_and_in_files_are_alike(spark, tmp_path):
+    kinds = [{"id": 1, "name": "person"}]
+    parts = [{"images": [{"id": i, "file_name": f"i{i}", "width": 9, "height": 9}], "annotations": [{"id": i, "image_id": i, "category_id": 1, "bbox": [0, 0, i, 1], "iscrowd": 0}], "categories": kinds} for i in range(1, 6)]
+    (tmp_path / "files").mkdir()
+    (tmp_path / "lines").mkdir()
+    for i, part in enumerate(parts):
+        (tmp_path / "files" / f"{i}.json").write_text(json.dumps(part, indent=1))
+    (tmp_path / "lines" / "all.json").write_text("\n".join(map(json.dumps, parts)))
+    rows = [sorted(map(tuple, annotations.read_coco(spark, str(tmp_path / d), lines=d == "lines").select("record_id", F.size("boxes"), "dropped_crowd").collect())) for d in ("files", "lines")]
+    assert rows[0] == rows[1] == [(f"i{i}", 1, 0) for i in range(1, 6)]
+    (tmp_path / "lines" / "more.json").write_text(json.dumps(parts[0] | {"images": [], "annotations": [], "categories": kinds * 2}))
+    with pytest.raises(ValueError, match="1 repeated categories"):
+        annotations.read_coco(spark, str(tmp_path / "lines"), lines=True)
+
+
 def test_voc_files_are_bounded(spark, tmp_path, monkeypatch):
     from plumbline.operators.stash import new_path, scratch
     from plumbline.plans import storage
