@@ -281,14 +281,9 @@ def policy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     A step abstains where its confidence, twice its distance from 0.5, is below the policy's. Concepts are two halves of the conversations.
     """
     grid = episodes.policy_grid()
-    names = ("candidate_id", "beta", "k", "low", "high", "alarm", "abstention")
-    policies = F.explode(F.array(*(F.struct(*(F.lit(g[n]).alias(n) for n in names)) for g in grid))).alias("g")
-    t = turns(spark, sf_dir).select("conv_id", "turn", "p", policies).select("conv_id", "turn", "p", "g.*")
-    states = episodes.policy_states(t, ["candidate_id", "conv_id"], "turn", "p", F.abs(2 * F.col("p") - 1) < F.col("abstention"), {c: F.col(c) for c in names[1:6]})
-    joined = states.join(turns(spark, sf_dir).select("conv_id", "turn", "truth"), ["conv_id", "turn"])
-    each = events.episode_evaluation(joined, ["candidate_id", "conv_id"], "turn", "truth", "state").withColumn("concept", F.col("conv_id") % 2)
+    totals = episodes.policy_totals(turns(spark, sf_dir), ["conv_id"], "turn", "p", F.col("truth") == 1, F.col("conv_id") % 2, grid)
     ranks = spark.createDataFrame([(g["candidate_id"], g["complexity_rank"]) for g in grid], "candidate_id string, complexity_rank int")
-    return events.policy_metrics(each, ["candidate_id"], "concept").join(ranks, "candidate_id")
+    return events.pooled_metrics(totals, ["candidate_id"]).join(ranks, "candidate_id")
 
 
 GRID = f"""

@@ -608,3 +608,24 @@ def test_images(spark):
     clear = np.full((24, 24), 0.2)
     misty = images.fog(clear, 0.5, seed=3)
     assert np.array_equal(misty, images.fog(clear, 0.5, seed=3)) and abs(misty.mean() - (0.1 + 0.45)) < 0.02 and misty.std() > 0
+
+
+def test_policy_totals_are_sums_of_evaluated_episodes(spark):
+    """A grid in one pass over steps gives what each policy by itself gives; gaps, abstention and null steps among them."""
+    from plumbline.operators import episodes, events
+
+    made = [(e, s, None if (e * 7 + s) % 13 == 0 else ((e * 37 + s * 53) % 97) / 97.0, (e + s // 3) % 3 == 0) for e in range(12) for s in range(40) if (e + s) % 11]
+    df = spark.createDataFrame(made, "e long, s long, p double, t boolean")
+    grid = episodes.policy_grid()[::29]
+    got = episodes.policy_totals(df, ["e"], "s", "p", F.col("t"), F.col("e") % 2, grid)
+    each = None
+    for g in grid:
+        policy = episodes.Policy(g["beta"], g["k"], g["low"], g["high"], g["alarm"])
+        states = episodes.policy_states(df, ["e"], "s", "p", F.abs(2 * F.col("p") - 1) < g["abstention"], policy)
+        one = events.episode_evaluation(states.join(df.select("e", "s", F.col("t").cast("int").alias("t")), ["e", "s"]), ["e"], "s", "t", "state").withColumn("candidate_id", F.lit(g["candidate_id"]))
+        each = one if each is None else each.unionByName(one)
+    names = [t for t in episodes.TOTALS if t != "episodes"]
+    want = each.groupBy("candidate_id", (F.col("e") % 2).alias("concept")).agg(*(F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in names), F.count("*").alias("episodes"))
+    rows = lambda d: sorted(tuple(map(float, r[2:])) + (r[0], r[1]) for r in d.select("candidate_id", "concept", *episodes.TOTALS).collect())
+    assert rows(got) == rows(want)
+    assert sum(r[2] for r in rows(got)) > 0
