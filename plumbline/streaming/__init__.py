@@ -1,6 +1,7 @@
 """Structured Streaming forms of the series operators."""
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,40 +81,63 @@ def _advance(memory: float, high: int, armed: int, level: int, p: float, policy:
     return memory, high, armed, max(held, 3 if armed >= policy.k else 2 if high >= policy.k else 1 if memory >= policy.low else 0)
 
 
-def ordered_alarm_states(steps: DataFrame, key: str, policy: Policy, late: str, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+#: Keys of `ordered_alarm_states` share so many states: Spark calls Python once a state and batch, which costs some ten milliseconds.
+KEY_BUCKETS = 1024
+
+
+def ordered_alarm_states(steps: DataFrame, key: str, policy: Policy, late: str, idle_ms: int = 7 * 86_400_000, buckets: int = KEY_BUCKETS) -> DataFrame:
     """The alarm state machine over a stream of (key, ts, step, p, abstain) whose rows arrive in any order within `late`.
 
     A key's rows wait in its state until the watermark has passed them, and then go through the machine in
-    the order of (ts, step), whatever batches they came in; a timer wakes a key that gets no more rows.
+    the order of (ts, step), whatever batches they came in; a timer wakes keys that get no more rows.
     Rows later than the watermark are dropped, and counted by Spark. A key that has nothing waiting for
-    `idle_ms` of event time is forgotten and starts anew. A null or NaN probability abstains.
+    `idle_ms` of event time is forgotten and starts anew. A null or NaN probability abstains. Keys are dealt
+    to `buckets` by hash, which a checkpoint fixes; a bucket's keys stand in one state, each by itself.
     """
-    watched = steps.select(key, "ts", F.col("step").cast("long").alias("step"), F.col("p").cast("double").alias("p"), (F.coalesce("abstain", F.lit(True)) | F.col("p").isNull() | F.isnan(F.col("p").cast("double"))).alias("abstain"))
+    kind = dict(steps.dtypes)[key]
+    off = F.coalesce("abstain", F.lit(True)) | F.col("p").isNull() | F.isnan(F.col("p").cast("double"))
+    watched = steps.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).cast("string").alias("k"), "ts", F.col("step").cast("long").alias("step"), F.coalesce(F.when(~off, F.col("p").cast("double")), F.lit(0.0)).alias("p"), off.alias("abstain"))
     watched = watched.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory, high, armed, level, *held = state.get if state.exists else (0.0, 0, 0, 0, [], [], [], [])
-        waiting = list(zip(*held, strict=True))
-        for frame in frames:  # one key's rows of one micro-batch
-            waiting += zip(frame.us.tolist(), frame.step.tolist(), frame.p.fillna(0.0).tolist(), frame.abstain.tolist(), strict=True)
-        waiting.sort()
+        keys, held = state.get if state.exists else ([], [])
+        machines = {k.k: (k.memory, k.high, k.armed, k.level, k.deadline) for k in keys}
+        waiting: dict = {}
+        for w in held:
+            waiting.setdefault(w.k, []).append((w.us, w.step, w.p, w.abstain))
+        fresh = set()
+        for frame in frames:  # rows of one micro-batch
+            for k, *row in zip(*(frame[c].tolist() for c in ("k", "us", "step", "p", "abstain")), strict=True):
+                fresh.add(k)
+                waiting.setdefault(k, []).append(tuple(row))
         mark = state.getCurrentWatermarkMs()
-        out = []
-        while waiting and waiting[0][0] <= mark * 1000:
-            _, step, p, abstain = waiting.pop(0)
-            if not abstain:
-                memory, high, armed, level = _advance(memory, high, armed, level, p, policy)
-            out.append((name[0], step, memory, "abstain" if abstain else STATES[level]))
-        if state.hasTimedOut and not waiting and not out:
-            state.remove()
+        out, kept, left = [], [], []
+        for k in machines.keys() | waiting.keys():
+            rows = sorted(waiting.get(k, ()))
+            ready = bisect_right(rows, mark * 1000, key=lambda r: r[0])
+            memory, high, armed, level, deadline = machines.get(k, (0.0, 0, 0, 0, 0))
+            if not rows and mark > deadline:
+                continue
+            for _, step, p, abstain in rows[:ready]:
+                if not abstain:
+                    memory, high, armed, level = _advance(memory, high, armed, level, p, policy)
+                out.append((k, step, memory, "abstain" if abstain else STATES[level]))
+            if ready or k in fresh:
+                deadline = mark + idle_ms
+            kept.append((k, memory, high, armed, level, deadline))
+            left += [(k, *r) for r in rows[ready:]]
+        if kept:
+            state.update((kept, left))
+            busy = {r[0] for r in left}
+            state.setTimeoutTimestamp(max(mark + 1, min([r[1] // 1000 for r in left] + [m[5] for m in kept if m[0] not in busy])))
         else:
-            state.update((memory, high, armed, level, *(list(c) for c in (zip(*waiting, strict=True) if waiting else ([], [], [], [])))))
-            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 if waiting else mark + idle_ms))
-        yield pd.DataFrame(out, columns=[key, "step", "memory", "state"])
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["k", "step", "memory", "state"])
 
-    kind = dict(steps.dtypes)[key]
-    kept = "memory double, high int, armed int, level int, us array<long>, step array<long>, p array<double>, abstain array<boolean>"
-    return watched.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, step long, memory double, state string", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    kept = "keys array<struct<k:string,memory:double,high:int,armed:int,level:int,deadline:long>>, waiting array<struct<k:string,us:long,step:long,p:double,abstain:boolean>>"
+    told = watched.groupBy("bucket").applyInPandasWithState(run, "k string, step long, memory double, state string", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select(F.col("k").cast(kind).alias(key), "step", "memory", "state")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -50,3 +50,18 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
     put(spark, tmp_path, 4, [("a", START + timedelta(days=22), 2, 1.0, False), ("z", START + timedelta(days=23), 3, 0.0, False)])
     got = advance(spark, tmp_path)
     assert [round(got["a", k][0], 6) for k in (0, 1, 2)] == [0.4, 0.64, 0.4]
+
+
+def test_keys_of_one_bucket_stay_apart(spark, tmp_path):
+    """Null and many keys in one state: each runs by itself, and Python is called once a bucket and batch."""
+    rows = [(None if e == 0 else f"k{e}", START + timedelta(minutes=(7 * k + e) % 50), k, (k * e % 10) / 10, k % 9 == 0) for e in range(6) for k in range(20)]
+    put(spark, tmp_path, 0, rows[::2])
+    put(spark, tmp_path, 1, rows[1::2])
+    put(spark, tmp_path, 2, [("z", START + timedelta(days=2), 0, 0.0, False)])
+    made = {}
+    for buckets in (1, 64):
+        stream = streaming.read_stream(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/0").schema)
+        streaming.run_to_table(streaming.ordered_alarm_states(stream, "e", POLICY, "1 hour", buckets=buckets), f"{tmp_path}/out{buckets}", f"{tmp_path}/state{buckets}")
+        made[buckets] = sorted((str(r.e), r.step, r.memory, r.state) for r in spark.read.parquet(f"{tmp_path}/out{buckets}").collect() if r.e != "z")
+    assert made[1] == made[64] and len(made[1]) == 120
+    assert {r[0] for r in made[1]} == {"None", "k1", "k2", "k3", "k4", "k5"}
