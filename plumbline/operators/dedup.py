@@ -1,9 +1,12 @@
 """Exact and near duplicates of records, their links, and the components of groups that they join."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +30,39 @@ def coarse_bits(vector: str, groups: int = 16, each: int = 4) -> Column:
 
 
 def difference_bits(vector: str, width: int = 16, bits: int = 64) -> Column:
-    """Bit i (lowest first) of a long: whether `width` components from place i on sum to more than the `width` after them, the vector as a ring."""
-    ring = F.concat(*[F.col(vector).cast("array<double>")] * (1 + -(-2 * width // bits)))
-    total = lambda at: F.aggregate(F.slice(ring, at, width), F.lit(0.0), lambda a, x: a + x)
-    marks = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(total(i + 1) > total(i + 1 + width), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(marks, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    """Bit i (lowest first) of a long: whether `width` components from place i on sum to more than the `width` after them, the vector as a ring.
+
+    Sums that hold a null are never more, NaN is more than any number; null vectors have no bit set.
+    """
+    reach = bits + 2 * width
+
+    def sums(ring: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(ring), bits + width))
+        for j in range(width):  # in the order of components, as other engines add
+            out += ring[:, j : j + bits + width]
+        return out
+
+    def marked(vectors: pa.Array) -> pa.Array:
+        out = np.zeros(len(vectors), np.uint64)
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == size)
+            flat = vectors.take(pa.array(at)).flatten()
+            ringed = lambda a: np.pad(np.tile(a.reshape(-1, size), 1 + -(-2 * width // bits)), ((0, 0), (0, reach)))[:, :reach]  # noqa: B023, E731
+            with np.errstate(invalid="ignore"):
+                total = sums(ringed(pc.cast(flat, pa.float64()).to_numpy(zero_copy_only=False)))
+            holes = sums(ringed(flat.is_null().to_numpy(zero_copy_only=False).astype(float))) > 0 if flat.null_count else np.zeros(total.shape, bool)
+            (a, z), (no_a, no_z) = ((x[:, :bits], x[:, width : width + bits]) for x in (total, holes))
+            more = ((a > z) | (np.isnan(a) & ~np.isnan(z))) & ~no_a & ~no_z
+            out[at] = (more.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return pa.array(out.view(np.int64))
+
+    @F.arrow_udf("long")
+    def told(vectors: pa.Array) -> pa.Array:
+        parts = [marked(vectors.slice(i, 1024)) for i in range(0, len(vectors), 1024)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
+
+    return told(F.col(vector))
 
 
 def exact_classes(df: DataFrame, digest: str, key: str) -> DataFrame:
@@ -39,10 +70,14 @@ def exact_classes(df: DataFrame, digest: str, key: str) -> DataFrame:
     return df.groupBy(digest).agg(F.min(key).alias("representative"), F.count("*").alias("copies"))
 
 
-def _ring(radius: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of radius + 1 bands of 64 bits."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def _masks(radius: int) -> list[int]:
+    """Two masks of bits for each of radius + 1 bands: the band, and one half or the other of the next on the ring of bands.
+
+    A band takes every (radius + 1)-th bit, as neighbouring bits often tell much the same.
+    """
+    bands = [[1 << bit for bit in range(i, 64, radius + 1)] for i in range(radius + 1)]
+    masks = [sum(band) + sum(half) for band, after in zip(bands, bands[1:] + bands[:1], strict=True) for half in (after[: len(after) // 2], after[len(after) // 2 :])]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def hamming_pairs(df: DataFrame, key: str, bits: str, radius: int, same: Sequence[str] = (), block: int = 1024) -> DataFrame:
@@ -53,11 +88,9 @@ def hamming_pairs(df: DataFrame, key: str, bits: str, radius: int, same: Sequenc
     half are a key, for which both sides meet. Keys with many rows are split into blocks, which meet block
     by block. A pair is reported under its first common key. `same` columns must agree.
     """
-    ring = _ring(radius)
-    take = lambda c, low, width: F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    halves = [(ring[i], half) for i in range(len(ring)) for low, width in [ring[(i + 1) % len(ring)]] for half in ((low, width // 2), (low + width // 2, width - width // 2))]
-    values = lambda c: [F.shiftleft(take(c, *whole), half[1]).bitwiseOR(take(c, *half)) for whole, half in halves]
-    keys = df.select(*same, F.col(key), F.col(bits), F.posexplode(F.array(*values(F.col(bits)))).alias("_i", "_v"))
+    values = lambda c: [c.bitwiseAND(F.lit(mask).cast("long")) for mask in _masks(radius)]
+    rows = stash(df.select(*same, key, bits), "fingerprints")  # read by both sides and the counts
+    keys = rows.select(*same, F.col(key), F.col(bits), F.posexplode(F.array(*values(F.col(bits)))).alias("_i", "_v"))
     counted = keys.groupBy(*same, "_i", "_v").agg(F.count("*").alias("_n")).where("_n > 1")
     met = keys.join(counted, [*same, "_i", "_v"]).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("long"))
     met = met.withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")))
@@ -133,17 +166,48 @@ def component_ids(components: DataFrame, group: str) -> DataFrame:
 CONFIRMED = {"aspect_max": 0.02, "deviation_min": 5.0, "intensity_min": 0.995, "gradient_min": 0.990, "affine_rmse_max": 0.030}
 
 
-def _mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+def _pixels(a: np.ndarray) -> np.ndarray:
+    """Centred pixels of thumbnails, one a row."""
+    return a - a.mean(axis=1, keepdims=True)
+
+
+def _steps(a: np.ndarray, width: int) -> np.ndarray:
+    """Centred differences of neighbouring pixels, down and across."""
+    n = a.shape[1]
+    across = (a[:, 1:] - a[:, :-1])[:, np.arange(n - 1) % width != width - 1]
+    out = np.concatenate([a[:, width:] - a[:, : max(n - width, 0)], across], axis=1)
+    return out - out.mean(axis=1, keepdims=True) if out.shape[1] else out
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+def _rest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The mean square that the best multiple of x leaves of y."""
+    return ((y - ((x * y).sum(axis=1) / (x * x).sum(axis=1))[:, None] * x) ** 2).mean(axis=1)
 
 
-def _centred(a: Column) -> Column:
-    mean = _mean(a)
-    return F.transform(a, lambda x: x - mean)
+def _by_size(columns: Sequence[pa.Array], names: Sequence[str], measure: Callable[..., list[np.ndarray]]) -> list[pa.Array]:
+    """`measure` of the thumbnails of each size as matrices, one a column; null where they are null or empty, hold nulls or differ in size."""
+    out, unknown = np.zeros((len(columns[0]), len(names))), np.ones(len(columns[0]), bool)
+    sizes = np.stack([pc.fill_null(pc.list_value_length(t), -1).to_numpy(zero_copy_only=False) for t in columns])
+    for size in np.unique(sizes[0, (sizes == sizes[0]).all(axis=0) & (sizes[0] > 0)]):
+        at = np.flatnonzero((sizes == size).all(axis=0))
+        flat = [t.take(pa.array(at)).flatten() for t in columns]
+        with np.errstate(all="ignore"):  # flat sides; their rests are not used
+            out[at] = np.stack(measure(*(pc.cast(t, pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, size) for t in flat)), axis=1)
+        unknown[at] = np.any([t.is_null().to_numpy(zero_copy_only=False).reshape(-1, size).any(axis=1) for t in flat], axis=0)
+    return [pa.array(c, mask=unknown) for c in np.ascontiguousarray(out.T)]
+
+
+def _measured(df: DataFrame, thumbnails: Sequence[str], names: Sequence[str], measure: Callable[..., list[np.ndarray]], drop: Sequence[str] = ()) -> DataFrame:
+    """`df` without `drop`, with what `measure` tells of its thumbnails as doubles called `names`."""
+    kept, kinds = [c for c in df.columns if c not in drop], dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *_by_size([batch.column(t) for t in thumbnails], names, measure)], names=[*kept, *names])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{c} double" for c in names)]))
 
 
 def confirm_near(pairs: DataFrame, items: DataFrame, key: str, thumbnail: str, width: int, wide: str, high: str, same: str, semantics: str, levels: float = 255.0, bounds: dict[str, float] | None = None) -> DataFrame:
@@ -155,32 +219,35 @@ def confirm_near(pairs: DataFrame, items: DataFrame, key: str, thumbnail: str, w
     differences of neighbouring ones; -1 where a side is flat), affine_rmse (of the best affine map of
     one onto the other, the worse way, in shares of `levels`; infinite from a flat side), aspect (relative
     difference). status: other_kind, rejected, conflict (confirmed, but with other semantics) or
-    confirmed. Items meet pairs by two joins; what is derived of a thumbnail is derived once an item.
+    confirmed. Items meet pairs by two joins, which carry the thumbnails; they are compared in Arrow batches.
     """
     b = CONFIRMED | (bounds or {})
-    grid, n = F.transform(F.col(thumbnail), lambda x: x.cast("double")), F.size(thumbnail)
-    down = F.zip_with(F.slice(grid, width + 1, F.greatest(n - width, F.lit(0))), F.slice(grid, 1, F.greatest(n - width, F.lit(0))), lambda x, y: x - y)
-    across = F.filter(F.transform(F.zip_with(F.slice(grid, 2, F.greatest(n - 1, F.lit(0))), F.slice(grid, 1, F.greatest(n - 1, F.lit(0))), lambda x, y: x - y), lambda d, i: F.when(i % width != width - 1, d)), lambda d: d.isNotNull())
-    derived = items.select(F.col(key).alias("id"), F.col(same).alias("same"), F.col(semantics).alias("semantics"), (F.col(wide) / F.col(high)).alias("ratio"), _centred(grid).alias("v"), _centred(F.concat(down, across)).alias("g"))
-    derived = derived.select("*", _dot(F.col("v"), F.col("v")).alias("vv"), _dot(F.col("g"), F.col("g")).alias("gg"))
+    square = lambda x: (x * x).sum(axis=1)
+    named = items.select(F.col(key).alias("id"), F.col(same).alias("same"), F.col(semantics).alias("semantics"), (F.col(wide) / F.col(high)).alias("ratio"), F.size(thumbnail).alias("n"), F.col(thumbnail).alias("t"))
+    derived = stash(_measured(named, ["t"], ["vv", "gg"], lambda t: [square(_pixels(t)), square(_steps(t, width))]), "pictures")
     side = lambda s: derived.select(*(F.col(c).alias(f"{s}_{c}") for c in derived.columns))
-    met = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+
+    def both(a: np.ndarray, z: np.ndarray) -> list[np.ndarray]:
+        steps = (_steps(a, width) * _steps(z, width)).sum(axis=1)
+        a, z = _pixels(a), _pixels(z)
+        return [(a * z).sum(axis=1), steps, _rest(a, z), _rest(z, a)]
+
+    sides = ["left_t", "right_t"]
+    met = _measured(pairs.join(side("left"), "left_id").join(side("right"), "right_id"), sides, ["_pixels", "_steps", "_left_rest", "_right_rest"], both, drop=sides)
     col = lambda c: (F.col(f"left_{c}"), F.col(f"right_{c}"))
 
-    def correlation(v: str, vv: str) -> Column:
+    def correlation(dot: str, vv: str) -> Column:
         norm = F.sqrt(col(vv)[0]) * F.sqrt(col(vv)[1])
-        return F.when(norm > 1e-12, _dot(*col(v)) / norm).otherwise(-1.0)
+        return F.when(norm > 1e-12, F.col(dot) / norm).otherwise(-1.0)
 
-    def rmse(a: str, z: str) -> Column:
-        slope = _dot(*col("v")) / F.col(f"{a}_vv")
-        left = F.zip_with(F.col(f"{a}_v"), F.col(f"{z}_v"), lambda x, y: (y - slope * x) * (y - slope * x))
-        return F.when(F.col(f"{a}_vv") > 1e-12, F.sqrt(F.greatest(_mean(left), F.lit(0.0))) / levels).otherwise(float("inf"))
+    def rmse(a: str) -> Column:
+        return F.when(F.col(f"{a}_vv") > 1e-12, F.sqrt(F.greatest(f"_{a}_rest", F.lit(0.0))) / levels).otherwise(float("inf"))
 
     ratio = F.abs(F.col("left_ratio") - F.col("right_ratio")) / F.greatest("left_ratio", "right_ratio")
     told = met.select(
         *pairs.columns, (F.col("left_same") == F.col("right_same")).alias("_same"), (F.col("left_semantics") == F.col("right_semantics")).alias("_means"), ratio.alias("aspect"),
-        F.sqrt(F.least("left_vv", "right_vv") / F.size("left_v")).alias("deviation"), correlation("v", "vv").alias("intensity"), correlation("g", "gg").alias("gradient"),
-        F.greatest(rmse("left", "right"), rmse("right", "left")).alias("affine_rmse"),
+        F.sqrt(F.least("left_vv", "right_vv") / F.col("left_n")).alias("deviation"), correlation("_pixels", "vv").alias("intensity"), correlation("_steps", "gg").alias("gradient"),
+        F.greatest(rmse("left"), rmse("right")).alias("affine_rmse"),
     )
     alike = (F.col("aspect") <= b["aspect_max"]) & (F.col("deviation") >= b["deviation_min"]) & (F.col("intensity") >= b["intensity_min"]) & (F.col("gradient") >= b["gradient_min"]) & (F.col("affine_rmse") <= b["affine_rmse_max"])
     status = F.when(~F.coalesce("_same", F.lit(False)), "other_kind").when(~F.coalesce(alike, F.lit(False)), "rejected").when(~F.coalesce("_means", F.lit(False)), "conflict").otherwise("confirmed")

@@ -179,3 +179,11 @@ def test_fits_without_rows_and_of_one_class(spark):
     empty = spark.createDataFrame([], "c string, p double, y double, g string")
     fits, knots = calibration.fit_all(empty, ["c"], "p", "y")
     assert fits.collect() == [] and knots.collect() == []
+
+
+def test_comparing_pairs_keeps_what_null_and_uneven_pictures_tell(spark):
+    pictures = {1: [1.0, 5.0, 2.0, 9.0], 2: [2.0, 10.0, 4.0, 18.0], 3: None, 4: [1.0, None, 2.0, 9.0], 5: [1.0, 5.0, 2.0, 9.0, 3.0, 4.0], 6: [1.0, math.nan, 2.0, 9.0]}
+    items = spark.createDataFrame([(k, t, 1, 1, "m", "c") for k, t in pictures.items()], "id int, t array<double>, w int, h int, m string, c string")
+    pairs = spark.createDataFrame([(1, k, 0) for k in range(2, 7)], "left_id int, right_id int, distance int")
+    got = {r.right_id: (r.intensity, r.gradient, r.affine_rmse) for r in dedup.confirm_near(pairs, items, "id", "t", 2, "w", "h", "m", "c", levels=1.0).collect()}
+    assert np.allclose(got[2], (1, 1, 0)) and got[3] == got[4] == (-1.0, -1.0, math.inf) and got[5] == (None, None, 0.0) and all(map(math.isnan, got[6]))

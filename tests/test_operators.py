@@ -2,6 +2,7 @@
 import json
 import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -629,3 +630,10 @@ def test_policy_totals_are_sums_of_evaluated_episodes(spark):
     rows = lambda d: sorted(tuple(map(float, r[2:])) + (r[0], r[1]) for r in d.select("candidate_id", "concept", *episodes.TOTALS).collect())
     assert rows(got) == rows(want)
     assert sum(r[2] for r in rows(got)) > 0
+
+
+def test_keys_of_hamming_pairs_tell_ramps_apart():
+    rng = random.Random(5)
+    bits = {sum(1 << i for i in range(64) if any((i - a) % 64 < n for a, n in arcs)) for arcs in ([(rng.randrange(64), rng.randint(3, 12)) for _ in range(4)] for _ in range(2000))}
+    met = sum(n * (n - 1) // 2 for mask in dedup._masks(4) for n in Counter(b & mask for b in bits).values())
+    assert met < 0.02 * len(bits) * (len(bits) - 1) / 2  # bands of neighbouring bits let a third and more of all pairs meet
