@@ -637,3 +637,31 @@ def test_keys_of_hamming_pairs_tell_ramps_apart():
     bits = {sum(1 << i for i in range(64) if any((i - a) % 64 < n for a, n in arcs)) for arcs in ([(rng.randrange(64), rng.randint(3, 12)) for _ in range(4)] for _ in range(2000))}
     met = sum(n * (n - 1) // 2 for mask in dedup._masks(4) for n in Counter(b & mask for b in bits).values())
     assert met < 0.02 * len(bits) * (len(bits) - 1) / 2  # bands of neighbouring bits let a third and more of all pairs meet
+
+
+@pytest.mark.parametrize("rows_a_task", [1 << 20, 20])
+def test_candidates_equal_an_evaluation_a_threshold(spark, monkeypatch, rows_a_task):
+    monkeypatch.setattr("plumbline.operators.scans.ROWS", rows_a_task)
+    rng, marks = random.Random(8), [0.5, 0.1]
+    points = [("f", u, rng.randint(0, 60), rng.random() * 1.4, round(rng.random(), 1)) for u in ("a", "b", "c") for _ in range(25)] + [("f", "d", 3, 0.0, 0.9), ("f", None, 3, 2.0, 0.9), ("f", "a", 7, 2.0, None)]
+    df = spark.createDataFrame(points, "fam string, unit string, t long, v double, s double")
+    got = {r.threshold: r for r in events.threshold_candidates(df, ["unit"], "fam", "t", "v", "s", 1.0, 1, 4, 60, thresholds=marks).collect()}
+    assert set(got) == set(marks)
+    for t in marks:
+        per = events.sensor_evaluation(df.where("unit is not null"), ["unit"], "t", "v", "s", 1.0, t, 1, 4, 60).collect()
+        f1 = [r.f1 for r in per if r.f1 is not None]
+        assert math.isclose(got[t].false_alarms_per_hour, sum(r.predictions - r.matched for r in per) / sum(r.hours for r in per))
+        assert math.isclose(got[t].event_macro_f1, sum(f1) / len(f1)) and math.isclose(got[t].event_miss_rate, 1 - sum(r.matched for r in per) / sum(r.truths for r in per))
+
+
+def test_one_walk_matches_the_events_of_many_rules(spark):
+    rng = random.Random(9)
+    truth = [(u, k, a, a + rng.randint(0, 6)) for u in range(4) for k, a in enumerate(range(0, 80, 10))]
+    told = [(u, t, t, rng.randrange(1, 1 << 5) << 57) for u in range(4) for t in sorted(rng.sample(range(90), 30))]
+    schema = "unit int, event_id int, start int, end int"
+    true = spark.createDataFrame(truth, schema)
+    pairs = events.eligible_pairs(true, spark.createDataFrame(told, "unit int, event_id int, start int, marks long"), ["unit"], 5, also=["marks"])
+    got = events._matched(pairs, ["unit"]).collect()
+    for i in range(57, 62):
+        each = spark.createDataFrame([(u, k, a, a) for u, k, a, m in told if m >> i & 1], schema)
+        assert sorted((r.unit, r.truth_id, r.pred_id) for r in got if r.marks >> i & 1) == rows(events.match_events(true, each, ["unit"], 5), "unit", "truth_id", "pred_id")
