@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import joined_sha256
+from plumbline.operators.stash import stash
 
 
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int | Column) -> DataFrame:
@@ -47,7 +48,7 @@ def _choose(candidates: DataFrame, group: Sequence[str], ok: Column, order: Sequ
 
     Status is 'pass', or 'diagnostic_only_blocked' where no candidate is allowed (selected is then null).
     """
-    marked = candidates.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    marked = stash(candidates.withColumn("_ok", F.coalesce(ok, F.lit(False))), "candidates")  # read twice, and few
     best = first_per_group(marked.where("_ok"), group, order, 1).select(*group, F.col("candidate_id").alias("selected"))
     least = first_per_group(marked, group, blocked, 1).select(*group, F.col("candidate_id").alias("diagnostic"))
     status = F.when(F.col("selected").isNull(), "diagnostic_only_blocked").otherwise("pass")

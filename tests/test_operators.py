@@ -665,3 +665,16 @@ def test_one_walk_matches_the_events_of_many_rules(spark):
     for i in range(57, 62):
         each = spark.createDataFrame([(u, k, a, a) for u, k, a, m in told if m >> i & 1], schema)
         assert sorted((r.unit, r.truth_id, r.pred_id) for r in got if r.marks >> i & 1) == rows(events.match_events(true, each, ["unit"], 5), "unit", "truth_id", "pred_id")
+
+
+def test_selection_makes_its_candidates_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    given = spark.createDataFrame([("f", f"c{i}", i / 10, float(i), 0.5, 0.1) for i in range(5)], "family_id string, candidate_id string, threshold double, false_alarms_per_hour double, event_macro_f1 double, event_miss_rate double")
+    got = selection.select_threshold(given.mapInArrow(counted, given.schema), ["family_id"], 2.0).collect()
+    assert [tuple(r) for r in got] == [("f", "pass", "c2", "c0")] and made.value == 5
