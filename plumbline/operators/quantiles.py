@@ -21,6 +21,8 @@ PER_OCTAVE, PARTS = 16, 1 << 16
 ROUNDS = 3
 #: So many distinct values, of all wanted buckets together, need no finer histogram: one task may sort them.
 FEW = 1 << 20
+#: So many wanted buckets go whole to every task. Without that a large bucket's rows would meet its limits in one task.
+SENT = 1 << 14
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -66,11 +68,12 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, at: dict[st
     every = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(q)), F.ceil(place(q))) for q in at.values()))))
     ranks = sizes.where("_total > 0").select(*keys, F.explode(every).alias("_rank"), F.lit(0).cast("long").alias("_before"))
     # distinct values of the wanted buckets, with counts
-    wanted = _wanted(coarse.where("_b0 is not null"), keys, "_b0", ranks, keys)
+    wanted = stash(_wanted(coarse.where("_b0 is not null"), keys, "_b0", ranks, keys), "wanted")
+    sent = F.broadcast if wanted.count() <= SENT else lambda t: t  # no more of them come later
     found = wanted.where("_low = _high").select(*keys, "_rank", F.col("_low").alias("_x"))
     open_ = wanted.where("_low < _high")
     path = [*keys, "_b0"]
-    limits = lambda t, p: t.select(*p, "_low", "_high").distinct()
+    limits = lambda t, p: sent(t.select(*p, "_low", "_high").distinct())
     left = null_safe_join(slim.where("_b0 is not null"), limits(open_, path), path)
     left = stash(left.groupBy(*path, "_v", "_low", "_high").agg(F.count("*").alias("_m")), "candidates")
     for r in range(1, ROUNDS + 1 if left.count() > FEW else 1):
@@ -84,7 +87,7 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, at: dict[st
         left = null_safe_join(left, limits(open_, path), path)
     # what is still together differs in the last bits only
     last = left.withColumn("_upto", F.sum("_m").over(Window.partitionBy(*path).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    last = null_safe_join(last.drop("_low", "_high"), open_, path).where((F.col("_rank") < F.col("_before") + F.col("_upto")) & (F.col("_rank") >= F.col("_before") + F.col("_upto") - F.col("_m")))
+    last = null_safe_join(last.drop("_low", "_high"), sent(open_), path).where((F.col("_rank") < F.col("_before") + F.col("_upto")) & (F.col("_rank") >= F.col("_before") + F.col("_upto") - F.col("_m")))
     found = found.unionByName(last.select(*keys, "_rank", F.col("_v").alias("_x")))
     values = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_of"))  # two ranks a quantile
     told = null_safe_join(sizes, values, keys, "left")

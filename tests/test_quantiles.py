@@ -34,3 +34,17 @@ def test_quantiles_are_those_of_percentile(spark, monkeypatch, group, few):
 
 def test_quantiles_of_an_empty_table(spark):
     assert quantiles.exact_quantiles(spark.createDataFrame([], "g string, x int"), ["g"], "x", AT).collect() == []
+
+
+def test_wanted_buckets_go_whole_to_every_task(spark, monkeypatch):
+    plans, join = [], quantiles.null_safe_join
+
+    def seen(left, right, keys, how="inner"):
+        if "_v" in left.columns:
+            plans.append(right._jdf.queryExecution().logical().toString())
+        return join(left, right, keys, how)
+
+    monkeypatch.setattr(quantiles, "null_safe_join", seen)
+    df = spark.range(2000).selectExpr("id % 3 as g", "sqrt(id) as x")
+    assert quantiles.exact_quantiles(df, ["g"], "x", {"m": 0.5}).count() == 3
+    assert plans and all("broadcast" in p.lower() for p in plans)
